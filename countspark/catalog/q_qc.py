@@ -126,13 +126,18 @@ def _(spark, sf):
 
 
 @query("predicted_sex", """
-SELECT sample, ROUND(o, 6) AS other_q05, ROUND(y, 6) AS y_median, CASE WHEN o >= 3 THEN CASE WHEN y < 62 THEN 'female' ELSE 'male' END END AS predicted_sex FROM (
-  SELECT d.sample, QUANTILE_CONT(d.raw_count, 0.05) FILTER (f.chromosome_name NOT IN ('Y', 'MT')) AS o, QUANTILE_CONT(d.raw_count, 0.5) FILTER (f.chromosome_name = 'Y') AS y
-  FROM fx_dense d JOIN fx_features f ON f.feature = d.feature GROUP BY d.sample) q WHERE o < 3 OR TRUE""")
-def _(spark, sf):
-    out = qc.predicted_sex(fx.counts(spark, sf), fx.samples(spark, sf), fx.features(spark, sf), min_median=3)
-    sex = F.when(F.col("other_q05") >= 3, F.when(F.col("y_median") < 62, "female").otherwise("male"))
-    return out.select("sample", r6("other_q05").alias("other_q05"), r6("y_median").alias("y_median"), sex.alias("predicted_sex"))
+SELECT sample, ROUND(o, 6) AS other_q05, ROUND(y, 6) AS y_median, CASE WHEN o >= 3 THEN CASE WHEN y < 3 THEN 'female' ELSE 'male' END END AS predicted_sex FROM (
+  SELECT sample, QUANTILE_CONT(n, 0.05) FILTER (chromosome_name NOT IN ('Y', 'MT')) AS o, QUANTILE_CONT(n, 0.5) FILTER (chromosome_name = 'Y') AS y
+  FROM (SELECT d.sample, f.chromosome_name, CASE WHEN f.chromosome_name = 'Y' AND d.sample % 2 = 1 THEN CAST(FLOOR(d.raw_count / 30e0) AS BIGINT) ELSE d.raw_count END AS n
+        FROM fx_dense d JOIN fx_features f ON f.feature = d.feature) c GROUP BY sample) q""")
+def _(spark, sf):
+    features = fx.features(spark, sf)
+    on_y = small(features.select("feature", (F.col("chromosome_name") == "Y").alias("on_y")))
+    low = F.floor(F.col("raw_count") / 30).cast("bigint")
+    counts = keep(fx.counts_plan(spark, sf).join(on_y, "feature").select(
+        "feature", "sample", F.when(F.col("on_y") & (F.col("sample") % 2 == 1), low).otherwise(F.col("raw_count")).alias("raw_count")))
+    out = qc.predicted_sex(counts, fx.samples(spark, sf), features, min_median=3)
+    return out.select("sample", r6("other_q05").alias("other_q05"), r6("y_median").alias("y_median"), "predicted_sex")
 
 
 @query("sex_marker_counts", """

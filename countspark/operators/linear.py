@@ -47,8 +47,7 @@ def make_contrasts(design: DataFrame, spec: dict[str, str] | None = None, *, pre
     ``prefix`` is put before names that are not coefficients themselves. Without a specification every coefficient except the
     first becomes a contrast of its own. Unknown coefficients are an error.
     """
-    order = [r[0] for r in collect_small(design.groupBy("coef").agg(F.first("coef")).select("coef"))]
-    known = set(order)
+    known = {r[0] for r in collect_small(design.select("coef").distinct())}
     if spec is None:
         first = "Intercept" if "Intercept" in known else min(known)
         spec = {c: c for c in sorted(known) if c != first}

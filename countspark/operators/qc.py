@@ -255,7 +255,7 @@ def count_density(norm: DataFrame, col: str, *, by: str = "sample", grid: int =
     leaves = F.floor((F.col("v") + F.col("_h") - low) / step) + 1
     marks = F.explode(F.array(F.struct(enters.alias("i"), F.lit(1).alias("d")), F.struct(F.least(leaves, F.lit(grid)).alias("i"), F.lit(-1).alias("d"))))
     deltas = data.join(widths, "group").select("group", marks.alias("m")).groupBy("group", F.col("m.i").alias("i")).agg(F.sum("m.d").alias("d"))
-    points = widths.select("group", "_n", "_h", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).cast("bigint").alias("i"))
+    points = widths.select("group", "_n", "_h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(grid - 1).cast("bigint"))).alias("i"))
     inside = F.sum(F.coalesce("d", F.lit(0))).over(W.partitionBy("group").orderBy("i"))  # ``grid`` rows per group
     return (points.join(deltas, ["group", "i"], "left").withColumn("_in", inside)
             .select("group", (F.lit(low) + F.col("i") * step).alias("x"), (F.col("_in") / (F.col("_n") * 2 * F.col("_h"))).alias("density")))
