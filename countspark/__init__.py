@@ -1,0 +1,8 @@
+"""countspark: count-matrix analytics (features × samples) as DataFrame-to-DataFrame functions on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job, so executors need only numpy, pandas and pyarrow.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

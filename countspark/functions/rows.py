@@ -32,12 +32,16 @@ def sample_index(samples: DataFrame, names: list) -> DataFrame:
     return small(spark.createDataFrame([(s, i) for i, s in enumerate(names)], schema))
 
 
-def feature_rows(cells: DataFrame, value: str, samples: DataFrame, names: list, *, written: bool = True) -> DataFrame:
-    """``(feature, idx array<int>, x array<double>)``. One shuffle by feature; cells of unknown samples are left out."""
-    pairs = F.sort_array(F.collect_list(F.struct("idx", F.col(value).cast("double").alias("v"))))
-    rows = (cells.select("feature", "sample", value).join(sample_index(samples, names), "sample")
+def feature_rows(cells: DataFrame, value: str, samples: DataFrame, names: list, *, written: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
+    """``(feature, idx array<int>, x array<double>)``. One shuffle by feature; cells of unknown samples are left out.
+
+    ``more`` names further value columns that become arrays of their own, aligned with ``idx``.
+    """
+    parts = [F.col(value).cast("double").alias("v"), *[F.col(c).cast("double").alias(f"m_{c}") for c in more]]
+    pairs = F.sort_array(F.collect_list(F.struct("idx", *parts)))
+    rows = (cells.select("feature", "sample", value, *more).join(sample_index(samples, names), "sample")
             .groupBy("feature").agg(pairs.alias("c"))
-            .select("feature", F.col("c.idx").alias("idx"), F.col("c.v").alias("x")))
+            .select("feature", F.col("c.idx").alias("idx"), F.col("c.v").alias("x"), *[F.col(f"c.m_{c}").alias(c) for c in more]))
     return keep(rows) if written else rows
 
 

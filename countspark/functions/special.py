@@ -6,13 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
-
-_erfc = np.frompyfunc(math.erfc, 1, 1)
+from pyspark.sql import functions as F, types as T
 
 
 def erfc(x) -> np.ndarray:
-    return _erfc(np.asarray(x, dtype=float)).astype(float)
+    return np.asarray(np.frompyfunc(math.erfc, 1, 1)(np.asarray(x, dtype=float)), dtype=float)
 
 
 def lgamma(x) -> np.ndarray:
@@ -113,13 +111,13 @@ def f_tail(f, d1: float, d2: float) -> np.ndarray:
     return betainc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """Two-sided normal tail of a z statistic; NULL stays NULL."""
     return pd.Series(np.where(z.isna(), np.nan, erfc(np.abs(z.fillna(0).to_numpy()) / math.sqrt(2))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided t tail; NULL stays NULL."""
     return pd.Series(np.where(t.isna(), np.nan, t_two_sided(t.fillna(0).to_numpy(), df.to_numpy())))

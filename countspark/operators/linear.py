@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from countspark.functions.rows import feature_rows, map_blocks, sample_index
+from countspark.functions.scans import scan
+from countspark.functions.special import digamma, t_quantile, t_tail, trigamma, trigamma_inverse
+from countspark.operators.normalize import effective_library
 from countspark.session import collect_small, keep
 
 
@@ -59,3 +64,183 @@ def make_contrasts(design: DataFrame, spec: dict[str, str] | None = None, *, pre
                 raise ValueError(f"contrast {name!r} uses unknown coefficient {coef!r}")
             rows.append((name, full, (-1.0 if sign == "-" else 1.0) * float(factor or 1)))
     return design.sparkSession.createDataFrame(rows, "contrast string, coef string, weight double")
+
+
+@dataclass(frozen=True)
+class Design:
+    """A design as arrays: samples in row order, coefficient names, and the matrix itself (samples × coefficients)."""
+
+    samples: list
+    coefs: list
+    matrix: np.ndarray
+
+    @property
+    def df(self) -> int:
+        return self.matrix.shape[0] - self.matrix.shape[1]
+
+
+def design_arrays(design: DataFrame) -> Design:
+    """Collect the design table; it has one row per sample and coefficient."""
+    cells = [(r["sample"], r["coef"], r["value"]) for r in collect_small(design)]
+    samples, coefs = sorted({c[0] for c in cells}), sorted({c[1] for c in cells}, key=lambda c: (c != "Intercept", c))
+    at, col = {s: i for i, s in enumerate(samples)}, {c: i for i, c in enumerate(coefs)}
+    matrix = np.zeros((len(samples), len(coefs)))
+    for s, c, v in cells:
+        matrix[at[s], col[c]] = v
+    return Design(samples, coefs, matrix)
+
+
+def contrast_weights(contrasts: DataFrame, coefs: list) -> dict[str, np.ndarray]:
+    """``contrast -> weights`` in coefficient order."""
+    out: dict[str, np.ndarray] = {}
+    for r in collect_small(contrasts.orderBy("contrast", "coef")):
+        if r["coef"] not in coefs:
+            raise ValueError(f"contrast {r['contrast']!r} uses unknown coefficient {r['coef']!r}")
+        out.setdefault(r["contrast"], np.zeros(len(coefs)))[coefs.index(r["coef"])] += r["weight"]
+    return out
+
+
+def estimate(weights: np.ndarray, coef: str = "coef") -> Column:
+    """c'β from the coefficient array; only non-zero weights enter."""
+    return sum((F.lit(float(w)) * F.col(coef)[i] for i, w in enumerate(weights) if w), F.lit(0.0))
+
+
+def unscaled_variance(weights: np.ndarray, cov: str = "cov") -> Column:
+    """c'Σc from the flattened covariance array."""
+    p = len(weights)
+    used = [i for i, w in enumerate(weights) if w]
+    return sum((F.lit(float(weights[i] * weights[j])) * F.col(cov)[i * p + j] for i in used for j in used), F.lit(0.0))
+
+
+def per_contrast(table: DataFrame, weights: dict[str, np.ndarray], *keep_cols: str) -> DataFrame:
+    """One row per feature and contrast with estimate ``est`` and unscaled variance ``var``."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("contrast"), estimate(w).alias("est"), unscaled_variance(w).alias("var"))
+                               for k, w in weights.items()]))
+    return table.select("feature", *keep_cols, each.alias("c")).select("feature", "c.contrast", *keep_cols, "c.est", "c.var")
+
+
+def least_squares(y: np.ndarray, x: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients, unscaled covariances (flattened) and residual variances of a block of features."""
+    n, p = x.shape
+    if w is None:
+        cov = np.linalg.inv(x.T @ x)
+        coef = y @ x @ cov
+        rss = ((y - coef @ x.T) ** 2).sum(axis=1)
+        return coef, np.broadcast_to(cov.reshape(1, -1), (len(y), p * p)), rss / (n - p)
+    outer = (x[:, :, None] * x[:, None, :]).reshape(n, p * p)
+    cov = np.linalg.inv((w @ outer).reshape(-1, p, p))
+    coef = np.einsum("bpq,bq->bp", cov, (w * y) @ x)
+    rss = (w * (y - coef @ x.T) ** 2).sum(axis=1)
+    return coef, cov.reshape(len(y), p * p), rss / (n - p)
+
+
+@dataclass(frozen=True)
+class LinearFit:
+    """``table(feature, coef, cov, sigma2, mean)`` of one linear model per feature, and its design."""
+
+    table: DataFrame
+    design: Design
+    rows: DataFrame
+
+
+def lm_fit(norm: DataFrame, value: str, design: DataFrame, *, weights: str | None = None) -> LinearFit:
+    """Least squares per feature over dense values; ``weights`` names a column of observation weights."""
+    d = design_arrays(design)
+    rows = feature_rows(norm, value, design, d.samples, more=(weights,) if weights else ())
+    return LinearFit(_lm_table(rows, d, weights), d, rows)
+
+
+def _lm_table(rows: DataFrame, d: Design, weights: str | None) -> DataFrame:
+    x = d.matrix
+
+    def fit(block, extra):
+        coef, cov, s2 = least_squares(block, x, extra[weights] if weights else None)
+        return {"coef": coef, "cov": cov, "sigma2": s2, "mean": block.mean(axis=1)}
+
+    return keep(map_blocks(rows, len(d.samples), fit, "coef array<double>, cov array<double>, sigma2 double, mean double",
+                           extra=(weights,) if weights else ()))
+
+
+def variance_prior(table: DataFrame, df: int) -> tuple[float, float]:
+    """Prior degrees of freedom and scale of the residual variances, from two aggregates of their logarithms."""
+    mean, var, n = table.where("sigma2 > 0").agg(F.avg(F.ln("sigma2")), F.var_samp(F.ln("sigma2")), F.count(F.lit(1))).first()
+    e_mean = mean - digamma(df / 2) + np.log(df / 2)
+    excess = (var or 0.0) - trigamma(df / 2)
+    if excess <= 0:
+        return float("inf"), float(np.exp(e_mean))
+    d0 = 2 * trigamma_inverse(excess)
+    return d0, float(np.exp(e_mean + digamma(d0 / 2) - np.log(d0 / 2)))
+
+
+def ebayes_moderate(fit: LinearFit, contrasts: DataFrame, *, confidence: float = 0.95) -> DataFrame:
+    """Moderated t per feature and contrast: estimate, confidence limits, statistic and p-value."""
+    df = fit.design.df
+    d0, s02 = variance_prior(fit.table, df)
+    n_features = fit.table.count()
+    post = F.lit(s02) if np.isinf(d0) else (F.lit(d0 * s02) + df * F.col("sigma2")) / (d0 + df)
+    total = min(d0 + df, float(df) * n_features)
+    rows = per_contrast(fit.table, contrast_weights(contrasts, fit.design.coefs), "sigma2", "mean")
+    se = F.sqrt(post * F.col("var"))
+    half = t_quantile(1 - (1 - confidence) / 2, total) * F.col("_se")
+    tested = rows.withColumn("_se", se).withColumn("t", F.try_divide("est", "_se"))
+    return tested.select("feature", "contrast", F.col("mean").alias("avg_log2cpm"), F.col("est").alias("avg_log2fc"), "t",
+                         (F.col("est") - half).alias("ci_l"), (F.col("est") + half).alias("ci_r"), t_tail("t", F.lit(total)).alias("p_value"))
+
+
+@dataclass(frozen=True)
+class Voom:
+    """``rows(feature, e, w)``: log2 expression and precision weights of all samples in design order."""
+
+    rows: DataFrame
+    design: Design
+
+    def long(self, samples: DataFrame) -> DataFrame:
+        """``(feature, sample, e, weight)``."""
+        cells = self.rows.select("feature", F.posexplode(F.arrays_zip("e", "w")).alias("idx", "c"))
+        return cells.join(sample_index(samples, self.design.samples), "idx").select("feature", "sample", F.col("c.e").alias("e"), F.col("c.w").alias("weight"))
+
+
+def abundance_bins(points: DataFrame, by: str, cols: Sequence[str], *, bins: int) -> list:
+    """Mean of ``cols`` in equally filled bins along ``by``; ranks are exact and distributed, at most ``bins`` rows come back."""
+    ranked = scan(points.select("feature", by, *[c for c in cols if c != by]), [], [F.col(by).asc(), F.col("feature").asc()], number="_i", size="_n")
+    count = F.least(F.lit(bins), F.greatest(F.lit(1), F.floor(F.col("_n") / 10)))
+    bin_ = F.floor((F.col("_i") - 1) * count / F.col("_n")).alias("bin")
+    return collect_small(ranked.groupBy(bin_).agg(*[F.avg(c).alias(c) for c in cols]).orderBy("bin"))
+
+
+def voom_weights(counts: DataFrame, design: DataFrame, *, factors: DataFrame | None = None, bins: int = 512) -> Voom:
+    """log2 expression with precision weights from the trend of residual deviation over abundance.
+
+    The trend is the mean of √sd in up to ``bins`` equally filled abundance bins, interpolated between bins.
+    """
+    d = design_arrays(design)
+    sheet = design.select("sample").distinct()
+    lib = {r["sample"]: r["lib_size"] for r in collect_small(effective_library(counts, sheet, factors))}
+    size = np.array([float(lib[s]) for s in d.samples])
+    shift = np.log2(size + 1) - np.log2(1e6)
+    rows = feature_rows(counts, "raw_count", design, d.samples)
+    x, n = d.matrix, len(d.samples)
+    express = lambda block: np.log2(block + 0.5) - shift
+
+    def points(block, _):
+        e = express(block)
+        _, _, s2 = least_squares(e, x)
+        return {"sx": e.mean(axis=1) + shift.mean(), "sy": np.sqrt(np.sqrt(s2))}
+
+    trend = abundance_bins(map_blocks(rows, n, points, "sx double, sy double"), "sx", ["sx", "sy"], bins=bins)
+    tx, ty = np.array([r["sx"] for r in trend]), np.array([r["sy"] for r in trend])
+
+    def weigh(block, _):
+        e = express(block)
+        coef, _, _ = least_squares(e, x)
+        return {"e": e, "w": 1 / np.maximum(np.interp(coef @ x.T + shift, tx, ty), 1e-8) ** 4}
+
+    return Voom(keep(map_blocks(rows, n, weigh, "e array<double>, w array<double>")), d)
+
+
+def voom_fit(voom: Voom) -> LinearFit:
+    """Weighted linear models on voom expression; the rows are reused, nothing is shuffled again."""
+    n = len(voom.design.samples)
+    idx = F.sequence(F.lit(0), F.lit(n - 1))
+    rows = voom.rows.select("feature", idx.alias("idx"), F.col("e").alias("x"), "w")
+    return LinearFit(_lm_table(rows, voom.design, "w"), voom.design, rows)
