@@ -124,50 +124,51 @@ def _(spark, sf):
     return _result(pipelines.deseq2_analysis(experiment(spark, sf)))
 
 
-def edger_dispersion(spark, sf):
+def edger_input(spark, sf):
     counts, d, contrasts = case_control(spark, sf)
-    return counts, d, contrasts, keep(negbin.nb_dispersion_edger(counts, d))
+    return negbin.nb_input(counts, d), contrasts
 
 
 def edger_fit(spark, sf):
-    counts, d, contrasts, dispersion = edger_dispersion(spark, sf)
-    return negbin.nb_glm_fit(counts, d, dispersion), contrasts
+    data, contrasts = edger_input(spark, sf)
+    return negbin.nb_glm_fit(data, keep(negbin.nb_dispersion_edger(data))), contrasts
 
 
-def deseq_dispersion(spark, sf, trend="mean"):
-    counts, d, contrasts = case_control(spark, sf)
-    sizes = keep(nz.size_factors(counts, fx.samples(spark, sf).count()))
-    return counts, d, contrasts, sizes, keep(negbin.nb_dispersion_deseq(counts, d, sizes, fit=trend))
+def deseq_input(spark, sf):
+    sheet = fx.samples(spark, sf)
+    counts, d = fx.planted(spark, sf), linear.design_matrix(sheet, ["cond"], intercept=False)
+    data = negbin.nb_input(counts, d, size_factors=nz.size_factors(counts, sheet.count()))
+    return data, linear.make_contrasts(d, CASE, prefix="cond"), d
 
 
 def deseq_fit(spark, sf):
-    counts, d, contrasts, sizes, dispersion = deseq_dispersion(spark, sf)
-    return negbin.nb_glm_fit(counts, d, dispersion, size_factors=sizes), contrasts, d
+    data, contrasts, d = deseq_input(spark, sf)
+    return negbin.nb_glm_fit(data, keep(negbin.nb_dispersion_deseq(data))), contrasts, d
 
 
 @query("nb_dispersion_edger")
 def _(spark, sf):
-    return _r(edger_dispersion(spark, sf)[3], "avg_log2cpm", "common", "trended", "dispersion", digits=5)
+    return _r(negbin.nb_dispersion_edger(edger_input(spark, sf)[0]), "avg_log2cpm", "common", "trended", "dispersion", digits=5)
 
 
 @query("bcv_data")
 def _(spark, sf):
-    return _r(negbin.bcv_data(edger_dispersion(spark, sf)[3]), "avg_log2cpm", "bcv_common", "bcv_trended", "bcv_tagwise", digits=5)
+    return _r(negbin.bcv_data(negbin.nb_dispersion_edger(edger_input(spark, sf)[0])), "avg_log2cpm", "bcv_common", "bcv_trended", "bcv_tagwise", digits=5)
 
 
 @query("nb_dispersion_deseq")
 def _(spark, sf):
-    return _r(deseq_dispersion(spark, sf)[4], "base_mean", "disp_gene", "disp_fit", "dispersion", digits=5)
+    return _r(negbin.nb_dispersion_deseq(deseq_input(spark, sf)[0]), "base_mean", "disp_gene", "disp_fit", "dispersion", digits=5)
 
 
 @query("nb_dispersion_deseq_parametric")
 def _(spark, sf):
-    return _r(deseq_dispersion(spark, sf, "parametric")[4], "base_mean", "disp_gene", "disp_fit", "dispersion", digits=5)
+    return _r(negbin.nb_dispersion_deseq(deseq_input(spark, sf)[0], fit="parametric"), "base_mean", "disp_gene", "disp_fit", "dispersion", digits=5)
 
 
 @query("disp_plot_data")
 def _(spark, sf):
-    return _r(negbin.disp_plot_data(deseq_dispersion(spark, sf)[4]), "base_mean", "disp_gene", "disp_fit", "dispersion", digits=5)
+    return _r(negbin.disp_plot_data(negbin.nb_dispersion_deseq(deseq_input(spark, sf)[0])), "base_mean", "disp_gene", "disp_fit", "dispersion", digits=5)
 
 
 @query("nb_glm_fit")
@@ -186,7 +187,7 @@ FROM fx_planted d JOIN fx_samples s ON s.sample = d.sample JOIN fx_planted_lib l
 HAVING SUM(d.raw_count) FILTER (s.cond = 'case') > 0 AND SUM(d.raw_count) FILTER (s.cond = 'ctrl') > 0""")
 def _(spark, sf):
     counts, d, _ = case_control(spark, sf)
-    fit = negbin.nb_glm_fit(counts, d, counts.select("feature").distinct().withColumn("dispersion", F.lit(1e-9)))
+    fit = negbin.nb_glm_fit(negbin.nb_input(counts, d), counts.select("feature").distinct().withColumn("dispersion", F.lit(1e-9)))
     return fit.table.select("feature", r6(F.col("coef")[0], 3).alias("b_case"), r6(F.col("coef")[1], 3).alias("b_ctrl"))
 
 
@@ -236,16 +237,16 @@ def _(spark, sf):
 
 @query("lfc_shrink")
 def _(spark, sf):
-    counts = fx.planted(spark, sf)
-    d = design(spark, sf, intercept=True, levels={"cond": ["ctrl", "case"]})
-    sizes = keep(nz.size_factors(counts, fx.samples(spark, sf).count()))
-    dispersion = keep(negbin.nb_dispersion_deseq(counts, d, sizes))
-    return _r(negbin.lfc_shrink(negbin.nb_glm_fit(counts, d, dispersion, size_factors=sizes), "condcase"), "lfc_mle", "lfc_shrunk", "lfc_sd", digits=4)
+    counts, sheet = fx.planted(spark, sf), fx.samples(spark, sf)
+    d = linear.design_matrix(sheet, ["cond"], intercept=True, levels={"cond": ["ctrl", "case"]})
+    data = negbin.nb_input(counts, d, size_factors=nz.size_factors(counts, sheet.count()))
+    return _r(negbin.lfc_shrink(negbin.nb_glm_fit(data, keep(negbin.nb_dispersion_deseq(data))), "condcase"), "lfc_mle", "lfc_shrunk", "lfc_sd", digits=4)
 
 
 @query("exact_test")
 def _(spark, sf):
-    counts, _, _, dispersion = edger_dispersion(spark, sf)
+    counts, d, _ = case_control(spark, sf)
+    dispersion = negbin.nb_dispersion_edger(negbin.nb_input(counts, d))
     return _r(negbin.exact_test(counts, fx.samples(spark, sf), dispersion, group="cond", pair=("ctrl", "case")), "avg_log2fc", "avg_log2cpm", digits=4)
 
 

@@ -6,13 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from countspark.functions.scans import PIECE, running_extreme, scan
+from countspark.functions.scans import PIECE, running_extreme, scan_pieces
 
 
-def _ranked(df: DataFrame, p: str, by: Sequence[str], key: str) -> DataFrame:
+def _ranked(df: DataFrame, p: str, by: Sequence[str], key: str) -> tuple[DataFrame, bool]:
     order = [F.col(p).asc_nulls_last(), F.col(key).asc()]
-    return scan(df.withColumn("_tested", F.col(p).isNotNull().cast("bigint")), by, order, number="_rank",
-                totals={"_m": "_tested"}, keep_piece=True)
+    return scan_pieces(df.withColumn("_tested", F.col(p).isNotNull().cast("bigint")), by, order, number="_rank", totals={"_m": "_tested"})
 
 
 def _finish(df: DataFrame, p: str, out: str, rank: str | None = None) -> DataFrame:
@@ -29,17 +28,19 @@ def bh_adjust(df: DataFrame, p: str = "p_value", *, by: Sequence[str] = ("contra
     Adjusted values never fall along the order of p, so the rank by (p, key) is also the rank by (adjusted p, p, key);
     ``rank`` names a column to keep it in.
     """
-    ranked = _ranked(df, p, by, key).withColumn("_q", F.col(p) * F.col("_m") / F.col("_rank"))
+    ranked, single = _ranked(df, p, by, key)
+    ranked = ranked.withColumn("_q", F.col(p) * F.col("_m") / F.col("_rank"))
     backwards = [F.col(p).desc_nulls_first(), F.col(key).desc()]
-    return _finish(running_extreme(ranked, by, backwards, "_q", out, how="min", backwards=True), p, out, rank)
+    return _finish(running_extreme(ranked, by, backwards, "_q", out, how="min", backwards=True, single=single), p, out, rank)
 
 
 def holm_adjust(df: DataFrame, p: str = "p_value", *, by: Sequence[str] = ("contrast",), key: str = "set_id",
                 out: str = "adj_p") -> DataFrame:
     """Holm: the largest ``p·(n − rank + 1)`` at or below each rank, at most 1."""
-    ranked = _ranked(df, p, by, key).withColumn("_q", F.col(p) * (F.col("_m") - F.col("_rank") + 1))
+    ranked, single = _ranked(df, p, by, key)
+    ranked = ranked.withColumn("_q", F.col(p) * (F.col("_m") - F.col("_rank") + 1))
     forwards = [F.col(p).asc_nulls_last(), F.col(key).asc()]
-    return _finish(running_extreme(ranked, by, forwards, "_q", out, how="max", backwards=False), p, out)
+    return _finish(running_extreme(ranked, by, forwards, "_q", out, how="max", backwards=False, single=single), p, out)
 
 
 def holm_filter(df: DataFrame, p: str = "p_value", *, by: Sequence[str] = ("contrast",), key: str = "set_id",

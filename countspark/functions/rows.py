@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from countspark.session import collect_small, keep, small
+from countspark.session import collect_small, keep, small_local
 
-#: Doubles per dense block (64 MB).
-BLOCK_CELLS = 8_000_000
+#: Doubles per dense block (8 MB): large enough for vectorised numpy, small enough for its temporaries.
+BLOCK_CELLS = 1_000_000
 
 
 def sample_names(samples: DataFrame) -> list:
@@ -29,7 +29,7 @@ def sample_index(samples: DataFrame, names: list) -> DataFrame:
     spark = samples.sparkSession
     kind = samples.schema["sample"].dataType
     schema = T.StructType([T.StructField("sample", kind, False), T.StructField("idx", T.IntegerType(), False)])
-    return small(spark.createDataFrame([(s, i) for i, s in enumerate(names)], schema))
+    return small_local(spark.createDataFrame([(s, i) for i, s in enumerate(names)], schema), len(names))
 
 
 def feature_rows(cells: DataFrame, value: str, samples: DataFrame, names: list, *, written: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
@@ -108,21 +108,13 @@ def map_blocks(rows: DataFrame, n: int, fn: Callable[[np.ndarray, dict], dict],
     return rows.select("feature", "idx", "x", *extra).mapInArrow(run, schema)
 
 
-def fold_blocks(rows: DataFrame, n: int, fn: Callable[[np.ndarray, dict, dict | None], dict], finish: Callable[[dict], pa.RecordBatch],
-                schema: str, *, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Fold all dense blocks of a partition into one state and emit ``finish(state)`` once per partition."""
+def fold_partitions(rows: DataFrame, n: int) -> DataFrame:
+    """Feature rows in few enough partitions that the n × n result a task sends is small next to the rows it reads.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None
-        for batch in batches:
-            for lo, hi, block in _dense_blocks(batch, n):
-                given = {name: batch.column(name).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for name in extra}
-                given["feature"] = batch.column("feature").slice(lo, hi - lo)
-                state = fn(block, given, state)
-        if state is not None:
-            yield from finish(state)
-
-    return rows.select("feature", "idx", "x", *extra).mapInArrow(run, schema)
+    Written rows are only coalesced, never shuffled; the number of rows comes from the file footers.
+    """
+    tasks = max(1, rows.count() // max(256, n // 2))
+    return rows.coalesce(tasks) if tasks < rows.rdd.getNumPartitions() else rows
 
 
 def explode_dense(rows: DataFrame, samples: DataFrame, names: list, out: str) -> DataFrame:

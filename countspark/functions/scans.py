@@ -11,15 +11,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from countspark.session import keep, small
+from countspark.session import keep_measured, small
 
 PIECE = "_piece"
 
 
-def spread(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Rows in range partitions of (by, order), written once, with the partition number as ``_piece``."""
+def spread(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> tuple[DataFrame, bool]:
+    """Rows in range partitions of (by, order), written once, with the partition number as ``_piece``.
+
+    The flag says whether all rows fitted into one partition (adaptive execution merges small ones); then plain windows do.
+    """
     keys = [F.col(c) for c in by]
-    return keep(df.repartitionByRange(*keys, *order).withColumn(PIECE, F.spark_partition_id()))
+    ranged = df.repartitionByRange(*keys, *order).withColumn(PIECE, F.spark_partition_id())
+    rows, seen = keep_measured(ranged, low=F.min(PIECE), high=F.max(PIECE))
+    return rows, seen["low"] == seen["high"]
 
 
 def _join(df: DataFrame, carry: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
@@ -31,20 +36,34 @@ def _join(df: DataFrame, carry: DataFrame, by: Sequence[str], how: str = "inner"
 
 
 def scan(df: DataFrame, by: Sequence[str], order: Sequence[Column], *, number: str | None = None,
-         sums: dict[str, str] | None = None, totals: dict[str, str] | None = None, size: str | None = None,
-         spread_already: bool = False, keep_piece: bool = False) -> DataFrame:
+         sums: dict[str, str] | None = None, totals: dict[str, str] | None = None, size: str | None = None) -> DataFrame:
     """Add a row number, inclusive running sums, group totals and the group size.
 
     ``order`` must end in a unique key. ``sums`` and ``totals`` map new column names to existing numeric columns.
     """
+    return scan_pieces(df, by, order, number=number, sums=sums, totals=totals, size=size)[0].drop(PIECE)
+
+
+def scan_pieces(df: DataFrame, by: Sequence[str], order: Sequence[Column], *, number: str | None = None,
+                sums: dict[str, str] | None = None, totals: dict[str, str] | None = None, size: str | None = None) -> tuple[DataFrame, bool]:
+    """``scan`` that leaves ``_piece`` in the rows and says whether there is only one piece."""
     sums, totals = sums or {}, totals or {}
-    rows = df if spread_already else spread(df, by, order)
+    rows, single = spread(df, by, order)
+    whole = W.partitionBy(*by)
+    if single:
+        upto = whole.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        cols = {name: F.sum(src).over(upto) for name, src in sums.items()}
+        cols |= {name: F.sum(src).over(whole) for name, src in totals.items()}
+        if number:
+            cols[number] = F.row_number().over(whole.orderBy(*order)).cast("bigint")
+        if size:
+            cols[size] = F.count(F.lit(1)).over(whole)
+        return rows.withColumns(cols), True
     measures = [F.count(F.lit(1)).alias("_n")]
     measures += [F.sum(src).alias(f"_s_{out}") for out, src in sums.items()]
     measures += [F.sum(src).alias(f"_t_{out}") for out, src in totals.items()]
     pieces = rows.groupBy(*by, PIECE).agg(*measures)
-    before = W.partitionBy(*by).orderBy(PIECE).rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*by)
+    before = whole.orderBy(PIECE).rowsBetween(W.unboundedPreceding, -1)
     carry = pieces.select(
         *by, PIECE,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
@@ -53,27 +72,25 @@ def scan(df: DataFrame, by: Sequence[str], order: Sequence[Column], *, number: s
         *[F.sum(f"_t_{out}").over(whole).alias(f"_w_{out}") for out in totals])
     local = W.partitionBy(*by, PIECE).orderBy(*order)
     upto = local.rowsBetween(W.unboundedPreceding, 0)
-    joined = _join(rows, small(carry), by)
-    out = joined
+    cols = {name: F.sum(src).over(upto) + F.col(f"_b_{name}") for name, src in sums.items()}
+    cols |= {name: F.col(f"_w_{name}") for name in totals}
     if number:
-        out = out.withColumn(number, F.row_number().over(local) + F.col("_before"))
-    for name, src in sums.items():
-        out = out.withColumn(name, F.sum(src).over(upto) + F.col(f"_b_{name}"))
-    for name in totals:
-        out = out.withColumn(name, F.col(f"_w_{name}"))
+        cols[number] = F.row_number().over(local) + F.col("_before")
     if size:
-        out = out.withColumn(size, F.col("_size"))
+        cols[size] = F.col("_size")
     helpers = ["_before", "_size", *[f"_b_{o}" for o in sums], *[f"_w_{o}" for o in totals]]
-    return out.drop(*helpers, *([] if keep_piece else [PIECE]))
+    return _join(rows, small(carry), by).withColumns(cols).drop(*helpers), False
 
 
 def running_extreme(rows: DataFrame, by: Sequence[str], order: Sequence[Column], col: str, out: str, *,
-                    how: str, backwards: bool) -> DataFrame:
+                    how: str, backwards: bool, single: bool) -> DataFrame:
     """Running ``min`` or ``max`` of ``col`` over rows that carry ``_piece``; ``backwards`` runs from the last row to the first.
 
     ``order`` is the order in the direction of the run.
     """
     agg = F.min if how == "min" else F.max
+    if single:
+        return rows.withColumn(out, agg(col).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
     best = F.least if how == "min" else F.greatest
     step = F.col(PIECE).desc() if backwards else F.col(PIECE).asc()
     before = W.partitionBy(*by).orderBy(step).rowsBetween(W.unboundedPreceding, -1)
@@ -105,17 +122,23 @@ def rank_table(df: DataFrame, by: Sequence[str], value: str, out: str, *, extra:
     return ranked.select(*by, value, (F.col("_upto") - (F.col("_times") - 1) / 2).alias(out), "_times")
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], *, weight: str | None = None) -> DataFrame:
-    """Exact quantiles (linear interpolation between order statistics) per group: one column per entry of ``probs``."""
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float | Column], *, weight: str | None = None,
+              at: DataFrame | None = None) -> DataFrame:
+    """Exact quantiles (linear interpolation between order statistics) per group: one column per entry of ``probs``.
+
+    A probability may be a column of ``at``, a small table with one row per group.
+    """
     ranked = scan(value_counts(df, by, value, weight).where("_times > 0"), by, [F.col(value).asc()],
                   sums={"_upto": "_times"}, totals={"_all": "_times"})
-    lows, aggs = [], []
-    for name, p in probs.items():
-        at = (F.col("_all") - 1) * F.lit(float(p))
-        for suffix, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            hit = (F.col("_upto") - F.col("_times") <= pos) & (pos < F.col("_upto"))
-            aggs.append(F.max(F.when(hit, F.col(value).cast("double"))).alias(f"_{suffix}_{name}"))
-        lows.append((F.col(f"_lo_{name}")
-                     + ((F.col("_n") - 1) * F.lit(float(p)) - F.floor((F.col("_n") - 1) * F.lit(float(p))))
-                     * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))).alias(name))
-    return ranked.groupBy(*by).agg(F.max("_all").alias("_n"), *aggs).select(*by, *lows)
+    if at is not None:
+        ranked = ranked.join(small(at), list(by))
+    places = F.array(*[((F.col("_all") - 1) * (p if isinstance(p, Column) else F.lit(float(p)))) for p in probs.values()])
+    holds = lambda index: (F.col("_upto") - F.col("_times") <= index) & (index < F.col("_upto"))
+    wanted = F.transform(places, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    hits = F.filter(wanted, lambda s: holds(F.floor(s["x"])) | holds(F.ceil(s["x"])))
+    found = ranked.select(*by, F.col(value).cast("double").alias("_v"), "_upto", "_times", F.explode(hits).alias("s"))
+    ends = found.groupBy(*by, F.col("s.i").alias("_i")).agg(
+        F.max(F.when(holds(F.floor("s.x")), F.col("_v"))).alias("_lo"), F.max(F.when(holds(F.ceil("s.x")), F.col("_v"))).alias("_hi"),
+        F.max("s.x").alias("_x"))
+    level = F.col("_lo") + (F.col("_x") - F.floor("_x")) * (F.col("_hi") - F.col("_lo"))
+    return ends.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, level)).alias(name) for i, name in enumerate(probs)])

@@ -74,8 +74,8 @@ def rlog(counts: DataFrame, samples: DataFrame) -> DataFrame:
     names = sample_names(samples)
     factors = keep(estimate_size_factors(counts, len(names)))
     design = keep(samples.select("sample", F.lit("Intercept").alias("coef"), F.lit(1.0).alias("value")))
-    dispersion = nb_dispersion_deseq(counts, design, factors, fit="mean")
     data = nb_input(counts, design, size_factors=factors)
+    dispersion = nb_dispersion_deseq(data, fit="mean")
     rows = keep(data.rows.join(dispersion.select("feature", "disp_fit"), "feature"))
     offset, n = data.offset, len(names)
     sigma = _deviation_scale(rows, n, np.exp(offset))

@@ -29,21 +29,22 @@ def design_matrix(samples: DataFrame, terms: Sequence[str], *, intercept: bool,
     Without intercept the first term has one column per level (cell means); all other terms, and all terms with an intercept,
     leave out their first level. Coefficients are named ``<term><level>``. Raises when the columns are not independent.
     """
-    sheet = keep(samples.select("sample", *[F.col(t).cast("double" if t in numeric else "string").alias(t) for t in terms]))
-    coefs: list[tuple[str, object]] = [("Intercept", F.lit(1.0))] if intercept else []
+    sheet = collect_small(samples.select("sample", *[F.col(t).cast("double" if t in numeric else "string").alias(t) for t in terms]))
+    columns = {"Intercept": [1.0] * len(sheet)} if intercept else {}
     for i, term in enumerate(terms):
+        values = [r[term] for r in sheet]
         if term in numeric:
-            coefs.append((make_name(term), F.col(term)))
+            columns[make_name(term)] = values
             continue
-        known = (levels or {}).get(term) or [r[0] for r in collect_small(sheet.select(term).distinct().orderBy(term))]
+        known = list((levels or {}).get(term) or sorted(set(values)))
         for level in known if (i == 0 and not intercept) else known[1:]:
-            coefs.append((make_name(f"{term}{level}"), (F.col(term) == level).cast("double")))
-    wide = sheet.select("sample", *[c.alias(n) for n, c in coefs])
-    names = [n for n, _ in coefs]
-    matrix = np.array([r[1:] for r in collect_small(wide)], dtype=float)
-    if np.linalg.matrix_rank(matrix) < len(names):
-        raise ValueError(f"design columns are not independent: {names}")
-    return keep(wide.unpivot(["sample"], names, "coef", "value"))
+            columns[make_name(f"{term}{level}")] = [float(v == level) for v in values]
+    matrix = np.array(list(columns.values())).T
+    if np.linalg.matrix_rank(matrix) < len(columns):
+        raise ValueError(f"design columns are not independent: {list(columns)}")
+    kind = samples.schema["sample"].dataType.simpleString()
+    rows = [(r["sample"], name, float(column[i])) for i, r in enumerate(sheet) for name, column in columns.items()]
+    return samples.sparkSession.createDataFrame(rows, f"sample {kind}, coef string, value double")
 
 
 def make_contrasts(design: DataFrame, spec: dict[str, str] | None = None, *, prefix: str = "") -> DataFrame:

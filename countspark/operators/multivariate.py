@@ -14,7 +14,7 @@ from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from countspark.functions.rows import _dense_blocks, feature_rows, map_blocks, sample_names
+from countspark.functions.rows import _dense_blocks, feature_rows, fold_partitions, map_blocks, sample_names
 from countspark.operators.detable import top_variable_features
 from countspark.operators.normalize import row_moments
 from countspark.session import collect_small, small
@@ -43,7 +43,7 @@ def _fold_matrix(rows: DataFrame, n: int, width: int, fn) -> np.ndarray:
         offsets = pa.array(np.arange(n + 1, dtype=np.int32) * width)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.ListArray.from_arrays(offsets, pa.array(total.reshape(-1)))], ["i", "v"])
 
-    parts = rows.select("idx", "x").mapInArrow(run, "i int, v array<double>")
+    parts = fold_partitions(rows.select("idx", "x"), n).mapInArrow(run, "i int, v array<double>")
     cells = parts.select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
     lines = cells.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("r")).select("i", F.col("r.v").alias("v"))
     out = np.zeros((n, width))

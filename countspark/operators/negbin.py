@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from countspark.functions.rows import feature_rows, map_blocks
 from countspark.functions.scans import quantiles, scan
-from countspark.functions.special import erfc, f_quantile, lgamma, normal_two_sided, trigamma
-from countspark.operators.linear import Design, contrast_weights, design_arrays, make_contrasts, per_contrast
+from countspark.functions.special import betainc, erfc, f_quantile, lgamma, normal_two_sided, trigamma
+from countspark.operators.linear import Design, abundance_bins, contrast_weights, design_arrays, make_contrasts, per_contrast
 from countspark.operators.normalize import effective_library, row_moments
 from countspark.session import collect_small, keep, small
 
@@ -161,9 +161,8 @@ def _binned_profiles(profiles: DataFrame, bins: int) -> tuple[np.ndarray, np.nda
     return x, sum(padded[i:i + len(y)] for i in range(5)) / 5
 
 
-def nb_dispersion_edger(counts: DataFrame, design: DataFrame, *, factors: DataFrame | None = None, prior_df: float = 10, bins: int = 512) -> DataFrame:
+def nb_dispersion_edger(data: NbInput, *, prior_df: float = 10, bins: int = 512) -> DataFrame:
     """``(feature, avg_log2cpm, common, trended, dispersion)``; the last is the feature's own, pulled towards its neighbours."""
-    data = nb_input(counts, design, factors=factors)
     profiles = profile_table(data)
     total = profiles.agg(*[F.sum(F.col("apl")[i]) for i in range(len(GRID))]).first()
     common = float(grid_peak(np.array([total], dtype=float), GRID)[0])
@@ -179,7 +178,7 @@ def nb_dispersion_edger(counts: DataFrame, design: DataFrame, *, factors: DataFr
             yield pd.DataFrame({"feature": pdf["feature"], "avg_log2cpm": at, "common": common,
                                 "trended": np.exp(np.interp(at, bx, np.log(trend))), "dispersion": grid_peak(own + weight * shared, GRID)})
 
-    kind = counts.schema["feature"].dataType.simpleString()
+    kind = data.rows.schema["feature"].dataType.simpleString()
     return profiles.select("feature", "avg_log2cpm", "apl").mapInPandas(run, f"feature {kind}, avg_log2cpm double, common double, trended double, dispersion double")
 
 
@@ -205,14 +204,14 @@ def _parametric_trend(points: np.ndarray) -> tuple[float, float]:
     return float(fit[0]), float(fit[1])
 
 
-def nb_dispersion_deseq(counts: DataFrame, design: DataFrame, size_factors: DataFrame, *, fit: str = "mean", bins: int = 512) -> DataFrame:
+def nb_dispersion_deseq(data: NbInput, *, fit: str = "mean", bins: int = 512) -> DataFrame:
     """``(feature, base_mean, disp_gene, disp_fit, dispersion, outlier)``: own estimate, trend, and shrunken value.
 
-    ``fit='mean'`` uses a trimmed mean of the own estimates as a flat trend, ``'parametric'`` a0 + a1/mean.
+    ``fit='mean'`` uses a trimmed mean of the own estimates as a flat trend, ``'parametric'`` a0 + a1/mean. Needs an input
+    with size factors.
     """
-    data = nb_input(counts, design, size_factors=size_factors)
     profiles = profile_table(data)
-    kind = counts.schema["feature"].dataType.simpleString()
+    kind = data.rows.schema["feature"].dataType.simpleString()
 
     def own(batches):
         for pdf in batches:
@@ -222,18 +221,19 @@ def nb_dispersion_deseq(counts: DataFrame, design: DataFrame, size_factors: Data
     genes = keep(profiles.select("feature", "base_mean", "apl").mapInPandas(own, f"feature {kind}, base_mean double, apl array<double>, disp_gene double"))
     usable = genes.where(F.col("disp_gene") > 10 * GRID[0])
     if fit == "mean":
-        lo, hi = quantiles(usable, [], "disp_gene", {"lo": 0.001, "hi": 0.999}).first()
+        lo, centre, hi = quantiles(usable, [], "disp_gene", {"lo": 0.001, "mid": 0.5, "hi": 0.999}).first()
         a0, a1 = usable.where(F.col("disp_gene").between(lo, hi)).agg(F.avg("disp_gene")).first()[0], 0.0
+        centre = math.log(centre / a0)
     elif fit == "parametric":
-        from countspark.operators.linear import abundance_bins
-
         got = abundance_bins(usable, "base_mean", ["base_mean", "disp_gene"], bins=bins)
         a0, a1 = _parametric_trend(np.array([[r["base_mean"], r["disp_gene"]] for r in got]))
+        centre = None
     else:
         raise ValueError(f"unknown trend {fit!r}")
     trend = F.lit(float(a0)) + F.lit(float(a1)) / F.col("base_mean")
     residual = usable.select((F.ln("disp_gene") - F.ln(trend)).alias("r"))
-    centre = quantiles(residual, [], "r", {"m": 0.5}).first()[0]
+    if centre is None:
+        centre = quantiles(residual, [], "r", {"m": 0.5}).first()[0]
     mad = quantiles(residual.select(F.abs(F.col("r") - centre).alias("d")), [], "d", {"m": 0.5}).first()[0] * 1.4826
     prior = max(mad ** 2 - trigamma(data.design.df / 2), 0.25)
 
@@ -296,13 +296,11 @@ def replicate_cells(x: np.ndarray, least: int = 3) -> list[np.ndarray]:
     return [np.flatnonzero(cell == c) for c in range(cell.max() + 1) if (cell == c).sum() >= least]
 
 
-def nb_glm_fit(counts: DataFrame, design: DataFrame, dispersion: DataFrame, *, factors: DataFrame | None = None,
-               size_factors: DataFrame | None = None) -> NbFit:
+def nb_glm_fit(data: NbInput, dispersion: DataFrame) -> NbFit:
     """One log-linear model per feature with its dispersion; natural-log coefficients in design order.
 
-    Features whose maximum count has no influence measure (no replicated cell) get a NULL ``max_cooks``.
+    ``max_cooks`` is NULL in designs without a replicated cell.
     """
-    data = nb_input(counts, design, factors=factors, size_factors=size_factors)
     rows = keep(data.rows.join(dispersion.select("feature", "dispersion"), "feature"))
     x, offset = data.design.matrix, data.offset
     n, p = x.shape
@@ -422,17 +420,10 @@ def rejections_by_cut(de: DataFrame, mean: str, *, alpha: float, cuts: int) -> t
     """
     lowest = de.where(F.col("p_value").isNotNull())
     zero = de.groupBy("contrast").agg(F.avg((F.col(mean) == 0).cast("double")).alias("z"))
-    low = {r["contrast"]: r["z"] for r in collect_small(zero)}
-    tables = []
-    for contrast, z in sorted(low.items()):
-        theta = np.linspace(z, 0.95 if z < 0.95 else 1.0, cuts)
-        probs = {f"q{i}": float(t) for i, t in enumerate(theta)}
-        part = quantiles(de.where(F.col("contrast") == contrast), ["contrast"], mean, probs)
-        tables.append(part.select("contrast", F.array(*probs).alias("cuts")))
-    cut_table = tables[0]
-    for t in tables[1:]:
-        cut_table = cut_table.unionByName(t)
-    cut_table = keep(cut_table)
+    top = F.when(F.col("z") < 0.95, F.lit(0.95)).otherwise(F.lit(1.0))
+    theta = zero.select("contrast", F.array(*[F.col("z") + (top - F.col("z")) * i / (cuts - 1) for i in range(cuts)]).alias("_theta"))
+    probs = {f"q{i}": F.col("_theta")[i] for i in range(cuts)}
+    cut_table = keep(quantiles(de, ["contrast"], mean, probs, at=theta).select("contrast", F.array(*probs).alias("cuts")))
     tested = lowest.join(small(cut_table), "contrast").withColumn("_passed", F.size(F.filter("cuts", lambda c: c <= F.col(mean))))
     tested = keep(tested.select("contrast", "feature", "p_value", "_passed").where("_passed > 0"))
     passed = tested.groupBy("contrast", "_passed").agg(F.count(F.lit(1)).alias("n"))
@@ -498,24 +489,24 @@ def lfc_shrink(fit: NbFit, coef: str) -> DataFrame:
 
 # --- exact test -------------------------------------------------------------------------------------------------------
 
-def _split_tail(s1: float, total: float, n1: int, n2: int, alpha: float) -> float:
+#: Group totals above this are tested with the beta distribution that the share of the first group approaches.
+LARGE_TOTAL = 100_000
+
+
+def split_tail(s1: int, total: int, n1: int, n2: int, alpha: float) -> float:
     """Twice the smaller tail of the first group's sum given the total, both sums negative binomial with equal means."""
-    total, s1 = int(round(total)), int(round(s1))
     if total == 0:
         return 1.0
+    if total > LARGE_TOTAL:
+        mu = total / (n1 + n2)
+        a, b = n1 * mu / (1 + alpha * mu), n2 * mu / (1 + alpha * mu)
+        below, above = betainc(a, b, [min((s1 + 0.5) / total, 1.0), max((s1 - 0.5) / total, 0.0)])
+        return float(min(1.0, 2 * min(below, 1 - above)))
     r1, r2 = n1 / alpha, n2 / alpha
-    step = 1_000_000
-    mode = int(total * n1 / (n1 + n2))
-    k0 = np.array([mode], dtype=float)
-    peak = float((lgamma(k0 + r1) - lgamma(k0 + 1) + lgamma(total - k0 + r2) - lgamma(total - k0 + 1))[0])
-    below = above = both = 0.0
-    for lo in range(0, total + 1, step):
-        k = np.arange(lo, min(lo + step, total + 1), dtype=float)
-        w = np.exp(lgamma(k + r1) - lgamma(k + 1) + lgamma(total - k + r2) - lgamma(total - k + 1) - peak)
-        both += w.sum()
-        below += w[k <= s1].sum()
-        above += w[k >= s1].sum()
-    return min(1.0, 2 * min(below, above) / both)
+    k = np.arange(total + 1, dtype=float)
+    log_w = lgamma(k + r1) - lgamma(k + 1) + lgamma(total - k + r2) - lgamma(total - k + 1)
+    w = np.exp(log_w - log_w.max())
+    return float(min(1.0, 2 * min(w[:s1 + 1].sum(), w[s1:].sum()) / w.sum()))
 
 
 def exact_test(counts: DataFrame, samples: DataFrame, dispersion: DataFrame, *, group: str, pair: tuple, factors: DataFrame | None = None,
@@ -536,7 +527,7 @@ def exact_test(counts: DataFrame, samples: DataFrame, dispersion: DataFrame, *,
     def run(y, extra):
         scaled = y * common / size
         s1, s2 = scaled[:, first].sum(axis=1), scaled[:, ~first].sum(axis=1)
-        p = np.array([_split_tail(a, round(a) + round(b), n1, n2, d) for a, b, d in zip(s1, s2, extra["dispersion"])])
+        p = np.array([split_tail(round(a), round(a) + round(b), n1, n2, d) for a, b, d in zip(s1, s2, extra["dispersion"])])
         rate1 = (s1 / n1 + prior) / common
         rate2 = (s2 / n2 + prior) / common
         return {"avg_log2fc": np.log2(rate2 / rate1), "avg_log2cpm": _average_log2cpm(y, np.log(size)), "p_value": p}

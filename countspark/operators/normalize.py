@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from countspark.functions.rows import explode_dense, feature_rows, map_blocks, sample_names
-from countspark.functions.scans import average_ranks, quantiles, rank_table, scan, spread, value_counts
-from countspark.session import collect_small, keep, small
+from countspark.functions.rows import explode_dense, feature_rows, sample_names
+from countspark.functions.scans import average_ranks, quantiles, rank_table, scan, value_counts
+from countspark.session import keep, small
 
 
 def library_size(counts: DataFrame, *, value: str = "raw_count") -> DataFrame:
@@ -220,35 +220,35 @@ def quantile_norm(counts: DataFrame, samples: DataFrame, *, value: str = "raw_co
     some sample's value changes, so it is built from those change points instead of from all cells.
     """
     names = sample_names(samples)
-    rows = feature_rows(counts, value, samples, names)
-    n = rows.count()
+    n = counts.select("feature").distinct().count()
     present = samples.select("sample").distinct().join(counts.groupBy("sample").agg(F.count(F.lit(1)).alias("_k")), "sample", "left")
-    zero = F.lit(0).cast(counts.schema[value].dataType).alias(value)
-    zeros = small(present.select("sample", zero, (F.lit(n) - F.coalesce("_k", F.lit(0))).alias("_times")))
+    kind = counts.schema[value].dataType
+    zeros = small(present.select("sample", F.lit(0).cast(kind).alias(value), (F.lit(n) - F.coalesce("_k", F.lit(0))).alias("_times")))
     ranks = keep(rank_table(counts, ["sample"], value, "_rank", extra=zeros)
                  .withColumn("_last", (F.col("_rank") + (F.col("_times") - 1) / 2).cast("bigint"))
                  .withColumn("_first", F.col("_last") - F.col("_times") + 1))
     # value at rank r, summed over samples = running sum of the jumps that happen at or before r
     jumps = ranks.select(F.col("_first").alias("_r"), F.col(value).cast("double").alias("_up")).unionByName(
         ranks.where(F.col("_last") < n).select((F.col("_last") + 1).alias("_r"), (-F.col(value).cast("double")).alias("_up")))
-    steps = keep(scan(jumps.groupBy("_r").agg(F.sum("_up").alias("_up")), [], [F.col("_r").asc()], sums={"_level": "_up"}))
+    steps = scan(jumps.groupBy("_r").agg(F.sum("_up").alias("_up")), [], [F.col("_r").asc()], sums={"_level": "_up"}, number="_i")
     # integral of the step function, so that the mean over the ranks first..last is one difference
-    spans = keep(next_step(steps, n))
-    area = scan(spans.withColumn("_area", F.col("_level") * (F.col("_next") - F.col("_r"))), [], [F.col("_r").asc()], sums={"_upto": "_area"})
-    area = small(area.select(F.col("_r"), "_next", "_level", (F.col("_upto") - F.col("_area")).alias("_before")))
-    first = ranks.join(area.select(F.col("_r").alias("_first"), F.col("_before").alias("_from")), "_first")
-    last = area.select((F.col("_next") - 1).alias("_last"), (F.col("_before") + F.col("_level") * (F.col("_next") - F.col("_r"))).alias("_to"))
-    means = small(first.join(last, "_last").select("sample", value, ((F.col("_to") - F.col("_from")) / F.col("_times") / len(names)).alias("quantile_norm")))
-    dense = explode_dense(rows, samples, names, value).withColumn(value, F.col(value).cast(counts.schema[value].dataType))
-    return dense.join(means, ["sample", value]).select("feature", "sample", "quantile_norm")
+    spans = next_step(keep(steps), n).withColumn("_area", F.col("_level") * (F.col("_next") - F.col("_r")))
+    area = small(scan(spans, [], [F.col("_r").asc()], sums={"_upto": "_area"}))
+    first = ranks.join(area.select(F.col("_r").alias("_first"), (F.col("_upto") - F.col("_area")).alias("_from")), "_first")
+    last = area.select((F.col("_next") - 1).alias("_last"), F.col("_upto").alias("_to"))
+    means = keep(first.join(last, "_last").select("sample", value, ((F.col("_to") - F.col("_from")) / F.col("_times") / len(names)).alias("_mean")))
+    # cells carry the difference from an absent cell, so that the join meets only cells that exist
+    absent = small(present.select("sample").join(means.where(F.col(value) == 0), "sample", "left").select("sample", F.coalesce("_mean", F.lit(0.0)).alias("_zero")))
+    shifted = means.join(absent, "sample").select("sample", value, (F.col("_mean") - F.col("_zero")).alias("_shift"))
+    cells = counts.join(small(shifted), ["sample", value]).select("feature", "sample", "_shift")
+    dense = explode_dense(feature_rows(cells, "_shift", samples, names, written=False), samples, names, "_shift")
+    return dense.join(absent, "sample").select("feature", "sample", (F.col("_shift") + F.col("_zero")).alias("quantile_norm"))
 
 
 def next_step(steps: DataFrame, n: int) -> DataFrame:
-    """Each step with the rank where the next one begins; the one after the last rank is ``n + 1``."""
-    numbered = scan(steps, [], [F.col("_r").asc()], number="_i")
-    numbered = keep(numbered)
-    following = numbered.select((F.col("_i") - 1).alias("_i"), F.col("_r").alias("_next"))
-    return numbered.join(following, "_i", "left").withColumn("_next", F.coalesce("_next", F.lit(n + 1))).drop("_i")
+    """Each numbered step with the rank where the next one begins; the one after the last rank is ``n + 1``."""
+    following = steps.select((F.col("_i") - 1).alias("_i"), F.col("_r").alias("_next"))
+    return steps.join(following, "_i", "left").withColumn("_next", F.coalesce("_next", F.lit(n + 1))).drop("_i")
 
 
 def row_moments(norm: DataFrame, value: str, n_samples: int) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from countspark.functions.rows import _dense_blocks, feature_rows, sample_index, sample_names
+from countspark.functions.rows import _dense_blocks, feature_rows, fold_partitions, sample_index, sample_names
 from countspark.functions.scans import rank_table
 from countspark.session import collect_small, keep, small
 
@@ -43,7 +43,7 @@ def pair_states(rows: DataFrame, n: int, *, prepare: Callable[[np.ndarray], np.n
     target = to_arrow_schema(out)
     data = rows.select("idx", "x")
     if len(groups) == 1:
-        data = data.withColumn("task", F.lit(0))
+        data = fold_partitions(data, n).withColumn("task", F.lit(0))
     else:
         data = data.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(len(groups) - 1))))
         data = data.repartition("task", F.pmod(F.xxhash64("idx", "x"), F.lit(64))).sortWithinPartitions("task")

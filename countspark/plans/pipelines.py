@@ -22,8 +22,8 @@ def edger_analysis(exp: Experiment, *, threshold: float = 0.05) -> DataFrame:
     """TMM → dispersions → log-linear models → likelihood-ratio tests → result table."""
     counts = keep(exp.counts)
     factors = keep(nz.tmm_factors(counts))
-    dispersion = keep(negbin.nb_dispersion_edger(counts, exp.design, factors=factors))
-    fit = negbin.nb_glm_fit(counts, exp.design, dispersion, factors=factors)
+    data = negbin.nb_input(counts, exp.design, factors=factors)
+    fit = negbin.nb_glm_fit(data, keep(negbin.nb_dispersion_edger(data)))
     return de_table(negbin.glm_lrt(fit, exp.contrasts), threshold=threshold)
 
 
@@ -31,6 +31,6 @@ def deseq2_analysis(exp: Experiment, *, threshold: float = 0.05, trend: str = "m
     """Size factors → dispersions → Wald tests → result table."""
     counts = keep(exp.counts)
     factors = keep(nz.size_factors(counts, exp.samples.count()))
-    dispersion = keep(negbin.nb_dispersion_deseq(counts, exp.design, factors, fit=trend))
-    fit = negbin.nb_glm_fit(counts, exp.design, dispersion, size_factors=factors)
+    data = negbin.nb_input(counts, exp.design, size_factors=factors)
+    fit = negbin.nb_glm_fit(data, keep(negbin.nb_dispersion_deseq(data, fit=trend)))
     return de_table(negbin.nb_wald(fit, exp.contrasts), threshold=threshold)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 #: Rows (a few scalar columns each) up to which a measured table is broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -40,21 +40,28 @@ def new_path(spark: SparkSession) -> str:
 
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet and return the written table."""
-    return _keep(df)[0]
+    return keep_measured(df)[0]
 
 
-def _keep(df: DataFrame) -> tuple[DataFrame, int]:
+def keep_measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """``keep`` that also returns the number of rows ``n`` and other aggregates, observed during the write."""
     spark = df.sparkSession
     path = new_path(spark)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
+    aggs = [F.count(F.lit(1)).alias("n"), *[agg.alias(name) for name, agg in measures.items()]]
+    df.observe(seen, *aggs).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get
 
 
 def small(df: DataFrame, *, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Materialise a reduced table, count it, and hint a broadcast only when it is within ``limit`` rows."""
-    table, n = _keep(df)
-    return F.broadcast(table) if n <= limit else table
+    table, seen = keep_measured(df)
+    return F.broadcast(table) if seen["n"] <= limit else table
+
+
+def small_local(df: DataFrame, n: int, *, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The same check for a table made from ``n`` rows the driver already holds."""
+    return F.broadcast(df) if n <= limit else df
 
 
 def collect_small(df: DataFrame, *, limit: int = BROADCAST_ROWS) -> list:
