@@ -10,8 +10,8 @@ LONG_SCHEMA = "feature string, sample string, raw_count bigint"
 
 
 def read_wide(spark: SparkSession, path: str, *, sep: str = "\t") -> DataFrame:
-    """Wide table as written, all columns as text (one header row); no inference pass over the data."""
-    return spark.read.csv(path, sep=sep, header=True)
+    """Wide table as written, all columns as text (one header row), ``NA`` as NULL; no inference pass over the data."""
+    return spark.read.csv(path, sep=sep, header=True, nullValue="NA")
 
 
 def read_wide_counts(spark: SparkSession, path: str, *, sep: str = "\t", id_col: str | None = None,
@@ -40,7 +40,7 @@ def split_length_column(wide: DataFrame, *, id_col: str, length_col: str, drop:
 
 def read_sample_sheet(spark: SparkSession, path: str, *, sep: str = ",", sample_col: str | None = None) -> DataFrame:
     """Sample sheet with ``sample`` as its key column."""
-    sheet = spark.read.csv(path, sep=sep, header=True)
+    sheet = read_wide(spark, path, sep=sep)
     return sheet.withColumnRenamed(sample_col or sheet.columns[0], "sample")
 
 
