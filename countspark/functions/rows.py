@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from countspark.session import collect_small, keep, small_local
+from countspark.session import collect_small, keep, local_table, small_local
 
 #: Doubles per dense block (8 MB): large enough for vectorised numpy, small enough for its temporaries.
 BLOCK_CELLS = 1_000_000
@@ -29,7 +29,7 @@ def sample_index(samples: DataFrame, names: list) -> DataFrame:
     spark = samples.sparkSession
     kind = samples.schema["sample"].dataType
     schema = T.StructType([T.StructField("sample", kind, False), T.StructField("idx", T.IntegerType(), False)])
-    return small_local(spark.createDataFrame([(s, i) for i, s in enumerate(names)], schema), len(names))
+    return small_local(local_table(spark, [(s, i) for i, s in enumerate(names)], schema), len(names))
 
 
 def feature_rows(cells: DataFrame, value: str, samples: DataFrame, names: list, *, written: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
@@ -105,7 +105,13 @@ def map_blocks(rows: DataFrame, n: int, fn: Callable[[np.ndarray, dict], dict],
                 arrays += [_column(out[f.name], f.type) for f in list(target)[1:]]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return rows.select("feature", "idx", "x", *extra).mapInArrow(run, schema)
+    return enough_partitions(rows.select("feature", "idx", "x", *extra)).mapInArrow(run, schema)
+
+
+def enough_partitions(rows: DataFrame) -> DataFrame:
+    """Written rows over at least as many partitions as there are cores; only a table of few files is ever shuffled here."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def fold_partitions(rows: DataFrame, n: int) -> DataFrame:

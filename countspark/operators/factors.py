@@ -14,7 +14,7 @@ from countspark.operators.linear import Design, design_arrays, design_matrix
 from countspark.operators.multivariate import _fix_signs, _fold_matrix, sample_components
 from countspark.operators.negbin import LN2, nb_dispersion_deseq, nb_input
 from countspark.operators.normalize import size_factors as estimate_size_factors
-from countspark.session import keep, small
+from countspark.session import keep, local_table, small
 
 #: Resolution and range of the histogram of absolute log2 deviations.
 DEVIATION_BINS, DEVIATION_MAX = 4000, 20.0
@@ -85,7 +85,7 @@ def rlog(counts: DataFrame, samples: DataFrame) -> DataFrame:
 
 def _factor_table(template: DataFrame, names: list, vectors: np.ndarray) -> DataFrame:
     kind = template.schema["sample"].dataType.simpleString()
-    return template.sparkSession.createDataFrame([(s, k + 1, float(vectors[i, k])) for i, s in enumerate(names) for k in range(vectors.shape[1])],
+    return local_table(template.sparkSession, [(s, k + 1, float(vectors[i, k])) for i, s in enumerate(names) for k in range(vectors.shape[1])],
                                                  f"sample {kind}, factor int, value double")
 
 

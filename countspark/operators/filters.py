@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from countspark.model import Experiment
 from countspark.operators.normalize import library_size, log2cpm_mean_and_hits
-from countspark.session import small
+from countspark.session import local_table, small
 
 
 def keep_features(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def keep_features(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _ids(df: DataFrame, values: Iterable, col: str) -> DataFrame:
     """Explicit ids as a one-column table of the right type."""
-    return df.sparkSession.createDataFrame([(v,) for v in values], f"{col} {df.schema[col].dataType.simpleString()}").distinct()
+    return local_table(df.sparkSession, [(v,) for v in values], f"{col} {df.schema[col].dataType.simpleString()}").distinct()
 
 
 def select_feature_list(df: DataFrame, ids: Iterable | DataFrame) -> DataFrame:

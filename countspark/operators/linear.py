@@ -13,7 +13,7 @@ from countspark.functions.rows import feature_rows, map_blocks, sample_index
 from countspark.functions.scans import scan
 from countspark.functions.special import digamma, t_quantile, t_tail, trigamma, trigamma_inverse
 from countspark.operators.normalize import effective_library
-from countspark.session import collect_small, keep
+from countspark.session import collect_small, keep, local_table
 
 
 def make_name(text: str) -> str:
@@ -44,7 +44,7 @@ def design_matrix(samples: DataFrame, terms: Sequence[str], *, intercept: bool,
         raise ValueError(f"design columns are not independent: {list(columns)}")
     kind = samples.schema["sample"].dataType.simpleString()
     rows = [(r["sample"], name, float(column[i])) for i, r in enumerate(sheet) for name, column in columns.items()]
-    return samples.sparkSession.createDataFrame(rows, f"sample {kind}, coef string, value double")
+    return local_table(samples.sparkSession, rows, f"sample {kind}, coef string, value double")
 
 
 def make_contrasts(design: DataFrame, spec: dict[str, str] | None = None, *, prefix: str = "") -> DataFrame:
@@ -64,7 +64,7 @@ def make_contrasts(design: DataFrame, spec: dict[str, str] | None = None, *, pre
             if full not in known:
                 raise ValueError(f"contrast {name!r} uses unknown coefficient {coef!r}")
             rows.append((name, full, (-1.0 if sign == "-" else 1.0) * float(factor or 1)))
-    return design.sparkSession.createDataFrame(rows, "contrast string, coef string, weight double")
+    return local_table(design.sparkSession, rows, "contrast string, coef string, weight double")
 
 
 @dataclass(frozen=True)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from countspark.functions.rows import _dense_blocks, feature_rows, fold_partitions, map_blocks, sample_names
 from countspark.operators.detable import top_variable_features
 from countspark.operators.normalize import row_moments
-from countspark.session import collect_small, small
+from countspark.session import collect_small, local_table, small
 
 #: Samples up to which the full Gram matrix is formed; above it a randomised range finder with the same passes is used.
 GRAM_LIMIT = 4096
@@ -113,10 +113,10 @@ def pca_samples(norm: DataFrame, col: str, samples: DataFrame, *, n_top: int | N
     vectors, squares, total = sample_components(rows, n, k, prepare)
     root = np.sqrt(squares)
     kind = samples.schema["sample"].dataType.simpleString()
-    scores = spark.createDataFrame([(s, d + 1, float(vectors[i, d] * root[d])) for i, s in enumerate(names) for d in range(k)],
+    scores = local_table(spark, [(s, d + 1, float(vectors[i, d] * root[d])) for i, s in enumerate(names) for d in range(k)],
                                    f"sample {kind}, dim int, score double")
     share = squares / total * 100 if total > 0 else squares * 0
-    variance = spark.createDataFrame([(d + 1, float(squares[d] / (n - 1)), float(share[d]), float(share[:d + 1].sum())) for d in range(k)],
+    variance = local_table(spark, [(d + 1, float(squares[d] / (n - 1)), float(share[d]), float(share[:d + 1].sum())) for d in range(k)],
                                      "dim int, eigenvalue double, percent double, cumulative double")
     inverse = vectors * np.where(root > 0, 1 / np.where(root > 0, root, 1), 0)
     wide = map_blocks(rows, n, lambda x, _: {"l": prepare(x) @ inverse}, "l array<double>")
@@ -168,7 +168,7 @@ def mds(pairs: DataFrame, *, k: int = 2, value: str = "distance") -> DataFrame:
     order = np.argsort(values)[::-1][:k]
     coords = _fix_signs(vectors[:, order]) * np.sqrt(np.maximum(values[order], 0))
     kind = pairs.schema["sample_a"].dataType.simpleString()
-    return pairs.sparkSession.createDataFrame([(s, d + 1, float(coords[i, d])) for i, s in enumerate(names) for d in range(len(order))],
+    return local_table(pairs.sparkSession, [(s, d + 1, float(coords[i, d])) for i, s in enumerate(names) for d in range(len(order))],
                                               f"sample {kind}, dim int, score double")
 
 

@@ -19,7 +19,7 @@ from countspark.functions.scans import quantiles, scan
 from countspark.functions.special import betainc, erfc, f_quantile, lgamma, normal_two_sided, trigamma
 from countspark.operators.linear import Design, abundance_bins, contrast_weights, design_arrays, make_contrasts, per_contrast
 from countspark.operators.normalize import effective_library, row_moments
-from countspark.session import collect_small, keep, small
+from countspark.session import collect_small, keep, local_table, small
 
 #: Grid of dispersions at which the profile likelihood is evaluated.
 GRID = np.geomspace(1e-5, 10, 29)
@@ -453,7 +453,7 @@ def independent_filtering(de: DataFrame, *, mean: str = "base_mean", alpha: floa
             above = np.flatnonzero(count > smooth.max() - slack)
             pick = int(above[0]) if len(above) else int(count.argmax())
         chosen.append((contrast, float(part[pick]["cut"])))
-    cut = de.sparkSession.createDataFrame(chosen, "contrast string, mean_cut double")
+    cut = local_table(de.sparkSession, chosen, "contrast string, mean_cut double")
     marked = de.join(small(cut), "contrast").withColumn("_p", F.when(F.col(mean) >= F.col("mean_cut"), F.col("p_value")))
     return bh_adjust(marked, "_p", by=["contrast"]).drop("_p")
 

@@ -161,10 +161,14 @@ def fpkm_robust(counts: DataFrame, features: DataFrame, n_samples: int) -> DataF
     return _with_length(counts, features).join(scale, "sample").select("feature", "sample", value.alias("fpkm"))
 
 
-def upper_quartile_scale(counts: DataFrame, n_features: int, *, p: float = 0.75) -> DataFrame:
+def sample_totals(counts: DataFrame) -> DataFrame:
+    """Measured per-sample table ``(sample, lib_size, n_cells)``."""
+    return small(counts.groupBy("sample").agg(F.sum("raw_count").alias("lib_size"), F.count(F.lit(1)).alias("n_cells")))
+
+
+def upper_quartile_scale(counts: DataFrame, n_features: int, totals: DataFrame, *, p: float = 0.75) -> DataFrame:
     """Exact quantile of each sample's counts over ``n_features`` features, absent cells as zeros."""
-    present = counts.groupBy("sample").agg(F.count(F.lit(1)).alias("_k"))
-    zeros = small(present).select("sample", F.lit(0).cast("bigint").alias("raw_count"), (F.lit(n_features) - F.col("_k")).alias("_times"))
+    zeros = totals.select("sample", F.lit(0).cast("bigint").alias("raw_count"), (F.lit(n_features) - F.col("n_cells")).alias("_times"))
     weighted = value_counts(counts, ["sample"], "raw_count").unionByName(zeros)
     return quantiles(weighted, ["sample"], "raw_count", {"upper": p}, weight="_times")
 
@@ -172,17 +176,16 @@ def upper_quartile_scale(counts: DataFrame, n_features: int, *, p: float = 0.75)
 def upper_quartile_norm(counts: DataFrame, *, p: float = 0.75) -> DataFrame:
     """Between-sample scaling by the upper quartile over the features present in the table: value / quartile × mean quartile."""
     n_features = counts.select("feature").distinct().count()
-    scale = _with_mean(small(upper_quartile_scale(counts, n_features, p=p)), "upper")
+    scale = _with_mean(small(upper_quartile_scale(counts, n_features, sample_totals(counts), p=p)), "upper")
     value = F.try_divide(F.col("raw_count") * F.col("_mean"), F.col("upper"))
     return counts.join(small(scale), "sample").select("feature", "sample", value.alias("norm_count"))
 
 
-def tmm_reference(counts: DataFrame, n_features: int) -> DataFrame:
+def tmm_reference(counts: DataFrame, n_features: int, totals: DataFrame) -> DataFrame:
     """The sample whose upper quartile over library size is nearest the mean (first in order on ties)."""
-    lib = small(library_size(counts))
-    f75 = small(upper_quartile_scale(counts, n_features).join(lib, "sample").select("sample", "lib_size", (F.col("upper") / F.col("lib_size")).alias("_f")))
+    f75 = keep(upper_quartile_scale(counts, n_features, totals).join(totals, "sample").select("sample", "lib_size", (F.col("upper") / F.col("lib_size")).alias("_f")))
     gap = F.round(F.abs(F.col("_f") - f75.agg(F.avg("_f")).scalar()), 14)
-    return f75.withColumn("_gap", gap).orderBy("_gap", "sample").limit(1).select(F.col("sample").alias("ref_sample"), F.col("lib_size").alias("ref_lib"))
+    return f75.withColumn("_gap", gap).orderBy("_gap", "sample").limit(1).select("sample", "lib_size")
 
 
 def tmm_factors(counts: DataFrame, *, trim_m: float = 0.3, trim_a: float = 0.05) -> DataFrame:
@@ -190,18 +193,17 @@ def tmm_factors(counts: DataFrame, *, trim_m: float = 0.3, trim_a: float = 0.05)
 
     M and A are ranked with the distributed average ranks, so a sample never has to fit into one task.
     """
-    lib = small(library_size(counts))
+    totals = sample_totals(counts)
     n_features = counts.select("feature").distinct().count()
-    ref = small(tmm_reference(counts, n_features))
-    ref_cells = (counts.join(ref, counts["sample"] == ref["ref_sample"]).where("raw_count > 0")
-                 .select("feature", F.col("raw_count").alias("_r"), F.col("ref_lib").alias("_nr")))
-    rate, ref_rate = F.col("raw_count") / F.col("lib_size"), F.col("_r") / F.col("_nr")
-    pairs = keep(counts.where("raw_count > 0").join(small(ref_cells), "feature").join(lib, "sample").select(
+    ref, ref_lib = tmm_reference(counts, n_features, totals).first()
+    ref_cells = counts.where((F.col("sample") == ref) & (F.col("raw_count") > 0)).select("feature", F.col("raw_count").alias("_r"))
+    lib, ref_lib = F.col("lib_size"), F.lit(ref_lib)
+    rate, ref_rate = F.col("raw_count") / lib, F.col("_r") / ref_lib
+    pairs = keep(counts.where("raw_count > 0").join(small(ref_cells), "feature").join(totals, "sample").select(
         "feature", "sample",
         F.round(F.log2(rate / ref_rate), 10).alias("_m"),
         F.round((F.log2(rate) + F.log2(ref_rate)) / 2, 10).alias("_a"),
-        ((F.col("lib_size") - F.col("raw_count")) / (F.col("lib_size") * F.col("raw_count").cast("double"))
-         + (F.col("_nr") - F.col("_r")) / (F.col("_nr") * F.col("_r").cast("double"))).alias("_v")))
+        ((lib - F.col("raw_count")) / (lib * F.col("raw_count").cast("double")) + (ref_lib - F.col("_r")) / (ref_lib * F.col("_r").cast("double"))).alias("_v")))
     ranked = average_ranks(pairs, ["sample"], "_m", "_rm").drop("_times")
     ranked = average_ranks(ranked, ["sample"], "_a", "_ra").drop("_times")
     sizes = small(pairs.groupBy("sample").agg(F.count(F.lit(1)).alias("_k")))
@@ -209,7 +211,7 @@ def tmm_factors(counts: DataFrame, *, trim_m: float = 0.3, trim_a: float = 0.05)
     inside = F.col("_rm").between(low_m, F.col("_k") + 1 - low_m) & F.col("_ra").between(low_a, F.col("_k") + 1 - low_a)
     raw = (ranked.join(sizes, "sample").where(inside).groupBy("sample")
            .agg((F.sum(F.col("_m") / F.col("_v")) / F.sum(1 / F.col("_v"))).alias("_log2f")))
-    raw = small(lib.select("sample").join(raw, "sample", "left").select("sample", F.coalesce("_log2f", F.lit(0.0)).alias("_log2f")))
+    raw = keep(totals.select("sample").join(raw, "sample", "left").select("sample", F.coalesce("_log2f", F.lit(0.0)).alias("_log2f")))
     return _with_mean(raw, "_log2f").select("sample", F.pow(F.lit(2.0), F.col("_log2f") - F.col("_mean")).alias("norm_factor"))
 
 

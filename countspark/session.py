@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows (a few scalar columns each) up to which a measured table is broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -64,6 +67,15 @@ def small_local(df: DataFrame, n: int, *, limit: int = BROADCAST_ROWS) -> DataFr
     return F.broadcast(df) if n <= limit else df
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
+    """Rows the driver holds as a local relation with known size (no Python workers are needed to read it)."""
+    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    target = to_arrow_schema(schema)
+    columns = list(zip(*rows)) if rows else [()] * len(target)
+    arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, target)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=target), schema)
+
+
 def collect_small(df: DataFrame, *, limit: int = BROADCAST_ROWS) -> list:
     """Rows of a table with one row per sample, contrast or trend bin; raises instead of truncating above ``limit``."""
     rows = df.limit(limit + 1).collect()
