@@ -84,7 +84,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = design(spark, sf)
     fit = linear.lm_fit(planted_log2cpm(spark, sf), "log2cpm", d)
-    return _r(linear.ebayes_moderate(fit, linear.make_contrasts(d, CASE, prefix="cond")), "avg_log2cpm", "avg_log2fc", "t", "ci_l", "ci_r", digits=5)
+    return _r(linear.ebayes_moderate(fit, linear.make_contrasts(d, CASE, prefix="cond")), "avg_log2cpm", "avg_log2fc", "t", "ci_l", "ci_r", "b", digits=5)
 
 
 VIEWS["fx_planted_lib"] = "SELECT sample, SUM(raw_count) AS n FROM fx_planted GROUP BY sample"

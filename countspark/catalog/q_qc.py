@@ -206,12 +206,37 @@ def _(spark, sf):
     return qc.value_histogram(fx.counts_plan(spark, sf), "raw_count", bins=40, low=0, high=500)
 
 
-@query("count_density")
+VIEWS["fx_bandwidth"] = """
+SELECT sample, n, 0.9e0 * CASE WHEN iqr > 0 THEN LEAST(sd, iqr) ELSE sd END * POWER(n, -0.2e0) * SQRT(3e0) AS h FROM (
+  SELECT sample, COUNT(*) AS n, STDDEV_SAMP(LOG10(raw_count)) AS sd, (QUANTILE_CONT(LOG10(raw_count), 0.75) - QUANTILE_CONT(LOG10(raw_count), 0.25)) / 1.34e0 AS iqr
+  FROM fx_tokens GROUP BY sample) q"""
+
+
+@query("count_density", """
+SELECT b.sample AS "group", ROUND(g.lo + g.i * (g.hi - g.lo) / 15, 5) AS x, ROUND(COALESCE(SUM(v.times), 0) / (MAX(b.n) * 2 * MAX(b.h)), 5) AS density
+FROM fx_bandwidth b CROSS JOIN (SELECT lo, hi, UNNEST(RANGE(0, 16)) AS i FROM (SELECT MIN(LOG10(raw_count)) AS lo, MAX(LOG10(raw_count)) AS hi FROM fx_tokens) r) g
+LEFT JOIN (SELECT sample, LOG10(raw_count) AS v, COUNT(*) AS times FROM fx_tokens GROUP BY sample, raw_count) v
+  ON v.sample = b.sample AND v.v BETWEEN g.lo + g.i * (g.hi - g.lo) / 15 - b.h AND g.lo + g.i * (g.hi - g.lo) / 15 + b.h
+GROUP BY b.sample, g.i, g.lo, g.hi""")
 def _(spark, sf):
-    return qc.count_density(fx.tokens(spark, sf), "raw_count", grid=128, log10=True)
+    out = qc.count_density(fx.tokens(spark, sf), "raw_count", grid=16, log10=True)
+    return out.select("group", r6("x", 5).alias("x"), r6("density", 5).alias("density"))
+
+
+VIEWS["fx_hex_points"] = """
+SELECT feature, 'raw' AS transformation, MAX(CASE WHEN sample = 0 THEN CAST(raw_count AS DOUBLE) ELSE 0e0 END) AS x, MAX(CASE WHEN sample = 1 THEN CAST(raw_count AS DOUBLE) ELSE 0e0 END) AS y
+FROM fx_counts WHERE sample IN (0, 1) GROUP BY feature
+UNION ALL SELECT feature, 'log2cpm', MAX(log2cpm) FILTER (sample = 0), MAX(log2cpm) FILTER (sample = 1) FROM fx_log2cpm GROUP BY feature"""
+VIEWS["fx_hex_scaled"] = """
+SELECT transformation, (x - MIN(x) OVER w) / GREATEST((MAX(x) OVER w - MIN(x) OVER w) / 80, 1e-12) AS sx,
+       (y - MIN(y) OVER w) / (GREATEST((MAX(y) OVER w - MIN(y) OVER w) / 80, 1e-12) * SQRT(3e0)) AS sy FROM fx_hex_points WINDOW w AS (PARTITION BY transformation)"""
 
 
-@query("hex_bins")
+@query("hex_bins", """
+SELECT transformation, CAST(CASE WHEN even THEN 2 * FLOOR(sx + 0.5e0) ELSE 2 * FLOOR(sx) + 1 END AS BIGINT) AS hex_x,
+       CAST(CASE WHEN even THEN 2 * FLOOR(sy + 0.5e0) ELSE 2 * FLOOR(sy) + 1 END AS BIGINT) AS hex_y, COUNT(*) AS n
+FROM (SELECT *, POWER(sx - FLOOR(sx + 0.5e0), 2) + 3 * POWER(sy - FLOOR(sy + 0.5e0), 2) <= POWER(sx - FLOOR(sx) - 0.5e0, 2) + 3 * POWER(sy - FLOOR(sy) - 0.5e0, 2) AS even
+      FROM fx_hex_scaled) q GROUP BY 1, 2, 3""")
 def _(spark, sf):
     sheet = fx.samples(spark, sf)
     counts = fx.counts(spark, sf)

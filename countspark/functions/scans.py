@@ -107,19 +107,19 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str, weight: str | Non
     return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.cast("bigint").alias("_times"))
 
 
-def average_ranks(df: DataFrame, by: Sequence[str], value: str, out: str, *, extra: DataFrame | None = None) -> DataFrame:
-    """Rank of ``value`` within its group, ties averaged. ``extra(by…, value, _times)`` adds values that have no row (zeros)."""
-    return df.join(small(rank_table(df, by, value, out, extra=extra)), [*by, value], "left")
+def average_ranks(df: DataFrame, by: Sequence[str], value: str, out: str, *, size: str | None = None) -> DataFrame:
+    """Rank of ``value`` within its group, ties averaged; ``size`` names a column for the number of ranked rows of the group."""
+    return df.join(small(rank_table(df, by, value, out, size=size).drop("_times")), [*by, value], "left")
 
 
-def rank_table(df: DataFrame, by: Sequence[str], value: str, out: str, *, extra: DataFrame | None = None) -> DataFrame:
-    """Average rank of every distinct (group, value), plus ``_times``."""
+def rank_table(df: DataFrame, by: Sequence[str], value: str, out: str, *, extra: DataFrame | None = None, size: str | None = None) -> DataFrame:
+    """Average rank of every distinct (group, value), plus ``_times``. ``extra(by…, value, _times)`` adds values without a row (zeros)."""
     counts = value_counts(df, by, value)
     if extra is not None:
         counts = (counts.unionByName(extra.select(*by, F.col(value), F.col("_times").cast("bigint")))
                   .groupBy(*by, value).agg(F.sum("_times").alias("_times")).where("_times > 0"))
-    ranked = scan(counts, by, [F.col(value).asc()], sums={"_upto": "_times"})
-    return ranked.select(*by, value, (F.col("_upto") - (F.col("_times") - 1) / 2).alias(out), "_times")
+    ranked = scan(counts, by, [F.col(value).asc()], sums={"_upto": "_times"}, totals={size: "_times"} if size else None)
+    return ranked.select(*by, value, (F.col("_upto") - (F.col("_times") - 1) / 2).alias(out), "_times", *([size] if size else []))
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float | Column], *, weight: str | None = None,

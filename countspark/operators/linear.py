@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from countspark.functions.rows import feature_rows, map_blocks, sample_index
 from countspark.functions.scans import scan
-from countspark.functions.special import digamma, t_quantile, t_tail, trigamma, trigamma_inverse
+from countspark.functions.special import digamma, t_quantile, t_tail, t_two_sided, trigamma, trigamma_inverse
 from countspark.operators.normalize import effective_library
-from countspark.session import collect_small, keep, local_table
+from countspark.session import collect_small, keep, local_table, small
 
 
 def make_name(text: str) -> str:
@@ -173,19 +174,52 @@ def variance_prior(table: DataFrame, df: int) -> tuple[float, float]:
     return d0, float(np.exp(e_mean + digamma(d0 / 2) - np.log(d0 / 2)))
 
 
-def ebayes_moderate(fit: LinearFit, contrasts: DataFrame, *, confidence: float = 0.95) -> DataFrame:
-    """Moderated t per feature and contrast: estimate, confidence limits, statistic and p-value."""
+def ebayes_moderate(fit: LinearFit, contrasts: DataFrame, *, confidence: float = 0.95, proportion: float = 0.01) -> DataFrame:
+    """Moderated t per feature and contrast: estimate, confidence limits, statistic, p-value and log odds ``b``.
+
+    ``proportion`` is the share of changed features assumed by the log odds.
+    """
     df = fit.design.df
     d0, s02 = variance_prior(fit.table, df)
     n_features = fit.table.count()
     post = F.lit(s02) if np.isinf(d0) else (F.lit(d0 * s02) + df * F.col("sigma2")) / (d0 + df)
     total = min(d0 + df, float(df) * n_features)
     rows = per_contrast(fit.table, contrast_weights(contrasts, fit.design.coefs), "sigma2", "mean")
-    se = F.sqrt(post * F.col("var"))
-    half = t_quantile(1 - (1 - confidence) / 2, total) * F.col("_se")
-    tested = rows.withColumn("_se", se).withColumn("t", F.try_divide("est", "_se"))
-    return tested.select("feature", "contrast", F.col("mean").alias("avg_log2cpm"), F.col("est").alias("avg_log2fc"), "t",
-                         (F.col("est") - half).alias("ci_l"), (F.col("est") + half).alias("ci_r"), t_tail("t", F.lit(total)).alias("p_value"))
+    tested = rows.withColumn("_se", F.sqrt(post * F.col("var"))).withColumn("t", F.try_divide("est", "_se"))
+    tested = keep(tested.select("feature", "contrast", F.col("mean").alias("avg_log2cpm"), F.col("est").alias("avg_log2fc"), "t", "_se", F.col("var").alias("_v")))
+    prior = effect_prior(tested, n_features, total, s02, proportion)
+    half = F.lit(t_quantile(1 - (1 - confidence) / 2, total)) * F.col("_se")
+    v, v0, t2 = F.col("_v"), F.col("_v0"), F.pow("t", F.lit(2.0))
+    keep_share = v / (v + v0)
+    gain = t2 / 2 * v0 / (v + v0) if np.isinf(d0) else F.lit((1 + d0 + df) / 2) * F.ln((t2 + d0 + df) / (t2 * keep_share + d0 + df))
+    odds = F.lit(float(np.log(proportion / (1 - proportion)))) + F.ln(keep_share) / 2 + gain
+    return tested.join(small(prior), "contrast").select(
+        "feature", "contrast", "avg_log2cpm", "avg_log2fc", "t", (F.col("avg_log2fc") - half).alias("ci_l"),
+        (F.col("avg_log2fc") + half).alias("ci_r"), t_tail("t", F.lit(total)).alias("p_value"), odds.alias("b"))
+
+
+def effect_prior(tested: DataFrame, n_features: int, df: float, s02: float, proportion: float) -> DataFrame:
+    """``(contrast, _v0)``: prior variance of true effects, from the largest statistics of each contrast.
+
+    The r-th largest |t| is compared with the quantile it would have if ``proportion`` of the features were changed; the
+    excess gives one estimate per rank, and their mean is kept within (0.1² … 4²) / s0².
+    """
+    top = int(np.ceil(proportion / 2 * n_features))
+    p = max(top / n_features, proportion)
+    ranked = scan(tested.select("contrast", "feature", F.abs("t").alias("_a"), "_v"), ["contrast"],
+                  [F.col("_a").desc_nulls_last(), F.col("feature").asc()], number="_r").where(F.col("_r") <= top)
+
+    @F.pandas_udf(T.DoubleType())
+    def excess(a: pd.Series, r: pd.Series, v: pd.Series) -> pd.Series:
+        null = t_two_sided(a.fillna(0).to_numpy(), df)
+        target = ((r.to_numpy() - 0.5) / n_features - (1 - p) * null) / p
+        out = np.zeros(len(a))
+        for i in np.flatnonzero(target > null):
+            out[i] = v.iloc[i] * max((a.iloc[i] / t_quantile(1 - min(target[i], 1.0) / 2, df)) ** 2 - 1, 0) if target[i] < 1 else 0.0
+        return pd.Series(out)
+
+    return ranked.withColumn("_e", excess("_a", "_r", "_v")).groupBy("contrast").agg(
+        F.greatest(F.lit(0.01 / s02), F.least(F.lit(16.0 / s02), F.avg("_e"))).alias("_v0"))
 
 
 @dataclass(frozen=True)

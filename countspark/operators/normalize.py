@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
 from countspark.functions.rows import explode_dense, feature_rows, sample_names
 from countspark.functions.scans import average_ranks, quantiles, rank_table, scan, value_counts
-from countspark.session import keep, small
+from countspark.session import collect_small, keep, small, small_local
 
 
 def library_size(counts: DataFrame, *, value: str = "raw_count") -> DataFrame:
@@ -16,13 +16,12 @@ def library_size(counts: DataFrame, *, value: str = "raw_count") -> DataFrame:
 
 def lib_norm_factor(counts: DataFrame) -> DataFrame:
     """Mean library size over the sample's own."""
-    lib = small(library_size(counts))
-    return _with_mean(lib).select("sample", "lib_size", (F.col("_mean") / F.col("lib_size")).alias("norm_factor"))
+    return _with_mean(library_size(counts)).select("sample", "lib_size", (F.col("_mean") / F.col("lib_size")).alias("norm_factor"))
 
 
 def _with_mean(lib: DataFrame, col: str = "lib_size") -> DataFrame:
-    """Per-sample table with the mean of ``col`` over all samples as ``_mean`` (a scalar subquery)."""
-    return lib.withColumn("_mean", lib.agg(F.avg(col)).scalar())
+    """Per-sample table (one row per sample, already reduced) with the mean of ``col`` over all samples as ``_mean``."""
+    return lib.withColumn("_mean", F.avg(col).over(W.partitionBy()))
 
 
 def cpm(counts: DataFrame) -> DataFrame:
@@ -36,7 +35,7 @@ def effective_library(counts: DataFrame, samples: DataFrame, factors: DataFrame
     lib = lib.withColumn("lib_size", F.coalesce("lib_size", F.lit(0)).cast("double"))
     if factors is not None:
         lib = lib.join(factors.select("sample", "norm_factor"), "sample").withColumn("lib_size", F.col("lib_size") * F.col("norm_factor"))
-    return small(_with_mean(small(lib.select("sample", "lib_size"))))
+    return small(_with_mean(lib.select("sample", "lib_size")))
 
 
 def _log2cpm(count, prior: float) -> Column:
@@ -176,16 +175,18 @@ def upper_quartile_scale(counts: DataFrame, n_features: int, totals: DataFrame,
 def upper_quartile_norm(counts: DataFrame, *, p: float = 0.75) -> DataFrame:
     """Between-sample scaling by the upper quartile over the features present in the table: value / quartile × mean quartile."""
     n_features = counts.select("feature").distinct().count()
-    scale = _with_mean(small(upper_quartile_scale(counts, n_features, sample_totals(counts), p=p)), "upper")
+    scale = _with_mean(upper_quartile_scale(counts, n_features, sample_totals(counts), p=p), "upper")
     value = F.try_divide(F.col("raw_count") * F.col("_mean"), F.col("upper"))
     return counts.join(small(scale), "sample").select("feature", "sample", value.alias("norm_count"))
 
 
-def tmm_reference(counts: DataFrame, n_features: int, totals: DataFrame) -> DataFrame:
-    """The sample whose upper quartile over library size is nearest the mean (first in order on ties)."""
-    f75 = keep(upper_quartile_scale(counts, n_features, totals).join(totals, "sample").select("sample", "lib_size", (F.col("upper") / F.col("lib_size")).alias("_f")))
-    gap = F.round(F.abs(F.col("_f") - f75.agg(F.avg("_f")).scalar()), 14)
-    return f75.withColumn("_gap", gap).orderBy("_gap", "sample").limit(1).select("sample", "lib_size")
+def tmm_reference(counts: DataFrame, n_features: int, totals: DataFrame) -> Row:
+    """The sample whose upper quartile over library size is nearest the mean (first in order on ties), with its totals."""
+    upper = upper_quartile_scale(counts, n_features, totals)
+    rows = collect_small(upper.join(totals, "sample").orderBy("sample"))
+    share = [r["upper"] / r["lib_size"] for r in rows]
+    mean = sum(share) / len(share)
+    return min(zip(share, rows), key=lambda pair: (round(abs(pair[0] - mean), 14), pair[1]["sample"]))[1]
 
 
 def tmm_factors(counts: DataFrame, *, trim_m: float = 0.3, trim_a: float = 0.05) -> DataFrame:
@@ -195,23 +196,22 @@ def tmm_factors(counts: DataFrame, *, trim_m: float = 0.3, trim_a: float = 0.05)
     """
     totals = sample_totals(counts)
     n_features = counts.select("feature").distinct().count()
-    ref, ref_lib = tmm_reference(counts, n_features, totals).first()
-    ref_cells = counts.where((F.col("sample") == ref) & (F.col("raw_count") > 0)).select("feature", F.col("raw_count").alias("_r"))
-    lib, ref_lib = F.col("lib_size"), F.lit(ref_lib)
+    ref = tmm_reference(counts, n_features, totals)
+    cells = counts.where("raw_count > 0")
+    ref_cells = small_local(cells.where(F.col("sample") == ref["sample"]).select("feature", F.col("raw_count").alias("_r")), ref["n_cells"])
+    lib, ref_lib = F.col("lib_size"), F.lit(ref["lib_size"])
     rate, ref_rate = F.col("raw_count") / lib, F.col("_r") / ref_lib
-    pairs = keep(counts.where("raw_count > 0").join(small(ref_cells), "feature").join(totals, "sample").select(
+    pairs = keep(cells.join(ref_cells, "feature").join(totals, "sample").select(
         "feature", "sample",
         F.round(F.log2(rate / ref_rate), 10).alias("_m"),
         F.round((F.log2(rate) + F.log2(ref_rate)) / 2, 10).alias("_a"),
         ((lib - F.col("raw_count")) / (lib * F.col("raw_count").cast("double")) + (ref_lib - F.col("_r")) / (ref_lib * F.col("_r").cast("double"))).alias("_v")))
-    ranked = average_ranks(pairs, ["sample"], "_m", "_rm").drop("_times")
-    ranked = average_ranks(ranked, ["sample"], "_a", "_ra").drop("_times")
-    sizes = small(pairs.groupBy("sample").agg(F.count(F.lit(1)).alias("_k")))
+    ranked = average_ranks(pairs, ["sample"], "_m", "_rm", size="_k")
+    ranked = average_ranks(ranked, ["sample"], "_a", "_ra")
     low_m, low_a = F.floor(F.col("_k") * trim_m) + 1, F.floor(F.col("_k") * trim_a) + 1
     inside = F.col("_rm").between(low_m, F.col("_k") + 1 - low_m) & F.col("_ra").between(low_a, F.col("_k") + 1 - low_a)
-    raw = (ranked.join(sizes, "sample").where(inside).groupBy("sample")
-           .agg((F.sum(F.col("_m") / F.col("_v")) / F.sum(1 / F.col("_v"))).alias("_log2f")))
-    raw = keep(totals.select("sample").join(raw, "sample", "left").select("sample", F.coalesce("_log2f", F.lit(0.0)).alias("_log2f")))
+    raw = ranked.where(inside).groupBy("sample").agg((F.sum(F.col("_m") / F.col("_v")) / F.sum(1 / F.col("_v"))).alias("_log2f"))
+    raw = totals.select("sample").join(raw, "sample", "left").select("sample", F.coalesce("_log2f", F.lit(0.0)).alias("_log2f"))
     return _with_mean(raw, "_log2f").select("sample", F.pow(F.lit(2.0), F.col("_log2f") - F.col("_mean")).alias("norm_factor"))
 
 

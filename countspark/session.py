@@ -63,7 +63,7 @@ def small(df: DataFrame, *, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def small_local(df: DataFrame, n: int, *, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The same check for a table made from ``n`` rows the driver already holds."""
+    """The same check for a table that is known to have at most ``n`` rows, without writing it."""
     return F.broadcast(df) if n <= limit else df
 
 
