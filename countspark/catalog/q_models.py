@@ -258,7 +258,7 @@ def _(spark, sf):
 @query("sva_factors")
 def _(spark, sf):
     d, null = design(spark, sf, ("cond",), intercept=True), keep(fx.samples(spark, sf).select("sample", F.lit("Intercept").alias("coef"), F.lit(1.0).alias("value")))
-    kept = filters.filter_min_mean(fx.planted(spark, sf), "raw_count", 12, gt=1)
+    kept = filters.filter_min_mean(fx.planted(spark, sf), "raw_count", fx.samples(spark, sf).count(), gt=1)
     return _r(hidden.sva_factors(kept, d, null), "value", digits=5)
 
 

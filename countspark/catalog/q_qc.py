@@ -34,7 +34,8 @@ SELECT sample, CAST(SUM(raw_count) AS BIGINT) AS total_count,
 
 @query("alignment_summary", """
 SELECT a.sample, a.total_count, a.on_feature, p.n_groups, p.reads FROM fx_alignment a
-JOIN (SELECT sample, COUNT(*) AS n_groups, CAST(SUM(raw_count) AS BIGINT) AS reads FROM fx_pseudo GROUP BY sample) p ON p.sample = a.sample""")
+JOIN (SELECT sample, COUNT(*) AS n_groups, CAST(SUM(raw_count) AS BIGINT) AS reads FROM fx_pseudo GROUP BY sample) p ON p.sample = a.sample
+WHERE a.sample IN (SELECT sample FROM fx_samples)""")
 def _(spark, sf):
     out = qc.alignment_summary(fx.library_counts(spark, sf), fx.samples(spark, sf))
     groups = [c for c in out.columns if c not in ("sample", "total_count", "on_feature")]
@@ -150,7 +151,7 @@ def _(spark, sf):
 
 @query("gene_mean_var", "SELECT feature, ROUND(AVG(raw_count), 6) AS mean, ROUND(VAR_SAMP(raw_count), 6) AS variance FROM fx_dense GROUP BY feature")
 def _(spark, sf):
-    out = nz.row_moments(fx.counts_plan(spark, sf), "raw_count", 12)
+    out = nz.row_moments(fx.counts_plan(spark, sf), "raw_count", fx.samples(spark, sf).count())
     return out.select("feature", r6("mean").alias("mean"), r6("variance").alias("variance"))
 
 
@@ -302,7 +303,7 @@ def _(spark, sf):
 
 @query("top_variable_features", "SELECT feature, ROUND(VAR_SAMP(raw_count), 6) AS variance FROM fx_dense GROUP BY feature ORDER BY VAR_SAMP(raw_count) DESC, feature LIMIT 50")
 def _(spark, sf):
-    top = detable.top_variable_features(nz.row_moments(fx.counts_plan(spark, sf), "raw_count", 12), 50)
+    top = detable.top_variable_features(nz.row_moments(fx.counts_plan(spark, sf), "raw_count", fx.samples(spark, sf).count()), 50)
     return top.select("feature", r6("variance").alias("variance"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from countspark.catalog import inputs as fx
 from countspark.catalog.q_models import case_control, design, experiment, planted_log2cpm
 from countspark.catalog.registry import VIEWS, query, r6
+from countspark.functions.rows import sample_names
 from countspark.operators import linear, normalize as nz, sets
 from countspark.plans import pipelines
 from countspark.session import keep, small
@@ -51,7 +52,7 @@ def _(spark, sf):
 @query("fraction_long", "SELECT s.set_id AS cell_type, CAST(c.sample AS VARCHAR) AS sample, CAST(SUM(c.raw_count) AS DOUBLE) AS fraction FROM fx_counts c JOIN fx_sets s ON s.feature = c.feature GROUP BY s.set_id, c.sample")
 def _(spark, sf):
     sums = fx.counts_plan(spark, sf).join(small(fx.gene_sets(spark, sf)), "feature")
-    wide = sums.groupBy(F.col("set_id").alias("cell_type")).pivot("sample", list(range(12))).agg(F.sum("raw_count"))
+    wide = sums.groupBy(F.col("set_id").alias("cell_type")).pivot("sample", sample_names(fx.samples(spark, sf))).agg(F.sum("raw_count"))
     return sets.fraction_long(wide)
 
 

@@ -25,8 +25,8 @@ def experiment(spark, sf):
 
 
 def wide_counts(spark, sf):
-    """Wide matrix with lengths, columns ``feature, length_bp, 0 … 11``."""
-    cells = reshape.spread_counts(fx.counts_plan(spark, sf), "raw_count", S12, fill=0)
+    """Wide matrix with lengths: ``feature``, ``length_bp`` and one column per sample."""
+    cells = reshape.spread_counts(fx.counts_plan(spark, sf), "raw_count", sample_names(fx.samples(spark, sf)), fill=0)
     return cells.join(small(fx.features(spark, sf).select("feature", "length_bp")), "feature")
 
 
@@ -168,7 +168,8 @@ FROM fx_dense d JOIN fx_lib l ON l.sample = d.sample CROSS JOIN (SELECT AVG(lib_
 
 @query("melt_counts", "SELECT feature, CAST(sample AS VARCHAR) AS sample, raw_count FROM fx_dense")
 def _(spark, sf):
-    return reshape.melt_counts(wide_counts(spark, sf), "feature", [str(s) for s in S12])
+    wide = wide_counts(spark, sf)
+    return reshape.melt_counts(wide, "feature", [c for c in wide.columns if c not in ("feature", "length_bp")])
 
 
 @query("spread_counts", WIDE_SQL.format(v="raw_count", p="s", t="fx_counts"))
