@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from countspark.catalog import inputs as fx
 from countspark.operators import detable, filters, normalize as nz

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from countspark.catalog import inputs as fx
-from countspark.catalog.q_tables import DE_COLS, S12, de_table
+from countspark.catalog.q_tables import de_table
 from countspark.catalog.registry import VIEWS, query, r6
 from countspark.model import Experiment
-from countspark.operators import detable, joins, normalize as nz, reshape
-from countspark.session import keep, small
+from countspark.operators import detable, joins
+from countspark.session import small
 
 PAT = fx.CONTRASTS
 

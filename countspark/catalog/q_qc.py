@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from countspark.catalog import inputs as fx
-from countspark.catalog.q_tables import CLASS_SQL, DE_COLS, S12, de_table
+from countspark.catalog.q_tables import DE_COLS, de_table
 from countspark.catalog.registry import VIEWS, query, r6
 from countspark.functions.adjust import bh_adjust, holm_filter
 from countspark.operators import detable, normalize as nz, qc, reshape

@@ -8,7 +8,7 @@ from countspark.catalog import inputs as fx
 from countspark.catalog.registry import VIEWS, query, r6
 from countspark.functions.rows import sample_names
 from countspark.model import Experiment
-from countspark.operators import detable, filters, joins, normalize as nz, qc, reshape
+from countspark.operators import detable, filters, normalize as nz, qc, reshape
 from countspark.session import keep, new_path, small
 from countspark.sources import delimited, sinks
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from countspark.functions.rows import _dense_blocks, feature_rows, map_blocks, sample_index, sample_names
 from countspark.functions.special import f_tail
-from countspark.operators.linear import Design, design_arrays, design_matrix
-from countspark.operators.multivariate import _fix_signs, _fold_matrix, sample_components
+from countspark.operators.linear import design_arrays
+from countspark.operators.multivariate import sample_components
 from countspark.operators.negbin import LN2, nb_dispersion_deseq, nb_input
 from countspark.operators.normalize import size_factors as estimate_size_factors
 from countspark.session import keep, local_table, small

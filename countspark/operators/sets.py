@@ -15,7 +15,7 @@ from countspark.functions.adjust import bh_adjust
 from countspark.functions.rows import _dense_blocks, feature_rows, map_blocks
 from countspark.functions.scans import scan
 from countspark.functions.special import t_tail, t_two_sided
-from countspark.operators.linear import LinearFit, contrast_weights, design_arrays, ebayes_moderate, make_contrasts, variance_prior
+from countspark.operators.linear import LinearFit, design_arrays, ebayes_moderate, make_contrasts, variance_prior
 from countspark.session import collect_small, keep, small
 
 
