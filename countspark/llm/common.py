@@ -90,6 +90,15 @@ def runs(texts: list[bytes], classes: np.ndarray = WORD_BYTES, fold: np.ndarray
     return joined, hashes, np.searchsorted(ends, starts, side="right"), starts, lengths
 
 
+def stretch_hashes(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
+    """Hashes of non-empty stretches of the joined bytes, equal to those that ``runs`` gives to the same bytes."""
+    lengths = ends - starts
+    before = np.cumsum(lengths) - lengths
+    place = np.arange(lengths.sum()) - np.repeat(before, lengths)
+    values = (fold[joined[place + np.repeat(starts, lengths)]].astype(np.uint64) + np.uint64(1)) * _powers(int(lengths.max()))[place]
+    return mix(np.add.reduceat(values, before) ^ (lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """Hashes of the lower-cased words of one text of any length."""
     return np.concatenate([runs([p])[1] for p in pieces(text)])

@@ -92,6 +92,28 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     a hash of key and text, so the result does not depend on the order of the rows; of equal rows any may come first. An empty table
     gives an empty result; other columns are ignored.
     """
+    return _mix(docs, key, text, source, share, most, weights, slots).drop("at").withColumnRenamed("id", key)
+
+
+def mix_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """All rows of ``docs`` with ``taken`` and ``first_slot`` of ``mix`` behind their columns (columns of these names are replaced)."""
+    found = keep(_mix(docs, key, text, options.pop("source", "source"), **{"share": 1.5, "most": 2.0, "weights": WEIGHTS, "slots": SLOTS} | options)
+                 .select(F.col("id").alias("_id"), F.col("at").alias("_at"), "taken", "first_slot"))
+    rows = docs.drop("taken", "first_slot")
+    same = rows[key].eqNullSafe(found["_id"]) & (F.xxhash64(rows[key], rows[text]) == found["_at"])
+    if found.groupBy("_id", "_at").count().where("count > 1").isEmpty():
+        return rows.join(found, same).drop("_id", "_at")
+    # of equal rows any may have any of their shares, but each of them one
+    each = W.partitionBy("_id", "_at").orderBy("taken", "first_slot")
+    found = found.withColumn("_no", F.row_number().over(each))
+    named = rows.withColumns({"_key": rows[key], "_hash": F.xxhash64(rows[key], rows[text])})
+    named = named.withColumn("_nth", F.row_number().over(W.partitionBy("_key", "_hash").orderBy("_hash")))
+    same = named["_key"].eqNullSafe(found["_id"]) & (named["_hash"] == found["_at"]) & (named["_nth"] == found["_no"])
+    return named.join(found, same).drop("_id", "_at", "_no", "_key", "_hash", "_nth")
+
+
+def _mix(docs: DataFrame, key: str, text: str, source: str, share: float, most: float, weights: tuple[int, ...], slots: int) -> DataFrame:
+    """``mix`` with the key as ``id`` and the hash of key and text as ``at``."""
     rows = keep(docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"),
                             F.xxhash64(F.col(key), F.col(text)).alias("at")))
     targets = keep(source_targets(rows, share=share, most=most, weights=weights).withColumn("goal", F.round("target").cast("bigint")))
@@ -112,7 +134,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     streams = scan(rows.where("size > 0"), ["source"], [F.col("at"), F.col("id")], sums={"_end": "size"})
     where = streams.join(small(named), F.col("source").eqNullSafe(F.col("_source")))
     where = where.withColumn("_uid", F.monotonically_increasing_id())
-    where = keep(where.select("_uid", "id", "size", "source_size", "target", "place", (F.col("_end") - F.col("size")).alias("start"), F.col("_end").alias("end")))
+    where = keep(where.select("_uid", "id", "at", "size", "source_size", "target", "place", (F.col("_end") - F.col("size")).alias("start"), F.col("_end").alias("end")))
     in_blocks = where.select("_uid", "place", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).alias("doc_b"))
     low = F.greatest(F.col("start") - F.col("doc_b") * block, F.lit(0))
     high = F.least(F.col("end") - F.col("doc_b") * block, F.lit(block))
@@ -120,9 +142,9 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
         F.col("_uid").alias("_of"), "slot", F.greatest(F.lit(0), F.least(high, F.col("words")) - low).alias("got")).where("got > 0")
     taken = met.groupBy("_of").agg(F.sum("got").alias("taken"), F.min("slot").alias("first_slot"))
     full = where.join(taken, F.col("_uid") == F.col("_of"), "left").select(
-        F.col("id").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "first_slot")
+        "id", "at", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "first_slot")
     empty = rows.where("size = 0").join(small(named), F.col("source").eqNullSafe(F.col("_source"))).select(
-        F.col("id").alias(key), "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"), F.lit(None).cast("bigint").alias("first_slot"))
+        "id", "at", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"), F.lit(None).cast("bigint").alias("first_slot"))
     return full.unionByName(empty)
 
 
