@@ -8,8 +8,8 @@ from countspark.catalog import inputs as fx
 from countspark.catalog.q_tables import de_table
 from countspark.catalog.registry import VIEWS, query, r6
 from countspark.model import Experiment
-from countspark.operators import detable, joins
-from countspark.session import small
+from countspark.operators import detable, joins, normalize as nz
+from countspark.session import keep, small
 
 PAT = fx.CONTRASTS
 
@@ -86,9 +86,9 @@ def _(spark, sf):
 
 
 VIEWS["fx_pairs"] = """
-SELECT a.feature, sa.subject, a.raw_count AS value_1, b.raw_count AS value_2
-FROM fx_counts a JOIN fx_samples sa ON sa.sample = a.sample AND sa.cond = 'ctrl'
-JOIN fx_samples sb ON sb.subject = sa.subject AND sb.cond = 'case' JOIN fx_counts b ON b.sample = sb.sample AND b.feature = a.feature"""
+SELECT a.feature, sa.subject, a.sample AS sample_1, b.sample AS sample_2, a.raw_count AS value_1, b.raw_count AS value_2
+FROM fx_dense a JOIN fx_samples sa ON sa.sample = a.sample AND sa.cond = 'ctrl'
+JOIN fx_samples sb ON sb.subject = sa.subject AND sb.cond = 'case' JOIN fx_dense b ON b.sample = sb.sample AND b.feature = a.feature"""
 
 
 def pairs(spark, sf):
@@ -100,6 +100,12 @@ def _(spark, sf):
     return pairs(spark, sf)
 
 
+@query("paired_counts_grade", VIEWS["fx_pairs"].replace("sa.cond = 'ctrl'", "sa.grade = 'g0'").replace("sb.cond = 'case'", "sb.grade = 'g1'").replace("sa.subject", "sa.cond").replace("sb.subject", "sb.cond").replace("sa.cond, a.sample", "sa.cond AS subject, a.sample"))
+def _(spark, sf):
+    """Several samples per subject and level: all pairs of them."""
+    return joins.paired_counts(fx.counts_plan(spark, sf), fx.samples(spark, sf), value="raw_count", subject="cond", group="grade", levels=["g0", "g1"])
+
+
 @query("paired_lm", """
 SELECT subject, ROUND(REGR_SLOPE(value_2, value_1), 6) + 0e0 AS slope, ROUND(REGR_INTERCEPT(value_2, value_1), 6) + 0e0 AS intercept, COUNT(*) AS n
 FROM fx_pairs GROUP BY subject""")
@@ -224,3 +230,35 @@ WHERE GREATEST(COALESCE(x, 0), COALESCE(y, 0)) > 0 AND LEAST(COALESCE(x, 0), COA
 def _(spark, sf):
     wide = detable.compare_des({"a": de_table(spark, sf), "b": de_table(spark, sf, 211)}, ["g1_vs_g0"])[0]
     return detable.venn_counts(wide.toDF("feature", "a_g1", "b_g1"), direction=1)
+
+
+VIEWS["fx_match"] = """
+SELECT DISTINCT k.contrast, d.sample FROM fx_design d JOIN (
+  SELECT 'g1_vs_g0' AS contrast, 'g1' AS coef UNION ALL SELECT 'g1_vs_g0', 'g0' UNION ALL SELECT 'g2_vs_g0', 'g2' UNION ALL SELECT 'g2_vs_g0', 'g0') k ON k.coef = d.coef WHERE d.value <> 0"""
+
+
+@query("top_tags_counts", """
+SELECT t.feature, t.contrast, t.rank, t.de, d.sample, d.raw_count FROM fx_det t JOIN fx_match m ON m.contrast = t.contrast
+JOIN fx_dense d ON d.feature = t.feature AND d.sample = m.sample WHERE t.rank <= 50 AND t.de IN (1, -1)""")
+def _(spark, sf):
+    from countspark.operators.linear import design_matrix, make_contrasts
+
+    design = design_matrix(fx.samples(spark, sf), ["grade"], intercept=False)
+    match = joins.contrast_sample_match(design, make_contrasts(design, {"g1_vs_g0": "g1-g0", "g2_vs_g0": "g2-g0"}, prefix="grade"))
+    out = detable.top_tags_counts(de_table(spark, sf), fx.counts(spark, sf), keep(match), value="raw_count")
+    return out.select("feature", "contrast", "rank", "de", "sample", "raw_count")
+
+
+@query("top_tags_pairs", """
+SELECT t.feature, t.contrast, t.rank, p.subject, p.value_1, p.value_2 FROM fx_det t JOIN fx_pairs p ON p.feature = t.feature WHERE t.rank <= 50 AND t.de IN (1, -1)""")
+def _(spark, sf):
+    return detable.top_tags_pairs(de_table(spark, sf), pairs(spark, sf)).select("feature", "contrast", "rank", "subject", "value_1", "value_2")
+
+
+@query("average_log2rpkm", """
+SELECT c.feature, c.sample, c.raw_count, d.avg_log2cpm, ROUND(d.avg_log2cpm - LOG2(f.length_bp / 1000e0), 6) + 0e0 AS avg_log2rpkm FROM fx_counts c
+LEFT JOIN (SELECT DISTINCT feature, avg_log2cpm FROM fx_det) d ON d.feature = c.feature LEFT JOIN fx_features f ON f.feature = c.feature""")
+def _(spark, sf):
+    """Both averages next to the counts."""
+    de = nz.average_log2rpkm(de_table(spark, sf), fx.features(spark, sf)).withColumn("avg_log2rpkm", r6("avg_log2rpkm"))
+    return joins.join_de_counts(fx.counts_plan(spark, sf), de, average=["avg_log2cpm", "avg_log2rpkm"])

@@ -80,7 +80,18 @@ def _(spark, sf):
     return fit.table.select("feature", r6(F.col("coef")[0]).alias("b_case"), r6(F.col("coef")[1]).alias("b_ctrl"))
 
 
-@query("ebayes_moderate")
+@query("ebayes_moderate", """
+SELECT feature, 'case_vs_ctrl' AS contrast, ROUND(AVG(log2cpm), 5) + 0e0 AS avg_log2cpm,
+       ROUND(AVG(log2cpm) FILTER (cond = 'case') - AVG(log2cpm) FILTER (cond = 'ctrl'), 5) + 0e0 AS avg_log2fc, 0 AS off_centre FROM fx_planted_log2cpm JOIN fx_samples USING (sample) GROUP BY feature""")
+def _(spark, sf):
+    """Averages and changes in closed form; the limits lie evenly around the change and the statistic has its sign."""
+    d = design(spark, sf)
+    out = linear.ebayes_moderate(linear.lm_fit(planted_log2cpm(spark, sf), "log2cpm", d), linear.make_contrasts(d, CASE, prefix="cond"))
+    off = (F.abs((F.col("ci_l") + F.col("ci_r")) / 2 - F.col("avg_log2fc")) > 1e-9) | (F.col("t") * F.col("avg_log2fc") < 0) | ~F.col("p_value").between(0, 1)
+    return _r(out.select("feature", "contrast", "avg_log2cpm", "avg_log2fc", off.cast("int").alias("off_centre")), "avg_log2cpm", "avg_log2fc", digits=5)
+
+
+@query("ebayes_moderate_full")
 def _(spark, sf):
     d = design(spark, sf)
     fit = linear.lm_fit(planted_log2cpm(spark, sf), "log2cpm", d)
@@ -90,14 +101,14 @@ def _(spark, sf):
 VIEWS["fx_planted_lib"] = "SELECT sample, SUM(raw_count) AS n FROM fx_planted GROUP BY sample"
 
 
-@query("voom_expression", """
+@query("voom_weights", """
 SELECT d.feature, d.sample, ROUND(LOG2((d.raw_count + 0.5e0) / (l.n + 1) * 1e6), 6) + 0e0 AS e FROM fx_planted d JOIN fx_planted_lib l ON l.sample = d.sample""")
 def _(spark, sf):
     counts, d, _ = case_control(spark, sf)
     return _r(linear.voom_weights(counts, d).long(fx.samples(spark, sf)).select("feature", "sample", "e"), "e")
 
 
-@query("voom_weights")
+@query("voom_weights_trend")
 def _(spark, sf):
     counts, d, _ = case_control(spark, sf)
     voom = linear.voom_weights(counts, d, factors=keep(nz.tmm_factors(counts)))
@@ -151,7 +162,33 @@ def _(spark, sf):
     return _r(negbin.nb_dispersion_edger(edger_input(spark, sf)[0]), "avg_log2cpm", "common", "trended", "dispersion", digits=5)
 
 
-@query("bcv_data")
+VIEWS["fx_dispersions"] = """
+SELECT feature, feature % 13 + 0.5e0 AS avg_log2cpm, (feature % 40) * 1e0 AS base_mean, 0.04e0 AS common, 0.01e0 + (feature % 13) / 100e0 AS trended,
+       0.01e0 + (feature % 29) / 50e0 AS dispersion, 0.02e0 + (feature % 31) / 50e0 AS disp_gene, 0.03e0 + (feature % 7) / 50e0 AS disp_fit, feature % 17 = 0 AS outlier
+FROM (SELECT DISTINCT feature FROM fx_counts) q"""
+
+
+def plain_dispersions(spark, sf):
+    """Dispersions by a rule, for what is done with dispersions."""
+    f = F.col("feature")
+    ids = fx.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("feature")).distinct()
+    return ids.select("feature", (f % 13 + F.lit(0.5)).alias("avg_log2cpm"), (f % 40).cast("double").alias("base_mean"), F.lit(0.04).alias("common"), (F.lit(0.01) + f % 13 / F.lit(100.0)).alias("trended"),
+                      (F.lit(0.01) + f % 29 / F.lit(50.0)).alias("dispersion"), (F.lit(0.02) + f % 31 / F.lit(50.0)).alias("disp_gene"), (F.lit(0.03) + f % 7 / F.lit(50.0)).alias("disp_fit"), (f % 17 == 0).alias("outlier"))
+
+
+@query("bcv_data", """
+SELECT feature, avg_log2cpm, ROUND(SQRT(common), 6) AS bcv_common, ROUND(SQRT(trended), 6) AS bcv_trended, ROUND(SQRT(dispersion), 6) AS bcv_tagwise FROM fx_dispersions""")
+def _(spark, sf):
+    return _r(negbin.bcv_data(plain_dispersions(spark, sf)), "bcv_common", "bcv_trended", "bcv_tagwise")
+
+
+@query("disp_plot_data", """
+SELECT feature, base_mean, ROUND(disp_gene, 6) AS disp_gene, ROUND(disp_fit, 6) AS disp_fit, ROUND(dispersion, 6) AS dispersion, outlier FROM fx_dispersions WHERE base_mean > 0""")
+def _(spark, sf):
+    return _r(negbin.disp_plot_data(plain_dispersions(spark, sf)), "disp_gene", "disp_fit", "dispersion")
+
+
+@query("bcv_data_estimated")
 def _(spark, sf):
     return _r(negbin.bcv_data(negbin.nb_dispersion_edger(edger_input(spark, sf)[0])), "avg_log2cpm", "bcv_common", "bcv_trended", "bcv_tagwise", digits=5)
 
@@ -166,12 +203,12 @@ def _(spark, sf):
     return _r(negbin.nb_dispersion_deseq(deseq_input(spark, sf)[0], fit="parametric"), "base_mean", "disp_gene", "disp_fit", "dispersion", digits=5)
 
 
-@query("disp_plot_data")
+@query("disp_plot_data_estimated")
 def _(spark, sf):
     return _r(negbin.disp_plot_data(negbin.nb_dispersion_deseq(deseq_input(spark, sf)[0])), "base_mean", "disp_gene", "disp_fit", "dispersion", digits=5)
 
 
-@query("nb_glm_fit")
+@query("nb_glm_fit_dispersions")
 def _(spark, sf):
     fit, _ = edger_fit(spark, sf)
     return fit.table.select("feature", r6(F.col("coef")[0], 5).alias("b_case"), r6(F.col("coef")[1], 5).alias("b_ctrl"), r6("loglik", 4).alias("loglik"), r6("avg_log2cpm", 5).alias("avg_log2cpm"))
@@ -180,7 +217,7 @@ def _(spark, sf):
 VIEWS["fx_tested"] = "SELECT feature FROM fx_planted GROUP BY feature HAVING SUM(raw_count) > 0"
 
 
-@query("nb_glm_fit_poisson", """
+@query("nb_glm_fit", """
 SELECT d.feature, ROUND(LN(SUM(d.raw_count) FILTER (s.cond = 'case') / CAST(SUM(l.n) FILTER (s.cond = 'case') AS DOUBLE)), 3) + 0e0 AS b_case,
        ROUND(LN(SUM(d.raw_count) FILTER (s.cond = 'ctrl') / CAST(SUM(l.n) FILTER (s.cond = 'ctrl') AS DOUBLE)), 3) + 0e0 AS b_ctrl
 FROM fx_planted d JOIN fx_samples s ON s.sample = d.sample JOIN fx_planted_lib l ON l.sample = d.sample GROUP BY d.feature
@@ -191,25 +228,74 @@ def _(spark, sf):
     return fit.table.select("feature", r6(F.col("coef")[0], 3).alias("b_case"), r6(F.col("coef")[1], 3).alias("b_ctrl"))
 
 
-@query("glm_lrt")
+VIEWS["fx_two_groups"] = """
+SELECT d.feature, CAST(SUM(d.raw_count) FILTER (s.cond = 'case') AS DOUBLE) AS s1, CAST(SUM(d.raw_count) FILTER (s.cond = 'ctrl') AS DOUBLE) AS s2,
+       CAST(SUM(l.n) FILTER (s.cond = 'case') AS DOUBLE) AS n1, CAST(SUM(l.n) FILTER (s.cond = 'ctrl') AS DOUBLE) AS n2
+FROM fx_planted d JOIN fx_samples s ON s.sample = d.sample JOIN fx_planted_lib l ON l.sample = d.sample GROUP BY d.feature
+HAVING SUM(d.raw_count) FILTER (s.cond = 'case') > 0 AND SUM(d.raw_count) FILTER (s.cond = 'ctrl') > 0"""
+POISSON = """SELECT feature, 'NAME' AS contrast, ROUND(LN(s1 / n1 * n2 / s2) / LN(2e0), 2) + 0e0 AS avg_log2fc, ROUND(SQRT(1 / s1 + 1 / s2) / LN(2e0), 2) + 0e0 AS lfc_se,
+  ROUND(STAT, 2) + 0e0 AS stat FROM fx_two_groups"""
+WALD = "LN(s1 / n1 * n2 / s2) / SQRT(1 / s1 + 1 / s2)"
+
+
+def poisson_fit(spark, sf):
+    """Two groups without overdispersion, where the estimates have a closed form; features without counts in a group are left out."""
+    counts, d, contrasts = case_control(spark, sf)
+    sides = counts.join(small(fx.samples(spark, sf).select("sample", "cond")), "sample").where("raw_count > 0").groupBy("feature").agg(F.countDistinct("cond").alias("n"))
+    both = keep(sides.where("n = 2").select("feature", F.lit(1e-9).alias("dispersion")))
+    return negbin.nb_glm_fit(negbin.nb_input(counts, d), both), contrasts, d
+
+
+def _statistics(df):
+    return _r(df.select("feature", "contrast", "avg_log2fc", "lfc_se", "stat"), "avg_log2fc", "lfc_se", "stat", digits=2)
+
+
+@query("glm_lrt", """
+SELECT feature, 'case_vs_ctrl' AS contrast, ROUND(LN(s1 / n1 * n2 / s2) / LN(2e0), 2) + 0e0 AS avg_log2fc,
+  ROUND(2 * (s1 * LN(s1 / ((s1 + s2) * n1 / (n1 + n2))) + s2 * LN(s2 / ((s1 + s2) * n2 / (n1 + n2)))), 1) + 0e0 AS stat FROM fx_two_groups""")
+def _(spark, sf):
+    fit, contrasts, _ = poisson_fit(spark, sf)
+    out = negbin.glm_lrt(fit, contrasts)
+    return out.select("feature", "contrast", r6("avg_log2fc", 2).alias("avg_log2fc"), r6("stat", 1).alias("stat"))
+
+
+@query("nb_wald", POISSON.replace("NAME", "case_vs_ctrl").replace("STAT", WALD))
+def _(spark, sf):
+    fit, contrasts, _ = poisson_fit(spark, sf)
+    return _statistics(negbin.nb_wald(fit, contrasts))
+
+
+@query("wald_lfc_threshold", POISSON.replace("NAME", "case_vs_ctrl").replace("STAT", "(ABS(LN(s1 / n1 * n2 / s2)) - LN(2e0)) / SQRT(1 / s1 + 1 / s2)"))
+def _(spark, sf):
+    fit, contrasts, _ = poisson_fit(spark, sf)
+    return _statistics(negbin.wald_lfc_threshold(fit, contrasts))
+
+
+@query("results_contrast", POISSON.replace("NAME", "cond_case_vs_ctrl").replace("STAT", WALD))
+def _(spark, sf):
+    fit, _, d = poisson_fit(spark, sf)
+    return _statistics(negbin.results_contrast(fit, d, ("cond", "case", "ctrl")))
+
+
+@query("glm_lrt_dispersions")
 def _(spark, sf):
     fit, contrasts = edger_fit(spark, sf)
     return _r(negbin.glm_lrt(fit, contrasts), "avg_log2cpm", "avg_log2fc", "stat", digits=4)
 
 
-@query("nb_wald")
+@query("nb_wald_dispersions")
 def _(spark, sf):
     fit, contrasts, _ = deseq_fit(spark, sf)
     return _r(negbin.nb_wald(fit, contrasts), "base_mean", "avg_log2cpm", "avg_log2fc", "lfc_se", "stat", digits=4)
 
 
-@query("wald_lfc_threshold")
+@query("wald_lfc_threshold_dispersions")
 def _(spark, sf):
     fit, contrasts, _ = deseq_fit(spark, sf)
     return _r(negbin.wald_lfc_threshold(fit, contrasts), "base_mean", "avg_log2cpm", "avg_log2fc", "lfc_se", "stat", digits=4)
 
 
-@query("results_contrast")
+@query("results_contrast_dispersions")
 def _(spark, sf):
     fit, _, d = deseq_fit(spark, sf)
     return _r(negbin.results_contrast(fit, d, ("cond", "case", "ctrl")), "base_mean", "avg_log2cpm", "avg_log2fc", "lfc_se", "stat", digits=4)
@@ -226,12 +312,12 @@ def _(spark, sf):
 @query("filter_rejections", """
 SELECT contrast, i, MAX(rk) AS n_rejected FROM (
   SELECT q.*, ROW_NUMBER() OVER (PARTITION BY contrast, i ORDER BY p_value, feature) AS rk, COUNT(*) OVER (PARTITION BY contrast, i) AS m FROM (
-    SELECT d.contrast, d.feature, d.p_value, UNNEST(RANGE(1, 11)) AS i, c.cuts, d.avg_log2cpm FROM fx_de d
-    JOIN (SELECT contrast, QUANTILE_CONT(avg_log2cpm, [0, 0.95/9, 2*0.95/9, 3*0.95/9, 4*0.95/9, 5*0.95/9, 6*0.95/9, 7*0.95/9, 8*0.95/9, 0.95]) AS cuts FROM fx_de GROUP BY contrast) c
+    SELECT d.contrast, d.feature, d.p_value, UNNEST(RANGE(1, 51)) AS i, c.cuts, d.avg_log2cpm FROM fx_de d
+    JOIN (SELECT contrast, QUANTILE_CONT(avg_log2cpm, [""" + ", ".join(f"{i} * 0.95e0 / 49" for i in range(50)) + """]) AS cuts FROM fx_de GROUP BY contrast) c
       ON c.contrast = d.contrast WHERE d.p_value IS NOT NULL) q WHERE avg_log2cpm >= cuts[i]) r
 WHERE p_value <= 0.1e0 * rk / m AND p_value <= 0.1 GROUP BY contrast, i""")
 def _(spark, sf):
-    counts = negbin.rejections_by_cut(keep(fx.de_raw(spark, sf)), "avg_log2cpm", alpha=0.1, cuts=10)[1]
+    counts = negbin.rejections_by_cut(keep(fx.de_raw(spark, sf)), "avg_log2cpm", alpha=0.1, cuts=50)[1]
     return counts.select("contrast", F.col("i").cast("bigint").alias("i"), "n_rejected")
 
 
@@ -243,7 +329,20 @@ def _(spark, sf):
     return _r(negbin.lfc_shrink(negbin.nb_glm_fit(data, keep(negbin.nb_dispersion_deseq(data))), "condcase"), "lfc_mle", "lfc_shrunk", "lfc_sd", digits=4)
 
 
-@query("exact_test")
+@query("exact_test", """
+SELECT d.feature, 'case_vs_ctrl' AS contrast, ROUND(LOG2((SUM(d.raw_count * c.common / l.n) FILTER (s.cond = 'case') / COUNT(*) FILTER (s.cond = 'case') + 0.125e0)
+   / (SUM(d.raw_count * c.common / l.n) FILTER (s.cond = 'ctrl') / COUNT(*) FILTER (s.cond = 'ctrl') + 0.125e0)), 4) + 0e0 AS avg_log2fc
+FROM fx_planted d JOIN fx_samples s ON s.sample = d.sample JOIN fx_planted_lib l ON l.sample = d.sample CROSS JOIN (SELECT EXP(AVG(LN(n))) AS common FROM fx_planted_lib) c
+GROUP BY d.feature HAVING SUM(d.raw_count) > 0""")
+def _(spark, sf):
+    """The change in closed form; the tails are tested against sums over all splits."""
+    counts, _, _ = case_control(spark, sf)
+    dispersion = counts.select("feature").distinct().withColumn("dispersion", F.lit(0.05))
+    out = negbin.exact_test(counts, fx.samples(spark, sf), dispersion, group="cond", pair=("ctrl", "case"))
+    return _r(out.select("feature", "contrast", "avg_log2fc"), "avg_log2fc", digits=4)
+
+
+@query("exact_test_dispersions")
 def _(spark, sf):
     counts, d, _ = case_control(spark, sf)
     dispersion = negbin.nb_dispersion_edger(negbin.nb_input(counts, d))
@@ -255,15 +354,31 @@ def _(spark, sf):
     return _r(hidden.rlog(fx.counts(spark, sf), fx.samples(spark, sf)), "rlog", digits=4)
 
 
+def normalised_planted(spark, sf):
+    counts, sheet = fx.planted(spark, sf), fx.samples(spark, sf)
+    norm = nz.normalized_counts(counts, keep(nz.size_factors(counts, sheet.count())))
+    return keep(filters.filter_min_mean(norm, "norm_count", sheet.count(), gt=1))
+
+
+def hidden_factors(spark, sf):
+    d, null = design(spark, sf, ("cond",), intercept=True), keep(fx.samples(spark, sf).select("sample", F.lit("Intercept").alias("coef"), F.lit(1.0).alias("value")))
+    return hidden.sva_factors(normalised_planted(spark, sf), d, null, value="norm_count")
+
+
 @query("sva_factors")
 def _(spark, sf):
-    d, null = design(spark, sf, ("cond",), intercept=True), keep(fx.samples(spark, sf).select("sample", F.lit("Intercept").alias("coef"), F.lit(1.0).alias("value")))
-    kept = filters.filter_min_mean(fx.planted(spark, sf), "raw_count", fx.samples(spark, sf).count(), gt=1)
-    return _r(hidden.sva_factors(kept, d, null), "value", digits=5)
+    return _r(hidden_factors(spark, sf), "value", digits=5)
+
+
+@query("sva_refit")
+def _(spark, sf):
+    """The model fitted again with the hidden factors in its design."""
+    exp = experiment(spark, sf)
+    return _result(pipelines.deseq2_analysis(exp.but(design=hidden.add_factors(exp.design, hidden_factors(spark, sf), prefix="SV"))))
 
 
 @query("ruv_factors")
 def _(spark, sf):
-    kept = keep(filters.filter_count_occurrence(fx.planted(spark, sf)))
+    kept = keep(nz.upper_quartile_norm(keep(filters.filter_count_occurrence(fx.planted(spark, sf)))))
     controls = pipelines.voom_analysis(experiment(spark, sf)).where("p_value > 0.1")
-    return _r(hidden.ruv_factors(kept, fx.samples(spark, sf), controls), "value", digits=5)
+    return _r(hidden.ruv_factors(kept, fx.samples(spark, sf), controls, value="norm_count"), "value", digits=5)

@@ -39,9 +39,14 @@ def _(spark, sf):
     return _r(pw.sample_corr_spearman(fx.counts(spark, sf), "raw_count", fx.samples(spark, sf)), "corr")
 
 
-@query("corr_distance", "SELECT a.sample AS sample_a, b.sample AS sample_b, ROUND(1 - CORR(a.value, b.value), 6) + 0e0 AS distance " + PAIR.format(t="fx_vectors"))
+VIEWS["fx_label_vectors"] = "SELECT label AS sample, feature, AVG(value) AS value FROM fx_vectors GROUP BY label, feature"
+
+
+@query("corr_distance", "SELECT a.sample AS sample_a, b.sample AS sample_b, ROUND(1 - CORR(a.value, b.value), 6) + 0e0 AS distance " + PAIR.format(t="fx_label_vectors"))
 def _(spark, sf):
-    return _r(pw.corr_distance(vectors(spark, sf), "value"), "distance")
+    """Distances between classes: their pairs do not grow with the vectors."""
+    means = fx.vectors(spark, sf).groupBy(F.col("label").alias("sample"), "feature").agg(F.avg("value").alias("value"))
+    return _r(pw.corr_distance(keep(means), "value"), "distance")
 
 
 VIEWS["fx_feature_ranks"] = """
@@ -63,15 +68,16 @@ def _(spark, sf):
     return _r(pw.sample_dist_euclid(log2cpm(spark, sf), "log2cpm"), "distance")
 
 
-@query("sample_dist_poisson")
+@query("sample_dist_poisson_fitted")
 def _(spark, sf):
+    """With the power that fits the data best."""
     return _r(pw.sample_dist_poisson(fx.counts(spark, sf), fx.samples(spark, sf)), "distance")
 
 
 VIEWS["fx_dense_half"] = "SELECT feature, sample, SQRT(raw_count) AS x, SUM(SQRT(raw_count)) OVER (PARTITION BY sample) AS n FROM fx_dense"
 
 
-@query("sample_dist_poisson_fixed", """
+@query("sample_dist_poisson", """
 SELECT sample_a, sample_b, ROUND(SQRT(SUM(ea - ea * (xa + 1) / (ea + 1) + xa * LN((xa + 1) / (ea + 1)) + eb - eb * (xb + 1) / (eb + 1) + xb * LN((xb + 1) / (eb + 1)))), 6) AS distance
 FROM (SELECT a.sample AS sample_a, b.sample AS sample_b, a.x AS xa, b.x AS xb, (a.x + b.x) * a.n / (a.n + b.n) AS ea, (a.x + b.x) * b.n / (a.n + b.n) AS eb
       FROM fx_dense_half a JOIN fx_dense_half b ON b.feature = a.feature AND b.sample > a.sample) q GROUP BY sample_a, sample_b""")
@@ -91,17 +97,39 @@ def pca(spark, sf, **kw):
     return mv.pca_samples(log2cpm(spark, sf), "log2cpm", fx.samples(spark, sf), **kw)
 
 
-@query("mds")
+def _coordinate_distances(scores):
+    """Distance of each pair of samples in the given coordinates."""
+    other = scores.select(F.col("sample").alias("sample_b"), "dim", F.col("score").alias("score_b"))
+    both = scores.withColumnRenamed("sample", "sample_a").join(other, "dim").where("sample_a < sample_b")
+    return _r(both.groupBy("sample_a", "sample_b").agg(F.sqrt(F.sum(F.pow(F.col("score") - F.col("score_b"), F.lit(2.0)))).alias("distance")), "distance", 5)
+
+
+EUCLID = "SELECT a.sample AS sample_a, b.sample AS sample_b, ROUND(SQRT(SUM((a.log2cpm - b.log2cpm) ** 2)), 5) AS distance " + PAIR.format(t="fx_log2cpm")
+
+
+@query("mds", EUCLID)
+def _(spark, sf):
+    """All dimensions of a Euclidean table reproduce its distances."""
+    return _coordinate_distances(keep(mv.mds(pw.sample_dist_euclid(log2cpm(spark, sf), "log2cpm"), k=fx.samples(spark, sf).count())))
+
+
+@query("mds_leading")
 def _(spark, sf):
     return _r(mv.mds(pw.leading_logfc_dist(log2cpm(spark, sf))), "score")
 
 
-@query("pca_samples")
+@query("pca_samples", EUCLID)
+def _(spark, sf):
+    """All components of all features reproduce the distances."""
+    return _coordinate_distances(keep(pca(spark, sf, n_top=None, k=11).scores))
+
+
+@query("pca_scores")
 def _(spark, sf):
     return _r(pca(spark, sf).scores, "score")
 
 
-@query("pca_variance")
+@query("pca_variance_scaled")
 def _(spark, sf):
     out = mv.pca_variance(pca(spark, sf, n_top=None, scale=True))
     return out.select("dim", *[r6(c).alias(c) for c in ("eigenvalue", "percent", "cumulative")])
@@ -110,21 +138,35 @@ def _(spark, sf):
 VIEWS["fx_centered"] = "SELECT feature, sample, log2cpm - AVG(log2cpm) OVER (PARTITION BY feature) AS x FROM fx_log2cpm"
 
 
-@query("pca_total_variance", "SELECT ROUND(SUM(x * x) / ((SELECT COUNT(*) FROM fx_samples) - 1), 4) AS total_variance FROM fx_centered")
+@query("pca_variance", "SELECT ROUND(SUM(x * x) / ((SELECT COUNT(*) FROM fx_samples) - 1), 4) AS total_variance FROM fx_centered")
 def _(spark, sf):
     out = mv.pca_variance(pca(spark, sf, n_top=None, k=11))
     return out.agg(F.round(F.sum("eigenvalue"), 4).alias("total_variance"))
 
 
-@query("pca_dim_pairs")
+VIEWS["fx_scores"] = "SELECT sample, CAST(UNNEST(RANGE(1, 5)) AS INT) AS dim, (sample * 7 + UNNEST(RANGE(1, 5)) * 3) % 11 - 4.5e0 AS score FROM fx_samples"
+
+
+def plain_scores(spark, sf):
+    """Scores by a rule, for what is done with scores."""
+    dims = F.explode(F.sequence(F.lit(1), F.lit(4)))
+    scores = fx.samples(spark, sf).select("sample", dims.alias("dim")).withColumn("score", (F.col("sample") * 7 + F.col("dim") * 3) % 11 - F.lit(4.5))
+    return mv.Pca(scores=scores, variance=None, loadings=None)
+
+
+@query("pca_dim_pairs", """
+SELECT a.sample, a.dim AS dim_a, b.dim AS dim_b, a.score AS score_a, b.score AS score_b, s.cond, s.grade, s.subject FROM fx_scores a
+JOIN fx_scores b ON b.sample = a.sample AND b.dim > a.dim JOIN fx_samples s ON s.sample = a.sample WHERE a.dim <= 3 AND b.dim <= 3""")
 def _(spark, sf):
-    out = mv.pca_dim_pairs(pca(spark, sf), fx.samples(spark, sf), [1, 2, 3])
-    return _r(_r(out, "score_a"), "score_b")
+    return mv.pca_dim_pairs(plain_scores(spark, sf), fx.samples(spark, sf), [1, 2, 3])
 
 
-@query("pca_by_group")
+@query("pca_by_group", """
+SELECT p.sample, p.dim, p.score, 'cond' AS variable, s.cond AS level FROM fx_scores p JOIN fx_samples s ON s.sample = p.sample
+UNION ALL SELECT p.sample, p.dim, p.score, 'grade', s.grade FROM fx_scores p JOIN fx_samples s ON s.sample = p.sample""")
 def _(spark, sf):
-    return _r(mv.pca_by_group(pca(spark, sf), fx.samples(spark, sf)), "score")
+    """The numeric covariate stays out."""
+    return mv.pca_by_group(plain_scores(spark, sf), fx.samples(spark, sf))
 
 
 @query("pca_loadings_top")

@@ -9,7 +9,7 @@ from countspark.catalog.q_tables import DE_COLS, de_table
 from countspark.catalog.registry import VIEWS, query, r6
 from countspark.functions.adjust import bh_adjust, holm_filter
 from countspark.operators import detable, normalize as nz, qc, reshape
-from countspark.session import keep, small
+from countspark.session import keep, local_table, small
 
 
 def token_samples(tokens):
@@ -100,6 +100,15 @@ def _(spark, sf):
     return qc.group_levels(fx.samples(spark, sf))
 
 
+@query("default_covariate", """
+SELECT 1 AS n, 'grade' AS by_formula, CASE WHEN COUNT(DISTINCT cond) > 1 THEN 'cond' WHEN COUNT(DISTINCT grade) > 1 THEN 'grade' END AS by_levels FROM fx_samples
+UNION ALL SELECT 2, 'cond', CASE WHEN COUNT(DISTINCT cond) > 1 AND COUNT(DISTINCT grade) > 1 THEN 'grade' END FROM fx_samples UNION ALL SELECT 4, NULL, NULL""")
+def _(spark, sf):
+    sheet = fx.samples(spark, sf)
+    rows = [(n, qc.default_covariate(sheet, n, terms=["batch", "grade", "cond"]), qc.default_covariate(sheet, n)) for n in (1, 2, 4)]
+    return local_table(spark, rows, "n int, by_formula string, by_levels string")
+
+
 @query("refflat_annotation", """
 SELECT f.feature, l.chr, l.strand, ROUND(l.mean_exons_num, 6) AS mean_exons_num, ROUND(l.mean_sum_exons_lengths, 6) AS mean_sum_exons_lengths, l.gene_start, l.gene_end
 FROM fx_features f LEFT JOIN (
@@ -142,7 +151,7 @@ def _(spark, sf):
 
 
 @query("sex_marker_counts", """
-SELECT c.feature, c.sample, c.raw_count, f.symbol, s.cond AS declared_sex FROM fx_counts c JOIN fx_features f ON f.feature = c.feature
+SELECT c.feature, c.sample, c.raw_count, f.symbol, s.cond AS declared_sex FROM fx_dense c JOIN fx_features f ON f.feature = c.feature
 JOIN fx_samples s ON s.sample = c.sample WHERE f.symbol IN ('Brand#11', 'Brand#23')""")
 def _(spark, sf):
     out = qc.sex_marker_counts(fx.counts_plan(spark, sf), fx.samples(spark, sf), fx.features(spark, sf), genes=["Brand#11", "Brand#23"], sex="cond")
@@ -202,26 +211,42 @@ def _(spark, sf):
     return out.select("contrast", F.col("bin").cast("bigint").alias("bin"), r6("share").alias("share"), "n")
 
 
-@query("value_histogram", "SELECT CAST(GREATEST(1, CEIL((raw_count - 0) / 12.5e0)) AS INT) AS bin, COUNT(*) AS n FROM fx_counts WHERE raw_count BETWEEN 0 AND 500 GROUP BY 1")
+@query("value_histogram", """
+SELECT CAST(LEAST(40, GREATEST(1, CEIL((raw_count - low) / ((high - low) / 40e0)))) AS INT) AS bin, COUNT(*) AS n
+FROM fx_counts CROSS JOIN (SELECT CAST(MIN(raw_count) AS DOUBLE) AS low, CAST(MAX(raw_count) AS DOUBLE) AS high FROM fx_counts) r GROUP BY 1""")
+def _(spark, sf):
+    return qc.value_histogram(fx.counts(spark, sf), "raw_count", bins=40)
+
+
+@query("value_histogram_range", """
+SELECT CASE WHEN raw_count < 20 THEN 0 WHEN raw_count > 60 THEN 9 ELSE CAST(GREATEST(1, CEIL((raw_count - 20) / 5e0)) AS INT) END AS bin, COUNT(*) AS n FROM fx_counts GROUP BY 1""")
 def _(spark, sf):
-    return qc.value_histogram(fx.counts_plan(spark, sf), "raw_count", bins=40, low=0, high=500)
+    return qc.value_histogram(fx.counts_plan(spark, sf), "raw_count", bins=8, low=20, high=60)
 
 
+VIEWS["fx_token_values"] = """
+SELECT sample, LOG10(raw_count) AS v, COUNT(*) AS times FROM fx_tokens GROUP BY sample, raw_count
+UNION ALL SELECT sample, LOG10(0.5e0), (SELECT COUNT(DISTINCT feature) FROM fx_tokens) - COUNT(*) FROM fx_tokens GROUP BY sample"""
+VIEWS["fx_token_quart"] = """
+SELECT sample, MAX(v) FILTER (lo1) + (MAX(n) - 1) * 0.25e0 % 1 * (MAX(v) FILTER (hi1) - MAX(v) FILTER (lo1)) AS q1,
+       MAX(v) FILTER (lo3) + (MAX(n) - 1) * 0.75e0 % 1 * (MAX(v) FILTER (hi3) - MAX(v) FILTER (lo3)) AS q3 FROM (
+  SELECT sample, v, n, upto - times <= FLOOR((n - 1) * 0.25e0) AND FLOOR((n - 1) * 0.25e0) < upto AS lo1, upto - times <= CEIL((n - 1) * 0.25e0) AND CEIL((n - 1) * 0.25e0) < upto AS hi1,
+         upto - times <= FLOOR((n - 1) * 0.75e0) AND FLOOR((n - 1) * 0.75e0) < upto AS lo3, upto - times <= CEIL((n - 1) * 0.75e0) AND CEIL((n - 1) * 0.75e0) < upto AS hi3
+  FROM (SELECT *, SUM(times) OVER (PARTITION BY sample ORDER BY v) AS upto, SUM(times) OVER (PARTITION BY sample) AS n FROM fx_token_values WHERE times > 0) a) b GROUP BY sample"""
 VIEWS["fx_bandwidth"] = """
-SELECT sample, n, 0.9e0 * CASE WHEN iqr > 0 THEN LEAST(sd, iqr) ELSE sd END * POWER(n, -0.2e0) * SQRT(3e0) AS h FROM (
-  SELECT sample, COUNT(*) AS n, STDDEV_SAMP(LOG10(raw_count)) AS sd, (QUANTILE_CONT(LOG10(raw_count), 0.75) - QUANTILE_CONT(LOG10(raw_count), 0.25)) / 1.34e0 AS iqr
-  FROM fx_tokens GROUP BY sample) q"""
+SELECT s.sample, s.n, 0.9e0 * CASE WHEN q3 > q1 THEN LEAST(sd, (q3 - q1) / 1.34e0) ELSE sd END * POWER(n, -0.2e0) * SQRT(3e0) AS h FROM (
+  SELECT sample, SUM(times) AS n, SQRT((SUM(times * v * v) - SUM(times * v) * SUM(times * v) / SUM(times)) / (SUM(times) - 1)) AS sd FROM fx_token_values GROUP BY sample) s
+JOIN fx_token_quart q ON q.sample = s.sample"""
 
 
 @query("count_density", """
-SELECT b.sample AS "group", ROUND(g.lo + g.i * (g.hi - g.lo) / 15, 5) AS x, ROUND(COALESCE(SUM(v.times), 0) / (MAX(b.n) * 2 * MAX(b.h)), 5) AS density
-FROM fx_bandwidth b CROSS JOIN (SELECT lo, hi, UNNEST(RANGE(0, 16)) AS i FROM (SELECT MIN(LOG10(raw_count)) AS lo, MAX(LOG10(raw_count)) AS hi FROM fx_tokens) r) g
-LEFT JOIN (SELECT sample, LOG10(raw_count) AS v, COUNT(*) AS times FROM fx_tokens GROUP BY sample, raw_count) v
-  ON v.sample = b.sample AND v.v BETWEEN g.lo + g.i * (g.hi - g.lo) / 15 - b.h AND g.lo + g.i * (g.hi - g.lo) / 15 + b.h
+SELECT b.sample AS "group", ROUND(g.lo + g.i * (g.hi - g.lo) / 511, 5) AS x, ROUND(COALESCE(SUM(v.times), 0) / (MAX(b.n) * 2 * MAX(b.h)), 4) AS density
+FROM fx_bandwidth b CROSS JOIN (SELECT lo, hi, UNNEST(RANGE(0, 512)) AS i FROM (SELECT MIN(v) AS lo, MAX(v) AS hi FROM fx_token_values WHERE times > 0) r) g
+LEFT JOIN fx_token_values v ON v.sample = b.sample AND v.v BETWEEN g.lo + g.i * (g.hi - g.lo) / 511 - b.h AND g.lo + g.i * (g.hi - g.lo) / 511 + b.h
 GROUP BY b.sample, g.i, g.lo, g.hi""")
 def _(spark, sf):
-    out = qc.count_density(fx.tokens(spark, sf), "raw_count", grid=16, log10=True)
-    return out.select("group", r6("x", 5).alias("x"), r6("density", 5).alias("density"))
+    out = qc.count_density(fx.tokens(spark, sf), "raw_count", log10=True, zero=0.5)
+    return out.select("group", r6("x", 5).alias("x"), r6("density", 4).alias("density"))
 
 
 VIEWS["fx_hex_points"] = """
@@ -252,11 +277,21 @@ def _(spark, sf):
 @query("complexity_curve", """
 SELECT sample, feature, raw_count, rank, ROUND(c / n, 6) AS fraction FROM (
   SELECT *, ROW_NUMBER() OVER w AS rank, SUM(raw_count) OVER (w ROWS UNBOUNDED PRECEDING) AS c, SUM(raw_count) OVER (PARTITION BY sample) AS n
-  FROM fx_tokens WINDOW w AS (PARTITION BY sample ORDER BY raw_count DESC, feature)) q WHERE rank <= 1000""")
+  FROM (SELECT f.feature, s.sample, COALESCE(t.raw_count, 0) AS raw_count FROM (SELECT DISTINCT feature FROM fx_tokens) f CROSS JOIN fx_token_samples s
+        LEFT JOIN fx_tokens t ON t.feature = f.feature AND t.sample = s.sample) d WINDOW w AS (PARTITION BY sample ORDER BY raw_count DESC, feature)) q WHERE rank <= 1000""")
 def _(spark, sf):
     return qc.complexity_curve(fx.tokens(spark, sf)).withColumn("fraction", r6("fraction"))
 
 
+@query("complexity_curve_short", """
+SELECT sample, feature, raw_count, rank, ROUND(c / n, 6) AS fraction FROM (
+  SELECT *, ROW_NUMBER() OVER w AS rank, SUM(raw_count) OVER (w ROWS UNBOUNDED PRECEDING) AS c, SUM(raw_count) OVER (PARTITION BY sample) AS n
+  FROM fx_dense WINDOW w AS (PARTITION BY sample ORDER BY raw_count DESC, feature)) q WHERE rank <= 1500""")
+def _(spark, sf):
+    """More ranks than a sample has features with reads."""
+    return qc.complexity_curve(fx.counts(spark, sf), max_rank=1500).withColumn("fraction", r6("fraction"))
+
+
 @query("complexity_curve_full", """
 SELECT sample, feature, raw_count, rank, ROUND(c / n, 6) AS fraction FROM (
   SELECT *, ROW_NUMBER() OVER w AS rank, SUM(raw_count) OVER (w ROWS UNBOUNDED PRECEDING) AS c, SUM(raw_count) OVER (PARTITION BY sample) AS n
@@ -266,7 +301,9 @@ def _(spark, sf):
 
 
 @query("frequent_tags", """
-WITH shares AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sample ORDER BY raw_count DESC, feature) AS rank, raw_count / SUM(raw_count) OVER (PARTITION BY sample) AS share FROM fx_tokens)
+WITH dense AS (SELECT f.feature, s.sample, COALESCE(t.raw_count, 0) AS raw_count FROM (SELECT DISTINCT feature FROM fx_tokens) f CROSS JOIN fx_token_samples s
+    LEFT JOIN fx_tokens t ON t.feature = f.feature AND t.sample = s.sample),
+  shares AS (SELECT *, RANK() OVER (PARTITION BY sample ORDER BY raw_count DESC) AS rank, raw_count / SUM(raw_count) OVER (PARTITION BY sample) AS share FROM dense)
 SELECT sample, feature, raw_count, rank, ROUND(share, 6) AS fraction FROM shares WHERE feature IN (SELECT feature FROM shares WHERE share >= 0.01)""")
 def _(spark, sf):
     return qc.frequent_tags(fx.tokens(spark, sf)).withColumn("fraction", r6("fraction"))
@@ -317,10 +354,14 @@ def _(spark, sf):
 
 
 @query("best_gene_counts", """
-SELECT c.feature, c.sample, s.grade AS "group", c.raw_count FROM fx_counts c JOIN fx_samples s ON s.sample = c.sample
+SELECT c.feature, c.sample, s.grade AS "group", ROUND(c.raw_count / f.size_factor, 6) AS norm_count FROM fx_dense c JOIN fx_samples s ON s.sample = c.sample
+JOIN fx_size_factors f ON f.sample = c.sample
 WHERE c.feature = (SELECT feature FROM fx_det WHERE adj_p IS NOT NULL ORDER BY adj_p, p_value, feature LIMIT 1)""")
 def _(spark, sf):
-    return detable.best_gene_counts(de_table(spark, sf), fx.counts_plan(spark, sf), fx.samples(spark, sf), value="raw_count", group="grade")
+    counts, sheet = fx.counts(spark, sf), fx.samples(spark, sf)
+    norm = nz.normalized_counts(counts, keep(nz.size_factors(counts, sheet.count())))
+    out = detable.best_gene_counts(de_table(spark, sf), norm, sheet, value="norm_count", group="grade")
+    return out.withColumn("norm_count", r6("norm_count"))
 
 
 @query("top_n_rows", "SELECT feature, contrast, ROUND(p_value, 9) AS p_value FROM fx_de ORDER BY fx_de.p_value NULLS LAST, feature, contrast LIMIT 150")

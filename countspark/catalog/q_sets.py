@@ -114,16 +114,29 @@ def _(spark, sf):
     return _r(sets.rf_classify(side(True), side(False), classes, value="value"), "probability")
 
 
-@query("train_split")
+@query("train_split", """
+SELECT n AS n_samples, n AS n_distinct, CAST(FLOOR(n / 2e0) AS BIGINT) AS n_train FROM (SELECT COUNT(*) AS n FROM embeddings) q""")
 def _(spark, sf):
-    return sets.train_split(fx.vectors(spark, sf).select("sample"))
+    """Which samples are drawn is a matter of the hash; their number is not."""
+    split = keep(sets.train_split(fx.vectors(spark, sf).select("sample")))
+    return split.agg(F.count(F.lit(1)).alias("n_samples"), F.countDistinct("sample").alias("n_distinct"), F.count(F.when(F.col("in_train"), 1)).alias("n_train"))
 
 
-@query("make_templates")
+@query("make_templates", """
+SELECT contrast AS class, feature, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY contrast ORDER BY p_value, feature) AS rank FROM fx_de WHERE avg_log2fc > 0 AND p_value IS NOT NULL) q WHERE rank <= 50""")
 def _(spark, sf):
+    return sets.make_templates(fx.de_raw(spark, sf))
+
+
+@query("make_templates_trained")
+def _(spark, sf):
+    """From a model of the training half; the half is drawn per grade, so that every grade is in it."""
     exp = experiment(spark, sf)
-    d = design(spark, sf, ("grade",))
-    exp = exp.but(design=d, contrasts=sets.one_vs_rest(d, ["gradeg0", "gradeg1", "gradeg2"]))
+    parts = [sets.train_split(exp.samples.where(F.col("grade") == g)).where("in_train").select("sample") for g in ("g0", "g1", "g2")]
+    half = keep(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    sheet = keep(exp.samples.join(half, "sample", "left_semi"))
+    d = linear.design_matrix(sheet, ["grade"], intercept=False)
+    exp = exp.but(samples=sheet, counts=keep(exp.counts.join(half, "sample", "left_semi")), design=d, contrasts=sets.one_vs_rest(d, ["gradeg0", "gradeg1", "gradeg2"]))
     return sets.make_templates(pipelines.voom_analysis(exp))
 
 
@@ -159,14 +172,14 @@ VIEWS["fx_all_sets"] = "SELECT set_id, feature FROM fx_sets UNION ALL SELECT 'pl
 SELECT s.set_id, 'condcase' AS contrast, COUNT(*) AS n_features, ROUND(SUM(c.contribution), 4) AS stat FROM fx_contribution c JOIN fx_all_sets s ON s.feature = c.feature GROUP BY s.set_id""")
 def _(spark, sf):
     d, null = _treatment(spark, sf)
-    out = sets.set_score_test(planted_log2cpm(spark, sf), d, null, sets_table(spark, sf), value="log2cpm", coef="condcase", n_perm=99)
+    out = sets.set_score_test(planted_log2cpm(spark, sf), d, null, sets_table(spark, sf), value="log2cpm", coef="condcase", n_perm=999)
     return _r(out.select("set_id", "contrast", "n_features", "stat"), "stat", digits=4)
 
 
 @query("set_score_test_p")
 def _(spark, sf):
     d, null = _treatment(spark, sf)
-    out = sets.set_score_test(planted_log2cpm(spark, sf), d, null, sets_table(spark, sf), value="log2cpm", coef="condcase", n_perm=499)
+    out = sets.set_score_test(planted_log2cpm(spark, sf), d, null, sets_table(spark, sf), value="log2cpm", coef="condcase", n_perm=999)
     return _r(out, "stat", "p_value", digits=4)
 
 
@@ -182,3 +195,26 @@ def _(spark, sf):
     de = de_table(spark, sf).where("contrast = 'g1_vs_g0'").select("feature", F.lit("condcase").alias("contrast"), "de")
     out = sets.set_gene_ranks(keep(scores), sets_table(spark, sf), de)
     return _r(out.select("set_id", "feature", "contrast", "contribution", "set_rank", "de"), "contribution", digits=5)
+
+
+@query("selected_set_ranks", """
+WITH p AS (SELECT s.set_id, MIN(d.p_value) AS p_value FROM fx_det d JOIN fx_sets s ON s.feature = d.feature WHERE d.contrast = 'g1_vs_g0' GROUP BY s.set_id HAVING MIN(d.p_value) IS NOT NULL),
+  h AS (SELECT set_id, LEAST(1e0, MAX(p_value * (n - rk + 1)) OVER (ORDER BY p_value, set_id)) AS adj, p_value FROM (SELECT *, COUNT(*) OVER () AS n, ROW_NUMBER() OVER (ORDER BY p_value, set_id) AS rk FROM p) a),
+  k AS (SELECT set_id, ROW_NUMBER() OVER (ORDER BY adj, p_value, set_id) AS set_order FROM h WHERE adj <= 0.05)
+SELECT s.set_id, c.feature, k.set_order, ROW_NUMBER() OVER (PARTITION BY s.set_id ORDER BY ROUND(c.contribution, 9) DESC, c.feature) AS set_rank, d.de
+FROM fx_contribution c JOIN fx_sets s ON s.feature = c.feature JOIN k ON k.set_id = s.set_id JOIN fx_det d ON d.feature = c.feature AND d.contrast = 'g1_vs_g0'""")
+def _(spark, sf):
+    from countspark.catalog.q_tables import de_table
+
+    d, null = _treatment(spark, sf)
+    scores = sets.set_contributions(planted_log2cpm(spark, sf), d, null, value="log2cpm", coef="condcase").withColumn("contribution", F.round("contribution", 9))
+    de = de_table(spark, sf).where("contrast = 'g1_vs_g0'").withColumn("contrast", F.lit("condcase"))
+    members = fx.gene_sets(spark, sf)
+    best = de.join(small(members), "feature").groupBy("set_id", "contrast").agg(F.min("p_value").alias("p_value")).where("p_value IS NOT NULL")
+    return sets.selected_set_ranks(keep(best), keep(scores), members, de.select("feature", "contrast", "de")).select("set_id", "feature", "set_order", "set_rank", "de")
+
+
+@query("nearest_template_cut")
+def _(spark, sf):
+    """No prediction above a false-discovery rate of 0.05."""
+    return _r(sets.nearest_template(zscores(spark, sf), templates(spark, sf), value="z", max_fdr=0.05), "distance", "p_value", "fdr")

@@ -12,6 +12,7 @@ from countspark.operators import detable, filters, normalize as nz, qc, reshape
 from countspark.session import keep, new_path, small
 from countspark.sources import delimited, sinks
 
+#: The samples of the test input: suppliers modulo twelve.
 S12 = list(range(12))
 
 
@@ -116,10 +117,10 @@ def _prefixed(df, prefix="s"):
 
 
 @query("write_wide_matrix", "SELECT CAST(feature AS VARCHAR) AS feature, " + ", ".join(f"CAST(s{s} AS VARCHAR) AS s{s}" for s in S12)
-       + " FROM (" + WIDE_SQL.format(v="raw_count", p="s", t="fx_counts") + ") w")
+       + " FROM (" + WIDE_SQL.format(v="raw_count", p="s", t="fx_dense") + ") w")
 def _(spark, sf):
     path = new_path(spark)
-    sinks.write_wide_matrix(fx.counts_plan(spark, sf), path, "raw_count", samples=S12, fmt="tab")
+    sinks.write_wide_matrix(fx.counts_plan(spark, sf), path, "raw_count", samples=sample_names(fx.samples(spark, sf)), fmt="tab")
     back = spark.read.csv(path, sep="\t", header=True, nullValue="NA")
     return _prefixed(back)
 
@@ -130,29 +131,45 @@ FROM fx_det d JOIN fx_cpm c ON c.feature = d.feature GROUP BY d.feature, d.contr
 def _(spark, sf):
     path = new_path(spark)
     sinks.write_de_report(de_table(spark, sf), nz.cpm(fx.counts(spark, sf)), path, fmt="tab.gz")
-    de, norm = delimited.read_wide(spark, f"{path}/deTab"), delimited.read_wide(spark, f"{path}/normalizedExp")
+    de, norm = delimited.read_wide(spark, f"{path}/de"), delimited.read_wide(spark, f"{path}/normalised")
     sums = norm.groupBy("feature").agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.sum(F.col("cpm").cast("double")), 4).alias("sum_cpm"))
     return de.join(sums, "feature").select("feature", "contrast", "rank", "n_cells", "sum_cpm")
 
 
+VIEWS["fx_both_calls"] = """
+SELECT a.feature, CONCAT(COALESCE(CAST(a.g1_vs_g0 AS VARCHAR), 'NA'), '|', COALESCE(CAST(a.g2_vs_g0 AS VARCHAR), 'NA'), '|',
+  COALESCE(CAST(b.g1_vs_g0 AS VARCHAR), 'NA'), '|', COALESCE(CAST(b.g2_vs_g0 AS VARCHAR), 'NA')) AS calls FROM fx_calls a JOIN fx_calls2 b ON b.feature = a.feature"""
+
+
 @query("write_comparison_report", """
-SELECT contrast, method, CAST(COUNT(*) FILTER (de = -1) AS VARCHAR) AS down, CAST(COUNT(*) FILTER (de = 0) AS VARCHAR) AS unchanged,
-       CAST(COUNT(*) FILTER (de = 1) AS VARCHAR) AS up, CAST(COUNT(*) FILTER (de IS NULL) AS VARCHAR) AS untested
-FROM (SELECT *, 'a' AS method FROM fx_det UNION ALL SELECT *, 'b' AS method FROM fx_det2) q GROUP BY contrast, method""")
+SELECT 'by_method' AS part, CONCAT(contrast, '|', method, '|', COUNT(*) FILTER (de = -1), '|', COUNT(*) FILTER (de = 0), '|', COUNT(*) FILTER (de = 1), '|', COUNT(*) FILTER (de IS NULL)) AS line
+FROM (SELECT *, 'a' AS method FROM fx_det UNION ALL SELECT *, 'b' AS method FROM fx_det2) q GROUP BY contrast, method
+UNION ALL SELECT 'de a', CONCAT(feature, '|', contrast, '|', rank, '|', COALESCE(CAST(de AS VARCHAR), 'NA')) FROM fx_det
+UNION ALL SELECT 'de b', CONCAT(feature, '|', contrast, '|', rank, '|', COALESCE(CAST(de AS VARCHAR), 'NA')) FROM fx_det2
+UNION ALL SELECT 'calls', CONCAT(feature, '|', calls) FROM fx_both_calls
+UNION ALL SELECT 'by_consistency', CONCAT(calls, '|', COUNT(*)) FROM fx_both_calls GROUP BY calls""")
 def _(spark, sf):
     tables = {"a": de_table(spark, sf), "b": de_table(spark, sf, 211)}
     path = new_path(spark)
     sinks.write_comparison_report(tables, detable.compare_des(tables, fx.CONTRASTS), path, fmt="tab")
-    return delimited.read_wide(spark, f"{path}/deByMethod")
+    back = lambda name: delimited.read_wide(spark, f"{path}/{name}")
+    out = back("by_method").select(F.lit("by_method").alias("part"), F.concat_ws("|", "contrast", "method", "down", "unchanged", "up", "untested").alias("line"))
+    for method in tables:
+        rows = back(f"{method}/de").select("feature", "contrast", "rank", F.coalesce("de", F.lit("NA")).alias("de"))
+        out = out.unionByName(rows.select(F.lit(f"de {method}").alias("part"), F.concat_ws("|", "feature", "contrast", "rank", "de").alias("line")))
+    for name in ("calls", "by_consistency"):
+        rows = back(name)
+        out = out.unionByName(rows.select(F.lit(name).alias("part"), F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`"), F.lit("NA")) for c in rows.columns]).alias("line")))
+    return out
 
 
 @query("gsea_export", """
-SELECT CAST(n.feature AS VARCHAR) AS feature, UPPER(f.symbol) AS symbol, """ + ", ".join(f"MAX(CASE WHEN n.sample = {s} THEN ROUND(n.cpm, 2) END) AS s{s}" for s in S12) + """
+SELECT CAST(n.feature AS VARCHAR) AS feature, UPPER(f.symbol) AS symbol, """ + ", ".join(f"MAX(CASE WHEN n.sample = {s} THEN ROUND(n.cpm, 2) ELSE 0e0 END) AS s{s}" for s in S12) + """
 FROM fx_cpm n JOIN fx_features f ON f.feature = n.feature
 WHERE n.feature IN (SELECT feature FROM fx_det WHERE adj_p < 0.05 AND ABS(avg_log2fc) > 1) AND f.symbol IS NOT NULL GROUP BY n.feature, f.symbol""")
 def _(spark, sf):
     path = new_path(spark)
-    sinks.gsea_export(nz.cpm(fx.counts(spark, sf)), "cpm", de_table(spark, sf), fx.features(spark, sf), path, samples=S12)
+    sinks.gsea_export(nz.cpm(fx.counts(spark, sf)), "cpm", de_table(spark, sf), fx.features(spark, sf), path, samples=sample_names(fx.samples(spark, sf)))
     back = spark.read.csv(path, sep="\t", header=True, nullValue="NA")
     return back.select("feature", "symbol", *[F.col(f"`{s}`").cast("double").alias(f"s{s}") for s in S12])
 
@@ -174,7 +191,7 @@ def _(spark, sf):
 
 @query("spread_counts", WIDE_SQL.format(v="raw_count", p="s", t="fx_counts"))
 def _(spark, sf):
-    return _prefixed(reshape.spread_counts(fx.counts_plan(spark, sf), "raw_count", S12))
+    return _prefixed(reshape.spread_counts(fx.counts_plan(spark, sf), "raw_count", sample_names(fx.samples(spark, sf))))
 
 
 @query("zero_fill", "SELECT feature, sample, raw_count FROM fx_dense")
@@ -285,9 +302,10 @@ def _(spark, sf):
     return filters.filter_min_occ_log2cpm(tokens, tokens.select("sample").distinct(), min_log2cpm=8.2)
 
 
-@query("filter_min_mean", "SELECT feature, sample, raw_count FROM fx_tokens WHERE feature IN (SELECT feature FROM fx_tokens GROUP BY feature HAVING SUM(raw_count) / 20e0 > 1)")
+@query("filter_min_mean", "SELECT feature, sample, raw_count FROM fx_tokens WHERE feature IN (SELECT feature FROM fx_tokens GROUP BY feature HAVING SUM(raw_count) / CAST((SELECT COUNT(DISTINCT sample) FROM fx_tokens) AS DOUBLE) > 1)")
 def _(spark, sf):
-    return filters.filter_min_mean(fx.tokens(spark, sf), "raw_count", 20, gt=1)
+    counts = fx.tokens(spark, sf)
+    return filters.filter_min_mean(counts, "raw_count", counts.select("sample").distinct().count(), gt=1)
 
 
 @query("filter_count_occurrence", "SELECT feature, sample, raw_count FROM fx_tokens WHERE feature IN (SELECT feature FROM fx_tokens WHERE raw_count > 5 GROUP BY feature HAVING COUNT(*) >= 2)")

@@ -114,12 +114,13 @@ def enough_partitions(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def fold_partitions(rows: DataFrame, n: int) -> DataFrame:
-    """Feature rows in few enough partitions that the n × n result a task sends is small next to the rows it reads.
+def fold_partitions(rows: DataFrame, width: int) -> DataFrame:
+    """Feature rows in few enough partitions that the n × ``width`` result a task sends is small next to the rows it reads.
 
-    Written rows are only coalesced, never shuffled; the number of rows comes from the file footers.
+    Written rows are only coalesced, never shuffled, and never to fewer partitions than there are cores; the number of rows comes from
+    the file footers.
     """
-    tasks = max(1, rows.count() // max(256, n // 2))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // max(256, width))
     return rows.coalesce(tasks) if tasks < rows.rdd.getNumPartitions() else rows
 
 

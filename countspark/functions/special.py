@@ -10,7 +10,34 @@ from pyspark.sql import functions as F, types as T
 
 
 def erfc(x) -> np.ndarray:
-    return np.asarray(np.frompyfunc(math.erfc, 1, 1)(np.asarray(x, dtype=float)), dtype=float)
+    """Complementary error function: a series of positive terms near zero, a continued fraction in the tails."""
+    x = np.asarray(x, dtype=float)
+    a = np.abs(np.where(np.isnan(x), 0.0, x))
+    near = a < 2.0
+    z = np.where(near, a, 0.0)
+    term, total = np.ones_like(z), np.ones_like(z)
+    for n in range(1, 80):
+        term = term * 2 * z * z / (2 * n + 1)
+        total = total + term
+    small = 1 - 2 / math.sqrt(math.pi) * z * np.exp(-z * z) * total
+    t = np.where(near, 2.0, np.minimum(a, 1e8))
+    tail = np.zeros_like(t)
+    for n in range(120, 0, -1):
+        tail = n / 2 / (t + tail)
+    large = np.exp(-np.minimum(t * t, 745.0)) * (t * t < 745.0) / math.sqrt(math.pi) / (t + tail)
+    upper = np.where(near, small, large)
+    return np.where(np.isnan(x), np.nan, np.where(x < 0, 2 - upper, upper))
+
+
+def normal_upper_quantile(p) -> np.ndarray:
+    """z with P(Z > z) = p, 0 < p <= 0.5, by bisection on all values at once."""
+    p = np.asarray(p, dtype=float)
+    lo, hi = np.zeros_like(p), np.full_like(p, 38.6)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        above = erfc(mid / math.sqrt(2)) / 2 > p
+        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
+    return (lo + hi) / 2
 
 
 def lgamma(x) -> np.ndarray:
@@ -87,13 +114,20 @@ def t_two_sided(t, df) -> np.ndarray:
     return np.where(np.isfinite(df), betainc(finite / 2, 0.5, finite / (finite + t * t)), erfc(np.abs(t) / math.sqrt(2)))
 
 
-def t_quantile(p: float, df: float) -> float:
-    """Upper quantile: x with P(T ≤ x) = p, p > 0.5."""
-    lo, hi = 0.0, 1e6
-    for _ in range(200):
+def t_quantiles(p, df) -> np.ndarray:
+    """Upper quantiles: x with P(T ≤ x) = p, p > 0.5; bisection on the logarithm for all values at once."""
+    p, df = np.broadcast_arrays(np.asarray(p, float), np.asarray(df, float))
+    lo, hi = np.full(p.shape, math.log(1e-12)), np.full(p.shape, math.log(1e12))
+    for _ in range(70):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if 1 - t_two_sided(mid, df) / 2 < p else (lo, mid)
-    return (lo + hi) / 2
+        below = 1 - t_two_sided(np.exp(mid), df) / 2 < p
+        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+    return np.exp((lo + hi) / 2)
+
+
+def t_quantile(p: float, df: float) -> float:
+    """One upper quantile."""
+    return float(t_quantiles(p, df))
 
 
 def f_quantile(p: float, d1: float, d2: float) -> float:

@@ -24,7 +24,7 @@ def as_samples(df: DataFrame, *, sample: str = "sample") -> DataFrame:
 
 @dataclass(frozen=True)
 class Experiment:
-    """Lazy tables of one experiment. Every operator returns a new object; nothing is computed on construction."""
+    """Lazy tables of one experiment. Every operator returns a new object. The object computes nothing; operators that check or write a table run Spark jobs when called."""
 
     counts: DataFrame
     samples: DataFrame

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from countspark.functions.adjust import bh_adjust
 from countspark.functions.scans import scan
 from countspark.operators.joins import significant_everywhere_tested
+from countspark.operators.reshape import zero_fill
 from countspark.session import keep, small
 
 
@@ -37,6 +38,19 @@ def top_tags(de: DataFrame, *, max_rank: int = 50, contrasts: Sequence[str] | No
     return out.orderBy("contrast", "rank")
 
 
+def top_tags_counts(de: DataFrame, norm: DataFrame, match: DataFrame, *, value: str, max_rank: int = 50, contrasts: Sequence[str] | None = None) -> DataFrame:
+    """Top features of each contrast with the values of the samples that matter to it (``match``: contrast, sample); absent cells are 0."""
+    top = small(top_tags(de, max_rank=max_rank, contrasts=contrasts))
+    wanted = top.select("feature").distinct()
+    dense = zero_fill(norm.join(wanted, "feature", "left_semi"), wanted, match.select("sample").distinct(), value=value)
+    return dense.join(top, "feature").join(small(match.select("contrast", "sample").distinct()), ["contrast", "sample"])
+
+
+def top_tags_pairs(de: DataFrame, pairs: DataFrame, *, max_rank: int = 50, contrasts: Sequence[str] | None = None) -> DataFrame:
+    """Top features of each contrast with the pairs of values of ``paired_counts``."""
+    return pairs.join(small(top_tags(de, max_rank=max_rank, contrasts=contrasts)), "feature")
+
+
 def top_variable_features(variances: DataFrame, k: int) -> DataFrame:
     """The ``k`` features with the largest variance (a top-k, no full sort)."""
     return variances.orderBy(F.col("variance").desc_nulls_last(), "feature").limit(k)
@@ -49,10 +63,13 @@ def strongest_regulation(de: DataFrame, k: int = 6, *, up: bool) -> DataFrame:
 
 
 def best_gene_counts(de: DataFrame, norm: DataFrame, samples: DataFrame, *, value: str, group: str) -> DataFrame:
-    """Normalised values of the feature with the smallest adjusted p, with the group of each sample."""
-    best = de.where(F.col("adj_p").isNotNull()).orderBy("adj_p", "p_value", "feature").limit(1).select("feature")
-    return norm.join(small(best), "feature", "left_semi").join(small(samples.select("sample", F.col(group).alias("group"))), "sample").select(
-        "feature", "sample", "group", value)
+    """Normalised values of the feature with the smallest adjusted p, with the group of each sample; an absent cell is 0."""
+    best = de.where(F.col("adj_p").isNotNull()).orderBy("adj_p", "p_value", "feature").select("feature").first()
+    feature = F.lit(best["feature"] if best else None).cast(norm.schema["feature"].dataType)
+    sheet = samples.select("sample", F.col(group).alias("group"))
+    cells = norm.where(F.col("feature") == feature).select("sample", value)
+    out = sheet.join(cells, "sample", "left").select(feature.alias("feature"), "sample", "group", F.coalesce(F.col(value), F.lit(0)).alias(value))
+    return out.where("feature IS NOT NULL")
 
 
 def top_n_rows(df: DataFrame, n: int = 150, *, by: Sequence[str]) -> DataFrame:

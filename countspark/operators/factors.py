@@ -75,7 +75,7 @@ def rlog(counts: DataFrame, samples: DataFrame) -> DataFrame:
     design = keep(samples.select("sample", F.lit("Intercept").alias("coef"), F.lit(1.0).alias("value")))
     data = nb_input(counts, design, size_factors=factors)
     dispersion = nb_dispersion_deseq(data, fit="mean")
-    rows = keep(data.rows.join(dispersion.select("feature", "disp_fit"), "feature"))
+    rows = keep(data.rows.join(small(dispersion.select("feature", "disp_fit")), "feature"))
     offset, n = data.offset, len(names)
     sigma = _deviation_scale(rows, n, np.exp(offset))
     wide = map_blocks(rows, n, lambda y, e: {"r": _ridge_log2(y, offset, e["disp_fit"][:, None], sigma)}, "r array<double>", extra=("disp_fit",))
@@ -88,11 +88,11 @@ def _factor_table(template: DataFrame, names: list, vectors: np.ndarray) -> Data
                                                  f"sample {kind}, factor int, value double")
 
 
-def ruv_factors(counts: DataFrame, samples: DataFrame, controls: DataFrame, *, k: int = 2) -> DataFrame:
+def ruv_factors(counts: DataFrame, samples: DataFrame, controls: DataFrame, *, k: int = 2, value: str = "raw_count") -> DataFrame:
     """Unwanted factors from control features: leading sample vectors of their centred log counts."""
     names = sample_names(samples)
     kept = counts.join(small(controls.select("feature").distinct()), "feature", "left_semi")
-    rows = feature_rows(kept, "raw_count", samples, names)
+    rows = feature_rows(kept, value, samples, names)
 
     def prepare(x):
         logs = np.log(x + 1)
@@ -124,14 +124,14 @@ def _null_probability(histogram: np.ndarray):
     return lambda p: local[np.minimum((p * bins).astype(int), bins - 1)]
 
 
-def sva_factors(counts: DataFrame, design: DataFrame, null: DataFrame, *, n_sv: int = 2, rounds: int = 5, bins: int = 100) -> DataFrame:
+def sva_factors(counts: DataFrame, design: DataFrame, null: DataFrame, *, n_sv: int = 2, rounds: int = 5, bins: int = 100, value: str = "raw_count") -> DataFrame:
     """Surrogate variables: leading vectors of the log counts, features weighted by P(hidden factor) · (1 − P(interest)).
 
     Each round is two narrow passes over the same rows: histograms of the two p-values, then the weighted decomposition.
     """
     full, base = design_arrays(design), design_arrays(null)
     names, n = full.samples, len(full.samples)
-    rows = feature_rows(counts, "raw_count", design, names)
+    rows = feature_rows(counts, value, design, names)
     q = np.linalg.qr(full.matrix)[0]
 
     def residual(x):

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from countspark.model import Experiment
+from countspark.operators.reshape import zero_fill
 from countspark.session import keep, small
 
 
@@ -77,9 +78,9 @@ def choose_id_type(counts: DataFrame, *, pattern: str = "ENSG", min_hits: int =
     return hits.withColumn("n_probes", found).withColumn("id_type", kind)
 
 
-def join_de_counts(norm: DataFrame, de: DataFrame, *, average: str = "avg_log2cpm", pattern: DataFrame | None = None) -> DataFrame:
+def join_de_counts(norm: DataFrame, de: DataFrame, *, average: str | Sequence[str] = "avg_log2cpm", pattern: DataFrame | None = None) -> DataFrame:
     """Values with the distinct averages (and DE pattern) of their feature; averages that differ by contrast give several rows."""
-    side = de.select("feature", average).distinct()
+    side = de.select("feature", *([average] if isinstance(average, str) else average)).distinct()
     if pattern is not None:
         side = side.join(pattern.select("feature", "pattern"), "feature", "left")
     return norm.join(small(side), "feature", "left")
@@ -96,19 +97,20 @@ def semi_significant(norm: DataFrame, de: DataFrame, *, max_adj: float = 0.05) -
 
 
 def paired_counts(norm: DataFrame, samples: DataFrame, *, value: str, subject: str, group: str, levels: Sequence[str]) -> DataFrame:
-    """Values of both group levels side by side per subject and feature.
+    """Values of both group levels side by side per subject and feature, absent cells as 0.
 
-    One sample per subject and level is expected, so a conditional aggregate does it with a single shuffle; subjects with
-    several samples per level would need the pairs themselves, which this reports by failing.
+    Every sample of one level meets every sample of the other of the same subject. The gaps are filled inside the task after the one
+    shuffle by feature, which also serves the grouping by feature and subject; a group holds the samples of one subject.
     """
-    sheet = samples.where(F.col(group).isin(list(levels))).select("sample", F.col(subject).alias("subject"), F.col(group).alias("_level"))
-    sheet = keep(sheet)
-    twice = sheet.groupBy("subject", "_level").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"subject {twice[0]['subject']!r} has several samples of level {twice[0]['_level']!r}; merge them first")
-    at = lambda level: F.max(F.when(F.col("_level") == level, F.col(value)))
-    return (norm.join(small(sheet), "sample").groupBy("feature", "subject").agg(at(levels[0]).alias("value_1"), at(levels[1]).alias("value_2"))
-            .where("value_1 IS NOT NULL AND value_2 IS NOT NULL"))
+    sheet = small(samples.where(F.col(group).isin(list(levels)) & F.col(subject).isNotNull()).select(
+        "sample", F.col(subject).alias("subject"), F.col(group).alias("_level")))
+    dense = zero_fill(norm, None, sheet.select("sample"), value=value).join(sheet, "sample")
+    of = lambda level: F.sort_array(F.collect_list(F.when(F.col("_level") == level, F.struct(F.col("sample"), F.col(value).alias("v")))))
+    both = dense.groupBy("feature", "subject").agg(of(levels[0]).alias("_a"), of(levels[1]).alias("_b"))
+    first = both.select("feature", "subject", "_b", F.explode("_a").alias("_x"))
+    pairs = first.select("feature", "subject", "_x", F.explode("_b").alias("_y"))
+    return pairs.select("feature", "subject", F.col("_x.sample").alias("sample_1"), F.col("_y.sample").alias("sample_2"),
+                        F.col("_x.v").alias("value_1"), F.col("_y.v").alias("value_2"))
 
 
 def de_compare_join(x: DataFrame, y: DataFrame, *, max_rank: int = 30) -> DataFrame:

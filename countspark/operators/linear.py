@@ -8,11 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from countspark.functions.rows import feature_rows, map_blocks, sample_index
 from countspark.functions.scans import scan
-from countspark.functions.special import digamma, t_quantile, t_tail, t_two_sided, trigamma, trigamma_inverse
+from countspark.functions.special import digamma, t_quantile, t_quantiles, t_tail, t_two_sided, trigamma, trigamma_inverse
 from countspark.operators.normalize import effective_library
 from countspark.session import collect_small, keep, local_table, small
 
@@ -83,13 +83,11 @@ class Design:
 
 def design_arrays(design: DataFrame) -> Design:
     """Collect the design table; it has one row per sample and coefficient."""
-    cells = [(r["sample"], r["coef"], r["value"]) for r in collect_small(design)]
-    samples, coefs = sorted({c[0] for c in cells}), sorted({c[1] for c in cells}, key=lambda c: (c != "Intercept", c))
-    at, col = {s: i for i, s in enumerate(samples)}, {c: i for i, c in enumerate(coefs)}
-    matrix = np.zeros((len(samples), len(coefs)))
-    for s, c, v in cells:
-        matrix[at[s], col[c]] = v
-    return Design(samples, coefs, matrix)
+    coefs = sorted((r["coef"] for r in design.select("coef").distinct().collect()), key=lambda c: (c != "Intercept", c))
+    at = [F.coalesce(F.max(F.when(F.col("coef") == c, F.col("value").cast("double"))), F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(coefs)]
+    rows = design.groupBy("sample").agg(*at).orderBy("sample").toArrow()  # one row per sample, a number per coefficient
+    matrix = np.column_stack([rows.column(f"v{i}").to_numpy() for i in range(len(coefs))]) if coefs else np.zeros((rows.num_rows, 0))
+    return Design(rows.column("sample").to_pylist(), coefs, matrix)
 
 
 def contrast_weights(contrasts: DataFrame, coefs: list) -> dict[str, np.ndarray]:
@@ -206,16 +204,18 @@ def effect_prior(tested: DataFrame, n_features: int, df: float, s02: float, prop
     """
     top = int(np.ceil(proportion / 2 * n_features))
     p = max(top / n_features, proportion)
-    ranked = scan(tested.select("contrast", "feature", F.abs("t").alias("_a"), "_v"), ["contrast"],
-                  [F.col("_a").desc_nulls_last(), F.col("feature").asc()], number="_r").where(F.col("_r") <= top)
+    best = W.partitionBy("contrast").orderBy(F.col("_a").desc_nulls_last(), F.col("feature").asc())  # group-limited: few rows leave the map side
+    ranked = tested.select("contrast", "feature", F.abs("t").alias("_a"), "_v").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= top)
 
     @F.pandas_udf(T.DoubleType())
     def excess(a: pd.Series, r: pd.Series, v: pd.Series) -> pd.Series:
-        null = t_two_sided(a.fillna(0).to_numpy(), df)
+        size = a.fillna(0).to_numpy()
+        null = t_two_sided(size, df)
         target = ((r.to_numpy() - 0.5) / n_features - (1 - p) * null) / p
         out = np.zeros(len(a))
-        for i in np.flatnonzero(target > null):
-            out[i] = v.iloc[i] * max((a.iloc[i] / t_quantile(1 - min(target[i], 1.0) / 2, df)) ** 2 - 1, 0) if target[i] < 1 else 0.0
+        at = np.flatnonzero((target > null) & (target < 1))
+        if len(at):
+            out[at] = v.to_numpy()[at] * np.maximum((size[at] / t_quantiles(1 - target[at] / 2, df)) ** 2 - 1, 0)
         return pd.Series(out)
 
     return ranked.withColumn("_e", excess("_a", "_r", "_v")).groupBy("contrast").agg(
@@ -237,7 +237,8 @@ class Voom:
 
 def abundance_bins(points: DataFrame, by: str, cols: Sequence[str], *, bins: int) -> list:
     """Mean of ``cols`` in equally filled bins along ``by``; ranks are exact and distributed, at most ``bins`` rows come back."""
-    ranked = scan(points.select("feature", by, *[c for c in cols if c != by]), [], [F.col(by).asc(), F.col("feature").asc()], number="_i", size="_n")
+    points = keep(points.select("feature", by, *[c for c in cols if c != by]))  # the scan reads its input twice
+    ranked = scan(points, [], [F.col(by).asc(), F.col("feature").asc()], number="_i", size="_n")
     count = F.least(F.lit(bins), F.greatest(F.lit(1), F.floor(F.col("_n") / 10)))
     bin_ = F.floor((F.col("_i") - 1) * count / F.col("_n")).alias("bin")
     return collect_small(ranked.groupBy(bin_).agg(*[F.avg(c).alias(c) for c in cols]).orderBy("bin"))

@@ -1,6 +1,6 @@
 """Principal components, classical scaling and clustering of samples.
 
-Spark reduces the features to a samples × samples (or samples × k) matrix; only that reaches the driver.
+Spark reduces the features to samples × (k + 10) matrices, one per step; only these reach the driver.
 """
 
 from __future__ import annotations
@@ -14,13 +14,16 @@ from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from countspark.functions.rows import _dense_blocks, feature_rows, fold_partitions, map_blocks, sample_names
+from countspark.functions.rows import _dense_blocks, feature_rows, fold_partitions, map_blocks, sample_index, sample_names
 from countspark.operators.detable import top_variable_features
 from countspark.operators.normalize import row_moments
-from countspark.session import collect_small, local_table, small
+from countspark.session import keep, local_table, small
 
-#: Samples up to which the full Gram matrix is formed; above it a randomised range finder with the same passes is used.
-GRAM_LIMIT = 4096
+#: A component is accepted when the residual of its eigen equation is below this share of the largest eigenvalue.
+TOLERANCE = 1e-9
+#: Blocks of a Krylov space before it is restarted from the best vectors found, and restarts before an error.
+KRYLOV_BLOCKS = 12
+RESTARTS = 60
 
 
 @dataclass(frozen=True)
@@ -43,13 +46,10 @@ def _fold_matrix(rows: DataFrame, n: int, width: int, fn) -> np.ndarray:
         offsets = pa.array(np.arange(n + 1, dtype=np.int32) * width)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.ListArray.from_arrays(offsets, pa.array(total.reshape(-1)))], ["i", "v"])
 
-    parts = fold_partitions(rows.select("idx", "x"), n).mapInArrow(run, "i int, v array<double>")
-    cells = parts.select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    lines = cells.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("r")).select("i", F.col("r.v").alias("v"))
-    out = np.zeros((n, width))
-    for r in collect_small(lines):
-        out[r["i"]] = r["v"]
-    return out
+    parts = fold_partitions(rows.select("idx", "x"), width).mapInArrow(run, "i int, v array<double>")
+    sums = parts.groupBy("i").agg(*[F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(width)])
+    got = sums.orderBy("i").toArrow()  # n rows of width doubles: what the driver holds of the samples
+    return np.column_stack([got.column(f"v{j}").to_numpy() for j in range(width)])
 
 
 def _prepared(scale: bool):
@@ -63,23 +63,46 @@ def _prepared(scale: bool):
     return prepare
 
 
-def sample_components(rows: DataFrame, n: int, k: int, prepare, *, seed: int = 1) -> tuple[np.ndarray, np.ndarray, float]:
-    """Right singular vectors (n × k), squared singular values and total squared norm of the prepared feature rows."""
-    if n <= GRAM_LIMIT:
-        gram = _fold_matrix(rows, n, n, lambda x: (lambda z: z.T @ z)(prepare(x)))
-        values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-        order = np.argsort(values)[::-1][:k]
-        return _fix_signs(vectors[:, order]), np.maximum(values[order], 0), float(np.trace(gram))
+def krylov(apply, n: int, k: int, *, seed: int = 1, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` leading eigenvectors (n × k) and eigenvalues of a symmetric matrix known by ``apply(vectors)`` only.
+
+    Block Krylov with full orthogonalisation, restarted from the best vectors, until every residual ``|A v - t v|`` is below
+    ``tolerance`` times the largest eigenvalue in magnitude. The same steps are taken for any ``n``; with few samples the space is exhausted soon.
+    """
     width = min(n, k + 10)
-    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))[0]
-    image = None
-    for _ in range(8):
-        image = _fold_matrix(rows, n, width, lambda x, q=basis: (lambda z: z.T @ (z @ q))(prepare(x)))
-        basis, previous = np.linalg.qr(image)[0], basis
-    small_gram = previous.T @ image
-    values, inner = np.linalg.eigh((small_gram + small_gram.T) / 2)
-    order = np.argsort(values)[::-1][:k]
-    return _fix_signs(previous @ inner[:, order]), np.maximum(values[order], 0), _total_norm(rows, n, prepare)
+    block = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))[0]
+    for _ in range(RESTARTS):
+        basis, images = np.zeros((n, 0)), np.zeros((n, 0))
+        for _ in range(KRYLOV_BLOCKS):
+            image = apply(block)
+            basis, images = np.hstack([basis, block]), np.hstack([images, image])
+            inner = basis.T @ images
+            values, inner = np.linalg.eigh((inner + inner.T) / 2)
+            order = np.argsort(values)[::-1]
+            best = inner[:, order[:k]]
+            vectors, values = basis @ best, values[order[:k]]
+            scale = max(np.abs(values).max(initial=0.0), 1e-300)
+            if np.linalg.norm(images @ best - vectors * values, axis=0).max(initial=0.0) <= tolerance * scale or basis.shape[1] >= n:
+                return _fix_signs(vectors), values
+            fresh = images[:, -block.shape[1]:]
+            for _ in range(2):  # twice, for orthogonality to working precision
+                fresh = fresh - basis @ (basis.T @ fresh)
+            left, size, _ = np.linalg.svd(fresh, full_matrices=False)
+            block = left[:, (size > 1e-13 * scale)][:, :n - basis.shape[1]]
+            if block.shape[1] == 0:  # the space holds its images, so its vectors are exact
+                return _fix_signs(vectors), values
+        block = np.linalg.qr(basis @ inner[:, order[:width]])[0]
+    raise RuntimeError(f"components have not converged to {tolerance} in {RESTARTS} restarts")
+
+
+def sample_components(rows: DataFrame, n: int, k: int, prepare, *, seed: int = 1) -> tuple[np.ndarray, np.ndarray, float]:
+    """Right singular vectors (n × k), squared singular values and total squared norm of the prepared feature rows.
+
+    A step is one pass over the features, folded to n × (k + 10) numbers per task; nothing of the size n × n is formed.
+    """
+    apply = lambda q: _fold_matrix(rows, n, q.shape[1], lambda x: (lambda z: z.T @ (z @ q))(prepare(x)))
+    vectors, values = krylov(apply, n, k, seed=seed)
+    return vectors, np.maximum(values, 0), _total_norm(rows, n, prepare)
 
 
 def _total_norm(rows: DataFrame, n: int, prepare) -> float:
@@ -139,8 +162,9 @@ def pca_dim_pairs(pca: Pca, samples: DataFrame, dims: Sequence[int] | None = Non
 
 
 def pca_by_group(pca: Pca, samples: DataFrame, groups: Sequence[str] | None = None) -> DataFrame:
-    """Scores × usable categorical covariates: those with more than one level and fewer than n − 1."""
-    groups = list(groups or [c for c in samples.columns if c != "sample"])
+    """Scores × usable categorical covariates (text or boolean unless named): those with more than one level and fewer than n − 1."""
+    kinds = {f.name: f.dataType.typeName() for f in samples.schema.fields}
+    groups = list(groups or [c for c in samples.columns if c != "sample" and kinds[c] in ("string", "boolean")])
     long = samples.select("sample", *[F.col(g).cast("string").alias(g) for g in groups]).unpivot(["sample"], groups, "variable", "level")
     n = samples.count()
     usable = long.groupBy("variable").agg(F.countDistinct("level").alias("_k")).where((F.col("_k") > 1) & (F.col("_k") < n - 1))
@@ -155,21 +179,43 @@ def pca_loadings_top(pca: Pca, n: int = 6) -> DataFrame:
 
 
 def mds(pairs: DataFrame, *, k: int = 2, value: str = "distance") -> DataFrame:
-    """Classical scaling of a distance table (one row per pair): coordinates ``(sample, dim, score)``."""
-    names = sorted({r[0] for r in collect_small(pairs.select(F.explode(F.array("sample_a", "sample_b")).alias("s")).distinct())})
-    if len(names) > GRAM_LIMIT:
-        raise ValueError(f"{len(names)} samples; use pca_samples above {GRAM_LIMIT}")
-    at = {s: i for i, s in enumerate(names)}
-    d2 = np.zeros((len(names), len(names)))
-    for a, b, v in collect_small(pairs.select("sample_a", "sample_b", value), limit=GRAM_LIMIT ** 2):
-        d2[at[a], at[b]] = d2[at[b], at[a]] = v * v
-    gram = -0.5 * (d2 - d2.mean(0) - d2.mean(1)[:, None] + d2.mean())
-    values, vectors = np.linalg.eigh(gram)
-    order = np.argsort(values)[::-1][:k]
-    coords = _fix_signs(vectors[:, order]) * np.sqrt(np.maximum(values[order], 0))
+    """Classical scaling of a distance table (one row per pair): coordinates ``(sample, dim, score)``.
+
+    The doubly centred matrix is applied to a few vectors at a time by aggregates over the pair table, which stays where it is; the
+    driver holds one row of k + 10 numbers per sample.
+    """
+    names = [r[0] for r in pairs.select(F.explode(F.array("sample_a", "sample_b")).alias("s")).distinct().orderBy("s").collect()]
+    n = len(names)
+    index = sample_index(pairs.select(F.col("sample_a").alias("sample")), names)
+    at = lambda side: index.select(F.col("sample").alias(f"sample_{side}"), F.col("idx").alias(side))
+    squares = keep(pairs.join(at("a"), "sample_a").join(at("b"), "sample_b").select("a", "b", F.pow(F.col(value).cast("double"), F.lit(2.0)).alias("d2")))
+
+    def apply(q: np.ndarray) -> np.ndarray:
+        q = q - q.mean(0)
+
+        def run(batches):
+            total = np.zeros((n, q.shape[1]))
+            for batch in batches:
+                a, b, d2 = (batch.column(c).to_numpy() for c in range(3))
+                for lo in range(0, len(a), 65536):
+                    s = slice(lo, lo + 65536)
+                    np.add.at(total, a[s], d2[s, None] * q[b[s]])
+                    np.add.at(total, b[s], d2[s, None] * q[a[s]])
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * q.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.ListArray.from_arrays(offsets, pa.array(total.reshape(-1)))], ["i", "v"])
+
+        parts = squares.mapInArrow(run, "i int, v array<double>")
+        got = parts.groupBy("i").agg(*[F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(q.shape[1])]).orderBy("i").toArrow()
+        out = -0.5 * np.column_stack([got.column(f"v{j}").to_numpy() for j in range(q.shape[1])])
+        return out - out.mean(0)
+
+    if n == 0:
+        return pairs.select(F.col("sample_a").alias("sample"), F.lit(1).alias("dim"), F.lit(0.0).alias("score")).where(F.lit(False))
+    vectors, values = krylov(apply, n, min(k, n))
+    coords = vectors * np.sqrt(np.maximum(values, 0))
     kind = pairs.schema["sample_a"].dataType.simpleString()
-    return local_table(pairs.sparkSession, [(s, d + 1, float(coords[i, d])) for i, s in enumerate(names) for d in range(len(order))],
-                                              f"sample {kind}, dim int, score double")
+    return local_table(pairs.sparkSession, [(s, d + 1, float(coords[i, d])) for i, s in enumerate(names) for d in range(coords.shape[1])],
+                       f"sample {kind}, dim int, score double")
 
 
 def cluster_samples(pca: Pca, *, k: int, seed: int = 1) -> DataFrame:

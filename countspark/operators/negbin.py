@@ -273,13 +273,18 @@ class NbFit:
     offset: np.ndarray
 
 
+#: Fixed values of the published method: up to so many replicates, one in so many is trimmed at either end, and the variance scaled.
+TRIMMED = ((3, 3, 2.04), (23, 4, 1.86), (float("inf"), 8, 1.51))
+
+
 def _robust_dispersion(q, cells) -> np.ndarray:
     """Moment dispersion from trimmed variances of the replicate cells, at least 0.04."""
     worst = np.zeros(len(q))
     for members in cells:
         part = np.sort(q[:, members], axis=1)
         n = len(members)
-        cut, scale = (n // 3, 2.04) if n <= 3 else ((n // 4, 1.86) if n <= 23 else (n // 8, 1.51))
+        trim, scale = next((t, s) for upto, t, s in TRIMMED if n <= upto)
+        cut = n // trim
         inner = part[:, cut:n - cut] if n > 2 * cut else part
         centre = inner.mean(axis=1, keepdims=True)
         squares = np.sort((part - centre) ** 2, axis=1)
@@ -301,7 +306,7 @@ def nb_glm_fit(data: NbInput, dispersion: DataFrame) -> NbFit:
 
     ``max_cooks`` is NULL in designs without a replicated cell.
     """
-    rows = keep(data.rows.join(dispersion.select("feature", "dispersion"), "feature"))
+    rows = keep(data.rows.join(small(dispersion.select("feature", "dispersion")), "feature"))
     x, offset = data.design.matrix, data.offset
     n, p = x.shape
     scale = np.exp(offset)
@@ -340,9 +345,7 @@ def glm_lrt(fit: NbFit, contrasts: DataFrame) -> DataFrame:
     nulls = [x @ _without(w) for w in weights.values()]
 
     def run(y, extra):
-        alpha = extra["dispersion"][:, None]
-        beta, mu, _ = irls(y, x, offset, alpha)
-        full = nb_loglik(y, mu, alpha)
+        alpha, full, beta = extra["dispersion"][:, None], extra["loglik"], extra["coef"]
         stats = []
         for null in nulls:
             if null.shape[1]:
@@ -354,7 +357,8 @@ def glm_lrt(fit: NbFit, contrasts: DataFrame) -> DataFrame:
         lfc = np.column_stack([beta @ w / LN2 for w in weights.values()])
         return {"lfc": lfc, "lr": lr, "p": erfc(np.sqrt(lr / 2)), "avg_log2cpm": _average_log2cpm(y, offset)}
 
-    arrays = map_blocks(fit.rows, len(offset), run, "lfc array<double>, lr array<double>, p array<double>, avg_log2cpm double", extra=("dispersion",))
+    fitted = fit.rows.join(small(fit.table.select("feature", "coef", "loglik")), "feature")
+    arrays = map_blocks(fitted, len(offset), run, "lfc array<double>, lr array<double>, p array<double>, avg_log2cpm double", extra=("dispersion", "coef", "loglik"))
     names = F.array(*[F.lit(k) for k in weights])
     long = arrays.select("feature", "avg_log2cpm", F.explode(F.arrays_zip(names.alias("contrast"), "lfc", "lr", "p")).alias("c"))
     return long.select("feature", "c.contrast", "avg_log2cpm", F.col("c.lfc").alias("avg_log2fc"), F.col("c.lr").alias("stat"), F.col("c.p").alias("p_value"))
@@ -477,36 +481,57 @@ def lfc_shrink(fit: NbFit, coef: str) -> DataFrame:
 
     def run(y, extra):
         alpha = extra["dispersion"][:, None]
-        raw, _, _ = irls(y, x, offset, alpha)
+        raw = extra["coef"]
         beta, _, info = irls(y, x, offset, alpha, beta=raw.copy(), prior=prior)
         curve = np.zeros_like(beta)
         curve[:, at] = np.maximum(2 * (scale2 - beta[:, at] ** 2) / (scale2 + beta[:, at] ** 2) ** 2, 0)
         cov = np.linalg.inv(info + curve[:, :, None] * np.eye(p))
         return {"lfc_mle": raw[:, at] / LN2, "lfc_shrunk": beta[:, at] / LN2, "lfc_sd": np.sqrt(cov[:, at, at]) / LN2}
 
-    return map_blocks(fit.rows, len(offset), run, "lfc_mle double, lfc_shrunk double, lfc_sd double", extra=("dispersion",))
+    fitted = fit.rows.join(small(fit.table.select("feature", F.col("coef"))), "feature")
+    return map_blocks(fitted, len(offset), run, "lfc_mle double, lfc_shrunk double, lfc_sd double", extra=("dispersion", "coef"))
 
 
 # --- exact test -------------------------------------------------------------------------------------------------------
 
-#: Group totals above this are tested with the beta distribution that the share of the first group approaches.
-LARGE_TOTAL = 100_000
+def split_tails(s1: np.ndarray, total: np.ndarray, n1: int, n2: int, alpha: np.ndarray) -> np.ndarray:
+    """Twice the smaller tail of the first group's sum given the total, both sums negative binomial with equal means; a block of features.
 
-
-def split_tail(s1: int, total: int, n1: int, n2: int, alpha: float) -> float:
-    """Twice the smaller tail of the first group's sum given the total, both sums negative binomial with equal means."""
-    if total == 0:
-        return 1.0
-    if total > LARGE_TOTAL:
-        mu = total / (n1 + n2)
-        a, b = n1 * mu / (1 + alpha * mu), n2 * mu / (1 + alpha * mu)
-        below, above = betainc(a, b, [min((s1 + 0.5) / total, 1.0), max((s1 - 0.5) / total, 0.0)])
-        return float(min(1.0, 2 * min(below, 1 - above)))
-    r1, r2 = n1 / alpha, n2 / alpha
-    k = np.arange(total + 1, dtype=float)
-    log_w = lgamma(k + r1) - lgamma(k + 1) + lgamma(total - k + r2) - lgamma(total - k + 1)
-    w = np.exp(log_w - log_w.max())
-    return float(min(1.0, 2 * min(w[:s1 + 1].sum(), w[s1:].sum()) / w.sum()))
+    The weights of the splits of a total have one mode. They are summed from the observed split outwards in both directions, each from
+    its neighbour by their ratio and for all features at once, until what is left cannot count in double precision. The work follows
+    the width of the distribution and not the total.
+    """
+    s1, total = np.asarray(s1, float), np.asarray(total, float)
+    r1, r2 = n1 / np.maximum(alpha, 1e-12), n2 / np.maximum(alpha, 1e-12)
+    mode = np.clip(np.round(total * n1 / (n1 + n2)), 0, total)
+    log_w = lambda k: lgamma(k + r1) - lgamma(k + 1) + lgamma(total - k + r2) - lgamma(total - k + 1)
+    own = log_w(s1)
+    peak = np.maximum(log_w(mode), own)
+
+    def outwards(step: int) -> np.ndarray:
+        """Σ of the weights from the observed split (included) on in one direction."""
+        sums, at, level = np.exp(own - peak), s1.copy(), own - peak
+        open_, terms = np.flatnonzero(at < total if step > 0 else at > 0), 64
+        while len(open_):
+            t, a, b = total[open_, None], r1[open_, None], r2[open_, None]
+            k = at[open_, None] + step * np.arange(terms)
+            valid = (k < t) if step > 0 else (k > 0)
+            k = np.where(valid, k, 0 if step > 0 else t)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio = (k + a) / (k + 1) * (t - k) / (t - k - 1 + b) if step > 0 else k / (k - 1 + a) * (t - k + b) / (t - k + 1)
+                logs = level[open_, None] + np.cumsum(np.where(valid, np.log(np.where(valid, ratio, 1.0)), 0.0), axis=1)
+            w = np.where(valid, np.exp(logs), 0.0)
+            sums[open_] += w.sum(1)
+            at[open_] += step * terms
+            level[open_] = logs[:, -1]
+            falling = (at[open_] - mode[open_]) * step > 0
+            open_ = open_[~(~valid[:, -1] | (falling & (w[:, -1] * np.maximum(total[open_], 1) < 1e-17 * sums[open_])))]
+            terms = min(2 * terms, max(64, 4_000_000 // max(1, len(open_))))
+        return sums
+
+    below, above = outwards(-1), outwards(1)
+    whole = below + above - np.exp(own - peak)
+    return np.where(total > 0, np.minimum(1.0, 2 * np.minimum(below, above) / np.maximum(whole, 1e-300)), 1.0)
 
 
 def exact_test(counts: DataFrame, samples: DataFrame, dispersion: DataFrame, *, group: str, pair: tuple, factors: DataFrame | None = None,
@@ -521,13 +546,13 @@ def exact_test(counts: DataFrame, samples: DataFrame, dispersion: DataFrame, *,
     first = np.array([level[s] == pair[0] for s in names])
     n1, n2 = int(first.sum()), int((~first).sum())
     rows = feature_rows(counts.where("raw_count > 0"), "raw_count", sheet, names)
-    rows = keep(rows.join(dispersion.select("feature", "dispersion"), "feature"))
+    rows = keep(rows.join(small(dispersion.select("feature", "dispersion")), "feature"))
     label = f"{pair[1]}_vs_{pair[0]}"
 
     def run(y, extra):
         scaled = y * common / size
         s1, s2 = scaled[:, first].sum(axis=1), scaled[:, ~first].sum(axis=1)
-        p = np.array([split_tail(round(a), round(a) + round(b), n1, n2, d) for a, b, d in zip(s1, s2, extra["dispersion"])])
+        p = split_tails(np.round(s1), np.round(s1) + np.round(s2), n1, n2, extra["dispersion"])
         rate1 = (s1 / n1 + prior) / common
         rate2 = (s2 / n2 + prior) / common
         return {"avg_log2fc": np.log2(rate2 / rate1), "avg_log2cpm": _average_log2cpm(y, np.log(size)), "p_value": p}

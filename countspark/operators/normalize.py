@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
 from countspark.functions.rows import explode_dense, feature_rows, sample_names
 from countspark.functions.scans import average_ranks, quantiles, rank_table, scan, value_counts
-from countspark.session import collect_small, keep, small, small_local
+from countspark.session import collect_small, keep, keep_measured, small, small_local
 
 
 def library_size(counts: DataFrame, *, value: str = "raw_count") -> DataFrame:
@@ -85,6 +85,12 @@ def log2rpkm(norm: DataFrame, features: DataFrame) -> DataFrame:
     return _with_length(norm, features).select("feature", "sample", (F.col("log2cpm") - F.log2(F.col("length_bp") / 1000)).alias("log2rpkm"))
 
 
+def average_log2rpkm(de: DataFrame, features: DataFrame) -> DataFrame:
+    """Result table with ``avg_log2rpkm``: the average log2 CPM minus log2 of the length in kilobases; NULL without a length."""
+    lengths = small(features.select("feature", F.col("length_bp").alias("_len")))
+    return de.join(lengths, "feature", "left").withColumn("avg_log2rpkm", F.col("avg_log2cpm") - F.log2(F.col("_len") / 1000)).drop("_len")
+
+
 def _scope_total(df: DataFrame, value: Column | str, scope: str) -> DataFrame:
     """Attach the sum of ``value`` over the sample or over the whole matrix as ``_total``; both sums are combined map-side."""
     value = F.col(value) if isinstance(value, str) else value
@@ -130,12 +136,18 @@ def fraction_log10(counts: DataFrame, samples: DataFrame, *, pseudo: float = 0.1
     return dense.join(lib, "sample").select("feature", "sample", F.log10((F.col("raw_count") + pseudo) / F.col("_total")).alias("fraction"))
 
 
-def size_factors(counts: DataFrame, n_samples: int) -> DataFrame:
-    """Median ratio to the geometric mean over features that are positive in every sample."""
-    logs = (counts.where("raw_count > 0").groupBy("feature")
-            .agg(F.count(F.lit(1)).alias("_k"), F.avg(F.ln("raw_count")).alias("_geo")).where(F.col("_k") == n_samples))
-    ratios = counts.join(small(logs.select("feature", "_geo")), "feature").select(
-        "sample", (F.ln("raw_count") - F.col("_geo")).alias("_ratio"))
+def size_factors(counts: DataFrame, n_samples: int, *, positive: bool = False) -> DataFrame:
+    """Median ratio to the geometric mean over features that are positive in every sample.
+
+    With ``positive`` the geometric means run over the positive counts (their logarithms over all samples), for tables in which no feature is positive
+    everywhere; without it such a table is an error.
+    """
+    logs = counts.where("raw_count > 0").groupBy("feature").agg(F.count(F.lit(1)).alias("_k"), F.sum(F.ln("raw_count")).alias("_sum"))
+    logs = logs if positive else logs.where(F.col("_k") == n_samples)
+    table, seen = keep_measured(logs.select("feature", (F.col("_sum") / n_samples).alias("_geo")))
+    if seen["n"] == 0:
+        raise ValueError("no feature is positive in all samples; size_factors(positive=True) works with positive counts only")
+    ratios = counts.where("raw_count > 0").join(small_local(table, seen["n"]), "feature").select("sample", (F.ln("raw_count") - F.col("_geo")).alias("_ratio"))
     return quantiles(ratios, ["sample"], "_ratio", {"_median": 0.5}).select("sample", F.exp("_median").alias("size_factor"))
 
 
@@ -189,6 +201,14 @@ def tmm_reference(counts: DataFrame, n_features: int, totals: DataFrame) -> Row:
     return min(zip(share, rows), key=lambda pair: (round(abs(pair[0] - mean), 14), pair[1]["sample"]))[1]
 
 
+def _ranks_in_pieces(df: DataFrame, value: str, out: str, size: str) -> DataFrame:
+    """Average rank of ``value`` within each sample. Range partitions by (sample, value) keep equal values together, so the ranks are
+    made inside the pieces and nothing is joined back on values."""
+    numbered = scan(df, ["sample"], [F.col(value).asc()], number="_n", size=size)
+    ties = W.partitionBy("sample", value)
+    return numbered.withColumn(out, F.avg("_n").over(ties)).drop("_n")
+
+
 def tmm_factors(counts: DataFrame, *, trim_m: float = 0.3, trim_a: float = 0.05) -> DataFrame:
     """Trimmed mean of M-values against one reference sample, scaled to a geometric mean of 1.
 
@@ -206,8 +226,8 @@ def tmm_factors(counts: DataFrame, *, trim_m: float = 0.3, trim_a: float = 0.05)
         F.round(F.log2(rate / ref_rate), 10).alias("_m"),
         F.round((F.log2(rate) + F.log2(ref_rate)) / 2, 10).alias("_a"),
         ((lib - F.col("raw_count")) / (lib * F.col("raw_count").cast("double")) + (ref_lib - F.col("_r")) / (ref_lib * F.col("_r").cast("double"))).alias("_v")))
-    ranked = average_ranks(pairs, ["sample"], "_m", "_rm", size="_k")
-    ranked = average_ranks(ranked, ["sample"], "_a", "_ra")
+    ranked = _ranks_in_pieces(pairs, "_m", "_rm", "_k")
+    ranked = _ranks_in_pieces(ranked, "_a", "_ra", "_ka")
     low_m, low_a = F.floor(F.col("_k") * trim_m) + 1, F.floor(F.col("_k") * trim_a) + 1
     inside = F.col("_rm").between(low_m, F.col("_k") + 1 - low_m) & F.col("_ra").between(low_a, F.col("_k") + 1 - low_a)
     raw = ranked.where(inside).groupBy("sample").agg((F.sum(F.col("_m") / F.col("_v")) / F.sum(1 / F.col("_v"))).alias("_log2f"))

@@ -2,8 +2,8 @@
 
 Cells are gathered once into feature rows. A task turns its rows into dense blocks and accumulates the statistic of every
 pair of sample blocks with matrix products, so no pair is ever emitted per feature: what leaves a task is one partial result
-per pair of samples. When there are more sample blocks than fit into one task, the block pairs are divided into groups and
-each group is accumulated by its own tasks.
+per pair of samples. When the samples do not fit into one task's accumulators they are cut into ranges, and every pair of
+ranges has tasks of its own, which get the cells of these two ranges only: a cell is copied once per range, not once per pair.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from countspark.functions.rows import _dense_blocks, feature_rows, fold_partitions, sample_index, sample_names
 from countspark.functions.scans import rank_table
@@ -20,6 +21,8 @@ from countspark.session import collect_small, keep, small
 
 #: Doubles a task may hold as accumulators (400 MB).
 STATE_CELLS = 50_000_000
+#: Feature rows per task of a pair of ranges.
+SPLIT_ROWS = 8192
 
 
 def _block_pairs(n: int, width: int) -> list[tuple[slice, slice]]:
@@ -27,33 +30,53 @@ def _block_pairs(n: int, width: int) -> list[tuple[slice, slice]]:
     return [(slice(a, min(a + width, n)), slice(b, min(b + width, n))) for a in starts for b in starts if a <= b]
 
 
-def pair_states(rows: DataFrame, n: int, *, prepare: Callable[[np.ndarray], np.ndarray], update: Callable, emit: Callable,
+def range_pairs(n: int, width: int, cells_per_pair: int = 1) -> list[tuple[slice, slice]]:
+    """Pairs of sample ranges, each as wide as the accumulators of one task allow (a multiple of ``width``)."""
+    blocks = max(1, int((STATE_CELLS / cells_per_pair) ** 0.5) // width)
+    return _block_pairs(n, blocks * width)
+
+
+def deal_ranges(rows: DataFrame, ranges: list[tuple[slice, slice]]) -> DataFrame:
+    """``(task, idx, x)``: every feature row once per pair of ranges, with the cells of these ranges only."""
+    bounds = F.array(*[F.struct(F.lit(t).alias("t"), *[F.lit(v).alias(c) for c, v in (("a0", a.start), ("a1", a.stop), ("b0", b.start), ("b1", b.stop))]) for t, (a, b) in enumerate(ranges)])
+    each = rows.select(F.arrays_zip("idx", "x").alias("cells"), F.xxhash64("idx", "x").alias("h"), F.explode(bounds).alias("r"))
+    inside = F.filter("cells", lambda c: ((c["idx"] >= F.col("r.a0")) & (c["idx"] < F.col("r.a1"))) | ((c["idx"] >= F.col("r.b0")) & (c["idx"] < F.col("r.b1"))))
+    return each.select(F.col("r.t").alias("task"), "h", inside.alias("c")).select("task", "h", F.col("c.idx").alias("idx"), F.col("c.x").alias("x"))
+
+
+def pair_states(rows: DataFrame, n: int, *, prepare: Callable[[np.ndarray, np.ndarray], np.ndarray], update: Callable, emit: Callable,
                 schema: str, width: int, cells_per_pair: int = 1) -> DataFrame:
     """Fold feature rows into one state per pair of sample blocks and emit the pairs of each partition.
 
-    ``update(state, a, b)`` adds two ``features × samples`` blocks to a state (None at first); ``emit(state)`` turns it into a
-    matrix with optional trailing axes. Output: ``a, b`` (sample indices, a < b) and the columns of ``schema``.
+    ``prepare(block, samples)`` gets the dense cells of some samples and their indices; ``update(state, a, b)`` adds two ``features ×
+    samples`` blocks to a state (None at first); ``emit(state)`` turns it into a matrix with optional trailing axes. Output: ``a, b``
+    (sample indices, a < b) and the columns of ``schema``.
     """
-    pairs = _block_pairs(n, width)
-    per_task = max(1, STATE_CELLS // (width * width * cells_per_pair))
-    groups = [pairs[i:i + per_task] for i in range(0, len(pairs), per_task)]
+    ranges = range_pairs(n, width, cells_per_pair)
     out = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), *T.StructType.fromDDL(schema).fields])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     target = to_arrow_schema(out)
-    data = rows.select("idx", "x")
-    if len(groups) == 1:
-        data = fold_partitions(data, n).withColumn("task", F.lit(0))
+    if len(ranges) == 1:
+        data = fold_partitions(rows.select("idx", "x"), n).withColumn("task", F.lit(0))
     else:
-        data = data.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(len(groups) - 1))))
-        data = data.repartition("task", F.pmod(F.xxhash64("idx", "x"), F.lit(64))).sortWithinPartitions("task")
+        splits = max(1, rows.count() // SPLIT_ROWS)
+        data = deal_ranges(rows, ranges).repartition("task", F.pmod("h", F.lit(splits))).sortWithinPartitions("task").select("task", "idx", "x")
+
+    def blocks_of(task: int) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+        """Samples of a task, and the pairs of their blocks as places among these samples."""
+        a, b = ranges[task]
+        if a == b:
+            return np.arange(a.start, a.stop), _block_pairs(a.stop - a.start, width)
+        size = a.stop - a.start
+        cut = lambda s, base: [slice(base + i, base + min(i + width, s.stop - s.start)) for i in range(0, s.stop - s.start, width)]
+        return np.concatenate([np.arange(a.start, a.stop), np.arange(b.start, b.stop)]), [(x, y) for x in cut(a, 0) for y in cut(b, size)]
 
     def flush(task: int, states: dict) -> Iterator[pa.RecordBatch]:
+        samples, pairs = blocks_of(task)
         for number, state in states.items():
-            left, right = groups[task][number]
+            left, right = pairs[number]
             values = emit(state)
             ia, ib = np.indices(values.shape[:2])
-            ia, ib = ia + left.start, ib + right.start
+            ia, ib = samples[ia + left.start], samples[ib + right.start]
             upper = ia < ib
             if not upper.any():
                 continue
@@ -66,7 +89,7 @@ def pair_states(rows: DataFrame, n: int, *, prepare: Callable[[np.ndarray], np.n
             yield pa.RecordBatch.from_arrays([pa.array(ia[upper].astype(np.int32)), pa.array(ib[upper].astype(np.int32)), column], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, states = None, {}
+        current, states, samples, pairs = None, {}, None, []
         for batch in batches:
             tasks = batch.column("task").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(tasks)) + 1), len(tasks)]
@@ -77,9 +100,10 @@ def pair_states(rows: DataFrame, n: int, *, prepare: Callable[[np.ndarray], np.n
                     if current is not None:
                         yield from flush(current, states)
                     current, states = tasks[lo], {}
-                for _, _, block in _dense_blocks(batch.slice(lo, hi - lo), n):
-                    block = prepare(block)
-                    for number, (left, right) in enumerate(groups[current]):
+                    samples, pairs = blocks_of(current)
+                for block in _local_blocks(batch.slice(lo, hi - lo), samples):
+                    block = prepare(block, samples)
+                    for number, (left, right) in enumerate(pairs):
                         states[number] = update(states.get(number), block[:, left], block[:, right])
         if current is not None:
             yield from flush(current, states)
@@ -87,11 +111,22 @@ def pair_states(rows: DataFrame, n: int, *, prepare: Callable[[np.ndarray], np.n
     return data.mapInArrow(run, out)
 
 
+def _local_blocks(batch: pa.RecordBatch, samples: np.ndarray) -> Iterator[np.ndarray]:
+    """Dense blocks of the given samples' columns, in their order."""
+    idx, x = batch.column("idx"), batch.column("x")
+    start, stop = idx.offsets[0].as_py(), idx.offsets[-1].as_py()
+    places = np.searchsorted(samples, idx.values.slice(start, stop - start).to_numpy(zero_copy_only=False)).astype(np.int32)
+    offsets = pa.array((idx.offsets.to_numpy() - start).astype(np.int32))
+    local = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(places)), x], ["idx", "x"])
+    for _, _, block in _dense_blocks(local, len(samples)):
+        yield block
+
+
 def _named(pairs: DataFrame, samples: DataFrame, names: list, value: str) -> DataFrame:
     index = sample_index(samples, names)
     left = index.select(F.col("idx").alias("a"), F.col("sample").alias("sample_a"))
     right = index.select(F.col("idx").alias("b"), F.col("sample").alias("sample_b"))
-    return pairs.join(F.broadcast(left), "a").join(F.broadcast(right), "b").select("sample_a", "sample_b", value)
+    return pairs.join(left, "a").join(right, "b").select("sample_a", "sample_b", value)
 
 
 def _sum_pairs(rows: DataFrame, n: int, prepare, kernel) -> DataFrame:
@@ -115,7 +150,7 @@ def _standardised(rows: DataFrame, cells: DataFrame, col: str, names: list):
     centre = np.array([stats.get(s, (0.0, 0.0))[0] for s in names])
     scale = np.array([stats.get(s, (0.0, 0.0))[1] for s in names])
     scale = np.where(scale > 0, scale, np.nan)
-    return lambda block: (block - centre) / scale
+    return lambda block, samples: (block - centre[samples]) / scale[samples]
 
 
 def sample_corr_pearson(df: DataFrame, col: str, samples: DataFrame | None = None) -> DataFrame:
@@ -162,7 +197,7 @@ def corr_distance(df: DataFrame, col: str, *, axis: str = "samples", method: str
 
 
 def sample_dist_euclid(df: DataFrame, col: str, samples: DataFrame | None = None) -> DataFrame:
-    """Euclidean distance over features; rows are centred first, which leaves distances alone and keeps them accurate."""
+    """Euclidean distance over features; the cells of a task are centred per feature, which leaves distances alone and keeps them accurate."""
     samples = _samples_of(df, samples)
     names = sample_names(samples)
     rows = feature_rows(df, col, samples, names)
@@ -170,7 +205,7 @@ def sample_dist_euclid(df: DataFrame, col: str, samples: DataFrame | None = None
     def squares(a, b):
         return (a * a).sum(0)[:, None] + (b * b).sum(0)[None, :] - 2 * (a.T @ b)
 
-    pairs = _sum_pairs(rows, len(names), lambda x: x - x.mean(axis=1, keepdims=True), squares)
+    pairs = _sum_pairs(rows, len(names), lambda x, _: x - x.mean(axis=1, keepdims=True), squares)
     return _named(pairs.select("a", "b", F.sqrt(F.greatest("value", F.lit(0.0))).alias("distance")), samples, names, "distance")
 
 
@@ -223,9 +258,9 @@ def sample_dist_poisson(counts: DataFrame, samples: DataFrame | None = None, *,
     power = poisson_power(rows, counts, names) if power is None else power
     totals, _ = _margins(counts, names, power)
 
-    def prepare(block):
+    def prepare(block, samples):
         x = np.where(block > 0, np.power(np.where(block > 0, block, 1.0), power), 0.0)
-        return np.stack([x, np.broadcast_to(totals, x.shape)], axis=-1)
+        return np.stack([x, np.broadcast_to(totals[samples], x.shape)], axis=-1)
 
     def kernel(a, b):
         out = np.empty((a.shape[1], b.shape[1]))
@@ -262,7 +297,7 @@ def leading_logfc_dist(norm: DataFrame, col: str = "log2cpm", samples: DataFrame
                 state = np.partition(state, len(state) - top, axis=0)[-top:]
         return state
 
-    parts = pair_states(rows, n, prepare=lambda x: x, update=update, emit=lambda s: np.moveaxis(s, 0, -1),
+    parts = pair_states(rows, n, prepare=lambda x, _: x, update=update, emit=lambda s: np.moveaxis(s, 0, -1),
                         schema="values array<double>", width=width, cells_per_pair=2 * top)
     every = parts.select("a", "b", F.explode("values").alias("v"))
     best = every.withColumn("_i", F.row_number().over(W.partitionBy("a", "b").orderBy(F.col("v").desc()))).where(F.col("_i") <= top)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from countspark.functions.scans import quantiles, scan, value_counts
 from countspark.model import Experiment
 from countspark.operators.normalize import library_size
+from countspark.operators.reshape import zero_fill
 from countspark.session import collect_small, keep, small
 
 PSEUDO = "__"
@@ -63,9 +64,9 @@ def experiment_from_counts(counts: DataFrame, samples: DataFrame | None = None,
     if merge_by:
         counts, samples = merge_technical_replicates(counts, samples, merge_by)
     samples = keep(samples)
-    missing = [r[0] for r in validate_sample_match(counts, samples).limit(20).collect()]
+    missing = [r[0] for r in validate_sample_match(counts, samples).collect()]
     if missing:
-        raise ValueError(f"sample sheet names samples without counts: {missing}")
+        raise ValueError(f"sample sheet names {len(missing)} samples without counts: {missing}")
     counts = counts.join(small(samples.select("sample").distinct()), "sample", "left_semi").select("feature", "sample", "raw_count")
     alignment = keep(alignment_summary(counts, samples, prefix=pseudo_prefix))
     real = counts.where(~_is_pseudo(pseudo_prefix))
@@ -120,6 +121,17 @@ def group_levels(samples: DataFrame, cols: Sequence[str] | None = None) -> DataF
     return levels.withColumn("usable", n > 1)
 
 
+def default_covariate(samples: DataFrame, n: int = 1, *, terms: Sequence[str] | None = None) -> str | None:
+    """Name of the default grouping: the ``n``-th formula term that is a covariate, else the ``n``-th covariate with more than one level."""
+    covariates = [c for c in samples.columns if c != "sample"]
+    if terms is not None:
+        names = [t for t in terms if t in covariates]
+    else:
+        levels = samples.agg(*[F.countDistinct(c).alias(c) for c in covariates]).first() if covariates else {}
+        names = [c for c in covariates if levels[c] > 1]
+    return names[n - 1] if n <= len(names) else None
+
+
 def refflat_annotation(refflat: DataFrame, features: DataFrame) -> DataFrame:
     """Per feature: mean exon count and length, outer bounds; of several loci the first by (chr, strand) is taken."""
     loci = refflat.groupBy("gene", "chr", "strand").agg(
@@ -173,9 +185,10 @@ Y_MARKERS = ("NRY", "AZF1", "BPY2", "DAZ1", "DAZ2", "PRKY", "RBMY1A1", "SRY", "T
 
 
 def sex_marker_counts(counts: DataFrame, samples: DataFrame, features: DataFrame, *, genes: Sequence[str] = Y_MARKERS, sex: str = "sex") -> DataFrame:
-    """Counts of the marker genes with the declared sex of the sample."""
-    markers = features.where(F.col("symbol").isin(list(genes))).select("feature", "symbol")
-    return counts.join(small(markers), "feature").join(small(samples.select("sample", F.col(sex).alias("declared_sex"))), "sample", "left")
+    """Counts of the marker genes in all samples, absent cells as 0, with the declared sex of the sample."""
+    markers = small(features.where(F.col("symbol").isin(list(genes))).select("feature", "symbol"))
+    dense = zero_fill(counts.join(markers.select("feature"), "feature", "left_semi"), None, samples)
+    return dense.join(markers, "feature").join(small(samples.select("sample", F.col(sex).alias("declared_sex"))), "sample", "left")
 
 
 def gene_group_stats(norm: DataFrame, samples: DataFrame, de: DataFrame, *, value: str, group: str, k: int = 100) -> DataFrame:
@@ -228,32 +241,55 @@ def independent_filter_bins(de: DataFrame, *, bins: int = 6, alpha: float = 0.05
             .groupBy("contrast", "bin").agg(F.avg((F.col("p_value") < alpha).cast("double")).alias("share"), F.count(F.lit(1)).alias("n")))
 
 
-def value_histogram(df: DataFrame, col: str, *, bins: int, low: float, high: float) -> DataFrame:
-    """Counts of values in equal right-closed bins over [low, high], the lower end in the first bin."""
-    step = (high - low) / bins
-    bin_ = F.greatest(F.lit(1), F.ceil((F.col(col) - low) / step)).cast("int")
-    return df.where(F.col(col).between(low, high)).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+def value_histogram(df: DataFrame, col: str, *, bins: int, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Counts of values in equal right-closed bins, the lower end in the first bin.
 
-
-def count_density(norm: DataFrame, col: str, *, by: str = "sample", grid: int = 512, log10: bool = False) -> DataFrame:
+    The range is that of the data unless given. With a given range, values below or above it are counted in bins 0 and ``bins + 1``.
+    """
+    values = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    if low is None or high is None:
+        seen = values.agg(F.min("v"), F.max("v")).first()
+        low, high = (seen[0] if low is None else low), (seen[1] if high is None else high)
+    if low is None:
+        return values.select(F.lit(1).alias("bin"), F.lit(0).cast("bigint").alias("n")).where(F.lit(False))
+    step = (high - low) / bins if high > low else 1.0
+    inside = F.least(F.lit(bins), F.greatest(F.lit(1), F.ceil((F.col("v") - low) / step)))
+    bin_ = F.when(F.col("v") < low, 0).when(F.col("v") > high, bins + 1).otherwise(inside).cast("int")
+    return values.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_density(norm: DataFrame, col: str, *, by: str = "sample", grid: int = 512, log10: bool = False, zero: float | None = None) -> DataFrame:
     """Rectangular-kernel density per group on an even grid over the range of all values.
 
-    The density at a grid point needs only the number of values within half a width, so each value adds +1 where it enters and
-    −1 where it leaves; both are combined on the map side and summed along the grid.
+    The density at a grid point needs only the number of values within half a width, so each distinct value adds its multiplicity where
+    it enters and takes it away where it leaves; both are combined on the map side and summed along the grid. ``zero`` puts the cells
+    that do not exist (and zeros) at that value, as one weighted value per group: every group then has a value for every feature.
     """
-    value = F.log10(F.when(F.col(col) > 0, F.col(col))) if log10 else F.col(col)
-    data = keep(norm.select(F.col(by).alias("group"), value.cast("double").alias("v")).where("v IS NOT NULL"))
-    quart = quantiles(data, ["group"], "v", {"_q1": 0.25, "_q3": 0.75})
-    spread_ = data.groupBy("group").agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("v").alias("_sd"))
+    cells = norm.select(F.col(by).alias("group"), "feature" if zero is not None else F.lit(None).alias("feature"), F.col(col).cast("double").alias("v"))
+    if zero is not None:
+        cells = cells.withColumn("v", F.when(F.col("v") == 0, F.lit(float(zero))).otherwise(F.col("v")))
+    counted = keep(cells.where("v IS NOT NULL").groupBy("group", "v").agg(F.count(F.lit(1)).alias("_w")))
+    if zero is not None:
+        n_features = norm.select("feature").distinct().count()
+        absent = counted.groupBy("group").agg((F.lit(n_features) - F.sum("_w")).alias("_w")).where("_w > 0")
+        counted = counted.unionByName(absent.withColumn("v", F.lit(float(zero))))
+    value = F.log10(F.when(F.col("v") > 0, F.col("v"))) if log10 else F.col("v")
+    data = keep(counted.withColumn("v", value).where("v IS NOT NULL"))
+    quart = quantiles(data, ["group"], "v", {"_q1": 0.25, "_q3": 0.75}, weight="_w")
+    middle = small(data.groupBy("group").agg(F.sum("_w").alias("_n"), (F.sum(F.col("v") * F.col("_w")) / F.sum("_w")).alias("_m")))
+    squares = data.join(middle, "group").groupBy("group", "_n").agg(F.sum(F.col("_w") * F.pow(F.col("v") - F.col("_m"), F.lit(2.0))).alias("_ss"))
+    spread_ = squares.select("group", "_n", F.sqrt(F.col("_ss") / F.when(F.col("_n") > 1, F.col("_n") - 1)).alias("_sd"))
     iqr = (F.col("_q3") - F.col("_q1")) / 1.34
     robust = F.when(iqr > 0, F.least("_sd", iqr)).otherwise(F.col("_sd"))
     half = 0.9 * robust * F.pow(F.col("_n"), F.lit(-0.2)) * 3 ** 0.5
     low, high = data.agg(F.min("v"), F.max("v")).first()
+    if low is None:
+        low, high = 0.0, 0.0
     step = (high - low) / (grid - 1) if high > low else 1.0
     widths = small(spread_.join(quart, "group").select("group", "_n", half.alias("_h")).where("_h > 0"))
     enters = F.greatest(F.lit(0), F.ceil((F.col("v") - F.col("_h") - low) / step))
     leaves = F.floor((F.col("v") + F.col("_h") - low) / step) + 1
-    marks = F.explode(F.array(F.struct(enters.alias("i"), F.lit(1).alias("d")), F.struct(F.least(leaves, F.lit(grid)).alias("i"), F.lit(-1).alias("d"))))
+    marks = F.explode(F.array(F.struct(enters.alias("i"), F.col("_w").alias("d")), F.struct(F.least(leaves, F.lit(grid)).alias("i"), (-F.col("_w")).alias("d"))))
     deltas = data.join(widths, "group").select("group", marks.alias("m")).groupBy("group", F.col("m.i").alias("i")).agg(F.sum("m.d").alias("d"))
     points = widths.select("group", "_n", "_h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(grid - 1).cast("bigint"))).alias("i"))
     inside = F.sum(F.coalesce("d", F.lit(0))).over(W.partitionBy("group").orderBy("i"))  # ``grid`` rows per group
@@ -284,28 +320,51 @@ def paired_lm(pairs: DataFrame, *, by: str) -> DataFrame:
 
 
 def complexity_curve(counts: DataFrame, *, max_rank: int | None = 1000) -> DataFrame:
-    """Cumulative share of the reads by rank of the feature, largest first.
+    """Cumulative share of the reads by rank of the feature, largest first, ties by feature; features without reads in a sample rank last.
 
-    With ``max_rank`` only the first rows per sample leave the map side (a group-limited window); without it the curve is a
-    distributed scan.
+    With ``max_rank`` only the first rows per sample leave the map side (a group-limited window), and a sample with fewer features is
+    filled up with its first features without reads. Without it the curve is a distributed scan of the cells with reads; behind them it
+    is constant at 1, which adds no information to samples × features rows, so it ends there.
     """
     order = [F.col("raw_count").desc(), F.col("feature").asc()]
     lib = small(library_size(counts))
+    present = counts.where("raw_count > 0")
     if max_rank is None:
-        ranked = scan(counts, ["sample"], order, number="rank", sums={"_cum": "raw_count"})
-    else:
-        w = W.partitionBy("sample").orderBy(*order)
-        top = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_rank)
-        ranked = top.withColumn("_cum", F.sum("raw_count").over(W.partitionBy("sample").orderBy("rank")))
-    return ranked.join(lib, "sample").select("sample", "feature", "raw_count", "rank", (F.col("_cum") / F.col("lib_size")).alias("fraction"))
+        ranked = scan(present, ["sample"], order, number="rank", sums={"_cum": "raw_count"})
+        return ranked.join(lib, "sample").select("sample", "feature", "raw_count", "rank", (F.col("_cum") / F.col("lib_size")).alias("fraction"))
+    w = W.partitionBy("sample").orderBy(*order)
+    top = keep(present.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_rank))
+    curve = top.withColumn("_cum", F.sum("raw_count").over(W.partitionBy("sample").orderBy("rank"))).join(lib, "sample").select(
+        "sample", "feature", "raw_count", "rank", (F.col("_cum") / F.col("lib_size")).alias("fraction"))
+    short = lib.join(top.groupBy("sample").agg(F.max("rank").alias("_k")), "sample", "left").select("sample", F.coalesce("_k", F.lit(0)).alias("_k")).where(F.col("_k") < max_rank)
+    # a short sample has fewer than ``max_rank`` features, so its first ones without reads are among the first ``max_rank`` of all
+    first = small(counts.select("feature").distinct().orderBy("feature").limit(max_rank))
+    short = small(short)
+    some = zero_fill(present.join(first, "feature", "left_semi"), first, short)
+    absent = some.where("raw_count = 0").join(short, "sample")
+    filled = absent.withColumn("rank", (F.col("_k") + F.row_number().over(W.partitionBy("sample").orderBy("feature"))).cast("int")).where(F.col("rank") <= max_rank)
+    return curve.unionByName(filled.select("sample", "feature", F.lit(0).cast(counts.schema["raw_count"].dataType).alias("raw_count"), "rank", F.lit(1.0).alias("fraction")))
 
 
 def frequent_tags(counts: DataFrame, *, min_fraction: float = 0.01, in_all_samples: bool = True) -> DataFrame:
-    """Features with at least ``min_fraction`` of a sample's reads, with rank and share; optionally their cells in all samples."""
+    """Features with at least ``min_fraction`` of a sample's reads, with rank and share; optionally their cells in all samples.
+
+    A feature ranks behind those with more reads in the sample; equal ones share the rank. Only distinct values with their multiplicities
+    are ranked, and at most 1 / ``min_fraction`` features per sample are kept, so no table of all cells is sorted. Kept features that a
+    sample has no reads of get a row with 0.
+    """
     lib = small(library_size(counts))
-    ranked = scan(counts, ["sample"], [F.col("raw_count").desc(), F.col("feature").asc()], number="rank")
-    shares = ranked.join(lib, "sample").select("sample", "feature", "raw_count", "rank", (F.col("raw_count") / F.col("lib_size")).alias("fraction"))
+    present = counts.where("raw_count > 0")
+    shares = present.join(lib, "sample").withColumn("fraction", F.col("raw_count") / F.col("lib_size"))
     often = F.col("fraction") >= min_fraction
-    if not in_all_samples:
-        return shares.where(often)
-    return shares.join(small(shares.where(often).select("feature").distinct()), "feature", "left_semi")
+    if in_all_samples:
+        wanted = small(shares.where(often).select("feature").distinct())
+        cells = zero_fill(present.join(wanted, "feature", "left_semi"), None, lib.select("sample"))
+    else:
+        cells = shares.where(often).select("sample", "feature", "raw_count")
+    values = value_counts(present, ["sample"], "raw_count")
+    ranked = scan(values, ["sample"], [F.col("raw_count").desc()], sums={"_upto": "_times"}, totals={"_all": "_times"})
+    ranks = small(ranked.select("sample", "raw_count", (F.col("_upto") - F.col("_times") + 1).alias("rank")))
+    sizes = small(values.groupBy("sample").agg(F.sum("_times").alias("_all")))
+    out = cells.join(ranks, ["sample", "raw_count"], "left").join(sizes, "sample").join(lib, "sample")
+    return out.select("sample", "feature", "raw_count", F.coalesce("rank", F.col("_all") + 1).alias("rank"), (F.col("raw_count") / F.col("lib_size")).alias("fraction"))

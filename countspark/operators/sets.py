@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -11,10 +10,10 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from countspark.functions.adjust import bh_adjust
-from countspark.functions.rows import _dense_blocks, feature_rows, map_blocks
+from countspark.functions.adjust import bh_adjust, holm_filter
+from countspark.functions.rows import _dense_blocks, dense_array, feature_rows, map_blocks, sample_index
 from countspark.functions.scans import scan
-from countspark.functions.special import t_tail, t_two_sided
+from countspark.functions.special import normal_upper_quantile, t_tail, t_two_sided
 from countspark.operators.linear import LinearFit, design_arrays, ebayes_moderate, make_contrasts, variance_prior
 from countspark.session import collect_small, keep, small
 
@@ -111,8 +110,8 @@ def template_distances(norm: DataFrame, templates: DataFrame, *, value: str) ->
     return dots.join(sizes, "class").join(norms, "sample").select("sample", "class", F.sqrt((1 - cos) / 2).alias("distance"))
 
 
-def nearest_template(norm: DataFrame, templates: DataFrame, *, value: str, n_perm: int = 1000, seed: int = 1) -> DataFrame:
-    """Nearest class per sample with its distance, a permutation p-value and FDR.
+def nearest_template(norm: DataFrame, templates: DataFrame, *, value: str, n_perm: int = 1000, seed: int = 1, max_fdr: float | None = None) -> DataFrame:
+    """Nearest class per sample with its distance, a permutation p-value and FDR; above ``max_fdr`` there is no prediction.
 
     The null distances use ``n_perm`` seeded random feature sets of the template's size, the same for all samples, so a batch
     of samples is compared with all of them in one matrix product.
@@ -152,7 +151,8 @@ def nearest_template(norm: DataFrame, templates: DataFrame, *, value: str, n_per
 
     kind = templates.schema["class"].dataType.simpleString()
     scored = map_blocks(rows, len(feats), run, f"prediction {kind}, distance double, p_value double").withColumnRenamed("feature", "sample")
-    return bh_adjust(keep(scored), "p_value", by=[], key="sample", out="fdr")
+    out = bh_adjust(keep(scored), "p_value", by=[], key="sample", out="fdr")
+    return out if max_fdr is None else out.withColumn("prediction", F.when(F.col("fdr") <= max_fdr, F.col("prediction")))
 
 
 def nearest_centroid(norm: DataFrame, centroids: DataFrame, *, value: str) -> DataFrame:
@@ -169,9 +169,12 @@ def class_centroids(norm: DataFrame, classes: DataFrame, *, value: str) -> DataF
 
 
 def sample_vectors(norm: DataFrame, *, value: str) -> DataFrame:
-    """One ML vector per sample over its features in order (a chosen list of features, present in every sample)."""
-    cells = norm.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("feature", F.col(value).cast("double").alias("v")))).alias("c"))
-    return cells.select("sample", array_to_vector(F.col("c.v")).alias("features"))
+    """One ML vector per sample over a chosen list of features in order; a feature that a sample lacks is 0."""
+    order = [r["feature"] for r in norm.select("feature").distinct().orderBy("feature").collect()]  # one number per feature is what a vector holds
+    place = sample_index(norm.select(F.col("feature").alias("sample")), order).select(F.col("sample").alias("feature"), "idx")
+    cells = norm.join(place, "feature").groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("idx", F.col(value).cast("double").alias("x")))).alias("c"))
+    dense = cells.select("sample", F.col("c.idx").alias("idx"), F.col("c.x").alias("x")).select("sample", dense_array(len(order)).alias("v"))
+    return dense.select("sample", array_to_vector("v").alias("features"))
 
 
 def rf_classify(train: DataFrame, test: DataFrame, classes: DataFrame, *, value: str, features=None, trees: int = 50, seed: int = 1) -> DataFrame:
@@ -212,27 +215,66 @@ def make_templates(de: DataFrame, *, top: int = 50) -> DataFrame:
 def _z_score(t: pd.Series, df: pd.Series) -> pd.Series:
     """Normal score with the same tail probability as a t statistic."""
     tail = np.clip(t_two_sided(t.fillna(0).to_numpy(), df.to_numpy()) / 2, 1e-300, 0.5)
-    score = np.array([NormalDist().inv_cdf(p) for p in tail])
+    score = normal_upper_quantile(tail)
     return pd.Series(np.where(t.isna(), np.nan, -np.sign(t) * score))
 
 
+def _fold_sets(rows: DataFrame, n: int, width: int, score, kind: str) -> DataFrame:
+    """``(set_id, v, m)``: Σ of ``score(block)`` (features × width) and number of features per set, from rows ``(set_id, idx, x)``.
+
+    A task adds up its features per set and sends its sums on when they fill its memory; they are added per set in a second step.
+    """
+    def run(batches):
+        state: dict = {}
+
+        def flush():
+            ids = list(state)
+            sums = np.concatenate([state[s][0] for s in ids]) if ids else np.zeros(0)
+            offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * width)
+            out = pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(sums)), pa.array([state[s][1] for s in ids], pa.int64())], ["set_id", "v", "m"])
+            state.clear()
+            return out
+
+        for batch in batches:
+            ids = np.array(batch.column("set_id").to_pylist(), dtype=object)
+            for lo, hi, block in _dense_blocks(batch, n):
+                values = score(block)
+                names, where = np.unique(ids[lo:hi].astype(str), return_inverse=True)
+                for k in range(len(names)):
+                    members = np.flatnonzero(where == k)
+                    entry = state.setdefault(ids[lo + members[0]], [np.zeros(width), 0])
+                    entry[0] += values[members].sum(axis=0)
+                    entry[1] += len(members)
+                if len(state) * width > 16_000_000:
+                    yield flush()
+        if state:
+            yield flush()
+
+    def add(table: pa.Table) -> pa.Table:
+        v = np.stack([np.asarray(x.values) for x in table.column("v").combine_chunks()]).sum(axis=0)
+        return pa.table({"set_id": table.column("set_id").slice(0, 1), "v": pa.array([v.tolist()], pa.list_(pa.float64())), "m": pa.array([sum(table.column("m").to_pylist())], pa.int64())})
+
+    schema = f"set_id {kind}, v array<double>, m bigint"
+    return rows.select("set_id", "idx", "x").mapInArrow(run, schema).groupBy("set_id").applyInArrow(add, schema)
+
+
 def camera_test(fit: LinearFit, contrasts: DataFrame, gene_sets: DataFrame) -> DataFrame:
     """Competitive test per set and contrast: set against the rest, variance inflated by the correlation within the set.
 
     Residual effects of a feature are scaled to mean square 1; per set only their sums over features are needed.
     """
     d = fit.design
-    basis = np.linalg.qr(np.column_stack([d.matrix, np.eye(len(d.samples))]))[0][:, d.matrix.shape[1]:len(d.samples)]
-    df = d.df
+    q = np.linalg.qr(d.matrix)[0]
+    df, n = d.df, len(d.samples)
 
-    def effects(y, _):
-        e = y @ basis
-        return {"u": e / np.sqrt(np.maximum((e * e).mean(axis=1, keepdims=True), 1e-300))}
+    def residuals(y):
+        e = y - (y @ q) @ q.T
+        return e / np.sqrt(np.maximum((e * e).sum(axis=1, keepdims=True) / df, 1e-300))
 
     sets = small(gene_sets.select("set_id", "feature").distinct())
-    units = map_blocks(fit.rows, len(d.samples), effects, "u array<double>").join(sets, "feature")
-    sums = units.select("set_id", F.posexplode("u").alias("i", "u")).groupBy("set_id", "i").agg(F.sum("u").alias("s"), F.count(F.lit(1)).alias("m"))
-    inflation = sums.groupBy("set_id").agg(F.max("m").alias("m"), (F.avg(F.pow(F.col("s"), F.lit(2.0))) / F.max("m")).alias("vif"))
+    sums = _fold_sets(fit.rows.join(sets, "feature"), n, n, residuals, gene_sets.schema["set_id"].dataType.simpleString())
+    square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
+    inflation = sums.select("set_id", "m", (square / df / F.col("m")).alias("vif"))
     d0, _ = variance_prior(fit.table, df)
     tested = ebayes_moderate(fit, contrasts)
     total = min(d0 + df, float(df) * fit.table.count())
@@ -286,23 +328,8 @@ def set_score_test(norm: DataFrame, design: DataFrame, null: DataFrame, gene_set
     rows = rows.join(small(members.select("feature").distinct()), "feature", "left_semi").join(small(members), "feature").select("set_id", "idx", "x")
     kind = gene_sets.schema["set_id"].dataType.simpleString()
 
-    def run(batches):
-        state: dict = {}
-        for batch in batches:
-            ids = batch.column("set_id").to_pylist()
-            for lo, hi, block in _dense_blocks(batch, n):
-                score = (_standard(block) @ columns) ** 2
-                for i, set_id in enumerate(ids[lo:hi]):
-                    entry = state.setdefault(set_id, [np.zeros(columns.shape[1]), 0])
-                    entry[0] += score[i]
-                    entry[1] += 1
-        if state:
-            yield pa.RecordBatch.from_arrays([pa.array(list(state)), pa.array([e[0].tolist() for e in state.values()]), pa.array([e[1] for e in state.values()])], ["set_id", "q", "m"])
-
-    parts = rows.mapInArrow(run, f"set_id {kind}, q array<double>, m bigint")
-    sums = parts.select("set_id", "m", F.posexplode("q").alias("i", "q")).groupBy("set_id", "i").agg(F.sum("q").alias("q"), F.sum("m").alias("m"))
-    per = sums.groupBy("set_id").agg(F.max("m").alias("n_features"), F.max(F.when(F.col("i") == 0, F.col("q"))).alias("stat"),
-                                     F.collect_list(F.when(F.col("i") > 0, F.col("q"))).alias("_null"))
+    sums = _fold_sets(rows, n, columns.shape[1], lambda block: (_standard(block) @ columns) ** 2, kind)
+    per = sums.select("set_id", F.col("m").alias("n_features"), F.col("v")[0].alias("stat"), F.slice("v", 2, n_perm).alias("_null"))
     above = F.size(F.filter("_null", lambda q: q >= F.col("stat") * (1 - 1e-12)))
     return per.select("set_id", F.lit(coef).alias("contrast"), "n_features", "stat", ((above + 1) / (n_perm + 1)).alias("p_value"))
 
@@ -312,3 +339,12 @@ def set_gene_ranks(contributions: DataFrame, gene_sets: DataFrame, de: DataFrame
     members = small(gene_sets.select("set_id", "feature").distinct())
     ranked = scan(contributions.join(members, "feature"), ["set_id", "contrast"], [F.col("contribution").desc(), F.col("feature").asc()], number="set_rank")
     return ranked.join(de, ["feature", "contrast"])
+
+
+def selected_set_ranks(set_p: DataFrame, contributions: DataFrame, gene_sets: DataFrame, de: DataFrame, *, alpha: float = 0.05) -> DataFrame:
+    """Sets that pass Holm's correction, ranked per contrast, with the ranks of their features and the result table."""
+    chosen = keep(holm_filter(set_p, by=["contrast"], alpha=alpha))
+    order = W.partitionBy("contrast").orderBy("adj_p", "p_value", "set_id")  # one row per chosen set
+    ranks = small(chosen.withColumn("set_order", F.row_number().over(order)).select("set_id", "contrast", F.col("adj_p").alias("set_adj_p"), "set_order"))
+    members = gene_sets.join(ranks.select("set_id").distinct(), "set_id", "left_semi")
+    return set_gene_ranks(contributions, members, de).join(ranks, ["set_id", "contrast"])

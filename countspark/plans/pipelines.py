@@ -7,30 +7,30 @@ from pyspark.sql import DataFrame
 from countspark.model import Experiment
 from countspark.operators import linear, negbin, normalize as nz
 from countspark.operators.detable import de_table
-from countspark.session import keep
+from countspark.session import as_written, keep
 
 
 def voom_analysis(exp: Experiment, *, threshold: float = 0.05, tmm: bool = True) -> DataFrame:
     """TMM → voom → weighted linear models → moderated t → result table."""
-    counts = keep(exp.counts)
+    counts = as_written(exp.counts)
     factors = keep(nz.tmm_factors(counts)) if tmm else None
     voom = linear.voom_weights(counts, exp.design, factors=factors)
-    return de_table(linear.ebayes_moderate(linear.voom_fit(voom), exp.contrasts), threshold=threshold)
+    return de_table(keep(linear.ebayes_moderate(linear.voom_fit(voom), exp.contrasts)), threshold=threshold)
 
 
 def edger_analysis(exp: Experiment, *, threshold: float = 0.05) -> DataFrame:
     """TMM → dispersions → log-linear models → likelihood-ratio tests → result table."""
-    counts = keep(exp.counts)
+    counts = as_written(exp.counts)
     factors = keep(nz.tmm_factors(counts))
     data = negbin.nb_input(counts, exp.design, factors=factors)
     fit = negbin.nb_glm_fit(data, keep(negbin.nb_dispersion_edger(data)))
-    return de_table(negbin.glm_lrt(fit, exp.contrasts), threshold=threshold)
+    return de_table(keep(negbin.glm_lrt(fit, exp.contrasts)), threshold=threshold)
 
 
 def deseq2_analysis(exp: Experiment, *, threshold: float = 0.05, trend: str = "mean") -> DataFrame:
     """Size factors → dispersions → Wald tests → result table."""
-    counts = keep(exp.counts)
+    counts = as_written(exp.counts)
     factors = keep(nz.size_factors(counts, exp.samples.count()))
     data = negbin.nb_input(counts, exp.design, size_factors=factors)
     fit = negbin.nb_glm_fit(data, keep(negbin.nb_dispersion_deseq(data, fit=trend)))
-    return de_table(negbin.nb_wald(fit, exp.contrasts), threshold=threshold)
+    return de_table(keep(negbin.nb_wald(fit, exp.contrasts)), threshold=threshold)

@@ -4,7 +4,7 @@ Two rules of the whole library live here:
 
 * anything used by more than one pass is written once to the cluster's shared folder (``keep``), so a lost executor costs a
   re-read and not a recomputation, and the file sizes are known to the optimizer;
-* a side is broadcast only after its row count was measured (``small``); above the bound the same join runs as a shuffle join.
+* a side is broadcast only after its bytes were measured (``small``); above the bound the same join runs as a shuffle join.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows (a few scalar columns each) up to which a measured table is broadcast.
+#: Bytes of values up to which a measured table is broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Rows (a few scalar columns each) up to which a table the driver holds is broadcast.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -46,6 +48,12 @@ def keep(df: DataFrame) -> DataFrame:
     return keep_measured(df)[0]
 
 
+def as_written(df: DataFrame) -> DataFrame:
+    """``df`` itself when it is a plain scan of files, else ``keep(df)``: stored tables are not copied."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return df if plan.nodeName().startswith("LogicalRelation") or "RelationV2" in plan.nodeName() else keep(df)
+
+
 def keep_measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
     """``keep`` that also returns the number of rows ``n`` and other aggregates, observed during the write."""
     spark = df.sparkSession
@@ -56,10 +64,23 @@ def keep_measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
     return spark.read.schema(df.schema).parquet(path), seen.get
 
 
-def small(df: DataFrame, *, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a reduced table, count it, and hint a broadcast only when it is within ``limit`` rows."""
-    table, seen = keep_measured(df)
-    return F.broadcast(table) if seen["n"] <= limit else table
+def _width(name: str, kind: T.DataType) -> Column:
+    """Bytes of a value, roughly: fixed widths, the bytes of texts, and the text form of nested values."""
+    col = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 8
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(col.cast("string")), F.lit(0)) + 16
+    return F.lit(8)
+
+
+def small(df: DataFrame, *, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Materialise a reduced table, measure its bytes during the write, and hint a broadcast only when they are within ``limit``."""
+    width = F.lit(16)
+    for field in df.schema.fields:
+        width = width + _width(field.name, field.dataType)
+    table, seen = keep_measured(df, bytes=F.sum(width))
+    return F.broadcast(table) if (seen["bytes"] or 0) <= limit else table
 
 
 def small_local(df: DataFrame, n: int, *, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -76,8 +97,10 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.Stru
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=target), schema)
 
 
-def collect_small(df: DataFrame, *, limit: int = BROADCAST_ROWS) -> list:
-    """Rows of a table with one row per sample, contrast or trend bin; raises instead of truncating above ``limit``."""
+def collect_small(df: DataFrame, *, limit: int | None = None) -> list:
+    """Rows of a table with one row per sample, contrast or trend bin; with a ``limit`` it raises instead of truncating above it."""
+    if limit is None:
+        return df.collect()
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} rows on the driver side of an operator")

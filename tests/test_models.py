@@ -46,13 +46,21 @@ def test_exact_split_tail_by_enumeration():
     s1, total, n1, n2, alpha = 3, 17, 3, 4, 0.4
     w = np.array([pmf(k, n1 / alpha) * pmf(total - k, n2 / alpha) for k in range(total + 1)])
     want = min(1, 2 * min(w[:s1 + 1].sum(), w[s1:].sum()) / w.sum())
-    assert abs(negbin.split_tail(s1, total, n1, n2, alpha) - want) < 1e-12
-    exact = negbin.split_tail(39000, 99_000, 3, 3, 0.05)
-    limit, negbin.LARGE_TOTAL = negbin.LARGE_TOTAL, 1000
-    try:
-        assert abs(negbin.split_tail(39000, 99_000, 3, 3, 0.05) - exact) < 0.02
-    finally:
-        negbin.LARGE_TOTAL = limit
+    tails = lambda *v: negbin.split_tails(np.array([v[0]]), np.array([v[1]]), v[2], v[3], np.array([v[4]]))[0]
+    assert abs(tails(s1, total, n1, n2, alpha) - want) < 1e-12
+    both = negbin.split_tails(np.array([3, 0, 17, 5]), np.array([17, 0, 17, 40]), n1, n2, np.full(4, alpha))
+    assert abs(both[0] - want) < 1e-12 and both[1] == 1
+
+
+def test_exact_split_tail_is_one_method_for_any_total():
+    """Against the sum over all splits, for totals on both sides of any size that a switch might choose."""
+    for s1, total, alpha in ((39_000, 99_000, 0.05), (101_000, 250_000, 0.02), (120_500, 250_000, 1e-6), (0, 5_000, 0.3)):
+        k = np.arange(total + 1, dtype=float)
+        log_w = special.lgamma(k + 3 / alpha) - special.lgamma(k + 1) + special.lgamma(total - k + 3 / alpha) - special.lgamma(total - k + 1)
+        w = np.exp(log_w - log_w.max())
+        want = min(1, 2 * min(w[:s1 + 1].sum(), w[s1:].sum()) / w.sum())
+        got = negbin.split_tails(np.array([s1]), np.array([total]), 3, 3, np.array([alpha]))[0]
+        assert abs(got - want) < 1e-6 * want
 
 
 def test_dispersion_is_recovered():
@@ -185,13 +193,26 @@ def _groups(df, key):
     return [out[k] for k in sorted(out)]
 
 
-def test_range_finder_agrees_with_gram(spark, cohort, monkeypatch):
+def test_components_for_few_and_many_samples(spark, cohort):
+    """The same block iteration for any number of samples, against a dense decomposition."""
     counts, sheet, _ = cohort
     norm = keep(nz.log2cpm(counts, sheet))
-    exact = mv.pca_samples(norm, "log2cpm", sheet, k=3).scores.orderBy("sample", "dim").collect()
-    monkeypatch.setattr(mv, "GRAM_LIMIT", 4)
-    approx = mv.pca_samples(norm, "log2cpm", sheet, k=3).scores.orderBy("sample", "dim").collect()
-    assert np.allclose([r["score"] for r in exact], [r["score"] for r in approx], atol=1e-6)
+    names = sorted(r["sample"] for r in sheet.collect())
+    cells = {(r["feature"], r["sample"]): r["log2cpm"] for r in norm.collect()}
+    x = np.array([[cells[f, s] for s in names] for f in sorted({f for f, _ in cells})])
+    x -= x.mean(1, keepdims=True)
+    got = {(r["sample"], r["dim"]): r["score"] for r in mv.pca_samples(norm, "log2cpm", sheet, n_top=None, k=3).scores.collect()}
+    values, vectors = np.linalg.eigh(x.T @ x)
+    for d in range(3):
+        want = mv._fix_signs(vectors[:, [-1 - d]])[:, 0] * np.sqrt(values[-1 - d])
+        assert np.allclose([got[s, d + 1] for s in names], want, atol=1e-6)
+    rng = np.random.default_rng(3)
+    for n, rank in ((40, 40), (600, 64), (600, 2)):
+        a = rng.normal(size=(n, rank))
+        gram = a @ a.T
+        vectors, values = mv.krylov(lambda q: gram @ q, n, min(5, rank))
+        assert np.allclose(values, np.linalg.eigvalsh(gram)[::-1][:min(5, rank)], rtol=1e-8)
+        assert np.linalg.norm(gram @ vectors - vectors * values) < 1e-6 * values[0]
 
 
 def test_mds_recovers_distances(spark, cohort):
@@ -285,3 +306,15 @@ def test_split_is_repeatable(spark, cohort):
     one = sets.train_split(sheet.repartition(1)).orderBy("sample").collect()
     assert one == sets.train_split(sheet.repartition(5)).orderBy("sample").collect()
     assert sum(r["in_train"] for r in one) == 4
+
+
+def test_special_functions_vectorised():
+    x = np.array([-6.0, -1.5, 0.0, 1e-9, 0.3, 1.0, 1.999, 2.0, 2.5, 5.0, 12.0, 26.0, 40.0])
+    want = np.array([math.erfc(v) for v in x])
+    assert np.allclose(special.erfc(x), want, rtol=1e-12, atol=0)
+    assert np.isnan(special.erfc(np.array([np.nan]))[0])
+    p = np.array([0.5, 0.3, 1e-3, 1e-12, 1e-200])
+    from statistics import NormalDist
+    assert np.allclose(special.normal_upper_quantile(p), [-NormalDist().inv_cdf(v) for v in p], atol=1e-8)
+    q = special.t_quantiles(np.array([0.6, 0.975, 0.9999]), 7.0)
+    assert np.allclose(1 - special.t_two_sided(q, 7.0) / 2, [0.6, 0.975, 0.9999], atol=1e-12)

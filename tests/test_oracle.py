@@ -1,4 +1,4 @@
-"""Registered queries against their SQL in DuckDB. A spread of them by default, all with COUNTSPARK_ALL=1."""
+"""Every registered query against its SQL in DuckDB, at the smallest size; COUNTSPARK_SF names another folder."""
 
 import os
 
@@ -6,16 +6,13 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from countspark.catalog import QUERIES
 
-SF = "/root/testdata/sf0.001"
-SOME = """read_wide_counts experiment_from_counts zero_fill filter_min_mean_log2cpm alignment_summary tag_counts_summary predicted_sex complexity_curve
-bh_adjust holm_filter compare_des overlap_window rekey_by_annotation tpm tmm_factors quantile_norm size_factors sample_corr_spearman
-leading_logfc_dist lm_fit marker_scores nearest_template set_gene_ranks""".split()
-NAMES = list(entry.queries()) if os.environ.get("COUNTSPARK_ALL") else SOME
+SF = os.environ.get("COUNTSPARK_SF", "/root/testdata/sf0.001")
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, name):
     result = check.compare(spark, check.duck(SF), name, SF)
     assert result.startswith(("ok", "rows")), result

@@ -131,8 +131,9 @@ def test_overlaps_equal_a_theta_join(spark):
 def test_files_round_trip(spark, tiny, tmp_path):
     counts, _ = tiny
     sinks.write_wide_matrix(counts, str(tmp_path / "m"), "raw_count", samples=["s1", "s2", "s3"], fmt="tab.gz")
-    back = delimited.read_wide_counts(spark, str(tmp_path / "m"), id_col="feature").where("raw_count IS NOT NULL")
-    assert rows(back, "feature", "sample", "raw_count") == rows(counts, "feature", "sample", "raw_count")
+    back = delimited.read_wide_counts(spark, str(tmp_path / "m"), id_col="feature")
+    assert back.where("raw_count IS NULL").count() == 0 and back.where("raw_count = 0").count() == 4  # absent cells are written as zeros
+    assert rows(back.where("raw_count <> 0"), "feature", "sample", "raw_count") == rows(counts, "feature", "sample", "raw_count")
     with pytest.raises(ValueError):
         sinks.write_table(counts, str(tmp_path / "x"), fmt="xls")
 
@@ -150,3 +151,73 @@ def test_tpm_sums_and_factor_products(spark, cohort):
     full = raw[(raw > 0).all(axis=1)]
     want = np.exp(np.median(np.log(full) - np.log(full).mean(axis=1, keepdims=True), axis=0))
     assert np.allclose([sf[f"s{j}"] for j in range(8)], want)
+
+
+# --- absent cells are zeros --------------------------------------------------------------------------------------------
+
+def test_pairs_keep_zero_cells_and_meet_m_to_n(spark):
+    counts = spark.createDataFrame([("a", "p1", 4), ("b", "q2", 7)], "feature string, sample string, raw_count bigint")
+    sheet = spark.createDataFrame([("p1", "x", "u"), ("p2", "x", "u"), ("q1", "y", "u"), ("q2", "y", "u"), ("r1", "x", "v"), ("r2", "z", "v")], "sample string, grp string, subj string")
+    out = joins.paired_counts(counts, sheet, value="raw_count", subject="subj", group="grp", levels=["x", "y"])
+    assert rows(out, "feature", "subject", "sample_1", "sample_2", "value_1", "value_2") == [
+        ("a", "u", "p1", "q1", 4, 0), ("a", "u", "p1", "q2", 4, 0), ("a", "u", "p2", "q1", 0, 0), ("a", "u", "p2", "q2", 0, 0),
+        ("b", "u", "p1", "q1", 0, 0), ("b", "u", "p1", "q2", 0, 7), ("b", "u", "p2", "q1", 0, 0), ("b", "u", "p2", "q2", 0, 7)]
+
+
+def test_chosen_features_have_all_samples(spark, tiny):
+    counts, samples = tiny
+    de = spark.createDataFrame([("b", "k", 0.01, 0.02), ("a", "k", 0.1, 0.2)], "feature string, contrast string, p_value double, adj_p double")
+    assert rows(detable.best_gene_counts(de, counts, samples, value="raw_count", group="grp"), "sample", "raw_count") == [("s1", 5), ("s2", 0), ("s3", 0)]
+    marked = spark.createDataFrame([("b", "SRY")], "feature string, symbol string")
+    assert rows(qc.sex_marker_counts(counts, samples, marked, sex="grp"), "sample", "raw_count", "declared_sex") == [("s1", 5, "x"), ("s2", 0, "y"), ("s3", 0, "y")]
+    often = qc.frequent_tags(counts, min_fraction=0.65)
+    assert rows(often, "sample", "feature", "raw_count", "rank") == [("s1", "a", 10, 1), ("s1", "c", 0, 3), ("s2", "a", 30, 2), ("s2", "c", 70, 1), ("s3", "a", 0, 2), ("s3", "c", 1, 1)]
+    curve = qc.complexity_curve(counts, max_rank=3)
+    assert [r[2] for r in rows(curve, "sample", "rank", "feature")] == ["a", "b", "c", "c", "a", "b", "c", "a", "b"]
+    wide = sinks.wide_matrix(counts, "raw_count", ["s1", "s2", "s3"])
+    assert rows(wide, "feature", "s1", "s2", "s3") == [("a", 10, 30, 0), ("b", 5, 0, 0), ("c", 0, 70, 1)]
+
+
+def test_wide_matrix_in_blocks(spark, tiny, tmp_path):
+    counts, _ = tiny
+    spark.conf.set("spark.sql.pivotMaxValues", "2")
+    try:
+        sinks.write_wide_matrix(counts, f"file://{tmp_path}/m", "raw_count", samples=["s1", "s2", "s3"], fmt="parquet")
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
+    assert rows(spark.read.parquet(f"file://{tmp_path}/m/block_00001"), "feature", "s3") == [("a", 0), ("b", 0), ("c", 1)]
+
+
+def test_density_counts_the_zeros(spark):
+    counts = spark.createDataFrame([("a", "s1", 10), ("b", "s1", 100), ("c", "s2", 5), ("a", "s2", 50), ("b", "s2", 9), ("d", "s2", 3)], "feature string, sample string, raw_count bigint")
+    points = {}
+    for r in qc.count_density(counts, "raw_count", grid=64, log10=True, zero=0.5).collect():
+        points.setdefault(r["group"], []).append((r["x"], r["density"]))
+    assert min(x for x, _ in points["s1"]) < -0.3 + 1e-9  # log10 of a half
+    assert all(d > 0 for x, d in points["s1"] if x < -0.29)
+
+
+def test_histogram_loses_no_value(spark):
+    df = spark.createDataFrame([(float(v),) for v in (0, 1, 2, 5, 9, 10)], "v double")
+    assert rows(qc.value_histogram(df, "v", bins=5), "bin", "n") == [(1, 3), (3, 1), (5, 2)]
+    assert rows(qc.value_histogram(df, "v", bins=2, low=1, high=5), "bin", "n") == [(0, 1), (1, 2), (2, 1), (3, 2)]
+    assert qc.value_histogram(df.limit(0), "v", bins=3).count() == 0
+
+
+def test_size_factors_need_a_common_feature(spark):
+    counts = spark.createDataFrame([("a", "s1", 4), ("b", "s2", 8)], "feature string, sample string, raw_count bigint")
+    with pytest.raises(ValueError):
+        nz.size_factors(counts, 2)
+    assert rows(nz.size_factors(counts, 2, positive=True), "sample", "size_factor") == [("s1", pytest.approx(2.0)), ("s2", pytest.approx(8 ** 0.5))]
+
+
+def test_copied_cells_follow_the_ranges(spark):
+    """A cell goes once to every pair of ranges it belongs to, not to every group of pairs."""
+    from countspark.operators import pairwise as pw
+
+    cells = spark.createDataFrame([(list(range(i % 3, 40, 2)),) for i in range(30)], "idx array<int>").withColumn("x", F.transform("idx", lambda i: i.cast("double")))
+    for width in (20, 10, 5):
+        ranges = pw._block_pairs(40, width)
+        dealt = pw.deal_ranges(cells, ranges)
+        total = cells.agg(F.sum(F.size("idx"))).first()[0]
+        assert dealt.agg(F.sum(F.size("idx"))).first()[0] == total * (40 // width)
