@@ -1,13 +1,14 @@
 """Near duplicates by 64-bit fingerprints, found through Golay-code keys.
 
-A fingerprint is cut into three segments, each padded to a 23-bit word of the perfect binary Golay code. Every word is within three
-bits of exactly one of 4,096 codewords. The codewords nearest to a word and to its 23 one-bit neighbours (one or six in all) give it
-several keys; of two words that differ in one bit, each has the nearest codeword of the other among its keys. When at most three of
-64 bits differ, two of the three segments differ in at most one bit each, so both of them share a key.
-
-Every pair of segments is therefore one table. A fingerprint enters it in two roles: *left* with all keys of the first segment and the
-nearest codeword of the second, *right* the other way round. Any linked pair meets in a bucket. Buckets are verified by comparing the
-bits; a bucket gives a spanning forest of its links and never all its pairs. Equal fingerprints are one row throughout.
+A fingerprint is cut into four segments of 16 bits, each padded to a 23-bit word of the perfect binary Golay code. Every word is within
+three bits of exactly one of 4,096 codewords. The codewords nearest to a segment and to its 16 one-bit neighbours give it several keys; of
+two segments that differ in one bit, each has the nearest codeword of the other among its keys.
+
+When at most three of 64 bits differ, some segment is equal, and the segment behind it (in a circle) differs in at most one bit, for at
+least one of the four places: three errors cannot spoil them all. So there are four tables, keyed by one segment as it is and a codeword of
+the next. A fingerprint enters each in two roles: *left* with all keys of the next segment, *right* with its nearest codeword only. Any linked
+pair meets in a bucket. Buckets are verified by comparing the bits; a bucket gives a spanning forest of its links and never all its pairs.
+Equal fingerprints are one row throughout.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from countspark.session import keep, keep_measured
 #: Generator polynomial of the (23, 12) binary Golay code, hash seed, and widths of the segments.
 GOLAY = 0b101011100011
 SEED = 42
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+WIDTH = 16
+SEGMENTS = 4
 #: Members of a bucket that one task compares with each other; larger buckets are compared in pairs of chunks.
 CHUNK = 4096
 DISTANCE = 3
@@ -110,19 +111,14 @@ def nearest_codewords() -> np.ndarray:
     return _NEAREST[0]
 
 
-def segment_keys(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per segment: nearest codeword of each fingerprint, and (row, codeword) for all its keys."""
-    table = nearest_codewords()
-    out = []
-    for low, width in SEGMENTS:
-        words = ((fps >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
-        near = table[words[:, None] ^ np.array([0, *(1 << b for b in range(23))])]
-        ordered = np.sort(near, axis=1)
-        fresh = np.ones(ordered.shape, bool)
-        fresh[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-        row, col = np.nonzero(fresh)
-        out.append((near[:, 0].astype(np.int64), row, ordered[row, col].astype(np.int64)))
-    return out
+def segment_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nearest codeword of each segment, and (row, codeword) for all its keys."""
+    near = nearest_codewords()[words[:, None] ^ np.array([0, *(1 << b for b in range(WIDTH))])]
+    ordered = np.sort(near, axis=1)
+    fresh = np.ones(ordered.shape, bool)
+    fresh[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    row, col = np.nonzero(fresh)
+    return near[:, 0].astype(np.int64), row, ordered[row, col].astype(np.int64)
 
 
 def bucket_rows(fps: DataFrame) -> DataFrame:
@@ -131,15 +127,12 @@ def bucket_rows(fps: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 14):
                 values = batch.column(0).slice(at, 1 << 14).to_numpy().view(np.uint64)
-                segments = segment_keys(values)
-                for table, (a, b) in enumerate(PAIRS):
-                    for right, (many, one) in enumerate(((a, b), (b, a))):
-                        _, row, code = segments[many]
-                        other = segments[one][0][row]
-                        first, second = (code, other) if many == a else (other, code)
-                        key = table << 24 | first << 12 | second
-                        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(np.full(len(row), bool(right))),
-                                                          pa.array(values[row].view(np.int64))], ["key", "right", "fp"])
+                segments = [((values >> np.uint64(WIDTH * i)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64) for i in range(SEGMENTS)]
+                for table in range(SEGMENTS):
+                    nearest, row, code = segment_keys(segments[(table + 1) % SEGMENTS])
+                    same = table << 28 | segments[table] << 12
+                    for right, of, key in ((False, values[row], same[row] | code), (True, values, same | nearest)):
+                        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(np.full(len(of), right)), pa.array(of.view(np.int64))], ["key", "right", "fp"])
 
     return fps.select("fp").mapInArrow(run, "key int, right boolean, fp bigint")
 
