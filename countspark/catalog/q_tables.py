@@ -136,11 +136,6 @@ def _(spark, sf):
     return de.join(sums, "feature").select("feature", "contrast", "rank", "n_cells", "sum_cpm")
 
 
-VIEWS["fx_both_calls"] = """
-SELECT a.feature, CONCAT(COALESCE(CAST(a.g1_vs_g0 AS VARCHAR), 'NA'), '|', COALESCE(CAST(a.g2_vs_g0 AS VARCHAR), 'NA'), '|',
-  COALESCE(CAST(b.g1_vs_g0 AS VARCHAR), 'NA'), '|', COALESCE(CAST(b.g2_vs_g0 AS VARCHAR), 'NA')) AS calls FROM fx_calls a JOIN fx_calls2 b ON b.feature = a.feature"""
-
-
 @query("write_comparison_report", """
 SELECT 'by_method' AS part, CONCAT(contrast, '|', method, '|', COUNT(*) FILTER (de = -1), '|', COUNT(*) FILTER (de = 0), '|', COUNT(*) FILTER (de = 1), '|', COUNT(*) FILTER (de IS NULL)) AS line
 FROM (SELECT *, 'a' AS method FROM fx_det UNION ALL SELECT *, 'b' AS method FROM fx_det2) q GROUP BY contrast, method
