@@ -48,7 +48,7 @@ def _(spark, sf):
 SELECT q.sample, q.total_count, q.read_group, q.read_count, ROUND(q.read_count / SUM(q.read_count) OVER (PARTITION BY q.sample), 6) AS fraction, s.cond, s.grade, s.subject
 FROM (SELECT sample, total_count, 'on_feature' AS read_group, CAST(on_feature AS DOUBLE) AS read_count FROM fx_alignment
       UNION ALL SELECT p.sample, a.total_count, SUBSTR(p.feature, 3), CAST(p.raw_count AS DOUBLE) FROM fx_pseudo p JOIN fx_alignment a ON a.sample = p.sample) q
-JOIN fx_samples s ON s.sample = q.sample""")
+LEFT JOIN fx_samples s ON s.sample = q.sample""")
 def _(spark, sf):
     sheet = fx.samples(spark, sf)
     long = qc.alignment_summary_long(qc.alignment_summary(fx.library_counts(spark, sf)), sheet, fractions=True)

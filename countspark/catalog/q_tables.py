@@ -12,10 +12,6 @@ from countspark.operators import detable, filters, normalize as nz, qc, reshape
 from countspark.session import keep, new_path, small
 from countspark.sources import delimited, sinks
 
-#: The samples of the test input: suppliers modulo twelve.
-S12 = list(range(12))
-
-
 def de_table(spark, sf, shift=0):
     """Adjusted, called and ranked synthetic result table."""
     return keep(detable.de_table(fx.de_raw(spark, sf, shift)))
@@ -109,20 +105,17 @@ def _(spark, sf):
     return delimited.read_wide(spark, path)
 
 
-WIDE_SQL = "SELECT feature, " + ", ".join(f"MAX(CASE WHEN sample = {s} THEN {{v}} END) AS \"{{p}}{s}\"" for s in S12) + " FROM {t} GROUP BY feature"
-
-
-def _prefixed(df, prefix="s"):
-    return df.select("feature", *[F.col(f"`{s}`").alias(f"{prefix}{s}") for s in S12])
+def _cells(wide, ids=("feature",)):
+    """A wide table as rows, whatever samples it has; empty cells stay."""
+    names = [c for c in wide.columns if c not in ids]
+    return wide.unpivot(list(ids), [f"`{c}`" for c in names], "sample", "value")
 
 
-@query("write_wide_matrix", "SELECT CAST(feature AS VARCHAR) AS feature, " + ", ".join(f"CAST(s{s} AS VARCHAR) AS s{s}" for s in S12)
-       + " FROM (" + WIDE_SQL.format(v="raw_count", p="s", t="fx_dense") + ") w")
+@query("write_wide_matrix", "SELECT CAST(feature AS VARCHAR) AS feature, CAST(sample AS VARCHAR) AS sample, CAST(raw_count AS VARCHAR) AS value FROM fx_dense")
 def _(spark, sf):
     path = new_path(spark)
     sinks.write_wide_matrix(fx.counts_plan(spark, sf), path, "raw_count", samples=sample_names(fx.samples(spark, sf)), fmt="tab")
-    back = spark.read.csv(path, sep="\t", header=True, nullValue="NA")
-    return _prefixed(back)
+    return _cells(spark.read.csv(path, sep="\t", header=True, nullValue="NA"))
 
 
 @query("write_de_report", """
@@ -159,14 +152,14 @@ def _(spark, sf):
 
 
 @query("gsea_export", """
-SELECT CAST(n.feature AS VARCHAR) AS feature, UPPER(f.symbol) AS symbol, """ + ", ".join(f"MAX(CASE WHEN n.sample = {s} THEN ROUND(n.cpm, 2) ELSE 0e0 END) AS s{s}" for s in S12) + """
-FROM fx_cpm n JOIN fx_features f ON f.feature = n.feature
-WHERE n.feature IN (SELECT feature FROM fx_det WHERE adj_p < 0.05 AND ABS(avg_log2fc) > 1) AND f.symbol IS NOT NULL GROUP BY n.feature, f.symbol""")
+SELECT CAST(d.feature AS VARCHAR) AS feature, UPPER(f.symbol) AS symbol, CAST(d.sample AS VARCHAR) AS sample, ROUND(d.raw_count * 1e6 / l.lib_size, 2) AS value
+FROM fx_dense d JOIN fx_lib l ON l.sample = d.sample JOIN fx_features f ON f.feature = d.feature
+WHERE d.feature IN (SELECT feature FROM fx_det WHERE adj_p < 0.05 AND ABS(avg_log2fc) > 1) AND f.symbol IS NOT NULL""")
 def _(spark, sf):
     path = new_path(spark)
     sinks.gsea_export(nz.cpm(fx.counts(spark, sf)), "cpm", de_table(spark, sf), fx.features(spark, sf), path, samples=sample_names(fx.samples(spark, sf)))
-    back = spark.read.csv(path, sep="\t", header=True, nullValue="NA")
-    return back.select("feature", "symbol", *[F.col(f"`{s}`").cast("double").alias(f"s{s}") for s in S12])
+    back = _cells(spark.read.csv(path, sep="\t", header=True, nullValue="NA"), ("feature", "symbol"))
+    return back.withColumn("value", F.col("value").cast("double"))
 
 
 # --- reshape and predicates -------------------------------------------------------------------------------------------
@@ -184,9 +177,10 @@ def _(spark, sf):
     return reshape.melt_counts(wide, "feature", [c for c in wide.columns if c not in ("feature", "length_bp")])
 
 
-@query("spread_counts", WIDE_SQL.format(v="raw_count", p="s", t="fx_counts"))
+@query("spread_counts", """
+SELECT d.feature, CAST(d.sample AS VARCHAR) AS sample, c.raw_count AS value FROM fx_dense d LEFT JOIN fx_counts c ON c.feature = d.feature AND c.sample = d.sample""")
 def _(spark, sf):
-    return _prefixed(reshape.spread_counts(fx.counts_plan(spark, sf), "raw_count", sample_names(fx.samples(spark, sf))))
+    return _cells(reshape.spread_counts(fx.counts_plan(spark, sf), "raw_count", sample_names(fx.samples(spark, sf))))
 
 
 @query("zero_fill", "SELECT feature, sample, raw_count FROM fx_dense")
