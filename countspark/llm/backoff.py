@@ -3,29 +3,34 @@
 The score of a word after its context is the relative frequency of the longest n-gram that occurs, times 0.4 for each word by which the
 context was shortened. Counts are those of the whole corpus without the scored document itself, so a document does not vouch for itself.
 
-Documents are put into blocks. A block sends its distinct n-grams, as sorted 64-bit hashes, to the parts of the count table (parts are
-ranges of hashes); a part adds up what all blocks sent and answers each block with the counts in the order asked. Bigrams and single
-words go first. A trigram can occur elsewhere only if both of its bigrams do, so only such trigrams are asked for in the second step; they
-take their documents and the rest of the sum along, and the parts return sums per document. A frequent n-gram is one row per block, so
-no key is hot, and what moves grows with the text.
+Documents are put into blocks. A block sends its distinct n-grams, as sorted hashes, to the parts of the count tables (parts are ranges of
+hashes); a part adds up what all blocks sent and answers each block with the counts in the order asked. Words and bigrams go first. A
+trigram can occur elsewhere only if both of its bigrams do, so only such trigrams are asked for in the second step. With the counts of all
+three orders a block scores its documents. A frequent n-gram is one entry per block, so no key is hot, and what moves grows with the text.
+Blocks are made from the files and moved once; the second step meets the same shuffled blocks again.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from pyspark.sql.pandas.types import to_arrow_type
+
 from countspark.llm.common import bytes_of, groups, id_column, mix, runs
-from countspark.session import keep, keep_measured
+from countspark.session import as_written
 
 DISCOUNT = 0.4
-#: Words of a block, and words of the corpus per part of the count table.
-BLOCK_WORDS = 1 << 20
-PART_WORDS = 1 << 22
+#: Words of a block, and words of the corpus per part of the count tables.
+BLOCK_WORDS = 1 << 19
+PART_WORDS = 1 << 21
+#: Bits of an n-gram's hash: of 10^13 different n-grams one in seven thousand shares its hash with another.
+BITS = 56
 _COUNTS = ("n_trigram", "n_bigram", "n_word", "n_unseen")
 
 
@@ -50,14 +55,21 @@ def _unpack_sorted(data: bytes, n: int) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """Documents in blocks: ``block``, ``ids``, ``lengths`` (words), ``codes`` (places in the sorted word list), ``vocabulary``."""
+    """Documents in blocks: ``block``, ``ids``, ``lengths`` (words), ``codes`` (places in the sorted word list), ``vocabulary``.
+
+    ``docs`` is a scan of files, whose partitions hold the same rows in the same order whenever they are read; so do the blocks.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lengths, hashes, total = [], [], [], 0
+        ids, lengths, hashes, total, done = [], [], [], 0, 0
+        where = TaskContext.get().partitionId()
+
+        def name() -> str:
+            return hashlib.md5(repr((where, done, lengths[:8], len(lengths), total)).encode()).hexdigest()
 
         def block() -> pa.RecordBatch:
             all_words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
             vocabulary, codes = np.unique(all_words, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), pa.concat_arrays(ids)),
+            return pa.RecordBatch.from_arrays([pa.array([name()]), pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), pa.concat_arrays(ids)),
                                                pa.array([lengths], pa.list_(pa.int64())), pa.array([_pack(codes.astype("<u4"))], pa.binary()), pa.array([len(codes)], pa.int64()),
                                                pa.array([_pack_sorted(vocabulary)], pa.binary()), pa.array([len(vocabulary)], pa.int64())],
                                               ["block", "ids", "lengths", "codes", "n_codes", "vocabulary", "n_vocabulary"])
@@ -70,7 +82,7 @@ def _blocks(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 _, h, of, _, _ = runs(part)
                 edges = np.searchsorted(of, np.arange(len(part) + 1))
                 for i, row in enumerate(at):
-                    found[row].append(h[edges[i]:edges[i + 1]])
+                    found[row].append(h[edges[i]:edges[i + 1]] >> np.uint64(64 - BITS))
                     counts[row] += edges[i + 1] - edges[i]
             start = 0
             for row in range(len(texts)):
@@ -80,7 +92,7 @@ def _blocks(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 if total >= words:
                     ids.append(batch.column(0).slice(start, row + 1 - start))
                     yield block()
-                    ids, lengths, hashes, total, start = [], [], [], 0, row + 1
+                    ids, lengths, hashes, total, start, done = [], [], [], 0, row + 1, done + 1
             if start < len(texts):
                 ids.append(batch.column(0).slice(start))
         if lengths:
@@ -90,6 +102,11 @@ def _blocks(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return rows.mapInArrow(run, f"block string, ids array<{id_column(docs, key)}>, lengths array<bigint>, codes binary, n_codes bigint, vocabulary binary, n_vocabulary bigint")
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(x.split()) for x in bytes_of(batch.column(0)))], pa.int64())], ["n"])
+
+
 class _Block:
     """The n-grams of a block: words by code, bigrams by hash, both with the documents they stand in."""
 
@@ -98,11 +115,38 @@ class _Block:
         self.vocabulary = _unpack_sorted(row["vocabulary"], row["n_vocabulary"])
         self.codes = _unpack(row["codes"], row["n_codes"], "<u4").astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        word = self.vocabulary[self.codes]
+        self.word = word = self.vocabulary[self.codes]
         self.pairs = np.flatnonzero(self.doc[1:] == self.doc[:-1])  # a bigram has the place of its first word
-        self.bigram = mix(mix(word[self.pairs]) ^ word[self.pairs + 1])
-        self.bigrams, self.bigram_at = np.unique(self.bigram, return_inverse=True)
-        self.word = word
+        self.bigrams, self.bigram_at = np.unique(_gram(word[self.pairs], word[self.pairs + 1]), return_inverse=True)
+
+    def backed_off(self, single: np.ndarray, double: np.ndarray, total_words: int, discount: float) -> tuple[np.ndarray, ...]:
+        """Per place, from the corpus counts of words and bigrams: the score without a trigram, its level (1 bigram, 2 word, 3 unseen),
+        and the count of the bigram that begins there; counts leave the document of the place out."""
+        n, docs = len(self.codes), len(self.lengths)
+        words = single[self.codes] - _own(self.codes, self.doc, docs)
+        pairs = np.zeros(n, np.int64)
+        pairs[self.pairs] = double[self.bigram_at] - _own(self.bigram_at, self.doc[self.pairs], docs)
+        here, before = np.zeros(n, np.int64), np.ones(n, np.int64)
+        here[self.pairs + 1], before[self.pairs + 1] = pairs[self.pairs], words[self.pairs]
+        rest, d = (total_words - self.lengths)[self.doc], np.log(discount)
+        log = lambda x: np.log(np.maximum(x, 1))
+        score = np.where(here > 0, d + log(here) - log(before), np.where(words > 0, 2 * d + log(words) - log(rest), 3 * d - np.log(rest + 1.0)))
+        return score, np.where(here > 0, 1, np.where(words > 0, 2, 3)), pairs
+
+    def trigrams(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places (of the last word) of the trigrams whose bigrams both stand elsewhere, the distinct trigrams, and which is where."""
+        if len(self.codes) < 3:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        at = np.flatnonzero((self.doc[2:] == self.doc[:-2]) & (pairs[:-2] > 0) & (pairs[1:-1] > 0)) + 2
+        return at, *np.unique(_gram(self.word[at - 2], self.word[at - 1], self.word[at]), return_inverse=True)
+
+
+def _gram(*words: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams of the given words."""
+    h = np.full(len(words[0]), len(words), np.uint64)
+    for word in words:
+        h = mix(h ^ word)
+    return h >> np.uint64(64 - BITS)
 
 
 def _own(at: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
@@ -111,9 +155,9 @@ def _own(at: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return n[where]
 
 
-def _requests(block: str, order: int, grams: np.ndarray, counts: np.ndarray, parts: int, extra: list | None = None) -> Iterator[tuple]:
+def _requests(block: str, order: int, grams: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[tuple]:
     """One row per part: the sorted n-grams that belong to it, and how often they stand in the block."""
-    edges = np.searchsorted(grams >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64) * np.uint64(2 ** 32) // np.uint64(parts))
+    edges = np.searchsorted(grams >> np.uint64(BITS - 32), np.arange(parts + 1, dtype=np.uint64) * np.uint64(2 ** 32) // np.uint64(parts))
     for part in range(parts):
         low, high = edges[part], edges[part + 1]
         if high > low:
@@ -156,9 +200,10 @@ def stupid_backoff(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     other columns are ignored; an empty table gives an empty result.
     """
     id_type = id_column(docs, key)
-    blocks, seen = keep_measured(_blocks(docs, key, text, block_words), words=F.sum("n_codes"))
-    total_words = seen["words"] or 0
+    docs = as_written(docs).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    total_words = docs.select("text").mapInArrow(_count_words, "n bigint").agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total_words // part_words))
+    blocks = _blocks(docs, "id", "text", block_words)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,89 +213,41 @@ def stupid_backoff(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 rows += _requests(b.name, 2, b.bigrams, np.bincount(b.bigram_at, minlength=len(b.bigrams)), parts)
                 yield from _frame(rows, _REQUEST, _REQUEST_KINDS).to_batches()
 
-    answers = blocks.drop("ids").mapInArrow(ask, _REQUEST).groupBy("part").applyInArrow(_count_part, _REQUEST).drop("grams")
+    answers = blocks.mapInArrow(ask, _REQUEST).groupBy("part").applyInArrow(_count_part, _REQUEST).drop("grams")
 
-    out_kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int64()))]
-    out_schema = "block string, part int, n bigint, grams binary, counts binary, docs binary, rest binary, at array<int>, sums array<double>, seen array<array<bigint>>"
+    def counts_of(right: pa.Table) -> dict[int, np.ndarray]:
+        """The answers to a block, by order, in the order of its sorted n-grams."""
+        got = sorted(((r["ngram"], r["part"], r["n"], r["counts"]) for r in right.to_pylist()), key=lambda r: r[:2])
+        return {order: np.concatenate([np.zeros(0, np.int64), *[_unpack(c, n, "<i8") for o, _, n, c in got if o == order]]) for order in (1, 2, 3)}
+
+    def ask_trigrams(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0:
+            return _frame([], _REQUEST, _REQUEST_KINDS)
+        b, counts = _Block(left.to_pylist()[0]), counts_of(right)
+        pairs = b.backed_off(counts[1], counts[2], total_words, discount)[2]
+        _, grams, which = b.trigrams(pairs)
+        return _frame(list(_requests(b.name, 3, grams, np.bincount(which, minlength=len(grams)), parts)), _REQUEST, _REQUEST_KINDS)
 
-    def combine(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Scores that need no trigram, as a row of sums per document; and the trigrams to ask for, as rows per part."""
+    def score_block(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0:
             return _frame([], out_schema, out_kinds)
-        b = _Block(left.to_pylist()[0])
-        counts = {}
-        for order in (1, 2):
-            got = sorted((r["part"], r["n"], r["counts"]) for r in right.to_pylist() if r["ngram"] == order)
-            counts[order] = np.concatenate([_unpack(c, n, "<i8") for _, n, c in got]) if got else np.zeros(0, np.int64)
-        docs_n, n = len(b.lengths), len(b.codes)
-        rest = (total_words - b.lengths)[b.doc]  # words of the other documents
-        single = counts[1][b.codes] - _own(b.codes, b.doc, docs_n)
-        double = np.zeros(n, np.int64)
-        double[b.pairs] = counts[2][b.bigram_at] - _own(b.bigram_at, b.doc[b.pairs], docs_n)
-        # c(bc) and c(b) for the word at a place; the context's count leaves the own document out as well, so it is never below c(bc)
-        ends = b.pairs + 1
-        pair = np.zeros(n, np.int64)
-        pair[ends] = double[b.pairs]
-        before = np.zeros(n, np.int64)
-        before[ends] = single[b.pairs]
-        d = np.log(discount)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            value = np.where(pair > 0, d + np.log(np.maximum(pair, 1)) - np.log(np.maximum(before, 1)),
-                             np.where(single > 0, 2 * d + np.log(np.maximum(single, 1)) - np.log(np.maximum(rest, 1)), 3 * d - np.log(rest + 1.0)))
-        level = np.where(pair > 0, 1, np.where(single > 0, 2, 3))
-        sums = np.bincount(b.doc, value, docs_n)
-        hits = [np.bincount(b.doc[level == k], minlength=docs_n).tolist() if k else [0] * docs_n for k in range(4)]
-        out = [(b.name, -1, docs_n, None, None, None, None, list(range(docs_n)), sums.tolist(), hits)]
-        # trigrams whose two bigrams both stand elsewhere
-        third = np.flatnonzero((b.doc[2:] == b.doc[:-2]) & (double[:-2] > 0) & (double[1:-1] > 0)) + 2 if n > 2 else np.zeros(0, np.int64)
-        if len(third):
-            gram = mix(mix(mix(b.word[third - 2]) ^ b.word[third - 1]) ^ b.word[third] ^ np.uint64(0x5851F42D4C957F2D))
-            gain = -np.log(double[third - 2]) - value[third]  # to be added with log c(abc), if it stands elsewhere
-            order = np.lexsort((b.doc[third], gram))
-            gram, doc, gain = gram[order], b.doc[third][order], gain[order]
-            fresh = np.ones(len(gram), bool)
-            fresh[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
-            first = np.flatnonzero(fresh)
-            own = np.diff(np.append(first, len(gram)))
-            gains = np.add.reduceat(gain, first)
-            grams, docs_of = gram[first], doc[first]
-            edges = np.searchsorted(grams >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64) * np.uint64(2 ** 32) // np.uint64(parts))
-            for part in range(parts):
-                low, high = edges[part], edges[part + 1]
-                if high > low:
-                    out.append((b.name, part, int(high - low), _pack_sorted(grams[low:high]), _pack(own[low:high].astype("<u4")), _pack(docs_of[low:high].astype("<u4")),
-                                _pack(gains[low:high].astype("<f8")), None, None, None))
-        return _frame(out, out_schema, out_kinds)
-
-    state = blocks.drop("ids").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(combine, out_schema)
-    state = keep(state)
-
-    def trigrams(table: pa.Table) -> pa.Table:
-        """Sums per document of what trigrams that stand elsewhere add."""
-        rows = table.to_pylist()
-        grams = [_unpack_sorted(r["grams"], r["n"]) for r in rows]
-        owns = [_unpack(r["counts"], r["n"], "<u4").astype(np.int64) for r in rows]
-        _, where = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(where, np.concatenate(owns)).astype(np.int64)
-        out, at = [], 0
-        for r, own in zip(rows, owns):
-            others = total[where[at:at + len(own)]] - own
-            at += len(own)
-            hit = others > 0
-            doc = _unpack(r["docs"], r["n"], "<u4")[hit]
-            if len(doc):
-                add = own[hit] * np.log(others[hit]) + _unpack(r["rest"], r["n"], "<f8")[hit]
-                names, of = np.unique(doc, return_inverse=True)
-                out.append((r["block"], -1, len(names), None, None, None, None, names.tolist(), np.bincount(of, add).tolist(),
-                            [np.bincount(of, own[hit]).astype(int).tolist(), (-np.bincount(of, own[hit])).astype(int).tolist(), [0] * len(names), [0] * len(names)]))
-        return _frame(out, out_schema, out_kinds)
-
-    more = state.where("part >= 0").groupBy("part").applyInArrow(trigrams, out_schema)
-    sums = state.where("part < 0").unionByName(more)
-    zipped = F.arrays_zip("at", "sums", *[F.col("seen")[k].alias(c) for k, c in enumerate(_COUNTS)])
-    each = sums.select("block", F.explode(zipped).alias("x")).select("block", "x.*")
-    each = each.toDF("block", "at", "sums", *_COUNTS).groupBy("block", "at").agg(F.sum("sums").alias("log_score"), *[F.sum(c).cast("bigint").alias(c) for c in _COUNTS])
-    names = blocks.select(F.col("block").alias("_block"), F.posexplode(F.arrays_zip("ids", "lengths")).alias("_at", "x")).select("_block", "_at", F.col("x.ids").alias("_id"), F.col("x.lengths").alias("n_words"))
-    rows = names.join(each, (F.col("block") == F.col("_block")) & (F.col("at") == F.col("_at")))
+        b, counts = _Block(left.to_pylist()[0]), counts_of(right)
+        value, level, pairs = b.backed_off(counts[1], counts[2], total_words, discount)
+        at, grams, which = b.trigrams(pairs)
+        if len(at):
+            others = counts[3][which] - _own(which, b.doc[at], len(b.lengths))
+            at, others = at[others > 0], others[others > 0]
+            value[at] = np.log(others) - np.log(pairs[at - 2])
+            level[at] = 0
+        docs = len(b.lengths)
+        levels = [np.bincount(b.doc[level == k], minlength=docs) for k in range(4)]
+        return pa.table([left.column("ids")[0].values, *[pa.array(x) for x in (b.lengths, np.bincount(b.doc, value, docs), *[x.astype(np.int64) for x in levels])]], names=names)
+
+    names = ["id", "n_words", "log_score", *_COUNTS]
+    out_schema = f"id {id_type}, n_words bigint, log_score double, " + ", ".join(f"{c} bigint" for c in _COUNTS)
+    out_kinds = [to_arrow_type(docs.schema["id"].dataType), pa.int64(), pa.float64(), *[pa.int64()] * 4]
+    by_block = blocks.groupBy("block")
+    more = by_block.cogroup(answers.groupBy("block")).applyInArrow(ask_trigrams, _REQUEST).groupBy("part").applyInArrow(_count_part, _REQUEST).drop("grams")
+    rows = by_block.cogroup(answers.unionByName(more).groupBy("block")).applyInArrow(score_block, out_schema)
     score = F.round("log_score", 4) + F.lit(0.0)
-    return rows.select(F.col("_id").alias(key), "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)).alias("mean_log_score"), *_COUNTS)
+    return rows.select(F.col("id").alias(key), "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)).alias("mean_log_score"), *_COUNTS)
