@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
@@ -38,9 +40,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_BELOW: ContextVar[str | None] = ContextVar("countspark_below", default=None)
+
+
 def new_path(spark: SparkSession) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/countspark/{uuid.uuid4().hex}"
+    return f"{_BELOW.get() or shared_folder(spark).rstrip('/') + '/countspark'}/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def written_tables(spark: SparkSession) -> Iterator[str]:
+    """Tables that operators write inside the block go below one folder, which is removed behind it. Save or collect results inside."""
+    path = new_path(spark)
+    before = _BELOW.set(path)
+    try:
+        yield path
+    finally:
+        _BELOW.reset(before)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def keep(df: DataFrame) -> DataFrame:

@@ -221,3 +221,16 @@ def test_copied_cells_follow_the_ranges(spark):
         dealt = pw.deal_ranges(cells, ranges)
         total = cells.agg(F.sum(F.size("idx"))).first()[0]
         assert dealt.agg(F.sum(F.size("idx"))).first()[0] == total * (40 // width)
+
+
+def test_written_tables_are_removed(spark, tiny):
+    from countspark.session import keep, new_path, written_tables
+
+    counts, _ = tiny
+    with written_tables(spark) as folder:
+        table = keep(counts)
+        assert table.inputFiles()[0].split("://")[-1].lstrip("/").startswith(folder.split("://")[-1].lstrip("/"))
+        assert table.count() == 5
+    assert folder not in new_path(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(folder)
