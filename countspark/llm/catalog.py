@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from countspark.llm.backoff import stupid_backoff
-from countspark.llm.chat import chat_digest, chat_examples
+from countspark.llm.chat import END, HEAD, SPLIT, chat_digest, chat_examples
 from countspark.llm.licences import licence_sql, scan_licences
 from countspark.llm.mixing import mix
 from countspark.llm.quality import classify
@@ -42,7 +42,24 @@ def sentence_rules(spark, sf_dir):
     return scan_licences(_table(spark, sf_dir, "documents"))
 
 
-@query("op2_prefix_targets")
+def _chat_sql() -> str:
+    """The digests from the turns themselves; escaped lengths by counting what gets a backslash."""
+    tails = ["|", "s>", "/s>", "INST]", "/INST]", "SYS>>", "/SYS>>", "<SYS>>", "</SYS>>"]
+    count = lambda col, what: f"(length({col}) - length(replace({col}, '{what}', ''))) // {len(what)}"
+    escaped = lambda col: " + ".join([f"length({col})", count(col, chr(92)), *(count(col, head + tail) for head in "<[" for tail in tails)])
+    marks = len(HEAD) + len(SPLIT) + len(END)
+    return f"""WITH t AS (SELECT conv_id, turn, role, text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM t),
+    e AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, {escaped('r')} + {escaped('x')} + {marks} AS width
+      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x)),
+    p AS (SELECT *, sum(width) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM e)
+    SELECT conv_id, CAST(max(n) AS BIGINT) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY i)) AS turns_sha256,
+      CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(x, '' ORDER BY i) FILTER (r = 'assistant'), '')) AS loss_sha256,
+      CAST(sum(upto) FILTER (r = 'assistant' OR i = n) AS BIGINT) AS formatted_chars, CAST(count(*) FILTER (r = 'assistant' OR i = n) AS BIGINT) AS n_examples FROM p GROUP BY conv_id"""
+
+
+@query("op2_prefix_targets", _chat_sql())
 def prefix_targets(spark, sf_dir):
     """All conversations, and one whose texts look like template marks, as examples; what these hold, read back."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -73,7 +90,17 @@ def backoff_scores(spark, sf_dir):
     return stupid_backoff(_table(spark, sf_dir, "documents"))
 
 
-@query("op4_transactions")
+_BITS = "[" + ", ".join(f"'{i:04b}'" for i in range(16)) + "]"
+_TRANSACTIONS_SQL = f"""WITH d AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+  m AS (SELECT page_id, strlen(h) AS n, sha1(h) AS hx, max(page_id) OVER (PARTITION BY sha1(h)) AS top FROM d),
+  b AS (SELECT *, array_to_string([{_BITS}[strpos('0123456789abcdef', x)] FOR x IN string_split(hx, '')], '') AS bits FROM m)
+  SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT)
+      + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT)
+      + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1) FOR i IN range(32)], '') AS payload_digest,
+    CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM b"""
+
+
+@query("op4_transactions", _TRANSACTIONS_SQL)
 def transactions(spark, sf_dir):
     """All pages written as archives, read back, and assembled to captures."""
     return archive_pages(_table(spark, sf_dir, "pages"))
