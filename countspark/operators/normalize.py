@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
 from countspark.functions.rows import explode_dense, feature_rows, sample_names
-from countspark.functions.scans import average_ranks, quantiles, rank_table, scan, value_counts
+from countspark.functions.scans import quantiles, rank_table, scan, value_counts
 from countspark.session import collect_small, keep, keep_measured, small, small_local
 
 
