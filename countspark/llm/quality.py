@@ -23,6 +23,8 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 #: Values are shares times this, so that a typical text has features of the order of one.
 SCALE = 24.0
+#: N-grams without weight that every text has besides its own, so that a few words decide little.
+PRIOR = 8.0
 
 #: 1 letters (all bytes above ASCII too), 2 digits, 3 punctuation, 0 white space.
 _KINDS = np.full(256, 3, np.uint8)
@@ -78,7 +80,7 @@ def sparse_rows(texts: list[bytes], bits: int = BITS) -> list[tuple[np.ndarray,
             out.append((np.zeros(0, np.int64), np.zeros(0)))
             continue
         found, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        value = np.bincount(where, np.concatenate([p[1] for p in parts])) / counts[row, found >> bits] * SCALE
+        value = np.bincount(where, np.concatenate([p[1] for p in parts])) / (counts[row, found >> bits] + PRIOR) * SCALE
         found, where = np.unique(found & ((1 << bits) - 1), return_inverse=True)
         out.append((found, np.bincount(where, value)))
     return out
@@ -92,7 +94,7 @@ def dot_products(texts: list[bytes], weights: np.ndarray, bits: int = BITS) -> n
         for bucket, of, kind in features(part, bits):
             np.add.at(sums[:, kind], rows, np.bincount(of, weights[bucket], len(part)))
             np.add.at(counts[:, kind], rows, np.bincount(of, minlength=len(part)))
-    return (sums / np.maximum(counts, 1)).sum(1) * SCALE
+    return (sums / (counts + PRIOR)).sum(1) * SCALE
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
