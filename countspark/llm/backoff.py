@@ -198,6 +198,9 @@ def stupid_backoff(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     c(abc)/c(ab), else d c(bc)/c(b), else d^2 c(c)/N, else d^3/(N + 1); with less context the longer n-grams are not tried, but the
     discounts are the same. Every row counts, so a repeated document is seen by its copies. Null and empty texts have no words and score 0;
     other columns are ignored; an empty table gives an empty result.
+
+    A block sends a row to every part it has n-grams of, so rows grow as words^2 / (block_words * part_words). The defaults fit a gigabyte
+    of memory per task; with more memory take larger ones (2^24 and 2^27 for 10^13 words: about 150 n-grams a row).
     """
     id_type = id_column(docs, key)
     docs = as_written(docs).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
