@@ -3,7 +3,8 @@
 Texts become template tokens: lower-cased words without outer punctuation, where a number, a name or a unit is a typed placeholder and
 its value is a slot. Windows of five template tokens are hashed and joined with the windows of the benchmark. A window counts for an
 item only if its slots agree with one mapping from the item's values to the document's values: every value of the item must become
-the same value wherever it stands. A document is contaminated by an item if four fifths of the item's windows are found so.
+the same value wherever it stands in an occurrence. A document is contaminated by an item if four fifths of the item's windows are found
+so in one occurrence, or in the whole document.
 """
 
 from __future__ import annotations
@@ -157,7 +158,7 @@ def _window_rows(docs: DataFrame, keys: list[str], sieve: bytes | None) -> DataF
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", coverage: float = COVERAGE, sieve_bits: int = 22) -> DataFrame:
     """One row per document and benchmark item that it holds: ``key``, ``row_hash``, ``item_id``, ``n_windows``, ``matched``,
-    ``coverage``, ``changed_slots`` (values of the item that the document replaces by others).
+    ``coverage``, ``changed_slots`` (values of the item that the document replaces by others), of the occurrence that matches best.
 
     Items of fewer than five template tokens, or null, have no windows and match nothing; null and empty documents hold nothing.
     Repeated documents (same key and text) give one row, as do repeated items; items are told apart by id and text. Other columns are
@@ -181,21 +182,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     found = _window_rows(rows, ["id", "row"], np.packbits(sieve, bitorder="little").tobytes())
     items_side = small(wanted.select("item", "item_id", F.col("h").alias("item_h"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots")))
     hits = keep(found.join(items_side, F.col("h") == F.col("item_h")).select("id", "row", "place", "slots", "item", "item_id", "item_place", "item_slots").distinct())
-    # slot consistency: one document value per item value, the most frequent one (ties: the smaller)
-    pairs = hits.where("size(slots) > 0").select("row", "item", "place", "item_place", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    pairs = pairs.select("row", "item", "place", "item_place", F.col("s.item_slots").alias("theirs"), F.col("s.slots").alias("ours"))
-    votes = pairs.groupBy("row", "item", "theirs", "ours").agg(F.count(F.lit(1)).alias("n"))
-    chosen = votes.groupBy("row", "item", "theirs").agg(F.max(F.struct("n", (-F.col("ours")).alias("ours"))).alias("best")).select(
-        F.col("row").alias("_r"), F.col("item").alias("_i"), F.col("theirs").alias("_t"), (-F.col("best.ours")).alias("_o"))
-    on_slot = (F.col("row") == F.col("_r")) & (F.col("item") == F.col("_i")) & (F.col("theirs") == F.col("_t"))
-    bad = pairs.join(chosen, on_slot).where("ours <> _o").select(*[F.col(c).alias(f"_b_{c}") for c in ("row", "item", "place", "item_place")]).distinct()
-    ok = hits.join(bad, [F.col(c) == F.col(f"_b_{c}") for c in ("row", "item", "place", "item_place")], "left_anti")
-    per = ok.groupBy("id", "row", "item", "item_id").agg(F.countDistinct("item_place").alias("matched"))
-    per = per.join(totals, F.col("item") == F.col("of")).where(F.col("matched") >= F.lit(coverage) * F.col("n_windows"))
-    changed = chosen.where("_t <> _o").groupBy("_r", "_i").agg(F.count(F.lit(1)).alias("changed_slots"))
-    per = per.join(changed, (F.col("row") == F.col("_r")) & (F.col("item") == F.col("_i")), "left")
-    return per.select(F.col("id").alias(key), F.col("row").alias("row_hash"), "item_id", "n_windows", "matched",
-                      (F.col("matched") / F.col("n_windows")).alias("coverage"), F.coalesce("changed_slots", F.lit(0)).cast("bigint").alias("changed_slots"))
+    # an occurrence is an alignment: hits whose places in document and item differ by nearly the same, by 4 and by the item's length (two
+    # occurrences are further apart than that), each in two dealings that overlap by half; and the whole document, for scattered windows
+    hits = hits.join(totals, F.col("item") == F.col("of")).drop("of")
+    apart = F.col("place") - F.col("item_place")
+    lines = [F.lit(0).cast("bigint")]
+    for scale, (wide, shift) in enumerate(((F.lit(4), 0), (F.lit(4), 2), (F.col("n_windows"), 0), (F.col("n_windows"), F.floor(F.col("n_windows") / 2))), 1):
+        lines.append(F.floor((apart + shift) / wide) * 8 + scale)
+    hits = hits.withColumn("line", F.explode(F.array(*lines)))
+    whole = hits.groupBy("row", "item", "line").agg(F.countDistinct("item_place").alias("met"), F.max("n_windows").alias("of"))
+    whole = whole.where(F.col("met") >= F.lit(coverage) * F.col("of")).select(*[F.col(c).alias(f"_w_{c}") for c in ("row", "item", "line")])
+    hits = keep(hits.join(whole, [F.col(c) == F.col(f"_w_{c}") for c in ("row", "item", "line")], "left_semi"))
+    # slot consistency: one document value per item value of an alignment, the most frequent one (ties: the smaller)
+    here = ["row", "item", "line"]
+    pairs = hits.where("size(slots) > 0").select(*here, "place", "item_place", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+    pairs = pairs.select(*here, "place", "item_place", F.col("s.item_slots").alias("theirs"), F.col("s.slots").alias("ours"))
+    votes = pairs.groupBy(*here, "theirs", "ours").agg(F.count(F.lit(1)).alias("n"))
+    chosen = votes.groupBy(*here, "theirs").agg(F.max(F.struct("n", (-F.col("ours")).alias("ours"))).alias("best")).select(
+        F.col("row").alias("_r"), F.col("item").alias("_i"), F.col("line").alias("_l"), F.col("theirs").alias("_t"), (-F.col("best.ours")).alias("_o"))
+    on_line = (F.col("row") == F.col("_r")) & (F.col("item") == F.col("_i")) & (F.col("line") == F.col("_l"))
+    bad = pairs.join(chosen, on_line & (F.col("theirs") == F.col("_t"))).where("ours <> _o").select(*[F.col(c).alias(f"_b_{c}") for c in (*here, "place", "item_place")]).distinct()
+    ok = hits.join(bad, [F.col(c) == F.col(f"_b_{c}") for c in (*here, "place", "item_place")], "left_anti")
+    per = ok.groupBy("id", *here, "item_id", "n_windows").agg(F.countDistinct("item_place").alias("matched"))
+    per = per.where(F.col("matched") >= F.lit(coverage) * F.col("n_windows"))
+    changed = chosen.where("_t <> _o").groupBy("_r", "_i", "_l").agg(F.count(F.lit(1)).alias("changed"))
+    per = per.join(changed, on_line, "left").withColumn("changed", F.coalesce("changed", F.lit(0)).cast("bigint"))
+    # of several occurrences the one with most windows counts, then the one with the fewest changed values
+    per = per.groupBy("id", "row", "item", "item_id", "n_windows").agg(F.max(F.struct("matched", (-F.col("changed")).alias("same"))).alias("best"))
+    return per.select(F.col("id").alias(key), F.col("row").alias("row_hash"), "item_id", "n_windows", F.col("best.matched").alias("matched"),
+                      (F.col("best.matched") / F.col("n_windows")).alias("coverage"), (-F.col("best.same")).alias("changed_slots"))
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

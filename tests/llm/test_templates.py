@@ -83,3 +83,12 @@ def test_against_plain_search(spark, sf):
         share |= {(d["doc_id"], i): len(s) / total[i] for i, s in hit.items()}
     assert verbatim and verbatim <= got
     assert all(share.get(x, 0) >= 0.6 for x in got)  # nothing without most of the item's words in order
+
+
+def test_occurrences_with_other_values(spark, bench):
+    again = lambda k: ITEM.replace("12", f"1{k}7").replace("Maria", ["Susan", "Anna", "Berta", "Clara"][k]).replace("30", f"4{k}4").replace("Peter Miller", ["John", "Karl", "Otto", "Hugo"][k]).replace("five", ["seven", "eight", "nine", "ten"][k])
+    rows = [(n, (ITEM + ". so it goes on. ") * (n % 2) + " and then he said ".join(again(k) for k in range(n))) for n in range(1, 5)]
+    rows += [(10 + n, "\n\n".join(again(k) for k in range(n)) + "\n\n" + ITEM) for n in range(1, 5)]
+    docs = spark.createDataFrame([*rows, (20, ITEM[:60] + " and " + again(0)[:50])], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["changed_slots"], r["coverage"]) for r in tp.contaminated(docs, bench).collect()}
+    assert got == {1: (0, 1.0), 2: (5, 1.0), 3: (0, 1.0), 4: (5, 1.0), **{10 + n: (0, 1.0) for n in range(1, 5)}}
