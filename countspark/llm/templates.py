@@ -3,7 +3,8 @@
 Texts become template tokens: lower-cased words without outer punctuation, where a number, a name or a unit is a typed placeholder and
 its value is a slot. Windows of five template tokens are hashed and joined with the windows of the benchmark. A window counts for an
 item only if its slots agree with one mapping from the item's values to the document's values: every value of the item must become
-the same value wherever it stands in an occurrence. A document is contaminated by an item if four fifths of the item's windows are found
+the same value wherever it stands in an occurrence. Items that are too short or have too few plain words for that are found by windows of
+their words with all values. A document is contaminated by an item if four fifths of the item's windows are found
 so in one occurrence, or in the whole document.
 """
 
@@ -38,6 +39,7 @@ _UPPER = np.zeros(256, bool)
 _UPPER[0x41:0x5B] = True
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?:;|\"'([{-#*=>")] = True
+_PLAIN = np.uint64(1 << 32)
 _NUMBER, _NAME, _UNIT = (mix(np.array([k], np.uint64))[0] for k in (101, 102, 103))
 
 
@@ -48,15 +50,11 @@ def _known(words: list[str]) -> np.ndarray:
 _UNIT_HASHES, _NUMBER_HASHES = _known(UNITS), _known(NUMBERS)
 
 
-def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens of several texts: code, slot value (0 for plain words), text, and whether a plain word.
-
-    A number is a word with a digit in front (behind currency signs) or a number word; a unit is a known unit; a name is a capitalised
-    word that does not begin a sentence or a line. Neighbouring names are one slot with the value of the first.
-    """
+def _words(texts: list[bytes]) -> tuple[np.ndarray, ...] | None:
+    """The words of several texts without outer punctuation: joined bytes, starts, ends, text, whether first of a sentence or line, and hashes."""
     joined, _, owner, starts, lengths = runs(texts, WORD_BYTES)
     if len(starts) == 0:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, bool))
+        return None
     ends = starts + lengths
     last = joined[ends - 1]
     # white space before a word decides whether it begins a line
@@ -80,8 +78,20 @@ def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     full = ends > starts
     starts, ends, owner, first = starts[full], ends[full], owner[full], first[full]
     if len(starts) == 0:
+        return None
+    return joined, starts, ends, owner, first, stretch_hashes(joined, starts, ends)
+
+
+def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens of several texts: code, slot value (0 for plain words), text, and whether a plain word.
+
+    A number is a word with a digit in front (behind currency signs) or a number word; a unit is a known unit; a name is a capitalised
+    word that does not begin a sentence or a line. Neighbouring names are one slot with the value of the first.
+    """
+    found = _words(texts)
+    if found is None:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, bool))
-    hashes = stretch_hashes(joined, starts, ends)
+    joined, starts, ends, owner, first, hashes = found
     head = joined[starts]
     one = ends - starts == 1
     second = joined[np.minimum(starts + 1, len(joined) - 1)]
@@ -100,7 +110,7 @@ def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 def windows(texts: list[bytes], width: int = WIDTH) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per text (its position): hashes of its windows, their places, and a (windows, width) array of slot values.
 
-    Windows with fewer than ``LITERALS`` plain words are left out.
+    Windows with fewer than ``LITERALS`` plain words are left out, see ``plain_windows``.
     """
     waiting: dict[int, list] = {}
     for at, part in groups(texts):
@@ -125,21 +135,62 @@ def windows(texts: list[bytes], width: int = WIDTH) -> Iterator[tuple[int, np.nd
                 yield row, h[good], base + good, np.stack([now[1][k:n + k] for k in range(width)], 1)[good]
 
 
-def _window_rows(docs: DataFrame, keys: list[str], sieve: bytes | None) -> DataFrame:
-    """One row per window: the key columns, ``h``, ``place``, ``slots`` (values of the placeholders, in order).
+def plain_windows(texts: list[bytes], widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """Per text (its position) and width: hashes of its windows of lower-cased words as they are, their places, and the width.
 
-    ``sieve`` is a bit map of fixed size; windows whose hash is not in it cannot match and are not sent to Spark.
+    Windows at the seams of a long text can come twice, alike.
+    """
+    waiting: dict[int, tuple[np.ndarray, int]] = {}
+    for at, part in groups(texts):
+        found = _words(part)
+        if found is None:
+            continue
+        owner, hashes = found[3], found[5]
+        edges = np.searchsorted(owner, np.arange(len(part) + 1))
+        for i, row in enumerate(at):
+            carry, base = waiting.pop(row, (np.zeros(0, np.uint64), 0))
+            now = np.concatenate((carry, hashes[edges[i]:edges[i + 1]]))
+            for width in widths:
+                n = len(now) - width + 1
+                if n > 0:
+                    h = mix(np.full(n, _PLAIN + np.uint64(width)))
+                    for k in range(width):
+                        h = mix(h ^ now[k:n + k])
+                    yield row, h, base + np.arange(n), width
+            cut = max(0, len(now) - max(widths) + 1)
+            waiting[row] = (now[cut:], base + cut)
+
+
+def _window_rows(docs: DataFrame, keys: list[str], sieve: bytes | None, widths: list[int] | None = None) -> DataFrame:
+    """One row per window: the key columns, ``h``, ``place``, ``slots`` (values of the placeholders, in order), ``width`` (0, or that of a plain window).
+
+    ``sieve`` is a bit map of fixed size; windows whose hash is not in it cannot match and are not sent to Spark. Plain windows have the
+    ``widths``; without these, a text that has no template window at all gets them, of ``WIDTH`` words or all its words if they are fewer.
     """
     bits = None if sieve is None else np.unpackbits(np.frombuffer(sieve, np.uint8), bitorder="little").astype(bool)
     ids = ", ".join(f"{k} {id_column(docs, k)}" for k in keys)
 
+    def both(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
+        seen = set()
+        for row, h, place, value in windows(texts):
+            seen.add(row)
+            yield row, h, place, value, 0
+        if widths is None:
+            for i in set(range(len(texts))) - seen:
+                whole = list(plain_windows([texts[i]], list(range(1, WIDTH + 1))))
+                own = max((width for *_, width in whole), default=0)
+                yield from ((i, h, place, np.zeros((len(h), 0), np.uint64), width) for _, h, place, width in whole if width == own)
+        elif widths:
+            yield from ((row, h, place, np.zeros((len(h), 0), np.uint64), width) for row, h, place, width in plain_windows(texts, widths))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, hs, places, slots, counts = [], [], [], [], []
-            for row, h, place, value in windows(bytes_of(batch.column(len(keys)))):
+            rows, hs, places, slots, counts, kinds = [], [], [], [], [], []
+            for row, h, place, value, width in both(bytes_of(batch.column(len(keys)))):
                 if bits is not None:
                     hit = bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)]
                     h, place, value = h[hit], place[hit], value[hit]
+                kinds.append(np.full(len(h), width, np.int32))
                 rows.append(np.full(len(h), row))
                 hs.append(h)
                 places.append(place)
@@ -151,16 +202,17 @@ def _window_rows(docs: DataFrame, keys: list[str], sieve: bytes | None) -> DataF
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(slots).view(np.int64)))
             at = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(len(keys))], pa.array(np.concatenate(hs).view(np.int64)),
-                                              pa.array(np.concatenate(places).astype(np.int64)), lists], [*keys, "h", "place", "slots"])
+                                              pa.array(np.concatenate(places).astype(np.int64)), lists, pa.array(np.concatenate(kinds))], [*keys, "h", "place", "slots", "width"])
 
-    return docs.select(*keys, "text").mapInArrow(run, f"{ids}, h bigint, place bigint, slots array<bigint>")
+    return docs.select(*keys, "text").mapInArrow(run, f"{ids}, h bigint, place bigint, slots array<bigint>, width int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", coverage: float = COVERAGE, sieve_bits: int = 22) -> DataFrame:
     """One row per document and benchmark item that it holds: ``key``, ``row_hash``, ``item_id``, ``n_windows``, ``matched``,
     ``coverage``, ``changed_slots`` (values of the item that the document replaces by others), of the occurrence that matches best.
 
-    Items of fewer than five template tokens, or null, have no windows and match nothing; null and empty documents hold nothing.
+    Items of fewer than five template tokens, and those none of whose windows has three plain words, are looked up by windows of their words
+    as they are (lower-cased, values included, at most five). Items without words, or null, match nothing; null and empty documents hold nothing.
     Repeated documents (same key and text) give one row, as do repeated items; items are told apart by id and text. Other columns are
     ignored. Keys may be null or repeated: ``row_hash`` is the hash of key and text.
     """
@@ -179,7 +231,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     for row in bitmap.collect():
         sieve[row["part"] * 32768 + np.array(row["bits"])] = 1
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(key), F.col(text)).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    found = _window_rows(rows, ["id", "row"], np.packbits(sieve, bitorder="little").tobytes())
+    widths = sorted(r["width"] for r in wanted.where("width > 0").select("width").distinct().collect())
+    found = _window_rows(rows, ["id", "row"], np.packbits(sieve, bitorder="little").tobytes(), widths)
     items_side = small(wanted.select("item", "item_id", F.col("h").alias("item_h"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots")))
     hits = keep(found.join(items_side, F.col("h") == F.col("item_h")).select("id", "row", "place", "slots", "item", "item_id", "item_place", "item_slots").distinct())
     # an occurrence is an alignment: hits whose places in document and item differ by nearly the same, by 4 and by the item's length (two

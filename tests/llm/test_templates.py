@@ -92,3 +92,19 @@ def test_occurrences_with_other_values(spark, bench):
     docs = spark.createDataFrame([*rows, (20, ITEM[:60] + " and " + again(0)[:50])], "doc_id bigint, text string")
     got = {r["doc_id"]: (r["changed_slots"], r["coverage"]) for r in tp.contaminated(docs, bench).collect()}
     assert got == {1: (0, 1.0), 2: (5, 1.0), 3: (0, 1.0), 4: (5, 1.0), **{10 + n: (0, 1.0) for n in range(1, 5)}}
+
+
+def test_items_without_template_windows(spark):
+    items = ["What is 12 + 35 - 7 + 90?", "Convert 5 km to 3 miles please", "Who was Barack Obama", "define entropy"]
+    bench = spark.createDataFrame([*enumerate(items), (8, "?!"), (9, None)], "item_id bigint, text string")
+    pad = "some words of another kind stand here in front of it and go on for a while "
+    rows = [(i, pad + t + ". " + pad) for i, t in enumerate(items)] + [(10 + i, t) for i, t in enumerate(items)] + [(20 + i, pad + t.upper() + "\n" + pad) for i, t in enumerate(items)]
+    rows += [(30, pad + "What is 12 + 36 - 7 + 90?"), (31, "Convert 5 km to 4 miles please"), (32, "Who was Barack Miller"), (33, "define the entropy"), (34, None), (35, "?!"), (36, pad * 20000 + items[0])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"], r["coverage"]) for r in tp.contaminated(docs, bench).collect()}
+    assert got == {(i + 10 * k, i, 1.0) for i in range(4) for k in range(3)} | {(36, 0, 1.0)}
+    # pieces of a long text: every window, at its place
+    text = " ".join(f"w{i}" for i in range(300000)).encode()
+    assert len(text) > 1 << 20
+    seen = [(w, p) for _, _, place, w in tp.plain_windows([b"a", text], [2, 5]) if len(place) > 1 for p in place]
+    assert set(seen) == {(w, p) for w in (2, 5) for p in range(300000 - w + 1)}
