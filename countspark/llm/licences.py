@@ -93,6 +93,11 @@ RULES = [
 #: Every known sentence holds one of these; other texts need not be cut.
 ANCHORS = ("licens", "licenc", "copyright", "permission", "permitted", "warrant", "redistribut", "public domain", "software", "rights reserved", "liable", "subject to the terms", "promote products",
            "under cc", "gpl", "under the cc")
+#: What the scan itself looks for in a raw text: single words, as line ends and comment heads can stand between two, and CC as a word.
+ANCHOR_WORDS = (*(a for a in ANCHORS if " " not in a), "domain", "reserved")
+ANCHOR_CC = r"(^|[^a-z0-9])cc([^a-z]|$)"
+#: Marks inside known sentences that look like their ends: the version of the MPL and the list in the liability of the BSD.
+NO_END = r"(\bv)\.(?=[ \t\r\n\f]+[0-9])|(\bsubstitute[ \t\r\n\f]+goods[ \t\r\n\f]+or[ \t\r\n\f]+services|\bloss[ \t\r\n\f]+of[ \t\r\n\f]+use,[ \t\r\n\f]+data,?[ \t\r\n\f]+or[ \t\r\n\f]+profits);(?=[ \t\r\n\f])"
 #: Steps of the normalisation: line heads of comments, sentence ends, what is no letter or digit.
 LINE_HEAD = r"(?m)^[ \t]*(/\*+|\*+/|\*+|//+|#+|;+|--+|%+)[ \t]*"
 SENTENCE_END = r"([.!?:;])[\"')\]]*[ \t\r\n\f]+"
@@ -124,6 +129,7 @@ def rule_table() -> dict[str, str]:
 def _sequence(text: Column, by_line: bool) -> Column:
     """The marked sequence of a lower-cased text: ``<ID>`` per known sentence, ``<>`` per run of unknown ones."""
     body = F.regexp_replace(text, LINE_HEAD, "")
+    body = F.regexp_replace(body, NO_END, "$1$2")
     body = F.regexp_replace(body, SENTENCE_END, "$1" + CUT)
     body = F.regexp_replace(body, "\n" if by_line else BLANK_LINE, CUT)
     cut = F.transform(F.split(body, CUT), lambda s: F.trim(F.regexp_replace(s, NOT_WORD, " ")))
@@ -147,8 +153,8 @@ def scan_licences(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     pass; repeated rows are scanned alike, other columns are ignored, an empty table gives an empty result.
     """
     lower = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    maybe = F.lit(False)
-    for word in ANCHORS:
+    maybe = F.col("low").rlike(ANCHOR_CC)
+    for word in ANCHOR_WORDS:
         maybe = maybe | F.contains(F.col("low"), F.lit(word))
     rows = docs.select(F.col(key).alias("id"), lower.alias("low")).withColumn("maybe", maybe)
     seq = lambda by_line: F.when(F.col("maybe"), _sequence(F.col("low"), by_line)).otherwise(F.lit(""))
@@ -163,7 +169,7 @@ def scan_licences(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
 
 
 def licence_sql() -> str:
-    """The same scan of ``documents`` in DuckDB SQL."""
+    """The scan of ``documents`` in DuckDB SQL, without ``NO_END`` and with ``ANCHORS`` on the raw text: it knows less of wrapped texts."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     mapping = lambda d: "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in d.items()) + "}"
     named = "coalesce(" + ", ".join([f"{mapping(known_sentences())}[s]", *(f"CASE WHEN regexp_matches(s, {q(p)}) THEN {q(i)} END" for i, p in PATTERNS.items()), "''"]) + ")"

@@ -42,3 +42,30 @@ def test_scan(spark):
     assert lc.scan_licences(docs.limit(0)).count() == 0
     plan = lc.scan_licences(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan and "Arrow" not in plan
+
+
+BSD_LIABILITY = """IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT
+NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""".replace("\n", " ")
+FREE = {"COPYRIGHT": "Copyright (c) 2020 Someone", "BSD-LIABILITY": BSD_LIABILITY, "GNU-MERCHANT": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        "BSD-ENDORSE": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."}
+
+
+def test_every_rule_on_its_text_wrapped_and_not(spark):
+    rows = []
+    for name, ids in lc.RULES:
+        if ids.startswith("IS-"):
+            texts = [f"{phrase} the {written}." for phrase in lc.PHRASES for written, of in lc.NAMES.items() if of == name]
+        else:
+            texts = [" ".join((lc.SENTENCES | FREE)[i].strip() for i in ids.split())]
+        for text in texts:
+            w = text.split()
+            forms = [text, "\n".join(w), *("\n".join(head + " ".join(w[at:at + 7]) for at in range(0, len(w), 7)) for head in ("", "# ", " * ", "// "))]
+            rows += [(len(rows) + k, form, name, "".join(f"<{i}>" for i in ids.split())) for k, form in enumerate(forms)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in lc.scan_licences(docs).collect()}
+    wrong = [(t, got[i]["licences"], want) for i, t, want, _ in rows if got[i]["licences"] != want]
+    assert not wrong, (len(wrong), wrong[:3])
+    # the link of the Apache licence ends at a blank line, see test_scan
+    short = [(t, got[i]["sequence"], seq) for i, t, _, seq in rows if "APACHE-URL" not in seq and got[i]["n_known"] < seq.count("<")]
+    assert not short, (len(short), short[:3])  # the whole rule, and not only its short form
