@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from countspark.llm.backoff import stupid_backoff
+from countspark.llm.bit_slices import whiten
 from countspark.llm.chat import END, HEAD, SPLIT, chat_digest, chat_examples
+from countspark.llm.chunk_recipes import copies_sql, exact_copies
 from countspark.llm.licences import licence_sql, scan_licences
 from countspark.llm.mixing import mix
 from countspark.llm.quality import classify
@@ -15,6 +17,7 @@ from countspark.llm.rotated_codes import nearest
 from countspark.llm.secret_scan import scan_secrets
 from countspark.llm.simhash import simhash_components
 from countspark.llm.templates import contaminated
+from countspark.llm.token_alignment import alignment_counts
 from countspark.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +143,21 @@ def golay_simhash(spark, sf_dir):
 def benchmark_templates(spark, sf_dir):
     """Benchmark items in all documents, also with other numbers, names and units."""
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_chunk_recipes", copies_sql())
+def chunk_recipes(spark, sf_dir):
+    """Exact copies among all documents."""
+    return exact_copies(_table(spark, sf_dir, "documents"))
+
+
+@query("op12_diagonal_runs")
+def diagonal_runs(spark, sf_dir):
+    """Tokens of two vocabularies aligned in every document, and how often their pairs are linked."""
+    return alignment_counts(_table(spark, sf_dir, "documents"))
+
+
+@query("op13_bit_sliced_whitening")
+def bit_sliced_whitening(spark, sf_dir):
+    """All embeddings whitened."""
+    return whiten(_table(spark, sf_dir, "embeddings"))
