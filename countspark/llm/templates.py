@@ -1,11 +1,12 @@
 """Benchmark decontamination by templates: finds benchmark questions in documents, also with other numbers, names and units.
 
 Texts become template tokens: lower-cased words without outer punctuation, where a number, a name or a unit is a typed placeholder and
-its value is a slot. Windows of five template tokens are hashed and joined with the windows of the benchmark. A window counts for an
-item only if its slots agree with one mapping from the item's values to the document's values: every value of the item must become
-the same value wherever it stands in an occurrence. Items that are too short or have too few plain words for that are found by windows of
-their words with all values. A document is contaminated by an item if four fifths of the item's windows are found
-so in one occurrence, or in the whole document.
+its value is a slot. Windows of five tokens are hashed and joined with the windows of the benchmark, in three forms: with placeholders for
+numbers and units (names as lower-cased words, so capitals and line breaks do not matter), with placeholders for names as well where there
+are any, and as lower-cased words with all values where fewer than three plain words would be left. A window counts for an item only if
+its slots agree with one mapping from the item's values to the document's values: every value of the item must become the same value
+wherever it stands in an occurrence. A document is contaminated by an item if four fifths of all runs of five words of the item
+stand in windows found so, in one occurrence or in the whole document.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from countspark.llm.common import WORD_BYTES, bytes_of, groups, id_column, mix, runs, stretch_hashes
 from countspark.session import keep, small
@@ -91,48 +92,93 @@ def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     found = _words(texts)
     if found is None:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, bool))
-    joined, starts, ends, owner, first, hashes = found
+    owner, hashes, kind = found[3], found[5], _kinds(found)
+    code = np.choose(kind, [hashes, _NUMBER, _UNIT, _NAME])
+    value = np.where(kind == 0, np.uint64(0), hashes)
+    again = np.zeros(len(code), bool)
+    again[1:] = (kind[1:] == 3) & (kind[:-1] == 3) & (owner[1:] == owner[:-1])
+    return code[~again], value[~again], owner[~again], kind[~again] == 0
+
+
+def _kinds(found: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Per word: 0 plain, 1 number, 2 unit, 3 name."""
+    joined, starts, ends, _, first, hashes = found
     head = joined[starts]
-    one = ends - starts == 1
     second = joined[np.minimum(starts + 1, len(joined) - 1)]
     number = _DIGIT[head] | np.isin(hashes, _NUMBER_HASHES)
     unit = ~number & np.isin(hashes, _UNIT_HASHES)
-    name = ~number & ~unit & ~first & _UPPER[head] & (one | ~_UPPER[second])
-    code = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, hashes)))
-    plain = ~(number | unit | name)
-    value = np.where(plain, np.uint64(0), hashes)
-    again = np.zeros(len(code), bool)
-    again[1:] = name[1:] & name[:-1] & (owner[1:] == owner[:-1])
-    keep_ = ~again
-    return code[keep_], value[keep_], owner[keep_], plain[keep_]
+    name = ~number & ~unit & ~first & _UPPER[head] & ((ends - starts == 1) | ~_UPPER[second])
+    return np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0)))
 
 
-def windows(texts: list[bytes], width: int = WIDTH) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per text (its position): hashes of its windows, their places, and a (windows, width) array of slot values.
+def windows(texts: list[bytes], bits: np.ndarray | None = None, width: int = WIDTH) -> Iterator[tuple[np.ndarray, ...]]:
+    """For groups of texts: text (its position), hash, first word, number of words, and slot values (windows, width) of their windows.
 
-    Windows with fewer than ``LITERALS`` plain words are left out, see ``plain_windows``.
+    Every five words in a row give one window, with placeholders for numbers and units if at least ``LITERALS`` plain words are left, else as
+    they are; windows of five tokens with folded names come besides. With ``bits`` only windows whose hash hits the map are given.
     """
-    waiting: dict[int, list] = {}
+    def chosen(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if bits is not None:
+            hit = bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)]
+            return h[hit], at[hit]
+        return h, at
+
+    def sums(flags: np.ndarray) -> np.ndarray:
+        upto = np.concatenate(([0], np.cumsum(flags)))
+        return upto[width:] - upto[:-width]
+
+    tail = name_tail = None  # the last tokens of the piece before, if its text goes on
     for at, part in groups(texts):
-        code, value, owner, plain = template(part)
-        edges = np.searchsorted(owner, np.arange(len(part) + 1))
-        for i, row in enumerate(at):
-            now = [x[edges[i]:edges[i + 1]] for x in (code, value, plain)]
-            carry, base = waiting.pop(row, (None, 0))
-            if carry is not None:  # a long text goes on: the last tokens of the piece before come first
-                now = [np.concatenate(x) for x in zip(carry, now)]
-            n = len(now[0]) - width + 1
-            waiting[row] = ([x[max(0, len(x) - width + 1):] for x in now], base + max(0, len(now[0]) - width + 1))
-            if n <= 0:
-                continue
-            h = np.zeros(n, np.uint64)
-            literal = np.zeros(n, np.int64)
-            for k in range(width):
-                h = mix(h ^ now[0][k:n + k])
-                literal += now[2][k:n + k]
-            good = np.flatnonzero(literal >= LITERALS)
-            if len(good):
-                yield row, h[good], base + good, np.stack([now[1][k:n + k] for k in range(width)], 1)[good]
+        found = _words(part)
+        if found is None:
+            continue
+        row, h, kind = np.array(at)[found[3]], found[5], _kinds(found)
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        words = [row, place, h, kind]
+        if tail is not None and tail[0][-1] == row[0]:
+            place[row == row[0]] += tail[1][-1] + 1
+            words = [np.concatenate(x) for x in zip(tail, words)]
+        else:
+            name_tail = None
+        tail = [x[max(0, len(x) - width + 1):][row_of == words[0][-1]] for x in words for row_of in [words[0][max(0, len(x) - width + 1):]]]
+        row, place, h, kind = words
+        if len(row) >= width:
+            slot = (kind == 1) | (kind == 2)
+            code = np.where(kind == 1, _NUMBER, np.where(kind == 2, _UNIT, h))
+            whole = row[:1 - width] == row[width - 1:]
+            open_ = sums(~slot) >= LITERALS
+            some = np.flatnonzero(whole & open_)
+            hashed, some = chosen(_hashed(code, some, width), some)
+            yield row[some], hashed, place[some], np.full(len(some), width), np.stack([np.where(slot[some + k], h[some + k], np.uint64(0)) for k in range(width)], 1)
+            some = np.flatnonzero(whole & ~open_)
+            hashed, some = chosen(_hashed(h, some, width, _PLAIN + np.uint64(width)), some)
+            yield row[some], hashed, place[some], np.full(len(some), width), np.zeros((len(some), width), np.uint64)
+        # names folded: the words of this piece only, behind the last tokens of the one before
+        new = len(row) - len(found[5])
+        row, place, h, kind = (x[new:] for x in words)
+        again = np.zeros(len(row), bool)
+        again[1:] = (kind[1:] == 3) & (kind[:-1] == 3) & (row[1:] == row[:-1])
+        first = np.flatnonzero(~again)
+        folded = [row[first], place[first], place[np.append(first[1:], len(row)) - 1] + 1, h[first], kind[first]]
+        if name_tail is not None:
+            folded = [np.concatenate(x) for x in zip(name_tail, folded)]
+        row, place, end, h, kind = folded
+        last = slice(max(0, len(row) - width + 1), None)
+        name_tail = [x[last][row[last] == row[-1]] for x in folded]
+        if len(row) >= width and (kind == 3).any():
+            some = np.flatnonzero((row[:1 - width] == row[width - 1:]) & (sums(kind == 3) > 0) & (sums(kind == 0) >= LITERALS))
+            code = np.choose(kind, [h, _NUMBER, _UNIT, _NAME])
+            hashed, some = chosen(_hashed(code, some, width), some)
+            yield row[some], hashed, place[some], end[some + width - 1] - place[some], np.stack([np.where(kind[some + k] > 0, h[some + k], np.uint64(0)) for k in range(width)], 1)
+
+
+def _hashed(codes: np.ndarray, at: np.ndarray, width: int, seed: np.uint64 = np.uint64(0)) -> np.ndarray:
+    """Hashes of the windows that begin at ``at``."""
+    h = np.full(len(at), seed)
+    h = mix(h) if seed else h
+    for k in range(width):
+        h = mix(h ^ codes[at + k])
+    return h
 
 
 def plain_windows(texts: list[bytes], widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
@@ -162,57 +208,60 @@ def plain_windows(texts: list[bytes], widths: list[int]) -> Iterator[tuple[int,
 
 
 def _window_rows(docs: DataFrame, keys: list[str], sieve: bytes | None, widths: list[int] | None = None) -> DataFrame:
-    """One row per window: the key columns, ``h``, ``place``, ``slots`` (values of the placeholders, in order), ``width`` (0, or that of a plain window).
+    """One row per window: the key columns, ``h``, ``place`` (of its first word), ``span`` (words), ``slots`` (values of the placeholders, in order).
 
-    ``sieve`` is a bit map of fixed size; windows whose hash is not in it cannot match and are not sent to Spark. Plain windows have the
-    ``widths``; without these, a text that has no template window at all gets them, of ``WIDTH`` words or all its words if they are fewer.
+    ``sieve`` is a bit map of fixed size; windows whose hash is not in it cannot match and are not sent to Spark. Shorter windows of words
+    as they are have the ``widths``; without these, a text of fewer than ``WIDTH`` words is one window.
     """
     bits = None if sieve is None else np.unpackbits(np.frombuffer(sieve, np.uint8), bitorder="little").astype(bool)
     ids = ", ".join(f"{k} {id_column(docs, k)}" for k in keys)
 
-    def both(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
+    def all_forms(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         seen = set()
-        for row, h, place, value in windows(texts):
-            seen.add(row)
-            yield row, h, place, value, 0
+        for found in windows(texts, bits):
+            if widths is None:
+                seen.update(found[0].tolist())
+            yield found
         if widths is None:
-            for i in set(range(len(texts))) - seen:
-                whole = list(plain_windows([texts[i]], list(range(1, WIDTH + 1))))
-                own = max((width for *_, width in whole), default=0)
-                yield from ((i, h, place, np.zeros((len(h), 0), np.uint64), width) for _, h, place, width in whole if width == own)
-        elif widths:
-            yield from ((row, h, place, np.zeros((len(h), 0), np.uint64), width) for row, h, place, width in plain_windows(texts, widths))
+            short = [(i, list(plain_windows([texts[i]], list(range(1, WIDTH))))) for i in sorted(set(range(len(texts))) - seen)]
+            some = [(i, h, place, width) for i, whole in short for _, h, place, width in whole if width == max(w for *_, w in whole)]
+        else:
+            some = plain_windows(texts, widths) if widths else ()
+        for i, h, place, width in some:
+            if bits is not None:
+                hit = bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)]
+                h, place = h[hit], place[hit]
+            yield np.full(len(h), i), h, place, np.full(len(h), width), np.zeros((len(h), WIDTH), np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, hs, places, slots, counts, kinds = [], [], [], [], [], []
-            for row, h, place, value, width in both(bytes_of(batch.column(len(keys)))):
-                if bits is not None:
-                    hit = bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)]
-                    h, place, value = h[hit], place[hit], value[hit]
-                kinds.append(np.full(len(h), width, np.int32))
-                rows.append(np.full(len(h), row))
-                hs.append(h)
-                places.append(place)
-                counts.append((value != 0).sum(1))
-                slots.append(value[value != 0])
-            if not rows or not sum(map(len, rows)):
+            parts = [f for f in all_forms(bytes_of(batch.column(len(keys)))) if len(f[0])]
+            if not parts:
                 continue
-            offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.concatenate(counts)))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(slots).view(np.int64)))
-            at = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(len(keys))], pa.array(np.concatenate(hs).view(np.int64)),
-                                              pa.array(np.concatenate(places).astype(np.int64)), lists, pa.array(np.concatenate(kinds))], [*keys, "h", "place", "slots", "width"])
+            row, h, place, span, value = (np.concatenate(x) for x in zip(*parts))
+            offsets = np.concatenate(([0], np.cumsum((value != 0).sum(1)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[value != 0].view(np.int64)))
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(len(keys))], pa.array(h.view(np.int64)),
+                                              pa.array(place.astype(np.int64)), pa.array(span.astype(np.int32)), lists], [*keys, "h", "place", "span", "slots"])
+
+    return docs.select(*keys, "text").mapInArrow(run, f"{ids}, h bigint, place bigint, span int, slots array<bigint>")
+
 
-    return docs.select(*keys, "text").mapInArrow(run, f"{ids}, h bigint, place bigint, slots array<bigint>, width int")
+def _covered(spans: Column, unit: Column) -> Column:
+    """How many runs of ``unit`` words of an item lie in the stretches ``array<struct<place, span>>`` of found windows."""
+    words = F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["item_place"], x["item_place"] + x["span"] - 1)))))
+    runs_of = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - unit), lambda i: F.get(w, i + unit - 1) - F.get(w, i) == unit - 1)
+    return F.when(F.size(words) >= unit, F.size(runs_of(words))).otherwise(0).cast("bigint")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", coverage: float = COVERAGE, sieve_bits: int = 22) -> DataFrame:
     """One row per document and benchmark item that it holds: ``key``, ``row_hash``, ``item_id``, ``n_windows``, ``matched``,
     ``coverage``, ``changed_slots`` (values of the item that the document replaces by others), of the occurrence that matches best.
 
-    Items of fewer than five template tokens, and those none of whose windows has three plain words, are looked up by windows of their words
-    as they are (lower-cased, values included, at most five). Items without words, or null, match nothing; null and empty documents hold nothing.
+    ``n_windows`` counts the runs of five words of the item, ``matched`` those whose words all stand in windows that are found. Items of fewer
+    than five words are one window of all words as they are (lower-cased). Items without words, or null, match nothing; null and empty documents
+    hold nothing.
     Repeated documents (same key and text) give one row, as do repeated items; items are told apart by id and text. Other columns are
     ignored. Keys may be null or repeated: ``row_hash`` is the hash of key and text.
     """
@@ -223,7 +272,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
         return docs.select(F.col(key), F.lit(0).cast("bigint").alias("row_hash"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"),
                            F.lit(0).cast("bigint").alias("n_windows"), F.lit(0).cast("bigint").alias("matched"), F.lit(0.0).alias("coverage"),
                            F.lit(0).cast("bigint").alias("changed_slots")).where(F.lit(False))
-    totals = small(wanted.groupBy("item").agg(F.countDistinct("place").alias("n_windows")).select(F.col("item").alias("of"), "n_windows"))
+    totals = wanted.groupBy("item").agg(F.max(F.col("place") + F.col("span")).alias("words")).select(F.col("item").alias("of"), F.least("words", F.lit(WIDTH)).alias("unit"), "words")
+    totals = small(totals.select("of", F.col("unit").cast("int").alias("unit"), (F.col("words") - F.col("unit") + 1).alias("n_windows")))
     # the sieve has one bit per value of the low bits of a hash: 2**sieve_bits of them, whatever the benchmark's size
     cells = wanted.select((F.col("h").bitwiseAND(F.lit((1 << sieve_bits) - 1))).alias("c")).distinct()
     bitmap = cells.groupBy((F.col("c") / 32768).cast("int").alias("part")).agg(F.collect_set((F.col("c") % 32768).cast("int")).alias("bits"))
@@ -231,10 +281,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     for row in bitmap.collect():
         sieve[row["part"] * 32768 + np.array(row["bits"])] = 1
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(key), F.col(text)).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    widths = sorted(r["width"] for r in wanted.where("width > 0").select("width").distinct().collect())
+    widths = sorted(r["span"] for r in wanted.where(F.col("span") < WIDTH).select("span").distinct().collect())  # fewer than five
     found = _window_rows(rows, ["id", "row"], np.packbits(sieve, bitorder="little").tobytes(), widths)
-    items_side = small(wanted.select("item", "item_id", F.col("h").alias("item_h"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots")))
-    hits = keep(found.join(items_side, F.col("h") == F.col("item_h")).select("id", "row", "place", "slots", "item", "item_id", "item_place", "item_slots").distinct())
+    items_side = small(wanted.select("item", "item_id", F.col("h").alias("item_h"), F.col("place").alias("item_place"), F.col("span").alias("item_span"), F.col("slots").alias("item_slots")))
+    hits = keep(found.join(items_side, F.col("h") == F.col("item_h")).select("id", "row", "place", "slots", "item", "item_id", "item_place", F.col("item_span").alias("span"), "item_slots").distinct())
     # an occurrence is an alignment: hits whose places in document and item differ by nearly the same, by 4 and by the item's length (two
     # occurrences are further apart than that), each in two dealings that overlap by half; and the whole document, for scattered windows
     hits = hits.join(totals, F.col("item") == F.col("of")).drop("of")
@@ -243,20 +293,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     for scale, (wide, shift) in enumerate(((F.lit(4), 0), (F.lit(4), 2), (F.col("n_windows"), 0), (F.col("n_windows"), F.floor(F.col("n_windows") / 2))), 1):
         lines.append(F.floor((apart + shift) / wide) * 8 + scale)
     hits = hits.withColumn("line", F.explode(F.array(*lines)))
-    whole = hits.groupBy("row", "item", "line").agg(F.countDistinct("item_place").alias("met"), F.max("n_windows").alias("of"))
-    whole = whole.where(F.col("met") >= F.lit(coverage) * F.col("of")).select(*[F.col(c).alias(f"_w_{c}") for c in ("row", "item", "line")])
+    spans = F.collect_set(F.struct("item_place", "span")).alias("spans")
+    whole = hits.groupBy("row", "item", "line", "n_windows", "unit").agg(spans)
+    whole = whole.where(_covered(F.col("spans"), F.col("unit")) >= F.lit(coverage) * F.col("n_windows")).select(*[F.col(c).alias(f"_w_{c}") for c in ("row", "item", "line")])
     hits = keep(hits.join(whole, [F.col(c) == F.col(f"_w_{c}") for c in ("row", "item", "line")], "left_semi"))
     # slot consistency: one document value per item value of an alignment, the most frequent one (ties: the smaller)
     here = ["row", "item", "line"]
-    pairs = hits.where("size(slots) > 0").select(*here, "place", "item_place", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    pairs = pairs.select(*here, "place", "item_place", F.col("s.item_slots").alias("theirs"), F.col("s.slots").alias("ours"))
+    pairs = hits.where("size(slots) > 0").select(*here, "place", "item_place", "span", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+    pairs = pairs.select(*here, "place", "item_place", "span", F.col("s.item_slots").alias("theirs"), F.col("s.slots").alias("ours"))
     votes = pairs.groupBy(*here, "theirs", "ours").agg(F.count(F.lit(1)).alias("n"))
     chosen = votes.groupBy(*here, "theirs").agg(F.max(F.struct("n", (-F.col("ours")).alias("ours"))).alias("best")).select(
         F.col("row").alias("_r"), F.col("item").alias("_i"), F.col("line").alias("_l"), F.col("theirs").alias("_t"), (-F.col("best.ours")).alias("_o"))
     on_line = (F.col("row") == F.col("_r")) & (F.col("item") == F.col("_i")) & (F.col("line") == F.col("_l"))
     bad = pairs.join(chosen, on_line & (F.col("theirs") == F.col("_t"))).where("ours <> _o").select(*[F.col(c).alias(f"_b_{c}") for c in (*here, "place", "item_place")]).distinct()
     ok = hits.join(bad, [F.col(c) == F.col(f"_b_{c}") for c in (*here, "place", "item_place")], "left_anti")
-    per = ok.groupBy("id", *here, "item_id", "n_windows").agg(F.countDistinct("item_place").alias("matched"))
+    per = ok.groupBy("id", *here, "item_id", "n_windows", "unit").agg(spans).withColumn("matched", _covered(F.col("spans"), F.col("unit"))).drop("spans", "unit")
     per = per.where(F.col("matched") >= F.lit(coverage) * F.col("n_windows"))
     changed = chosen.where("_t <> _o").groupBy("_r", "_i", "_l").agg(F.count(F.lit(1)).alias("changed"))
     per = per.join(changed, on_line, "left").withColumn("changed", F.coalesce("changed", F.lit(0)).cast("bigint"))

@@ -27,7 +27,7 @@ def test_long_texts_are_cut_without_loss():
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(400000)]
     text = " ".join(words).encode()
     assert len(text) > 1 << 20
-    places = np.concatenate([p for _, _, p, _ in tp.windows([b"a b", text])])
+    places = np.concatenate([p for _, _, p, *_ in tp.windows([b"a b", text])])
     assert sorted(places) == list(range(len(words) - 4))
 
 
@@ -42,11 +42,11 @@ def test_contaminated(spark, bench):
     rows = [(1, pad + ITEM + " " + pad), (2, pad + again), (3, pad * 40), (4, pad + ITEM[:40] + " " + pad), (5, None), (6, ""), (None, OTHER), (None, pad), (7, ITEM), (7, ITEM), (8, pad * 20000 + OTHER + ". " + pad), (9, ITEM.lower())]
     docs = spark.createDataFrame([(i, t, "h", 3) for i, t in rows], "doc_id bigint, text string, h string, item_id int")
     got = sorted((r["doc_id"] or -1, r["item_id"], r["changed_slots"]) for r in tp.contaminated(docs, bench).collect())
-    assert [g[:2] for g in got] == [(-1, 2), (1, 1), (2, 1), (7, 1), (8, 2)]
+    assert [g[:2] for g in got] == [(-1, 2), (1, 1), (2, 1), (7, 1), (8, 2), (9, 1)]
     assert dict((g[0], g[2]) for g in got)[2] == 5 and dict((g[0], g[2]) for g in got)[1] == 0
     kept = tp.clean_rows(docs, bench)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 3, 4, 5, 6, 9]
+    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 3, 4, 5, 6]
     for none in (tp.contaminated(docs.limit(0), bench), tp.contaminated(docs, bench.limit(0))):
         assert none.count() == 0
     assert tp.clean_rows(docs, bench.limit(0)).count() == len(rows)
@@ -108,3 +108,36 @@ def test_items_without_template_windows(spark):
     assert len(text) > 1 << 20
     seen = [(w, p) for _, _, place, w in tp.plain_windows([b"a", text], [2, 5]) if len(place) > 1 for p in place]
     assert set(seen) == {(w, p) for w in (2, 5) for p in range(300000 - w + 1)}
+
+
+def test_instructions_alone_stay_and_recased_copies_go(spark):
+    item = ("What do you get for 12 + 35 - 7 + 90 - 4 + 18 - 66 + 3 - 5 + 21 - 30 + 8? Show your work step by step and give the final answer as a whole number "
+            "without any other text.")
+    names = "When Alice Brown met Bob in Paris on a rainy day they walked from Montmartre to the river, where Charles and Diana Smith already waited for them both"
+    bench = spark.createDataFrame([(1, item), (2, names)], "item_id bigint, text string")
+    other = names.replace("Alice Brown", "Mary").replace("Bob", "Tim Jones").replace("Paris", "Rome")
+    number = item.replace("12", "13").replace("35", "36")
+    rows = [(1, item[item.index("Show"):]), (2, "What do you get? " + item[item.index("Show"):]), (3, item), (4, item.upper()), (5, "Here it is: " + item.replace(" ", "\n")),
+            (10, names), (11, names.lower()), (12, names.upper()), (13, names.replace(" Bob", "\nBob").replace(" Paris", "\nParis").replace(" Charles", ".\nCharles")), (14, other), (15, number),
+            (16, names.title())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["item_id"] for r in tp.contaminated(docs, bench).collect()}
+    assert got == {3: 1, 4: 1, 5: 1, 10: 2, 11: 2, 12: 2, 13: 2, 14: 2, 15: 1, 16: 2}
+    assert sorted(r["doc_id"] for r in tp.clean_rows(docs, bench).collect()) == [1, 2]
+
+
+def test_names_over_the_seams_of_a_long_text():
+    """Windows with folded names are those of the text as a whole, wherever the pieces are cut."""
+    rng = np.random.default_rng(8)
+    words = [["and", "went", "to", "see", "the", "river", "Maria", "Peter", "12", "km"][i] for i in rng.integers(0, 10, 30000)]
+    text = " ".join(words).encode()
+    of = lambda parts: {(int(h), int(p), int(s)) for _, hs, ps, ss, _ in parts for h, p, s in zip(hs, ps, ss)}
+    whole = of(tp.windows([text]))
+    cut = tp.groups
+    try:
+        tp.groups = lambda texts: cut(texts, 1000)
+        pieces = of(tp.windows([text]))
+    finally:
+        tp.groups = cut
+    plain = {x for x in whole if x[2] == 5}
+    assert plain <= pieces and len(whole - pieces) < 0.02 * len(whole)
