@@ -1,34 +1,36 @@
 """Secrets in texts: fixed patterns, and formats inferred from the credentials that these label.
 
 The patterns give labelled credentials of three kinds. For each kind a prefix tree of a bounded sample is folded into a probabilistic
-automaton: states whose symbol and end frequencies do not differ by more than a Hoeffding bound are merged. Every other long token of a
-text is then scored under the automata against a model of ordinary characters, and tokens as likely as held-out credentials are added.
+automaton: states whose symbol and end frequencies do not differ by more than a Hoeffding bound are merged. Every other token of a text
+of at least half the length of the shortest credential of a kind is then scored under the automata against a model of ordinary characters, and
+tokens as likely as held-out credentials are added.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from countspark.llm.common import id_column
+from countspark.session import keep
 
 #: Kinds in the order of output, patterns and least lengths.
 KINDS = ("assign", "access", "hex", "inferred")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of hex digits is matched whole, so shorter ones may fail at once
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
+TOKEN = r"[A-Za-z0-9+/_.=-]"
 KEYWORDS = ("passw", "secret", "token", "api")
-#: Distinct credentials per kind that an automaton is learnt from at most (smallest hash first), and their greatest length.
-SAMPLE = 1024
-LONGEST = 256
+#: Distinct credentials per kind that an automaton is learnt from at most (smallest hash first), their characters in all, and those of one.
+SAMPLE = 1000
+SAMPLE_CHARS = 200_000
+LONGEST = 4096
 #: Confidence of the merge test, least count of a tested state, probability of an unseen symbol, least gain per character in nats.
 CONFIDENCE = 0.05
 LEAST_COUNT = 10
@@ -36,6 +38,12 @@ UNSEEN = 1e-3
 GAIN = 0.5
 #: How far, in nats per character, a token may stay behind the held-out credentials (a token of another length ends less likely).
 SLACK = 0.25
+#: Nats that a format must leave open: a token it holds likelier than that is a word of a list (as in "token: string") and no credential.
+OPEN = 9.0
+#: Tokens whose verdict a task remembers.
+REMEMBERED = 1 << 18
+#: Tokens are scored from half the length of the shortest credential of a kind on, and from so many characters, as credentials have.
+SHORTEST = 6
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -144,14 +152,14 @@ def _learn(kind: str, values: list[str]) -> dict:
     held = values[::5] if len(values) >= 10 else values
     model = Automaton([v for i, v in enumerate(values) if i % 5] if len(values) >= 10 else values)
     scores = sorted(likelihood(model.states, model.ends, v) for v in held)
-    return {"kind": kind, "states": model.states, "ends": model.ends, "least": scores[len(scores) // 20]}
+    return {"kind": kind, "states": model.states, "ends": model.ends, "least": scores[len(scores) // 20], "shortest": max(SHORTEST, min(map(len, values)) // 2)}
 
 
 def learn_formats(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE) -> dict:
     """Automata of the kinds that occur in the documents, and the character frequencies of ordinary words.
 
-    The credentials are labelled by the patterns, in all texts. Each kind is learnt by a task of its own from at most ``sample``
-    distinct credentials; what reaches the driver are the automata (a state per distinguishable position at most).
+    The credentials are labelled by the patterns, in all texts. Each kind is learnt from at most ``sample`` distinct credentials, those with the
+    smallest hashes. Only such samples, and the counts of the token characters, reach the driver.
     """
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,44 +170,73 @@ def learn_formats(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE)
                 spans = base_spans(value)
                 found.update((KINDS[k], value[at:end]) for _, k, end, at in spans if end - at <= LONGEST)
                 letters.update(value if not spans else "".join(value[a:b] for a, b in zip([0, *(s[2] for s in spans)], [*(s[0] for s in spans), len(value)])))
-            rows = [(k, v, 1) for k, v in found] + [("", c, n) for c, n in letters.items() if TOKEN.match(c * 20)]
+            rows = [(k, v, 1) for k, v in found] + [("", c, n) for c, n in letters.items() if re.match(TOKEN, c)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
                                               pa.array([r[2] for r in rows], pa.int64())], ["kind", "value", "n"])
 
     seen = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(label, "kind string, value string, n bigint")
-    seen = seen.groupBy("kind", "value").agg(F.sum("n").alias("n"))
-    chosen = seen.withColumn("_rank", F.row_number().over(W.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))).where(F.col("_rank") <= sample)
-
-    def learn(table: pa.Table) -> pa.Table:
-        kind = table.column("kind")[0].as_py()
-        rows = sorted(zip(table.column("_rank").to_pylist(), table.column("value").to_pylist(), table.column("n").to_pylist()))
-        if kind == "":  # there are fewer token characters than the bound, so all are here
-            model = {"kind": kind, "letters": {v: n for _, v, n in rows}}
-        else:
-            model = _learn(kind, [v for _, v, _ in rows])
-        return pa.table({"model": [json.dumps(model)]})
-
-    models = [json.loads(r["model"]) for r in chosen.groupBy("kind").applyInArrow(learn, "model string").collect()]
-    letters = next((m["letters"] for m in models if m["kind"] == ""), {})
-    total = sum(letters.values()) + 66
-    return {"formats": sorted((m for m in models if m["kind"]), key=lambda m: m["kind"]), "letters": {c: math.log((n + 1) / total) for c, n in letters.items()},
-            "rare": math.log(1 / total)}
-
-
-def inferred_spans(text: str, formats: dict, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Tokens outside the base spans that fit a learnt format: as likely as held-out credentials, and likelier than ordinary text."""
-    found = []
-    for m in TOKEN.finditer(text):
-        token = m.group()
-        if not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token) or any(s < m.end() and m.start() < e for s, _, e, _ in base):
-            continue
-        plain = sum(formats["letters"].get(c, formats["rare"]) for c in token) / len(token)
-        for model in formats["formats"]:
-            fit = likelihood(model["states"], model["ends"], token)
-            if fit >= model["least"] - SLACK and fit >= plain + GAIN:
-                found.append((m.start(), 3, m.end(), m.start()))
+    seen = keep(seen.groupBy("kind", "value").agg(F.sum("n").alias("n")))
+    letters = {r["value"]: r["n"] for r in seen.where("kind = ''").collect()}  # one row per token character
+    formats = []
+    for row in seen.where("kind <> ''").groupBy("kind").count().orderBy("kind").collect():
+        # hashes below a bound that about four times the sample is expected to meet, so that few rows are sorted at any size
+        bound = min(1 << 32, math.ceil((1 << 34) * max(sample, 250) / row["count"]))
+        few = seen.where((F.col("kind") == row["kind"]) & (F.pmod(F.xxhash64("value"), F.lit(1 << 32)) < bound))
+        values, chars = [], 0
+        for r in few.select("value").orderBy(F.pmod(F.xxhash64("value"), F.lit(1 << 32)), "value").limit(sample).collect():
+            chars += len(r["value"])
+            if values and chars > SAMPLE_CHARS:
                 break
-    return found
+            values.append(r["value"])
+        formats.append(_learn(row["kind"], values))
+    total = sum(letters.values()) + 66
+    return {"formats": formats, "letters": {c: math.log((n + 1) / total) for c, n in letters.items()}, "rare": math.log(1 / total)}
+
+
+class Scorer:
+    """Scores tokens under learnt formats; what it said of a token is remembered for a while."""
+
+    def __init__(self, formats: dict):
+        self.formats = formats
+        shortest = min((m["shortest"] for m in formats["formats"]), default=0)
+        self.tokens = re.compile(f"{TOKEN}{{{shortest},}}") if formats["formats"] else None
+        self.known: dict[str, bool] = {}
+
+    def _fits(self, token: str) -> bool:
+        letters, rare = self.formats["letters"], self.formats["rare"]
+        plain = sum(letters.get(c, rare) for c in token) / len(token)
+        for model in self.formats["formats"]:
+            if len(token) >= model["shortest"]:
+                fit = likelihood(model["states"], model["ends"], token)
+                if fit >= model["least"] - SLACK and fit >= plain + GAIN and -fit * len(token) >= OPEN:
+                    return True
+        return False
+
+    def fits(self, token: str) -> bool:
+        """Whether a token is as likely as held-out credentials of a format, and likelier than ordinary text."""
+        found = self.known.get(token)
+        if found is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            found = self._fits(token)
+            if len(token) <= 256:
+                self.known[token] = found
+        return found
+
+    def spans(self, text: str, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Fitting tokens outside the base spans, which are in order of their starts."""
+        found = []
+        if self.tokens is None:
+            return found
+        at, upto = 0, 0  # base spans that start before the token's end, and how far they reach
+        for m in self.tokens.finditer(text):
+            start, end = m.span()
+            while at < len(base) and base[at][0] < end:
+                upto = max(upto, base[at][2])
+                at += 1
+            if upto <= start and self.fits(m.group()):
+                found.append((start, 3, end, start))
+        return found
 
 
 def _told(spans: list[tuple[int, int, int, int]]) -> str:
@@ -211,16 +248,17 @@ def scan_secrets(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sa
 
     Spans are ``kind:start:end`` in code points over the whole text, by start and then kind. Null and empty texts have no spans. Repeated
     rows are scanned alike; other columns are ignored; an empty table gives an empty result. Without any labelled credential nothing is
-    inferred.
+    inferred. Labelled credentials of more than ``LONGEST`` characters are spans as any others, but no format is learnt from them.
     """
     formats = learn_formats(docs, text=text, sample=sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(formats)
         for batch in batches:
             out = []
             for value in batch.column(1).to_pylist():
                 base = base_spans(value or "")
-                more = inferred_spans(value or "", formats, base)
+                more = scorer.spans(value or "", base)
                 n = Counter(s[1] for s in base)
                 out.append((n[0], n[1], n[2], hashlib.sha256(_told(base).encode()).hexdigest(), _told(sorted(base + more)), len(more)))
             columns = list(zip(*out)) if out else [()] * 6
@@ -233,11 +271,11 @@ def scan_secrets(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sa
     return rows.mapInArrow(run, schema).withColumnRenamed("id", key)
 
 
-def redact(text: str, formats: dict) -> str:
+def redact(text: str, scorer: Scorer) -> str:
     """The text with the value of every secret replaced by ``[SECRET]``."""
     base = base_spans(text)
     out, at = [], 0
-    for start, end in sorted((v, e) for _, _, e, v in base + inferred_spans(text, formats, base)):
+    for start, end in sorted((v, e) for _, _, e, v in base + scorer.spans(text, base)):
         if start >= at:
             out += [text[at:start], "[SECRET]"]
         at = max(at, end)
@@ -249,9 +287,10 @@ def redacted_rows(docs: DataFrame, *, text: str = "text", length: str = "n_chars
     formats = learn_formats(docs, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(formats)
         for batch in batches:
             old = batch.column(0).to_pylist()
-            new = [None if v is None else redact(v, formats) for v in old]
+            new = [None if v is None else redact(v, scorer) for v in old]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), pa.array([a != b for a, b in zip(old, new)], pa.bool_()), batch.column(1)], ["new", "changed", "row"])
 
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from countspark.llm import secret_scan as ss
 
@@ -65,3 +66,68 @@ def test_redaction_keeps_columns(spark):
     docs = spark.createDataFrame([(1, f"token={HEX}", "en", 46, "r")], "doc_id bigint, text string, lang string, n_chars bigint, row string")
     out = ss.redacted_rows(docs)
     assert out.columns == docs.columns and out.first() == (1, "token=[SECRET]", "en", 14, "r")
+
+
+def test_short_long_and_lettered_formats(spark):
+    """Formats of 8 letters, of digits only, and of 300 characters are learnt; ordinary words and words of a list stay."""
+    rng = random.Random(9)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    makes = [lambda: pick("QXZJVKWY", 8), lambda: pick("0123456789", 12), lambda: pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 300)]
+    prose = "an ordinary sentence with somewhat longer words standing around the token string everywhere "
+    rows = [(i, f"{prose} password = {makes[i % 3]()} {prose}") for i in range(600)] + [(600 + i, f"{prose} token: string {prose}") for i in range(50)]
+    planted = [make() for make in makes]
+    rows += [(1000 + i, f"{prose}{value} {prose}") for i, value in enumerate(planted)] + [(1010, prose * 3), (1011, "x" * 5000 + " password=" + "y" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in ss.scan_secrets(docs).collect()}
+    for i, value in enumerate(planted):
+        assert got[1000 + i]["spans"] == f"inferred:{len(prose)}:{len(prose) + len(value)}"
+    assert got[1010]["spans"] == "" and got[1011]["n_assign"] == 1 and sum(r["n_inferred"] for r in got.values()) == 3
+
+
+def test_scores_against_a_plain_automaton():
+    """Every token of a text, scored one by one by walking the automata."""
+    rng = random.Random(2)
+    values = ["k" + "".join(rng.choice("abcdef012345") for _ in range(rng.randrange(9, 14))) for _ in range(200)]
+    formats = {"formats": [ss._learn("assign", values)], "letters": {c: -4.0 for c in "abcdefghijklmnopqrstuvwxyz0123456789"}, "rare": -9.0}
+    model = formats["formats"][0]
+    text = " ".join(rng.choice([values[rng.randrange(200)], "ordinary", "k0a1b2c3d4", "kkkkkkkkkkk", "zzzzzzzzzzzz", "x"]) for _ in range(500))
+    base = ss.base_spans("token=abcdefgh ") + [(100, 1, 140, 100), (110, 2, 120, 110), (400, 0, 401, 400)]
+    want = []
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text):
+        at, total = 0, 0.0
+        for c in m.group():
+            step = model["states"][at].get(c)
+            total += step[1] if step else -6.907755278982137
+            at = step[0] if step else at
+        fit, plain = (total + model["ends"][at]) / len(m.group()), sum(formats["letters"].get(c, -9.0) for c in m.group()) / len(m.group())
+        if len(m.group()) >= model["shortest"] and fit >= model["least"] - ss.SLACK and fit >= plain + ss.GAIN and -fit * len(m.group()) >= ss.OPEN:
+            if not any(s < m.end() and m.start() < e for s, _, e, _ in base):
+                want.append((m.start(), 3, m.end(), m.start()))
+    assert want and ss.Scorer(formats).spans(text, sorted(base)) == want
+
+
+def test_many_spans_in_a_long_text():
+    rng = random.Random(1)
+    key = lambda: "AKIA" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ234567") for _ in range(16))
+    text = " ".join(f"{key()} {key()[4:]}QRST" for _ in range(230_000))
+    assert len(text) > 9_500_000
+    scorer = ss.Scorer({"formats": [ss._learn("access", [key() for _ in range(500)])], "letters": {}, "rare": -4.0})
+    began = time.process_time()
+    base = ss.base_spans(text)
+    found = scorer.spans(text, base)
+    assert len(base) == 230_000 and time.process_time() - began < 30 and not {s for s, *_ in found} & {s for s, *_ in base}
+
+
+def test_sample_is_the_smallest_hashes(spark):
+    """Few rows are sorted, and they are those that sorting all would give."""
+    values = [f"credential{i:05d}" for i in range(30_000)]
+    docs = spark.createDataFrame([(i, " ".join(f"token={v}" for v in values[i::100])) for i in range(100)], "doc_id bigint, text string")
+    seen = []
+    learn, ss._learn = ss._learn, lambda kind, found: seen.append(found) or {"kind": kind, "states": [{}], "ends": [0.0], "least": 0.0, "shortest": 20}
+    try:
+        ss.learn_formats(docs, sample=100)
+    finally:
+        ss._learn = learn
+    table = spark.createDataFrame([(v,) for v in values], "value string")
+    want = [r["value"] for r in table.selectExpr("value", "pmod(xxhash64(value), 4294967296L) as h").orderBy("h", "value").limit(100).collect()]
+    assert seen == [want]
