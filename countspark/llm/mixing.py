@@ -1,9 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Each source is a shuffled stream of its documents, cut into blocks of equally many words. The mix is a sequence of slots: slot ``t``
-maps the golden-ratio point ``frac((t + 1) * phi)`` through the cumulative weights to a source, and takes the next block of that
-source, starting again at its first block after the last. Any stretch of the schedule holds the sources in nearly their target shares.
-A source leaves the schedule once it has given its target; its last slot takes only the words that are missing.
+maps the van der Corput point of ``t`` (its bits mirrored behind the point) through the cumulative weights to a source, and takes the next
+block of that source, starting again at its first block after the last. Any stretch of the schedule holds the sources in nearly their
+target shares. The slots of a source are read off its interval: the points of the slots below 2 ** L are the multiples of 2 ** -L, so
+those inside the interval, mirrored, are its slots, whatever its share. A source leaves the schedule once it has given its target; its
+last slot takes only the words that are missing.
 """
 
 from __future__ import annotations
@@ -12,13 +14,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from countspark.functions.scans import scan
 from countspark.llm.common import WORD
-from countspark.session import keep, keep_measured, small
+from countspark.session import keep, small
 
-#: Fractional part of the golden ratio, weights by the order of the sources.
-GOLDEN = 0.6180339887498949
+#: Weights by the order of the sources.
 WEIGHTS = (3, 1, 2)
 #: Slots of the mix at which the length of a block is aimed; small mixes get blocks of one word.
 SLOTS = 1 << 14
+#: Slots of a source that one row is expanded to at once.
+RUN = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -37,48 +40,36 @@ def source_targets(sizes: DataFrame, *, share: float = 1.5, most: float = 2.0, w
     turn = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
     per = keep(per.select("source", "source_size", "place", turn.alias("weight")))
     cap = F.col("source_size") * F.lit(float(most))
-    level, stopped = None, -1
-    while True:  # raise the common level until no further source reaches its cap
-        full = F.lit(False) if level is None else cap <= F.col("weight") * F.lit(level)
-        got = per.agg(F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("source_size")).otherwise(0)).alias("done"),
-                      F.sum(F.when(full, 0).otherwise(F.col("weight"))).alias("open"), F.count(F.when(full, 1)).alias("n")).first()
-        if not got["all"] or not got["open"] or got["n"] == stopped:
-            break
-        stopped, level = got["n"], (share * got["all"] - most * got["done"]) / got["open"]
-    return per.withColumn("target", F.least(cap, F.col("weight") * F.lit(level if level is not None else 0.0)).cast("double"))
-
-
-def schedule(demand: DataFrame, block: int) -> DataFrame:
+    # by falling weight per cap: if all before a source are full, the others share the rest at the level of its row; the first row whose level its cap is above holds
+    parts = per.select("weight", "source_size", (cap / F.col("weight")).alias("ratio"), F.lit(0).alias("_all"))
+    parts = scan(parts, ["_all"], [F.col("ratio"), F.col("source_size")], sums={"_done": "source_size", "_met": "weight"}, totals={"_size": "source_size", "_weight": "weight"})
+    level = (F.lit(share) * F.col("_size") - F.lit(most) * (F.col("_done") - F.col("source_size"))) / (F.col("_weight") - F.col("_met") + F.col("weight"))
+    got = parts.withColumn("level", level).where("level < ratio").agg(F.min_by("level", F.struct("ratio", "source_size")).alias("level")).first()["level"]
+    aim = cap if got is None else F.least(cap, F.col("weight") * F.lit(got))  # none: all are full
+    return per.withColumn("target", aim.cast("double"))
+
+
+def schedule(demand: DataFrame) -> DataFrame:
     """``(source_no, rank, slot)`` for the ``rank``-th slot (from 0) of each source, for ``need`` slots each.
 
-    ``demand`` has ``(place, need, target)`` with one row per source. Slots are ranked per source in two steps, first counts per run
-    of slots, then ranks inside a run, so that a source with most of the slots is no single group.
+    ``demand`` has ``(place, need, goal)`` with one row per source; goals are whole numbers, at least 1 where slots are needed, below 2 ** 62
+    in all. A source takes from the first 2 ** L slots, with L so that they hold the slots it needs and about as many more, so the
+    work is twice the slots; runs of slots are spread over the tasks and ranked by a distributed row number.
     """
-    spark = demand.sparkSession
-    shares = scan(demand.where("need > 0").withColumn("_all", F.lit(0)), ["_all"], [F.col("place")], sums={"_upto": "target"}, totals={"_total": "target"})
-    shares = small(shares.select("place", "need", ((F.col("_upto") - F.col("target")) / F.col("_total")).alias("low"), (F.col("_upto") / F.col("_total")).alias("high"), F.lit(0).alias("j")))
-    seen = shares.agg(F.count(F.lit(1)).alias("n"), F.sum("need").alias("need"), F.min(F.col("high") - F.col("low")).alias("least")).first()
-    if not seen["n"]:
-        return spark.createDataFrame([], "source_no bigint, rank bigint, slot bigint")
-    total = seen["need"] + 64 * seen["n"]
-    run = 4096
-    # a point finds its source through the cells of an even grid, so the join is an equi join for any number of sources
-    cells = max(1, min(1 << 20, 2 * seen["n"]))
-    of_cell = shares.select("place", "need", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1)))).alias("cell"))
-    while True:
-        slots = spark.range(total).select(F.col("id").alias("slot"), ((F.col("id") + 1) * F.lit(GOLDEN) % 1.0).alias("u"))
-        slots = slots.withColumn("cell", F.floor(F.col("u") * cells))
-        dealt = slots.join(small(of_cell), "cell").where("u >= low and (u < high or high >= 1.0 and u >= low)")
-        dealt = dealt.select(F.col("place").alias("source_no"), "need", "slot", F.floor(F.col("slot") / run).alias("run"))
-        counts = dealt.groupBy("source_no", "run").agg(F.count(F.lit(1)).alias("n"))
-        ahead = scan(counts, ["source_no"], [F.col("run")], sums={"_upto": "n"}).select(F.col("source_no").alias("_s"), F.col("run").alias("_r"), (F.col("_upto") - F.col("n")).alias("before"))
-        inside = dealt.withColumn("_i", F.row_number().over(W.partitionBy("source_no", "run").orderBy("slot")) - 1)
-        ranked = inside.join(ahead, (F.col("source_no") == F.col("_s")) & (F.col("run") == F.col("_r"))).select(
-            "source_no", (F.col("before") + F.col("_i")).cast("bigint").alias("rank"), "slot", "need").where("rank < need")
-        ranked, got = keep_measured(ranked.select("source_no", "rank", "slot"))
-        if got["n"] >= seen["need"]:
-            return ranked
-        total *= 2  # some source still lacks slots
+    asked = demand.where("need > 0").withColumn("_all", F.lit(0))
+    shares = scan(asked, ["_all"], [F.col("place")], sums={"_upto": "goal"}, totals={"_total": "goal"})
+    level = F.ceil(F.log2((F.col("need") + 1) * (F.col("_total") / F.col("goal")))).cast("int")
+    # first multiple of 2 ** -L at or above a / total, exactly
+    above = lambda a: F.expr(f"cast((cast({a} as decimal(19,0)) * cast(shiftleft(1L, level) as decimal(19,0)) + cast(_total as decimal(19,0)) - 1) div cast(_total as decimal(19,0)) as bigint)")
+    shares = shares.withColumn("level", F.least(level, F.lit(62))).withColumn("_from", F.col("_upto") - F.col("goal"))
+    shares = shares.withColumn("first", above("_from")).withColumn("count", above("_upto") - F.col("first"))
+    runs = shares.select("place", "need", "level", "first", "count", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / RUN))).alias("run"))
+    runs = runs.repartition("place", "run")
+    at = F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN, F.col("count")) - 1)
+    points = runs.select(F.col("place").alias("source_no"), "need", "level", "first", F.explode(at).alias("at")).withColumn("point", F.col("first") + F.col("at"))
+    mirrored = F.when(F.col("level") == 0, F.lit(0)).otherwise(F.conv(F.reverse(F.lpad(F.bin("point"), F.col("level"), F.lit("0"))), 2, 10).cast("bigint"))
+    slots = points.select("source_no", "need", mirrored.cast("bigint").alias("slot"))
+    return scan(slots, ["source_no"], [F.col("slot")], number="_n").where("_n <= need").select("source_no", (F.col("_n") - 1).cast("bigint").alias("rank"), "slot")
 
 
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, most: float = 2.0,
@@ -122,7 +113,7 @@ def _mix(docs: DataFrame, key: str, text: str, source: str, share: float, most:
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(0)
     per_round = F.ceil(F.col("source_size") / block).cast("bigint")  # the last block of a round may be shorter
     targets = targets.withColumn("need", (rounds * per_round + F.ceil((F.col("goal") - rounds * F.col("source_size")) / block)).cast("bigint"))
-    plan = schedule(targets.select("place", "need", "target"), block)
+    plan = keep(schedule(targets.select("place", "need", "goal")))
     named = targets.select(F.col("source").alias("_source"), "place", "source_size", "target", "goal")
     # the blocks that are used: how many words of each, over all rounds of its source
     length = F.least(F.lit(block), F.col("source_size") - F.col("b") * block)

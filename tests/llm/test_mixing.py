@@ -1,6 +1,9 @@
 """The schedule and the mix against a plain version, odd rows."""
 
+import random
 import re
+import time
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,8 +59,8 @@ def test_mix(spark, docs):
 
 
 def test_schedule_is_even(spark):
-    demand = spark.createDataFrame([(1, 600, 600.0), (2, 300, 300.0), (3, 100, 100.0)], "place bigint, need bigint, target double")
-    rows = sorted((r["slot"], r["source_no"], r["rank"]) for r in mixing.schedule(demand, 1).collect())
+    demand = spark.createDataFrame([(1, 600, 600), (2, 300, 300), (3, 100, 100)], "place bigint, need bigint, goal bigint")
+    rows = sorted((r["slot"], r["source_no"], r["rank"]) for r in mixing.schedule(demand).collect())
     assert [sum(1 for _, s, _ in rows if s == k) for k in (1, 2, 3)] == [600, 300, 100]
     for k, share in ((1, 0.6), (2, 0.3), (3, 0.1)):  # any stretch has the shares, but for a few slots
         ranks = [(slot, rank) for slot, s, rank in rows if s == k]
@@ -78,3 +81,64 @@ def test_rows_keep_their_columns(spark, docs):
     rows = mixing.mix_rows(again)
     assert rows.count() == again.count()
     assert rows.agg(F.sum("taken")).first()[0] == mixing.mix(again).agg(F.sum("taken")).first()[0]
+
+
+def plain_schedule(needs, goals):
+    """Slot after slot: mirror its bits, look up the source, until all have what they need."""
+    total, found, slot = sum(goals), [[] for _ in goals], 0
+    while any(len(f) < n for f, n in zip(found, needs)):
+        point, part, at = Fraction(0), Fraction(1, 2), slot
+        while at:
+            point, part, at = point + part * (at & 1), part / 2, at >> 1
+        upto, source = 0, 0
+        while point * total >= upto + goals[source]:
+            upto, source = upto + goals[source], source + 1
+        if len(found[source]) < needs[source]:
+            found[source].append(slot)
+        slot += 1
+    return found
+
+
+def test_schedule_against_a_plain_walk(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 7)
+    needs, goals = [40, 1, 25, 3, 60], [4000, 3, 2500, 257, 6001]
+    demand = spark.createDataFrame([(i, n, g) for i, (n, g) in enumerate(zip(needs, goals))] + [(9, 0, 0)], "place bigint, need bigint, goal bigint")
+    got = {}
+    for r in sorted(mixing.schedule(demand).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["source_no"], []).append(r["slot"])
+    assert [got[i] for i in range(5)] == plain_schedule(needs, goals)
+
+
+def test_tiny_shares(spark):
+    goals = [10 ** k for k in range(0, 18, 3)] + [4 * 10 ** 17]
+    needs = [1, 1, 1, 1, 3, 900, 9000]
+    began = time.time()
+    rows = mixing.schedule(spark.createDataFrame([*zip(range(7), needs, goals)], "place bigint, need bigint, goal bigint")).collect()
+    assert time.time() - began < 30 and len(rows) == sum(needs) and len({r["slot"] for r in rows}) == len(rows)
+    total, before = sum(goals), 0
+    for i, goal in enumerate(goals):
+        for r in rows:
+            if r["source_no"] == i:
+                point = Fraction(int(f"{r['slot']:063b}"[::-1], 2), 2 ** 63)
+                assert Fraction(before, total) <= point < Fraction(before + goal, total)
+        before += goal
+
+
+def test_uneven_sources(spark):
+    """A source of one word beside one of hundreds of thousands."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('w ', 300) as text", "'big' as source").unionByName(
+        spark.createDataFrame([(9000, "one", "a"), (9001, "x y z", "small")], "doc_id bigint, text string, source string"))
+    got = {}
+    for r in mixing.mix(docs, weights=(1, 1, 1)).collect():
+        got[r["source_size"]] = got.get(r["source_size"], 0) + r["taken"]
+    assert got == {1: 2, 3: 6, 900_000: 1_349_998}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"s{i:03d}": rng.choice([0, 1, 5, 1000, 10 ** rng.randrange(1, 9)]) for i in range(rng.randrange(1, 60))}
+    want = plain_targets(sizes) if sum(sizes.values()) else dict.fromkeys(sizes, 0)
+    table = spark.createDataFrame([*sizes.items()], "source string, size bigint")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(table).collect()}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-9 * want[s] + 1e-9 for s in want)
