@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from countspark.llm.mixing import mix_rows
-from countspark.llm.near_copies import without_near_copies
 from countspark.llm.quality import good_rows
 from countspark.llm.secret_scan import redacted_rows
+from countspark.llm.simhash import near_duplicate_rows
 from countspark.llm.templates import clean_rows
 from countspark.session import keep
 
@@ -18,8 +18,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return without_near_copies(docs)
+    """One document of each group of linked fingerprints stays."""
+    return near_duplicate_rows(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
