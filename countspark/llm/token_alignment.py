@@ -34,7 +34,7 @@ from countspark.session import keep, keep_measured, small
 VOCABULARIES = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters encoded at once, tokens of a lane, ends that are looked through for the start of a lane, links of a group listed one by one.
-BATCH, LANE, LOOK, LISTED = 2 << 20, 256, 48, 1024
+BATCH, LANE, LOOK, LISTED = 1 << 20, 256, 48, 1024
 #: A pair of ids is ``first << ID_BITS | second``; a batch has fewer than 2 ** 15 texts.
 ID_BITS = 24
 #: Distinct words, and their characters, whose tokens a task remembers; words that are encoded in one go.
