@@ -42,8 +42,8 @@ def source_targets(sizes: DataFrame, *, share: float = 1.5, most: float = 2.0, w
     cap = F.col("source_size") * F.lit(float(most))
     # by falling weight per cap: if all before a source are full, the others share the rest at the level of its row; the first row whose level its cap is above holds
     parts = per.select("weight", "source_size", (cap / F.col("weight")).alias("ratio"), F.lit(0).alias("_all"))
-    parts = scan(parts, ["_all"], [F.col("ratio"), F.col("source_size")], number="_n", sums={"_done": "source_size", "_met": "weight"}, totals={"_size": "source_size", "_weight": "weight"})
-    level = (F.lit(share) * F.col("_size") - F.lit(most) * (F.col("_done") - F.col("source_size"))) / (F.col("_weight") - F.col("_met") + F.col("weight"))
+    parts = scan(parts, ["_all"], [F.col("ratio"), F.col("source_size")], number="_n", sums={"_done": "source_size", "_met": "weight"}, totals={"_all_words": "source_size", "_weights": "weight"})
+    level = (F.lit(share) * F.col("_all_words") - F.lit(most) * (F.col("_done") - F.col("source_size"))) / (F.col("_weights") - F.col("_met") + F.col("weight"))
     got = parts.withColumn("level", level).where("level < ratio").agg(F.min_by("level", "_n").alias("level")).first()["level"]
     aim = cap if got is None else F.least(cap, F.col("weight") * F.lit(got))  # none: all are full
     return per.withColumn("target", aim.cast("double"))
