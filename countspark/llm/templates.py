@@ -250,9 +250,13 @@ def _window_rows(docs: DataFrame, keys: list[str], sieve: bytes | None, widths:
 
 def _covered(spans: Column, unit: Column) -> Column:
     """How many runs of ``unit`` words of an item lie in the stretches ``array<struct<place, span>>`` of found windows."""
-    words = F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["item_place"], x["item_place"] + x["span"] - 1)))))
-    runs_of = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - unit), lambda i: F.get(w, i + unit - 1) - F.get(w, i) == unit - 1)
-    return F.when(F.size(words) >= unit, F.size(runs_of(words))).otherwise(0).cast("bigint")
+    words = F.sort_array(F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["item_place"], x["item_place"] + x["span"] - 1)))))
+
+    def runs_of(w: Column) -> Column:
+        found = F.filter(F.sequence(F.lit(0), F.size(w) - unit), lambda i: F.get(w, i + unit - 1) - F.get(w, i) == unit - 1)
+        return F.when(F.size(w) >= unit, F.size(found)).otherwise(0).cast("bigint")
+
+    return F.transform(F.array(words), runs_of)[0]  # the words are a variable here, so they are put together once
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", coverage: float = COVERAGE, sieve_bits: int = 22) -> DataFrame:
