@@ -159,7 +159,7 @@ def deseq_fit(spark, sf):
 
 @query("nb_dispersion_edger")
 def _(spark, sf):
-    return _r(negbin.nb_dispersion_edger(edger_input(spark, sf)[0]), "avg_log2cpm", "common", "trended", "dispersion", digits=5)
+    return _r(negbin.nb_dispersion_edger(edger_input(spark, sf)[0]), "avg_log2cpm", "common", "trended", "dispersion", "prior_df", digits=5)
 
 
 VIEWS["fx_dispersions"] = """

@@ -301,10 +301,12 @@ def _(spark, sf):
 
 
 @query("frequent_tags", """
-WITH dense AS (SELECT f.feature, s.sample, COALESCE(t.raw_count, 0) AS raw_count FROM (SELECT DISTINCT feature FROM fx_tokens) f CROSS JOIN fx_token_samples s
-    LEFT JOIN fx_tokens t ON t.feature = f.feature AND t.sample = s.sample),
-  shares AS (SELECT *, RANK() OVER (PARTITION BY sample ORDER BY raw_count DESC) AS rank, raw_count / SUM(raw_count) OVER (PARTITION BY sample) AS share FROM dense)
-SELECT sample, feature, raw_count, rank, ROUND(share, 6) AS fraction FROM shares WHERE feature IN (SELECT feature FROM shares WHERE share >= 0.01)""")
+WITH held AS (SELECT feature, sample, raw_count, RANK() OVER (PARTITION BY sample ORDER BY raw_count DESC) AS rank, raw_count / SUM(raw_count) OVER (PARTITION BY sample) AS share
+    FROM fx_tokens WHERE raw_count > 0),
+  chosen AS (SELECT DISTINCT feature FROM held WHERE share >= 0.01),
+  totals AS (SELECT s.sample, COUNT(h.feature) AS met FROM fx_token_samples s LEFT JOIN held h ON h.sample = s.sample GROUP BY s.sample)
+SELECT t.sample, c.feature, COALESCE(h.raw_count, 0) AS raw_count, COALESCE(h.rank, t.met + 1) AS rank, CASE WHEN t.met > 0 THEN ROUND(COALESCE(h.share, 0), 6) END AS fraction
+FROM chosen c CROSS JOIN totals t LEFT JOIN held h ON h.feature = c.feature AND h.sample = t.sample""")
 def _(spark, sf):
     return qc.frequent_tags(fx.tokens(spark, sf)).withColumn("fraction", r6("fraction"))
 

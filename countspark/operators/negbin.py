@@ -8,6 +8,7 @@ the passes. The methods follow their published descriptions; they are not bit-fo
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,13 +17,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from countspark.functions.rows import feature_rows, map_blocks
 from countspark.functions.scans import quantiles, scan
-from countspark.functions.special import erfc, f_quantile, lgamma, normal_two_sided, trigamma
+from countspark.functions.special import digamma, erfc, f_quantile, lgamma, normal_two_sided, trigamma, trigamma_inverse
 from countspark.operators.linear import Design, abundance_bins, contrast_weights, design_arrays, make_contrasts, per_contrast
 from countspark.operators.normalize import effective_library, row_moments
 from countspark.session import collect_small, keep, local_table, small
 
 #: Grid of dispersions at which the profile likelihood is evaluated.
-GRID = np.geomspace(1e-5, 10, 29)
+GRID = np.geomspace(1e-5, 1e3, 33)
 LN2 = math.log(2)
 RIDGE = 1e-6
 
@@ -161,25 +162,69 @@ def _binned_profiles(profiles: DataFrame, bins: int) -> tuple[np.ndarray, np.nda
     return x, sum(padded[i:i + len(y)] for i in range(5)) / 5
 
 
-def nb_dispersion_edger(data: NbInput, *, prior_df: float = 10, bins: int = 512) -> DataFrame:
-    """``(feature, avg_log2cpm, common, trended, dispersion)``; the last is the feature's own, pulled towards its neighbours."""
+def trended_deviances(data: NbInput, dispersion: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``(feature, avg_log2cpm, s2)``: residual deviance per degree of freedom of the model with dispersions that depend on abundance only.
+
+    Features with a fitted mean below 1 in some sample have no value: their deviance does not follow the variance.
+    """
+    x, offset, df = data.design.matrix, data.offset, data.design.df
+
+    def run(y, _):
+        at = _average_log2cpm(y, offset)
+        alpha = dispersion(at)[:, None]
+        _, mu, _ = irls(y, x, offset, alpha)
+        s2 = _deviance(y, mu, alpha) / df
+        return {"avg_log2cpm": at, "s2": np.where((mu.min(axis=1) >= 1) & (s2 > 0), s2, np.nan)}
+
+    return keep(map_blocks(data.rows, len(offset), run, "avg_log2cpm double, s2 double"))
+
+
+def prior_degrees(deviances: DataFrame, df: int) -> float:
+    """Prior degrees of freedom from the spread of the logarithms of all ``s2`` around a cubic curve over abundance.
+
+    With own dispersions scattered like those of ``d`` degrees of freedom, ``s2`` follows an F distribution with ``df`` and ``d``; the variance of
+    its logarithm is that of the two chi-squares. No scatter beyond the first gives infinity. All sums are aggregates.
+    """
+    told = deviances.where(F.col("s2") > 0).select("avg_log2cpm", F.ln("s2").alias("e"))
+    n, centre, scale, level = told.agg(F.count(F.lit(1)), F.avg("avg_log2cpm"), F.stddev_pop("avg_log2cpm"), F.avg("e")).first()
+    if n < 10:
+        return float("inf")
+    x, e = (F.col("avg_log2cpm") - centre) / (scale or 1.0), F.col("e") - level
+    powers = [F.avg(F.pow(x, F.lit(float(k)))) for k in range(7)]
+    crossed = [F.avg(F.pow(x, F.lit(float(k))) * e) for k in range(4)]
+    got = told.agg(*powers, *crossed, F.avg(e * e)).first()
+    moments = np.array([[got[i + j] for j in range(4)] for i in range(4)])
+    right = np.array(got[7:11])
+    left_over = max(got[11] - right @ np.linalg.lstsq(moments, right, rcond=None)[0], 0.0) * n / (n - 4)
+    excess = left_over - trigamma(df / 2)
+    return 2 * trigamma_inverse(excess) if excess > 1e-6 else float("inf")
+
+
+def nb_dispersion_edger(data: NbInput, *, prior_df: float | None = None, bins: int = 512) -> DataFrame:
+    """``(feature, avg_log2cpm, common, trended, dispersion, prior_df)``; ``dispersion`` is the feature's own, pulled towards its neighbours.
+
+    The pull has the weight of ``prior_df`` degrees of freedom; without a value it is estimated from the deviances of all features under the
+    trend, as the one-call form of the method does. Features without scatter of their own get the trend (infinite degrees).
+    """
     profiles = profile_table(data)
     total = profiles.agg(*[F.sum(F.col("apl")[i]) for i in range(len(GRID))]).first()
     common = float(grid_peak(np.array([total], dtype=float), GRID)[0])
     bx, by = _binned_profiles(profiles, bins)
     trend = grid_peak(by, GRID)
-    weight = prior_df / data.design.df
+    along = lambda at: np.exp(np.interp(at, bx, np.log(trend)))
+    prior = prior_degrees(trended_deviances(data, along), data.design.df) if prior_df is None else float(prior_df)
+    weight = min(prior, 1e6) / data.design.df
 
     def run(batches):
         for pdf in batches:
             own = np.vstack(pdf["apl"].to_numpy())
             at = pdf["avg_log2cpm"].to_numpy()
             shared = np.column_stack([np.interp(at, bx, by[:, i]) for i in range(len(GRID))])
-            yield pd.DataFrame({"feature": pdf["feature"], "avg_log2cpm": at, "common": common,
-                                "trended": np.exp(np.interp(at, bx, np.log(trend))), "dispersion": grid_peak(own + weight * shared, GRID)})
+            yield pd.DataFrame({"feature": pdf["feature"], "avg_log2cpm": at, "common": common, "trended": along(at),
+                                "dispersion": grid_peak(own + weight * shared, GRID), "prior_df": prior})
 
     kind = data.rows.schema["feature"].dataType.simpleString()
-    return profiles.select("feature", "avg_log2cpm", "apl").mapInPandas(run, f"feature {kind}, avg_log2cpm double, common double, trended double, dispersion double")
+    return profiles.select("feature", "avg_log2cpm", "apl").mapInPandas(run, f"feature {kind}, avg_log2cpm double, common double, trended double, dispersion double, prior_df double")
 
 
 def moment_dispersion(counts: DataFrame, size_factors: DataFrame, n_samples: int) -> float:

@@ -18,12 +18,15 @@ def voom_analysis(exp: Experiment, *, threshold: float = 0.05, tmm: bool = True)
     return de_table(keep(linear.ebayes_moderate(linear.voom_fit(voom), exp.contrasts)), threshold=threshold)
 
 
-def edger_analysis(exp: Experiment, *, threshold: float = 0.05) -> DataFrame:
-    """TMM → dispersions → log-linear models → likelihood-ratio tests → result table."""
+def edger_analysis(exp: Experiment, *, threshold: float = 0.05, prior_df: float | None = 10) -> DataFrame:
+    """TMM → dispersions → log-linear models → likelihood-ratio tests → result table.
+
+    ``prior_df`` is that of the dispersions estimated in steps; None estimates it, as the one-call form does.
+    """
     counts = as_written(exp.counts)
     factors = keep(nz.tmm_factors(counts))
     data = negbin.nb_input(counts, exp.design, factors=factors)
-    fit = negbin.nb_glm_fit(data, keep(negbin.nb_dispersion_edger(data)))
+    fit = negbin.nb_glm_fit(data, keep(negbin.nb_dispersion_edger(data, prior_df=prior_df)))
     return de_table(keep(negbin.glm_lrt(fit, exp.contrasts)), threshold=threshold)
 
 

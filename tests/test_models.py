@@ -318,3 +318,42 @@ def test_special_functions_vectorised():
     assert np.allclose(special.normal_upper_quantile(p), [-NormalDist().inv_cdf(v) for v in p], atol=1e-8)
     q = special.t_quantiles(np.array([0.6, 0.975, 0.9999]), 7.0)
     assert np.allclose(1 - special.t_two_sided(q, 7.0) / 2, [0.6, 0.975, 0.9999], atol=1e-12)
+
+
+@pytest.mark.parametrize("planted", [6.0, 20.0])
+def test_prior_degrees_are_recovered(spark, planted):
+    """Dispersions scattered around a trend like variances with so many degrees of freedom."""
+    import numpy as np
+
+    from countspark.operators import linear, negbin
+
+    rng = np.random.default_rng(11)
+    g, n = 16_000, 10
+    mean = rng.lognormal(10, 0.6, g)  # counts so high that the Poisson part of the variance does not dilute the scatter
+    alpha = (0.01 + 40 / mean) * planted / rng.chisquare(planted, g)
+    counts = rng.negative_binomial(1 / alpha[:, None], 1 / (1 + alpha * mean)[:, None], (g, n))
+    table = spark.createDataFrame([(f"f{i}", f"s{j}", int(counts[i, j])) for i in range(g) for j in range(n)], "feature string, sample string, raw_count bigint")
+    sheet = spark.createDataFrame([(f"s{j}", "ab"[j % 2]) for j in range(n)], "sample string, grp string")
+    data = negbin.nb_input(table, linear.design_matrix(sheet, ["grp"], intercept=False))
+    got = negbin.nb_dispersion_edger(data).toPandas()
+    prior = got["prior_df"].iloc[0]
+    assert abs(prior / planted - 1) < 0.1, prior
+    own = got.set_index("feature").loc[[f"f{i}" for i in range(g)], "dispersion"].to_numpy()
+    assert own.min() > negbin.GRID[0] and own.max() < negbin.GRID[-1]
+    assert np.corrcoef(np.log(own), np.log(alpha))[0, 1] > 0.6
+
+
+def test_prior_degrees_without_scatter(spark, cohort):
+    """Degrees that are given are used; equal dispersions leave nearly nothing to a feature of its own."""
+    import numpy as np
+
+    from countspark.operators import linear, negbin
+
+    df, sheet, _ = cohort
+    data = negbin.nb_input(df, linear.design_matrix(sheet, ["grp"], intercept=False))
+    given = negbin.nb_dispersion_edger(data, prior_df=10).toPandas()
+    assert (given["prior_df"] == 10).all()
+    found = negbin.nb_dispersion_edger(data).toPandas()
+    assert found["prior_df"].iloc[0] > 20
+    spread = lambda t: np.log(t["dispersion"] / t["trended"]).std()
+    assert spread(found) < spread(given)
