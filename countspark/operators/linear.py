@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from countspark.functions.local_regression import local_regression
 from countspark.functions.rows import feature_rows, map_blocks, sample_index
 from countspark.functions.scans import scan
 from countspark.functions.special import digamma, t_quantile, t_quantiles, t_tail, t_two_sided, trigamma, trigamma_inverse
@@ -244,10 +245,10 @@ def abundance_bins(points: DataFrame, by: str, cols: Sequence[str], *, bins: int
     return collect_small(ranked.groupBy(bin_).agg(*[F.avg(c).alias(c) for c in cols]).orderBy("bin"))
 
 
-def voom_weights(counts: DataFrame, design: DataFrame, *, factors: DataFrame | None = None, bins: int = 512) -> Voom:
+def voom_weights(counts: DataFrame, design: DataFrame, *, factors: DataFrame | None = None, span: float = 0.5) -> Voom:
     """log2 expression with precision weights from the trend of residual deviation over abundance.
 
-    The trend is the mean of √sd in up to ``bins`` equally filled abundance bins, interpolated between bins.
+    The trend is a robust local regression of √sd on the mean log2 count, over the nearest ``span`` of all features with any count.
     """
     d = design_arrays(design)
     sheet = design.select("sample").distinct()
@@ -261,15 +262,15 @@ def voom_weights(counts: DataFrame, design: DataFrame, *, factors: DataFrame | N
     def points(block, _):
         e = express(block)
         _, _, s2 = least_squares(e, x)
-        return {"sx": e.mean(axis=1) + shift.mean(), "sy": np.sqrt(np.sqrt(s2))}
+        met = block.any(axis=1)
+        return {"sx": np.where(met, e.mean(axis=1) + shift.mean(), np.nan), "sy": np.sqrt(np.sqrt(s2))}
 
-    trend = abundance_bins(map_blocks(rows, n, points, "sx double, sy double"), "sx", ["sx", "sy"], bins=bins)
-    tx, ty = np.array([r["sx"] for r in trend]), np.array([r["sy"] for r in trend])
+    trend = local_regression(map_blocks(rows, n, points, "sx double, sy double"), "sx", "sy", span=span)
 
     def weigh(block, _):
         e = express(block)
         coef, _, _ = least_squares(e, x)
-        return {"e": e, "w": 1 / np.maximum(np.interp(coef @ x.T + shift, tx, ty), 1e-8) ** 4}
+        return {"e": e, "w": 1 / np.maximum(trend(coef @ x.T + shift), 1e-8) ** 4}
 
     return Voom(keep(map_blocks(rows, n, weigh, "e array<double>, w array<double>")), d)
 
