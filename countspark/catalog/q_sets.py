@@ -179,7 +179,7 @@ def _(spark, sf):
 @query("set_score_test_p")
 def _(spark, sf):
     d, null = _treatment(spark, sf)
-    out = sets.set_score_test(planted_log2cpm(spark, sf), d, null, sets_table(spark, sf), value="log2cpm", coef="condcase", n_perm=999)
+    out = sets.set_score_test(planted_log2cpm(spark, sf), d, null, sets_table(spark, sf), value="log2cpm", coef="condcase")
     return _r(out, "stat", "p_value", digits=4)
 
 

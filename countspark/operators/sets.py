@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from countspark.functions.adjust import bh_adjust, holm_filter
 from countspark.functions.rows import _dense_blocks, dense_array, feature_rows, map_blocks, sample_index
 from countspark.functions.scans import scan
-from countspark.functions.special import normal_upper_quantile, t_tail, t_two_sided
+from countspark.functions.special import normal_upper_quantile, quadratic_ratio_tail, t_tail, t_two_sided
 from countspark.operators.linear import LinearFit, design_arrays, ebayes_moderate, make_contrasts, variance_prior
 from countspark.session import collect_small, keep, small
 
@@ -219,43 +219,50 @@ def _z_score(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(np.where(t.isna(), np.nan, -np.sign(t) * score))
 
 
-def _fold_sets(rows: DataFrame, n: int, width: int, score, kind: str) -> DataFrame:
-    """``(set_id, v, m)``: Σ of ``score(block)`` (features × width) and number of features per set, from rows ``(set_id, idx, x)``.
+def _fold_sets(rows: DataFrame, n: int, width: int, score, kind: T.DataType) -> DataFrame:
+    """``(set_id, v, m)``: Σ of ``score(block)`` (``width`` numbers) and number of features per set, from rows ``(set_id, idx, x)``.
 
-    A task adds up its features per set and sends its sums on when they fill its memory; they are added per set in a second step.
+    A task adds up its features per set and sends its sums on when they fill its memory, cut into rows of ``PLACES`` numbers; these are
+    plain aggregates by set and place, so no group grows with the number of tasks. ``score(block)`` is the sum over the features of a block.
     """
+    names = [f"c{i}" for i in range(PLACES)]
+    parts = -(-width // PLACES)
+    schema = T.StructType([T.StructField("set_id", kind), *T.StructType.fromDDL(f"part int, m bigint, {', '.join(f'{c} double' for c in names)}").fields])
+    id_type = to_arrow_schema(schema).field("set_id").type
+
     def run(batches):
         state: dict = {}
 
         def flush():
             ids = list(state)
-            sums = np.concatenate([state[s][0] for s in ids]) if ids else np.zeros(0)
-            offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * width)
-            out = pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(sums)), pa.array([state[s][1] for s in ids], pa.int64())], ["set_id", "v", "m"])
+            sums = np.zeros((len(ids), parts * PLACES))
+            for i, s in enumerate(ids):
+                sums[i, :width] = state[s][0]
+            m = np.zeros((len(ids), parts), np.int64)
+            m[:, 0] = [state[s][1] for s in ids]
             state.clear()
-            return out
+            table = sums.reshape(-1, PLACES)
+            of = pa.array(ids, id_type).take(pa.array(np.repeat(np.arange(len(ids)), parts)))
+            return pa.RecordBatch.from_arrays([of, pa.array(np.tile(np.arange(parts, dtype=np.int32), len(ids))), pa.array(m.ravel()), *[pa.array(table[:, i]) for i in range(PLACES)]],
+                                              ["set_id", "part", "m", *names])
 
         for batch in batches:
             ids = np.array(batch.column("set_id").to_pylist(), dtype=object)
             for lo, hi, block in _dense_blocks(batch, n):
-                values = score(block)
-                names, where = np.unique(ids[lo:hi].astype(str), return_inverse=True)
-                for k in range(len(names)):
+                _, first, where = np.unique(ids[lo:hi].astype(str), return_index=True, return_inverse=True)
+                for k, at in enumerate(first):
                     members = np.flatnonzero(where == k)
-                    entry = state.setdefault(ids[lo + members[0]], [np.zeros(width), 0])
-                    entry[0] += values[members].sum(axis=0)
+                    entry = state.setdefault(ids[lo + at], [np.zeros(width), 0])
+                    entry[0] += score(block[members])
                     entry[1] += len(members)
                 if len(state) * width > 16_000_000:
                     yield flush()
         if state:
             yield flush()
 
-    def add(table: pa.Table) -> pa.Table:
-        v = np.stack([np.asarray(x.values) for x in table.column("v").combine_chunks()]).sum(axis=0)
-        return pa.table({"set_id": table.column("set_id").slice(0, 1), "v": pa.array([v.tolist()], pa.list_(pa.float64())), "m": pa.array([sum(table.column("m").to_pylist())], pa.int64())})
-
-    schema = f"set_id {kind}, v array<double>, m bigint"
-    return rows.select("set_id", "idx", "x").mapInArrow(run, schema).groupBy("set_id").applyInArrow(add, schema)
+    sums = rows.select("set_id", "idx", "x").mapInArrow(run, schema).groupBy("set_id", "part").agg(F.sum("m").alias("m"), *[F.sum(c).alias(c) for c in names])
+    whole = F.sort_array(F.collect_list(F.struct("part", F.array(*names).alias("a"))))  # ``width`` numbers
+    return sums.groupBy("set_id").agg(F.sum("m").alias("m"), whole.alias("w")).select("set_id", F.slice(F.flatten(F.col("w.a")), 1, width).alias("v"), "m")
 
 
 def camera_test(fit: LinearFit, contrasts: DataFrame, gene_sets: DataFrame) -> DataFrame:
@@ -269,10 +276,10 @@ def camera_test(fit: LinearFit, contrasts: DataFrame, gene_sets: DataFrame) -> D
 
     def residuals(y):
         e = y - (y @ q) @ q.T
-        return e / np.sqrt(np.maximum((e * e).sum(axis=1, keepdims=True) / df, 1e-300))
+        return (e / np.sqrt(np.maximum((e * e).sum(axis=1, keepdims=True) / df, 1e-300))).sum(axis=0)
 
     sets = small(gene_sets.select("set_id", "feature").distinct())
-    sums = _fold_sets(fit.rows.join(sets, "feature"), n, n, residuals, gene_sets.schema["set_id"].dataType.simpleString())
+    sums = _fold_sets(fit.rows.join(sets, "feature"), n, n, residuals, gene_sets.schema["set_id"].dataType)
     square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
     inflation = sums.select("set_id", "m", (square / df / F.col("m")).alias("vif"))
     d0, _ = variance_prior(fit.table, df)
@@ -292,6 +299,10 @@ def camera_test(fit: LinearFit, contrasts: DataFrame, gene_sets: DataFrame) -> D
                       F.when(F.col("delta") > 0, "up").otherwise("down").alias("direction"), "stat", t_tail("stat", dof).alias("p_value"))
 
 
+#: Numbers of a row in which sums of sets are sent.
+PLACES = 16
+
+
 def _residual_column(design: DataFrame, null: DataFrame, coef: str) -> tuple[list, np.ndarray]:
     """The tested design column, made orthogonal to the null design."""
     full, base = design_arrays(design), design_arrays(null)
@@ -314,24 +325,50 @@ def set_contributions(norm: DataFrame, design: DataFrame, null: DataFrame, *, va
     return out.withColumn("contrast", F.lit(coef))
 
 
-def set_score_test(norm: DataFrame, design: DataFrame, null: DataFrame, gene_sets: DataFrame, *, value: str, coef: str, n_perm: int = 999, seed: int = 1) -> DataFrame:
-    """Global test per set: Σ of squared products over its features, with a permutation p-value.
+def set_score_test(norm: DataFrame, design: DataFrame, null: DataFrame, gene_sets: DataFrame, *, value: str, coef: str, n_perm: int = 0, seed: int = 1) -> DataFrame:
+    """Global test per set: Σ of squared products of its standardised features with the tested residual column, and its p-value.
 
-    All sample permutations are one matrix; a task adds up the scores of its features per set and sends one row per set.
+    The statistic is a quadratic form of the residual column with the kernel of the set (samples × samples, Σ over features). With residuals of any
+    direction equally likely, its share of the column's length is a ratio of weighted sums of χ² variables, whose weights are the eigenvalues of
+    the kernel in the space that the null design leaves; the tail is computed from them, however small. With ``n_perm``
+    the p-value comes from so many permutations of the column instead. A task adds up the kernels of its features per set.
     """
     names, r = _residual_column(design, null, coef)
     n = len(names)
-    rng = np.random.default_rng(seed)
-    columns = np.column_stack([r, *[rng.permutation(r) for _ in range(n_perm)]])
     rows = feature_rows(norm, value, design, names)
     members = gene_sets.select("set_id", "feature").distinct()
     rows = rows.join(small(members.select("feature").distinct()), "feature", "left_semi").join(small(members), "feature").select("set_id", "idx", "x")
-    kind = gene_sets.schema["set_id"].dataType.simpleString()
-
-    sums = _fold_sets(rows, n, columns.shape[1], lambda block: (_standard(block) @ columns) ** 2, kind)
-    per = sums.select("set_id", F.col("m").alias("n_features"), F.col("v")[0].alias("stat"), F.slice("v", 2, n_perm).alias("_null"))
-    above = F.size(F.filter("_null", lambda q: q >= F.col("stat") * (1 - 1e-12)))
-    return per.select("set_id", F.lit(coef).alias("contrast"), "n_features", "stat", ((above + 1) / (n_perm + 1)).alias("p_value"))
+    kind = gene_sets.schema["set_id"].dataType
+    if n_perm:
+        def permuted():
+            rng = np.random.default_rng(seed)
+            return np.column_stack([r, *[rng.permutation(r) for _ in range(n_perm)]])
+
+        sums = _fold_sets(rows, n, n_perm + 1, lambda block: ((_standard(block) @ permuted()) ** 2).sum(axis=0), kind)
+        per = sums.select("set_id", F.col("m").alias("n_features"), F.col("v")[0].alias("stat"), F.slice("v", 2, n_perm).alias("_null"))
+        above = F.size(F.filter("_null", lambda q: q >= F.col("stat") * (1 - 1e-12)))
+        return per.select("set_id", F.lit(coef).alias("contrast"), "n_features", "stat", ((above + 1) / (n_perm + 1)).alias("p_value"))
+    i, j = np.triu_indices(n)
+    base = design_arrays(null).matrix
+    free = np.linalg.svd(base)[0][:, np.linalg.matrix_rank(base):]  # the space orthogonal to the null design
+
+    def kernel(block):
+        z = _standard(block)
+        return (z.T @ z)[i, j]
+
+    def tails(batches):
+        for pdf in batches:
+            stats, tail = [], []
+            for v in pdf["v"]:
+                k = np.zeros((n, n))
+                k[i, j] = k[j, i] = v
+                stats.append(r @ k @ r)
+                tail.append(quadratic_ratio_tail(np.linalg.eigvalsh(free.T @ k @ free), stats[-1] / (r @ r)))
+            yield pd.DataFrame({"set_id": pdf["set_id"], "n_features": pdf["m"], "stat": stats, "p_value": tail})
+
+    schema = T.StructType([T.StructField("set_id", kind), *T.StructType.fromDDL("n_features bigint, stat double, p_value double").fields])
+    per = _fold_sets(rows, n, len(i), kernel, kind).mapInPandas(tails, schema)
+    return per.select("set_id", F.lit(coef).alias("contrast"), "n_features", "stat", "p_value")
 
 
 def set_gene_ranks(contributions: DataFrame, gene_sets: DataFrame, de: DataFrame) -> DataFrame:
