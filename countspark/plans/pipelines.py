@@ -30,10 +30,16 @@ def edger_analysis(exp: Experiment, *, threshold: float = 0.05, prior_df: float
     return de_table(keep(negbin.glm_lrt(fit, exp.contrasts)), threshold=threshold)
 
 
-def deseq2_analysis(exp: Experiment, *, threshold: float = 0.05, trend: str = "mean") -> DataFrame:
-    """Size factors → dispersions → Wald tests → result table."""
+def deseq2_analysis(exp: Experiment, *, threshold: float = 0.05, trend: str = "mean", replace_from: int | None = negbin.REPLACE_FROM) -> DataFrame:
+    """Size factors → dispersions → fits → outliers replaced and their features fitted again → Wald tests → result table.
+
+    Influential cells are replaced in samples with at least ``replace_from`` replicates (None: nowhere); elsewhere they make a p-value NULL.
+    """
     counts = as_written(exp.counts)
     factors = keep(nz.size_factors(counts, exp.samples.count()))
     data = negbin.nb_input(counts, exp.design, size_factors=factors)
-    fit = negbin.nb_glm_fit(data, keep(negbin.nb_dispersion_deseq(data, fit=trend)))
+    dispersion, along = negbin.dispersions_and_trend(data, fit=trend)
+    fit = negbin.nb_glm_fit(data, keep(dispersion))
+    if replace_from is not None:
+        fit = negbin.refit_outliers(data, fit, along, least=replace_from)
     return de_table(keep(negbin.nb_wald(fit, exp.contrasts)), threshold=threshold)
