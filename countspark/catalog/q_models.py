@@ -238,43 +238,61 @@ POISSON = """SELECT feature, 'NAME' AS contrast, ROUND(LN(s1 / n1 * n2 / s2) / L
 WALD = "LN(s1 / n1 * n2 / s2) / SQRT(1 / s1 + 1 / s2)"
 
 
+#: Two-sided normal tail of ``z`` as the mean of a smooth function over a quarter of the circle.
+TAIL = "LIST_SUM(LIST_TRANSFORM(RANGE(400), lambda k: EXP(-(Z) * (Z) / (2 * POWER(SIN((k + 0.5e0) * PI() / 800), 2))))) / 400"
+
+
+def _with_tail(body: str, z: str, digits: int = 3) -> str:
+    """``body`` over the view ``fx_two_groups`` with the tail of ``z`` as ``p_value``."""
+    return body.replace(" FROM fx_two_groups", f", ROUND(LEAST(1, {TAIL.replace('Z', 'z')}), {digits}) + 0e0 AS p_value FROM (SELECT *, {z} AS z FROM fx_two_groups)")
+
+
+def both_groups(spark, sf, counts):
+    sides = counts.join(small(fx.samples(spark, sf).select("sample", "cond")), "sample").where("raw_count > 0").groupBy("feature").agg(F.countDistinct("cond").alias("n"))
+    return keep(sides.where("n = 2").select("feature", F.lit(1e-9).alias("dispersion")))
+
+
 def poisson_fit(spark, sf):
     """Two groups without overdispersion, where the estimates have a closed form; features without counts in a group are left out."""
     counts, d, contrasts = case_control(spark, sf)
-    sides = counts.join(small(fx.samples(spark, sf).select("sample", "cond")), "sample").where("raw_count > 0").groupBy("feature").agg(F.countDistinct("cond").alias("n"))
-    both = keep(sides.where("n = 2").select("feature", F.lit(1e-9).alias("dispersion")))
-    return negbin.nb_glm_fit(negbin.nb_input(counts, d), both), contrasts, d
+    return negbin.nb_glm_fit(negbin.nb_input(counts, d), both_groups(spark, sf, counts)), contrasts, d
 
 
 def _statistics(df):
-    return _r(df.select("feature", "contrast", "avg_log2fc", "lfc_se", "stat"), "avg_log2fc", "lfc_se", "stat", digits=2)
+    return _r(_r(df.select("feature", "contrast", "avg_log2fc", "lfc_se", "stat", "p_value"), "avg_log2fc", "lfc_se", "stat", digits=2), "p_value", digits=3)
+
+
+LR = "2 * (s1 * LN(s1 / ((s1 + s2) * n1 / (n1 + n2))) + s2 * LN(s2 / ((s1 + s2) * n2 / (n1 + n2))))"
 
 
-@query("glm_lrt", """
-SELECT feature, 'case_vs_ctrl' AS contrast, ROUND(LN(s1 / n1 * n2 / s2) / LN(2e0), 2) + 0e0 AS avg_log2fc,
-  ROUND(2 * (s1 * LN(s1 / ((s1 + s2) * n1 / (n1 + n2))) + s2 * LN(s2 / ((s1 + s2) * n2 / (n1 + n2)))), 1) + 0e0 AS stat FROM fx_two_groups""")
+@query("glm_lrt", _with_tail(f"""
+SELECT feature, 'case_vs_ctrl' AS contrast, ROUND(LN(s1 / n1 * n2 / s2) / LN(2e0), 2) + 0e0 AS avg_log2fc, ROUND({LR}, 1) + 0e0 AS stat FROM fx_two_groups""",
+                             f"SQRT(GREATEST({LR}, 0))", 2))
 def _(spark, sf):
     fit, contrasts, _ = poisson_fit(spark, sf)
     out = negbin.glm_lrt(fit, contrasts)
-    return out.select("feature", "contrast", r6("avg_log2fc", 2).alias("avg_log2fc"), r6("stat", 1).alias("stat"))
+    return out.select("feature", "contrast", r6("avg_log2fc", 2).alias("avg_log2fc"), r6("stat", 1).alias("stat"), r6("p_value", 2).alias("p_value"))
 
 
-@query("nb_wald", POISSON.replace("NAME", "case_vs_ctrl").replace("STAT", WALD))
+@query("nb_wald", _with_tail(POISSON.replace("NAME", "case_vs_ctrl").replace("STAT", WALD), WALD))
 def _(spark, sf):
     fit, contrasts, _ = poisson_fit(spark, sf)
-    return _statistics(negbin.nb_wald(fit, contrasts))
+    return _statistics(negbin.nb_wald(fit, contrasts, cooks=False))
 
 
-@query("wald_lfc_threshold", POISSON.replace("NAME", "case_vs_ctrl").replace("STAT", "(ABS(LN(s1 / n1 * n2 / s2)) - LN(2e0)) / SQRT(1 / s1 + 1 / s2)"))
+BEYOND = "(ABS(LN(s1 / n1 * n2 / s2)) - LN(2e0)) / SQRT(1 / s1 + 1 / s2)"
+
+
+@query("wald_lfc_threshold", _with_tail(POISSON.replace("NAME", "case_vs_ctrl").replace("STAT", BEYOND), f"GREATEST({BEYOND}, 0)"))
 def _(spark, sf):
     fit, contrasts, _ = poisson_fit(spark, sf)
-    return _statistics(negbin.wald_lfc_threshold(fit, contrasts))
+    return _statistics(negbin.wald_lfc_threshold(fit, contrasts, cooks=False))
 
 
-@query("results_contrast", POISSON.replace("NAME", "cond_case_vs_ctrl").replace("STAT", WALD))
+@query("results_contrast", _with_tail(POISSON.replace("NAME", "cond_case_vs_ctrl").replace("STAT", WALD), WALD))
 def _(spark, sf):
     fit, _, d = poisson_fit(spark, sf)
-    return _statistics(negbin.results_contrast(fit, d, ("cond", "case", "ctrl")))
+    return _statistics(negbin.results_contrast(fit, d, ("cond", "case", "ctrl"), cooks=False))
 
 
 @query("glm_lrt_dispersions")
@@ -321,25 +339,55 @@ def _(spark, sf):
     return counts.select("contrast", F.col("i").cast("bigint").alias("i"), "n_rejected")
 
 
+def shrink_fit(spark, sf):
+    counts, sheet = fx.planted(spark, sf), fx.samples(spark, sf)
+    d = linear.design_matrix(sheet, ["cond"], intercept=True, levels={"cond": ["ctrl", "case"]})
+    data = negbin.nb_input(counts, d, size_factors=nz.size_factors(counts, sheet.count()))
+    return negbin.nb_glm_fit(data, keep(negbin.nb_dispersion_deseq(data)))
+
+
 @query("lfc_shrink")
 def _(spark, sf):
+    return _r(negbin.s_values(keep(negbin.lfc_shrink(shrink_fit(spark, sf), "condcase"))), "lfc_mle", "lfc_shrunk", "lfc_sd", "sign_error", "s_value", digits=4)
+
+
+@query("lfc_prior_scale", """
+WITH RECURSIVE est AS MATERIALIZED (SELECT LN(s1 / n1 * n2 / s2) AS b, 1 / s1 + 1 / s2 AS v FROM fx_two_groups),
+halving AS (
+  SELECT 0 AS i, LN(1e-6) AS lo, LN(400e0) AS hi
+  UNION ALL
+  SELECT i + 1, CASE WHEN up THEN (lo + hi) / 2 ELSE lo END, CASE WHEN up THEN hi ELSE (lo + hi) / 2 END FROM (
+    SELECT i, lo, hi, SUM((b * b - EXP((lo + hi) / 2) - v) / POWER(EXP((lo + hi) / 2) + v, 2)) > 0 AS up FROM halving CROSS JOIN est WHERE i < 50 GROUP BY i, lo, hi) q)
+SELECT ROUND(LEAST(EXP((lo + hi) / 4), 1), 4) + 0e0 AS prior_scale, n AS n_features FROM halving CROSS JOIN (SELECT COUNT(*) AS n FROM est) c WHERE i = 50""")
+def _(spark, sf):
+    """The scale of the prior where the estimates and their variances have a closed form."""
     counts, sheet = fx.planted(spark, sf), fx.samples(spark, sf)
     d = linear.design_matrix(sheet, ["cond"], intercept=True, levels={"cond": ["ctrl", "case"]})
-    data = negbin.nb_input(counts, d, size_factors=nz.size_factors(counts, sheet.count()))
-    return _r(negbin.lfc_shrink(negbin.nb_glm_fit(data, keep(negbin.nb_dispersion_deseq(data))), "condcase"), "lfc_mle", "lfc_shrunk", "lfc_sd", digits=4)
+    fit = negbin.nb_glm_fit(negbin.nb_input(counts, d), both_groups(spark, sf, counts))
+    return fit.table.agg(F.round(F.lit(negbin.prior_scale(fit, "condcase")), 4).alias("prior_scale"), F.count(F.lit(1)).alias("n_features"))
 
 
-@query("exact_test", """
-SELECT d.feature, 'case_vs_ctrl' AS contrast, ROUND(LOG2((SUM(d.raw_count * c.common / l.n) FILTER (s.cond = 'case') / COUNT(*) FILTER (s.cond = 'case') + 0.125e0)
-   / (SUM(d.raw_count * c.common / l.n) FILTER (s.cond = 'ctrl') / COUNT(*) FILTER (s.cond = 'ctrl') + 0.125e0)), 4) + 0e0 AS avg_log2fc
+VIEWS["fx_scaled_sums"] = """
+SELECT d.feature, SUM(d.raw_count * c.common / l.n) FILTER (s.cond = 'ctrl') AS s1, SUM(d.raw_count * c.common / l.n) FILTER (s.cond = 'case') AS s2,
+       COUNT(*) FILTER (s.cond = 'ctrl') AS n1, COUNT(*) FILTER (s.cond = 'case') AS n2
 FROM fx_planted d JOIN fx_samples s ON s.sample = d.sample JOIN fx_planted_lib l ON l.sample = d.sample CROSS JOIN (SELECT EXP(AVG(LN(n))) AS common FROM fx_planted_lib) c
-GROUP BY d.feature HAVING SUM(d.raw_count) > 0""")
+GROUP BY d.feature HAVING SUM(d.raw_count) > 0"""
+VIEWS["fx_splits"] = """
+SELECT feature, a, k, LGAMMA(k + 20e0 * n1) - LGAMMA(k + 1e0) + LGAMMA(t - k + 20e0 * n2) - LGAMMA(t - k + 1e0) AS w FROM (
+  SELECT feature, n1, n2, CAST(ROUND(s1) AS BIGINT) AS a, CAST(ROUND(s1) + ROUND(s2) AS BIGINT) AS t, UNNEST(RANGE(CAST(ROUND(s1) + ROUND(s2) AS BIGINT) + 1)) AS k FROM fx_scaled_sums) q"""
+
+
+@query("exact_test", """
+SELECT f.feature, 'case_vs_ctrl' AS contrast, ROUND(LOG2((f.s2 / f.n2 + 0.125e0) / (f.s1 / f.n1 + 0.125e0)), 4) + 0e0 AS avg_log2fc, ROUND(p.p_value, 6) + 0e0 AS p_value
+FROM fx_scaled_sums f JOIN (
+  SELECT feature, LEAST(1, 2 * LEAST(SUM(EXP(w - m)) FILTER (k <= a), SUM(EXP(w - m)) FILTER (k >= a)) / SUM(EXP(w - m))) AS p_value
+  FROM fx_splits JOIN (SELECT feature, MAX(w) AS m FROM fx_splits GROUP BY feature) USING (feature) GROUP BY feature) p ON p.feature = f.feature""")
 def _(spark, sf):
-    """The change in closed form; the tails are tested against sums over all splits."""
+    """A dispersion of 0.05; in SQL the tails are sums over all splits of a total."""
     counts, _, _ = case_control(spark, sf)
     dispersion = counts.select("feature").distinct().withColumn("dispersion", F.lit(0.05))
     out = negbin.exact_test(counts, fx.samples(spark, sf), dispersion, group="cond", pair=("ctrl", "case"))
-    return _r(out.select("feature", "contrast", "avg_log2fc"), "avg_log2fc", digits=4)
+    return _r(_r(out.select("feature", "contrast", "avg_log2fc", "p_value"), "avg_log2fc", digits=4), "p_value", digits=6)
 
 
 @query("exact_test_dispersions")

@@ -44,9 +44,34 @@ def profile(spark, sf):
         (F.lit(1000.0) / F.col("length_bp")).alias("weight"), F.col("k.m").alias("mrna"))
 
 
-@query("deconvolve_fractions")
-def _(spark, sf):
-    return _r(sets.deconvolve_fractions(tpm(spark, sf), profile(spark, sf)), "fraction", digits=5)
+VIEWS["fx_two_types"] = """
+SELECT feature, 1000e0 / length_bp AS w, v0 / SUM(v0) OVER () AS r0, v1 / SUM(v1) OVER () AS r1 FROM (
+  SELECT feature, length_bp, 1e0 + (feature * 31) % 23 + CASE WHEN (feature // 5) % 4 = 0 THEN 60 ELSE 0 END AS v0,
+         1e0 + (feature * 31 + 17) % 23 + CASE WHEN (feature // 5) % 4 = 1 THEN 60 ELSE 0 END AS v1 FROM fx_features WHERE feature % 5 = 0)"""
+VIEWS["fx_two_sides"] = """
+SELECT t.sample, g.*, SUM(s.w * s.r0 * t.tpm) / SUM(t.tpm) AS t0, SUM(s.w * s.r1 * t.tpm) / SUM(t.tpm) AS t1 FROM fx_tpm t JOIN fx_two_types s ON s.feature = t.feature
+CROSS JOIN (SELECT SUM(w * r0 * r0) AS a, SUM(w * r0 * r1) AS b, SUM(w * r1 * r1) AS c FROM fx_two_types) g GROUP BY ALL"""
+
+
+@query("deconvolve_fractions", """
+SELECT sample, cell_type, ROUND(part / SUM(part) OVER (PARTITION BY sample), 5) + 0e0 AS fraction, 1 AS optimal FROM (
+  SELECT sample, UNNEST(['type0', 'type1', 'other']) AS cell_type, UNNEST([best.p / 0.5, best.q / 0.75, GREATEST(1 - best.p - best.q, 0)]) AS part FROM (
+    SELECT sample, ARG_MIN({'p': p, 'q': q}, a * p * p + 2 * b * p * q + c * q * q - 2 * (p * t0 + q * t1)) AS best FROM (
+      SELECT *, (t0 * c - t1 * b) / (a * c - b * b) AS p, (t1 * a - t0 * b) / (a * c - b * b) AS q FROM fx_two_sides
+      UNION ALL SELECT *, 0e0, LEAST(GREATEST(t1 / c, 0), 1) FROM fx_two_sides
+      UNION ALL SELECT *, LEAST(GREATEST(t0 / a, 0), 1), 0e0 FROM fx_two_sides
+      UNION ALL SELECT *, e, 1 - e FROM (SELECT *, LEAST(GREATEST((t0 - t1 + c - b) / (a + c - 2 * b), 0), 1) AS e FROM fx_two_sides) BY NAME_) u
+    WHERE p >= 0 AND q >= 0 AND p + q <= 1 + 1e-12 GROUP BY sample))""".replace("SELECT *, e, 1 - e FROM (", "SELECT * EXCLUDE (e), e, 1 - e FROM (").replace(" BY NAME_", ""))
+def _(spark, sf):
+    """Two cell types, where the best shares are the best of the inner solution and three edges."""
+    out = sets.deconvolve_fractions(tpm(spark, sf), profile(spark, sf).where("cell_type IN ('type0', 'type1')"))
+    return _r(out.select("sample", "cell_type", "fraction", (F.col("residual") < 1e-9).cast("int").alias("optimal")), "fraction", digits=5)
+
+
+@query("deconvolve_fractions_four")
+def _(spark, sf):
+    out = sets.deconvolve_fractions(tpm(spark, sf), profile(spark, sf))
+    return _r(out, "fraction", "residual", digits=5)
 
 
 @query("fraction_long", "SELECT s.set_id AS cell_type, CAST(c.sample AS VARCHAR) AS sample, CAST(SUM(c.raw_count) AS DOUBLE) AS fraction FROM fx_counts c JOIN fx_sets s ON s.feature = c.feature GROUP BY s.set_id, c.sample")

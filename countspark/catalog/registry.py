@@ -29,8 +29,9 @@ def sql(body: str) -> str:
     if not ctes:
         return body.strip()
     body = body.strip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {ctes}, {body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{ctes}, {body[len(start):]}"
     return f"WITH {ctes} {body}"
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from countspark.functions.monotone import pool_neighbours
 from countspark.functions.rows import _dense_blocks, feature_rows, map_blocks, sample_index, sample_names
-from countspark.functions.special import f_tail
+from countspark.functions.special import erfc, f_tail, normal_upper_quantile
 from countspark.operators.linear import design_arrays
 from countspark.operators.multivariate import sample_components
 from countspark.operators.negbin import LN2, nb_dispersion_deseq, nb_input
@@ -114,20 +116,49 @@ def nested_f_p(y: np.ndarray, small_x: np.ndarray, big_x: np.ndarray) -> np.ndar
     return f_tail((rss0 - rss1) / d1 / (rss1 / d2), d1, d2)
 
 
-def _null_probability(histogram: np.ndarray):
-    """Function p → local probability of the null hypothesis from a histogram of p-values (falling, at most 1)."""
-    bins = len(histogram)
-    share = histogram / max(histogram.sum(), 1)
-    pi0 = min(1.0, share[int(bins * 0.8):].sum() / 0.2)
-    local = np.minimum(1.0, pi0 / np.maximum(share * bins, 1e-12))
-    local = np.maximum.accumulate(local)
-    return lambda p: local[np.minimum((p * bins).astype(int), bins - 1)]
+#: Fixed values of the published method: p-values are held above this one, and the kernel is so many times the usual width.
+LEAST_P, KERNEL_FACTOR = 1e-8, 1.5
+#: Normal scores of the p-values between which tasks count, a hundredth apart; far finer than the kernel.
+SCORES = np.linspace(-1, 1, 1122) * float(normal_upper_quantile(LEAST_P))
+SCORE_P = erfc(-SCORES / math.sqrt(2)) / 2
 
 
-def sva_factors(counts: DataFrame, design: DataFrame, null: DataFrame, *, n_sv: int = 2, rounds: int = 5, bins: int = 100, value: str = "raw_count") -> DataFrame:
+def _count_scores(p: np.ndarray) -> np.ndarray:
+    """Numbers of p-values between neighbouring scores; those beyond the ends count in the outer intervals."""
+    return np.bincount(_score_bin(p), minlength=len(SCORES) - 1).astype(float)
+
+
+def _score_bin(p: np.ndarray) -> np.ndarray:
+    return np.clip(np.searchsorted(SCORE_P, p, side="right") - 1, 0, len(SCORES) - 2)
+
+
+def null_curve(counts: np.ndarray) -> np.ndarray:
+    """Probability of the null hypothesis per interval of scores: π0·φ(z)/f(z), at most 1, made rising in z by pooling neighbours.
+
+    ``f`` is a normal-kernel density of all scores, computed from their counts; π0 is the share of p-values above 0.8 over 0.2.
+    """
+    n, z = counts.sum(), (SCORES[1:] + SCORES[:-1]) / 2
+    if n == 0:
+        return np.ones_like(z)
+    mean = (counts * z).sum() / n
+    sd = math.sqrt((counts * (z - mean) ** 2).sum() / max(n - 1, 1))
+    upto = np.cumsum(counts)
+    spread = (z[np.searchsorted(upto, 0.75 * n)] - z[np.searchsorted(upto, 0.25 * n)]) / 1.34
+    width = max(KERNEL_FACTOR * 0.9 * (min(sd, spread) or sd or 1.0) * n ** -0.2, SCORES[1] - SCORES[0])
+    kernel = np.exp(-((z[:, None] - z[None, :]) / width) ** 2 / 2) / (width * math.sqrt(2 * math.pi))
+    density = kernel @ counts / n
+    high = int(np.searchsorted(SCORE_P, 0.8))
+    pi0 = min(1.0, counts[high:].sum() / n / (1 - SCORE_P[high]))
+    raw = np.minimum(1.0, pi0 * np.exp(-z * z / 2) / math.sqrt(2 * math.pi) / np.maximum(density, 1e-300))
+    held = np.flatnonzero(counts)
+    return pool_neighbours(raw[held], counts[held])[np.clip(np.searchsorted(held, np.arange(len(z)), side="right") - 1, 0, None)]
+
+
+def sva_factors(counts: DataFrame, design: DataFrame, null: DataFrame, *, n_sv: int = 2, rounds: int = 5, value: str = "raw_count") -> DataFrame:
     """Surrogate variables: leading vectors of the log counts, features weighted by P(hidden factor) · (1 − P(interest)).
 
-    Each round is two narrow passes over the same rows: histograms of the two p-values, then the weighted decomposition.
+    Each round is two narrow passes over the same rows: counts of the normal scores of both p-values, from which the driver gets the two
+    curves of null probabilities (``null_curve``), then the weighted decomposition.
     """
     full, base = design_arrays(design), design_arrays(null)
     names, n = full.samples, len(full.samples)
@@ -148,14 +179,13 @@ def sva_factors(counts: DataFrame, design: DataFrame, null: DataFrame, *, n_sv:
             return nested_f_p(logs, base.matrix, h), nested_f_p(logs, h, b)
 
         def histograms(x):
-            return np.vstack([np.histogram(p, bins=bins, range=(0, 1))[0] for p in p_values(x)]).astype(float)
+            return np.vstack([_count_scores(p) for p in p_values(x)])
 
-        counts_ = _fold_rows(rows, n, 2, bins, histograms)
-        null_hidden, null_interest = _null_probability(counts_[0]), _null_probability(counts_[1])
+        null_hidden, null_interest = (null_curve(c) for c in _fold_rows(rows, n, 2, len(SCORES) - 1, histograms))
 
-        def weighted(x):
-            p_hidden, p_interest = p_values(x)
-            weight = (1 - null_hidden(p_hidden)) * null_interest(p_interest)
+        def weighted(x, hidden_=null_hidden, interest_=null_interest, of=p_values):
+            p_hidden, p_interest = of(x)
+            weight = (1 - hidden_[_score_bin(p_hidden)]) * interest_[_score_bin(p_interest)]
             logs = np.log(x + 1) * weight[:, None]
             return logs - logs.mean(axis=1, keepdims=True)
 

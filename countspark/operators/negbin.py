@@ -520,11 +520,11 @@ def nb_wald(fit: NbFit, contrasts: DataFrame, *, lfc: float = 0.0, cooks: bool =
     return tested.withColumn("p_value", tail).select("feature", "contrast", "base_mean", "avg_log2cpm", "avg_log2fc", "lfc_se", "stat", "p_value")
 
 
-def wald_lfc_threshold(fit: NbFit, contrasts: DataFrame, *, lfc: float = 1.0) -> DataFrame:
-    return nb_wald(fit, contrasts, lfc=lfc)
+def wald_lfc_threshold(fit: NbFit, contrasts: DataFrame, *, lfc: float = 1.0, cooks: bool = True) -> DataFrame:
+    return nb_wald(fit, contrasts, lfc=lfc, cooks=cooks)
 
 
-def results_contrast(fit: NbFit, design: DataFrame, spec) -> DataFrame:
+def results_contrast(fit: NbFit, design: DataFrame, spec, *, cooks: bool = True) -> DataFrame:
     """Wald results for ``(variable, A, B)`` or for one coefficient by name."""
     if isinstance(spec, str):
         contrasts = make_contrasts(design, {spec: spec})
@@ -535,7 +535,7 @@ def results_contrast(fit: NbFit, design: DataFrame, spec) -> DataFrame:
         if not terms:
             raise ValueError(f"no coefficients for {spec!r}")
         contrasts = make_contrasts(design, {f"{variable}_{a}_vs_{b}": "".join(terms)})
-    return nb_wald(fit, contrasts)
+    return nb_wald(fit, contrasts, cooks=cooks)
 
 
 def lowess(x: np.ndarray, y: np.ndarray, span: float = 0.2) -> np.ndarray:

@@ -27,34 +27,73 @@ def marker_scores(norm: DataFrame, gene_sets: DataFrame, *, value: str) -> DataF
     return sums.join(sizes, "set_id").select("sample", "set_id", (F.col("_s") / F.col("_n")).alias("score"))
 
 
-def _simplex_fit(gram: np.ndarray, targets: np.ndarray, steps: int = 2000) -> np.ndarray:
-    """Rows p ≥ 0 with Σp ≤ 1 that minimise p'Gp − 2p't, by accelerated projected gradient over all rows at once."""
-    lip = max(np.linalg.eigvalsh(gram).max(), 1e-12)
-    p = np.zeros_like(targets)
-    look, t = p.copy(), 1.0
-    for _ in range(steps):
-        new = look - (look @ gram - targets) / lip
-        clipped = np.maximum(new, 0)
-        over = clipped.sum(axis=1) > 1
-        if over.any():
-            ordered = np.sort(new[over], axis=1)[:, ::-1]
-            excess = (ordered.cumsum(axis=1) - 1) / np.arange(1, ordered.shape[1] + 1)
-            last = (ordered > excess).sum(axis=1) - 1
-            clipped[over] = np.maximum(new[over] - excess[np.arange(len(last)), last][:, None], 0)
-        t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        look = clipped + (t - 1) / t_next * (clipped - p)
-        moved = np.abs(clipped - p).max()
-        p, t = clipped, t_next
-        if moved < 1e-12:
+def simplex_fit(gram: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows p ≥ 0 with Σp ≤ 1 that minimise p'Gp − 2p't, and how far each is from optimal; active sets of all rows at once.
+
+    What is left of the sum is one more share, so rows lie on a simplex. Every row keeps its own set of free shares. A step solves all
+    rows for their free shares, moves those that would leave the simplex up to its border, and frees in the others the share whose gain is
+    steepest. The second result is the largest breach of the optimality conditions (in units of the largest diagonal entry of G), computed
+    from the shares alone: gradients of positive shares equal the multiplier of the sum, those of absent shares are not below.
+    """
+    n, k = targets.shape
+    unit = max(float(np.diag(gram).max()), 1e-300)
+    h, lin = np.zeros((k + 1, k + 1)), np.zeros((n, k + 1))
+    h[:k, :k], lin[:, :k] = gram / unit, targets / unit
+    p = np.zeros((n, k + 1))
+    p[:, k] = 1.0
+    free = p > 0
+    live = np.arange(n)
+    for _ in range(20 * (k + 1)):
+        if not len(live):
             break
-    return p
+        f = free[live]
+        system, right = np.zeros((len(live), k + 2, k + 2)), np.zeros((len(live), k + 2))
+        system[:, :k + 1, :k + 1] = h * f[:, :, None] * f[:, None, :] + np.eye(k + 1) * ~f[:, :, None]
+        system[:, :k + 1, k + 1] = system[:, k + 1, :k + 1] = f
+        right[:, :k + 1], right[:, k + 1] = lin[live] * f, 1.0
+        solved = _solve_rows(system, right)
+        s = np.where(f, solved[:, :k + 1], 0.0)
+        out = f & (s < 0)
+        stays = ~out.any(axis=1)
+        moving = live[~stays]
+        if len(moving):
+            at, to, blocked = p[moving], s[~stays], out[~stays]
+            ratio = np.where(blocked, at / np.where(blocked, at - to, 1.0), np.inf)
+            first = ratio.min(axis=1, keepdims=True)
+            hit = blocked & (ratio <= first)
+            p[moving] = np.where(hit, 0.0, at + first * (to - at))
+            free[moving] &= ~hit
+        settled = live[stays]
+        p[settled] = s[stays]
+        gain = np.where(free[settled], np.inf, p[settled] @ h - lin[settled] + solved[stays, k + 1:])
+        worst = gain.argmin(axis=1)
+        better = gain[np.arange(len(settled)), worst] < -1e-13
+        free[settled[better], worst[better]] = True
+        live = np.sort(np.concatenate([moving, settled[better]]))
+    slope = p @ h - lin
+    over = slope - (p * slope).sum(axis=1, keepdims=True)
+    breach = np.where(p > 0, np.abs(over), np.maximum(-over, 0)).max(axis=1)
+    return p[:, :k], np.maximum.reduce([breach, np.abs(p.sum(axis=1) - 1), -p.min(axis=1)])
+
+
+def _solve_rows(system: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """One symmetric system per row; rows without a unique solution get the one of least norm."""
+    try:
+        out = np.linalg.solve(system, right[:, :, None])[:, :, 0]
+    except np.linalg.LinAlgError:
+        out = np.full(right.shape, np.nan)
+    bad = ~(np.abs((system @ out[:, :, None])[:, :, 0] - right).max(axis=1) < 1e-10)
+    if bad.any():
+        out[bad] = (np.linalg.pinv(system[bad], hermitian=True) @ right[bad][:, :, None])[:, :, 0]
+    return out
 
 
 def deconvolve_fractions(tpm: DataFrame, profile: DataFrame, *, value: str = "tpm", other: bool = True) -> DataFrame:
-    """Cell-type fractions per sample from a reference profile ``(cell_type, feature, value[, weight[, mrna]])``.
+    """``(sample, cell_type, fraction, residual)``: cell-type fractions from a reference profile ``(cell_type, feature, value[, weight[, mrna]])``.
 
     Sample and profile are scaled to shares over the signature features. One aggregate gives the normal equations (a short row
-    per sample); the constrained problem is then solved for whole batches of samples. ``other`` is what the profile leaves.
+    per sample); the constrained problem is then solved for whole batches of samples. ``other`` is what the profile leaves;
+    ``residual`` is the breach of the optimality conditions, which rounding alone leaves.
     """
     cols = set(profile.columns)
     weight = F.col("weight") if "weight" in cols else F.lit(1.0)
@@ -82,13 +121,13 @@ def deconvolve_fractions(tpm: DataFrame, profile: DataFrame, *, value: str = "tp
         for pdf in batches:
             if not len(pdf):
                 continue
-            p = _simplex_fit(gram, np.vstack(pdf["t"].to_numpy()))
+            p, residual = simplex_fit(gram, np.vstack(pdf["t"].to_numpy()))
             rest = np.clip(1 - p.sum(axis=1, keepdims=True), 0, None) if other else np.zeros((len(p), 1))
             shares = np.hstack([p / per_cell, rest])
             shares = shares / np.maximum(shares.sum(axis=1, keepdims=True), 1e-12)
-            yield pd.DataFrame({"sample": np.repeat(pdf["sample"].to_numpy(), len(types) + 1), "cell_type": (types + ["other"]) * len(pdf), "fraction": shares.reshape(-1)})
+            yield pd.DataFrame({"sample": np.repeat(pdf["sample"].to_numpy(), len(types) + 1), "cell_type": (types + ["other"]) * len(pdf), "fraction": shares.reshape(-1), "residual": np.repeat(residual, len(types) + 1)})
 
-    out = vectors.mapInPandas(run, f"sample {kind}, cell_type string, fraction double")
+    out = vectors.mapInPandas(run, f"sample {kind}, cell_type string, fraction double, residual double")
     return out if other else out.where("cell_type <> 'other'")
 
 

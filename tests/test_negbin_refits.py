@@ -5,7 +5,6 @@ import math
 import numpy as np
 import pytest
 
-from countspark.functions import special
 from countspark.model import Experiment
 from countspark.operators import linear, negbin, normalize as nz
 from countspark.plans import pipelines
@@ -149,3 +148,13 @@ def test_sign_errors_are_calibrated(shrinkage):
     ordered = sorted(rows, key=lambda r: (r["sign_error"], r["feature"]))
     running = np.cumsum([r["sign_error"] for r in ordered]) / np.arange(1, len(ordered) + 1)
     assert np.allclose([r["s_value"] for r in ordered], running)
+
+
+def test_scale_of_effects_without_scatter(spark):
+    """Effects no wider than their errors leave the least scale."""
+    counts = np.random.default_rng(5).poisson(200, (300, 6))
+    table, sheet = _tables(spark, counts, "aaabbb")
+    design = linear.design_matrix(sheet, ["grp"], intercept=True)
+    data = negbin.nb_input(table, design, size_factors=spark.createDataFrame([(f"s{j:02d}", 1.0) for j in range(6)], "sample string, size_factor double"))
+    fit = negbin.nb_glm_fit(data, table.select("feature").distinct().selectExpr("feature", "0.2D AS dispersion"))
+    assert negbin.prior_scale(fit, "grpb") < 0.01
