@@ -238,13 +238,13 @@ POISSON = """SELECT feature, 'NAME' AS contrast, ROUND(LN(s1 / n1 * n2 / s2) / L
 WALD = "LN(s1 / n1 * n2 / s2) / SQRT(1 / s1 + 1 / s2)"
 
 
-#: Two-sided normal tail of ``z`` as the mean of a smooth function over a quarter of the circle.
-TAIL = "LIST_SUM(LIST_TRANSFORM(RANGE(400), lambda k: EXP(-(Z) * (Z) / (2 * POWER(SIN((k + 0.5e0) * PI() / 800), 2))))) / 400"
+#: Two-sided normal tail of ``Z`` >= 0: one minus the density between -Z and Z, by 400 midpoints (absolute error below 1e-6).
+TAIL = "1 - SQRT(2 / PI()) * LEAST(Z, 9) * LIST_SUM(LIST_TRANSFORM(RANGE(400), lambda k: EXP(-POWER(LEAST(Z, 9) * (k + 0.5e0) / 400, 2) / 2))) / 400"
 
 
 def _with_tail(body: str, z: str, digits: int = 3) -> str:
     """``body`` over the view ``fx_two_groups`` with the tail of ``z`` as ``p_value``."""
-    return body.replace(" FROM fx_two_groups", f", ROUND(LEAST(1, {TAIL.replace('Z', 'z')}), {digits}) + 0e0 AS p_value FROM (SELECT *, {z} AS z FROM fx_two_groups)")
+    return body.replace(" FROM fx_two_groups", f", ROUND(GREATEST({TAIL.replace('Z', 'z')}, 0), {digits}) + 0e0 AS p_value FROM (SELECT *, ABS({z}) AS z FROM fx_two_groups)")
 
 
 def both_groups(spark, sf, counts):
