@@ -456,6 +456,8 @@ def refit_outliers(data: NbInput, fit: NbFit, trend: DispersionTrend, *, least:
     The second fit takes the trend and prior of the first; rows without replaced cells are those of the first fit. A feature that has no
     count left gets zero coefficients.
     """
+    if not replicate_cells(fit.design.matrix, least):
+        return fit
     changed = keep(replaced_outliers(fit, least=least))
     if changed.isEmpty():
         return fit
