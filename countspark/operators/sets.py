@@ -5,17 +5,17 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from countspark.functions.adjust import bh_adjust, holm_filter
-from countspark.functions.rows import _dense_blocks, dense_array, feature_rows, map_blocks, sample_index
+from countspark.functions.rows import _dense_blocks, dense_array, feature_rows, map_blocks
 from countspark.functions.scans import scan
 from countspark.functions.special import normal_upper_quantile, quadratic_ratio_tail, t_tail, t_two_sided
 from countspark.operators.linear import LinearFit, design_arrays, ebayes_moderate, make_contrasts, variance_prior
-from countspark.session import collect_small, keep, small
+from countspark.session import collect_small, keep, new_path, small
 
 
 def marker_scores(norm: DataFrame, gene_sets: DataFrame, *, value: str) -> DataFrame:
@@ -138,6 +138,10 @@ def fraction_long(wide: DataFrame, *, id_col: str = "cell_type") -> DataFrame:
     return cells.unpivot(["cell_type"], [f"`{c}`" for c in names], "sample", "fraction")
 
 
+#: Random feature sets that a task holds at a time.
+NULL_SETS = 100
+
+
 def template_distances(norm: DataFrame, templates: DataFrame, *, value: str) -> DataFrame:
     """Cosine distance of each sample to each 0/1 class template over the union of the template features."""
     members = templates.select("class", "feature").distinct()
@@ -153,18 +157,11 @@ def nearest_template(norm: DataFrame, templates: DataFrame, *, value: str, n_per
     """Nearest class per sample with its distance, a permutation p-value and FDR; above ``max_fdr`` there is no prediction.
 
     The null distances use ``n_perm`` seeded random feature sets of the template's size, the same for all samples, so a batch
-    of samples is compared with all of them in one matrix product.
+    of samples is compared with many of them in one matrix product. Tasks draw the sets from the seed, ``NULL_SETS`` at a time.
     """
     members = collect_small(templates.select("class", "feature").distinct())
     feats, classes = sorted({r["feature"] for r in members}), sorted({r["class"] for r in members})
     size = {c: sum(r["class"] == c for r in members) for c in classes}
-    rng = np.random.default_rng(seed)
-    order = np.argsort(rng.random((n_perm, len(feats))), axis=1)
-    picks = {}
-    for m in sorted(set(size.values())):
-        pick = np.zeros((len(feats), n_perm))
-        pick[order[:, :m].T, np.arange(n_perm)[None, :]] = 1
-        picks[m] = pick
     own = np.zeros((len(feats), len(classes)))
     at = {f: i for i, f in enumerate(feats)}
     for r in members:
@@ -180,12 +177,16 @@ def nearest_template(norm: DataFrame, templates: DataFrame, *, value: str, n_per
         cos = x @ own / np.sqrt(sizes) / safe[:, None]
         best = cos.argmax(axis=1)
         lead = cos[np.arange(len(x)), best]
-        p = np.ones(len(x))
-        for m, pick in picks.items():
-            rows_ = np.flatnonzero(sizes[best] == m)
-            if len(rows_):
-                null = x[rows_] @ pick / np.sqrt(m) / safe[rows_, None]
-                p[rows_] = (1 + (null >= lead[rows_, None] - 1e-12).sum(axis=1)) / (n_perm + 1)
+        above = np.zeros(len(x))
+        for at in range(0, n_perm, NULL_SETS):
+            n = min(NULL_SETS, n_perm - at)
+            order = np.argsort(np.random.default_rng([seed, at]).random((n, len(feats))), axis=1)
+            for m in np.unique(sizes[best]).astype(int):
+                rows_ = np.flatnonzero(sizes[best] == m)
+                pick = np.zeros((len(feats), n))
+                pick[order[:, :m].T, np.arange(n)[None, :]] = 1
+                above[rows_] += (x[rows_] @ pick / np.sqrt(m) / safe[rows_, None] >= lead[rows_, None] - 1e-12).sum(axis=1)
+        p = (1 + above) / (n_perm + 1)
         return {"prediction": [classes[i] for i in best], "distance": np.sqrt(np.maximum(1 - lead, 0) / 2), "p_value": p}
 
     kind = templates.schema["class"].dataType.simpleString()
@@ -207,24 +208,34 @@ def class_centroids(norm: DataFrame, classes: DataFrame, *, value: str) -> DataF
     return norm.join(small(classes.select("sample", "class")), "sample").groupBy("class", "feature").agg(F.avg(value).alias("value"))
 
 
-def sample_vectors(norm: DataFrame, *, value: str) -> DataFrame:
-    """One ML vector per sample over a chosen list of features in order; a feature that a sample lacks is 0."""
-    order = [r["feature"] for r in norm.select("feature").distinct().orderBy("feature").collect()]  # one number per feature is what a vector holds
-    place = sample_index(norm.select(F.col("feature").alias("sample")), order).select(F.col("sample").alias("feature"), "idx")
-    cells = norm.join(place, "feature").groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("idx", F.col(value).cast("double").alias("x")))).alias("c"))
-    dense = cells.select("sample", F.col("c.idx").alias("idx"), F.col("c.x").alias("x")).select("sample", dense_array(len(order)).alias("v"))
+def feature_places(norm: DataFrame) -> tuple[DataFrame, int]:
+    """``(feature, idx)`` in the order of the features, 0-based, and their number; the features stay where they are."""
+    numbered = keep(scan(norm.select("feature").distinct(), [], [F.col("feature").asc()], number="_i").select("feature", (F.col("_i") - 1).cast("int").alias("idx")))
+    return small(numbered), numbered.count()
+
+
+def sample_vectors(norm: DataFrame, places: DataFrame, n: int, *, value: str) -> DataFrame:
+    """One ML vector per sample by the ``n`` features of ``places``; a feature that a sample lacks is 0, features without a place are left out."""
+    cells = norm.join(places, "feature").groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("idx", F.col(value).cast("double").alias("x")))).alias("c"))
+    dense = cells.select("sample", F.col("c.idx").alias("idx"), F.col("c.x").alias("x")).select("sample", dense_array(n).alias("v"))
     return dense.select("sample", array_to_vector("v").alias("features"))
 
 
 def rf_classify(train: DataFrame, test: DataFrame, classes: DataFrame, *, value: str, features=None, trees: int = 50, seed: int = 1) -> DataFrame:
-    """Random forest trained on labelled samples and applied to others: prediction and its probability."""
+    """Random forest trained on labelled samples and applied to others: prediction and its probability.
+
+    The features are those of ``train``; others in ``test`` are left out, and those that ``test`` lacks count as 0.
+    """
     if features is not None:
         from countspark.operators.filters import select_feature_list
 
         train, test = select_feature_list(train, features), select_feature_list(test, features)
-    labelled = sample_vectors(train, value=value).join(small(classes.select("sample", F.col("class").cast("double").alias("label"))), "sample")
-    model = RandomForestClassifier(numTrees=trees, seed=seed).fit(labelled)
-    scored = model.transform(sample_vectors(test, value=value))
+    places, n = feature_places(train)
+    labelled = sample_vectors(train, places, n, value=value).join(small(classes.select("sample", F.col("class").cast("double").alias("label"))), "sample")
+    path = new_path(train.sparkSession)
+    RandomForestClassifier(numTrees=trees, seed=seed).fit(labelled).write().save(path)
+    model = RandomForestClassificationModel.load(path)  # without the summary of the training, which tasks cannot take along
+    scored = model.transform(sample_vectors(test, places, n, value=value))
     return scored.select("sample", F.col("prediction").cast("int").alias("prediction"), F.array_max(vector_to_array("probability")).alias("probability"))
 
 
