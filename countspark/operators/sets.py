@@ -231,7 +231,7 @@ def rf_classify(train: DataFrame, test: DataFrame, classes: DataFrame, *, value:
 
         train, test = select_feature_list(train, features), select_feature_list(test, features)
     places, n = feature_places(train)
-    labelled = sample_vectors(train, places, n, value=value).join(small(classes.select("sample", F.col("class").cast("double").alias("label"))), "sample")
+    labelled = keep(sample_vectors(train, places, n, value=value).join(small(classes.select("sample", F.col("class").cast("double").alias("label"))), "sample"))  # every level of the trees reads it
     path = new_path(train.sparkSession)
     RandomForestClassifier(numTrees=trees, seed=seed).fit(labelled).write().save(path)
     model = RandomForestClassificationModel.load(path)  # without the summary of the training, which tasks cannot take along
