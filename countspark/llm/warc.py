@@ -1,7 +1,7 @@
 """Web archives: writing pages as WARC records, reading archives, and assembling the records of a capture.
 
 A capture is a response (or a revisit of one with an equal payload), its request and its metadata. The records are separate and name
-each other by ``WARC-Concurrent-To``; ``captures`` joins them and gives one nested row per response or revisit.
+each other by ``WARC-Concurrent-To``; ``captures`` joins them and gives one nested row per response or revisit, ``loose_records`` gives the rest.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from typing import BinaryIO
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from countspark.session import keep, new_path
+from countspark.llm.components import components
+from countspark.session import keep, keep_measured, new_path
 
 #: Fixed values of the format.
 CRLF = "\r\n"
@@ -110,14 +111,14 @@ def _parse(file: BinaryIO) -> Iterator[tuple[dict[str, list[str]], bytes]]:
         yield headers, content
 
 
-def _row(headers: dict[str, list[str]], content: bytes) -> tuple:
+def _row(headers: dict[str, list[str]], content: bytes, bodies: bool) -> tuple:
     one = lambda name: headers.get(name, [None])[0]
     kind = one("warc-type")
     payload = content.partition(b"\r\n\r\n")[2] if (one("content-type") or "").startswith("application/http") else content
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     stated = one("warc-payload-digest")
     return (one("warc-record-id"), kind, one("warc-target-uri"), headers.get("warc-concurrent-to", []), one("warc-refers-to"), len(payload), digest,
-            stated and stated.partition(":")[2], None if kind == "response" else content)
+            stated and stated.partition(":")[2], content if bodies or kind != "response" else None)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -125,10 +126,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [f.split()[0] for f in RECORD.split(", ")])
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, *, bodies: bool = False) -> DataFrame:
     """The records below ``path``, see ``RECORD``. Digest and size are those of the payload (of http records: behind the http head).
 
-    ``content`` is kept for records other than responses. A file, compressed as a whole or by records, is read record by record by one
+    ``content`` is kept for records other than responses, with ``bodies`` for these as well. A file, compressed as a whole or by records, is read record by record by one
     task; only its compressed bytes are held whole.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +140,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 data.seek(0)
                 rows, held = [], 0
                 for headers, content in _parse(gzip.GzipFile(fileobj=data) if packed else data):
-                    rows.append(_row(headers, content))
+                    rows.append(_row(headers, content, bodies))
                     held += len(rows[-1][-1] or b"")
                     if len(rows) == BATCH_ROWS or held >= BATCH_BYTES:
                         yield _batch(rows)
@@ -150,32 +151,50 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORD)
 
 
-def captures(records: DataFrame) -> DataFrame:
-    """One nested row per different response, revisit or resource: its columns, ``copies`` (how often it is there), ``requests`` and
-    ``metadata`` (arrays of record id and content, each different one once).
-
-    A record belongs to a capture if it is concurrent to it, or the capture to it, or if it is concurrent to a record that belongs to
-    it. Records that belong to none are left out of the nested rows; captures without request or metadata have empty arrays. Different
-    responses of one record id are rows of their own, each with all the records concurrent to that id. ``records`` is a written table.
-    """
+def _members(records: DataFrame) -> DataFrame:
+    """``(member, a)``: the records other than responses, revisits and resources that belong to the capture with the id ``a``, see ``captures``."""
     anchor = F.col("type").isin(*ANCHORS)
     names = records.select("record_id", anchor.alias("anchor"), F.explode("concurrent_to").alias("to"))
     anchors = records.where(anchor).select(F.col("record_id").alias("a")).distinct()
     others = records.where(~anchor).select(F.col("record_id").alias("o")).distinct()
     direct = names.where("not anchor").join(anchors, F.col("to") == F.col("a")).select(F.col("record_id").alias("member"), "a")
     back = names.where("anchor").join(others, F.col("to") == F.col("o")).select(F.col("o").alias("member"), F.col("record_id").alias("a"))
-    first = keep(direct.unionByName(back).distinct())
-    known = first.select(F.col("member").alias("m"), "a")
-    through = names.where("not anchor").join(known, F.col("to") == F.col("m")).join(first.select(F.col("member").alias("has")).distinct(), F.col("record_id") == F.col("has"), "left_anti")
-    edges = first.unionByName(through.select(F.col("record_id").alias("member"), "a")).distinct()
-    parts = records.where(~anchor).select("record_id", "type", "content").join(edges, F.col("record_id") == F.col("member"))
+    first = direct.unionByName(back).distinct()
+    between, seen = keep_measured(names.where("not anchor and to <> record_id").join(others, F.col("to") == F.col("o")).select(F.col("record_id").alias("a"), F.col("o").alias("b")))
+    if seen["n"] == 0:
+        return first
+    first, roots = keep(first), keep(components(between))
+    reached = first.join(roots, F.col("member") == F.col("node")).select("root", "a").distinct()
+    return first.unionByName(roots.join(reached, "root").select(F.col("node").alias("member"), "a")).distinct()
+
+
+def captures(records: DataFrame) -> DataFrame:
+    """One nested row per different response, revisit or resource: its columns, ``content`` as far as it was read, ``copies`` (how often
+    it is there), ``requests``, ``metadata`` (arrays of record id and content, each different one once) and ``others`` (records of any
+    other type alike, with their type in front).
+
+    A record belongs to a capture if one of the two is concurrent to the other, or if a chain of such links over any number of records
+    that are not captures themselves leads from one to the other; it can belong to several captures, and without an id to none. These are
+    given by ``loose_records``; captures without such records have empty arrays. Different responses of one record id are rows of their
+    own, each with all the records concurrent to that id. ``records`` is a written table.
+    """
+    anchor = F.col("type").isin(*ANCHORS)
+    parts = records.where(~anchor).select("record_id", "type", "content").join(_members(records), F.col("record_id") == F.col("member"))
     one = F.struct("record_id", "content")
     nested = parts.groupBy("a").agg(F.sort_array(F.collect_set(F.when(F.col("type") == "request", one))).alias("requests"),
-                                    F.sort_array(F.collect_set(F.when(F.col("type") == "metadata", one))).alias("metadata"))
+                                    F.sort_array(F.collect_set(F.when(F.col("type") == "metadata", one))).alias("metadata"),
+                                    F.sort_array(F.collect_set(F.when(~F.col("type").isin("request", "metadata"), F.struct("type", "record_id", "content")))).alias("others"))
     none = F.array().cast("array<struct<record_id:string,content:binary>>")
-    each = records.where(anchor).groupBy("record_id", "type", "uri", "refers_to", "payload_bytes", "payload_digest", "stated_digest").agg(F.count(F.lit(1)).alias("copies"))
+    each = records.where(anchor).groupBy("record_id", "type", "uri", "refers_to", "payload_bytes", "payload_digest", "stated_digest", "content").agg(F.count(F.lit(1)).alias("copies"))
     return each.join(nested, F.col("record_id") == F.col("a"), "left").withColumns(
-        {"requests": F.coalesce("requests", none), "metadata": F.coalesce("metadata", none)}).drop("a")
+        {"requests": F.coalesce("requests", none), "metadata": F.coalesce("metadata", none),
+         "others": F.coalesce("others", F.array().cast("array<struct<type:string,record_id:string,content:binary>>"))}).drop("a")
+
+
+def loose_records(records: DataFrame) -> DataFrame:
+    """The records that belong to no capture, as they are and as often as they are there; ``captures`` has all others."""
+    anchor = F.coalesce(F.col("type").isin(*ANCHORS), F.lit(False))
+    return records.where(~anchor).join(_members(records).select("member").distinct(), F.col("record_id") == F.col("member"), "left_anti")
 
 
 def _repeated(found: DataFrame) -> DataFrame:

@@ -70,6 +70,29 @@ def test_links(spark):
     assert got == {"r1": (["q1"], ["m1"]), "r2": (["q2"], ["m2"]), "r3": ([], [])}
 
 
+def test_every_record_is_given(spark):
+    """Chains of links, records of two captures, other types and contents; what belongs to no capture is given as it is."""
+    rec = lambda i, kind, to: (i, kind, "u", to, None, 0, "d", None, i and i.encode())
+    rows = [rec("r1", "response", []), rec("c0", "request", ["r1"]), *[rec(f"c{k}", "metadata", [f"c{k - 1}"]) for k in range(1, 8)], rec("c8", "metadata", []), rec("c9", "request", ["c8", "c7"]),
+            rec("r2", "resource", []), rec("q2", "request", ["r2"]), rec("both", "metadata", ["r3", "q2"]), rec("r3", "revisit", ["v3"]), rec("v3", "conversion", ["v3"]), rec("r4", "response", ["r3"]),
+            rec("i", "warcinfo", []), rec("m", "metadata", ["gone"]), rec("n", "metadata", ["m"]), rec("n", "metadata", ["m"]), rec(None, "request", ["m"]), rec(None, "request", ["r4"])]
+    records = keep(spark.createDataFrame(rows, warc.RECORD))
+    got = {r["record_id"]: r for r in warc.captures(records).collect()}
+    ids = lambda i, kind: [x["record_id"] for x in got[i][kind]]
+    assert set(got) == {"r1", "r2", "r3", "r4"}
+    assert ids("r1", "requests") == ["c0", "c9"] and ids("r1", "metadata") == [f"c{k}" for k in range(1, 9)]
+    assert ids("r2", "requests") == ["q2"] == ids("r3", "requests") and ids("r2", "metadata") == ["both"] == ids("r3", "metadata")
+    assert [tuple(x) for x in got["r3"]["others"]] == [("conversion", "v3", b"v3")] and got["r2"]["content"] == b"r2" and ids("r2", "others") == []
+    assert ids("r4", "requests") == ids("r4", "metadata") == ids("r4", "others") == []
+    assert sorted(r["record_id"] or "" for r in warc.loose_records(records).collect()) == ["", "", "i", "m", "n", "n"]
+    assert warc.loose_records(keep(records.limit(0))).count() == 0
+    # http heads and bodies
+    path = new_path(spark)
+    warc.write_pages(spark.createDataFrame([(1, "a", "xy"), (2, "b", "xy")], "page_id bigint, url string, html string"), path)
+    got = {r["type"]: r["content"].partition(b"\r\n\r\n")[2] for r in warc.captures(keep(warc.read_records(spark, path, bodies=True))).collect()}
+    assert got == {"response": b"xy", "revisit": b""}
+
+
 def test_base32(spark):
     values = ["", "a", "é", "x" * 1000]
     rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", warc.base32_sha1(F.col("v")).alias("d")).collect()
