@@ -11,11 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 PIECE_BYTES = 1 << 20
+#: Bytes of short texts that are worked on together, and of texts of an Arrow batch that are Python objects at a time.
+GROUP_BYTES, SLICE_BYTES = 1 << 18, 4 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
@@ -56,11 +59,12 @@ def pieces(text: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
 
 
 def groups(texts: list[bytes], size: int = PIECE_BYTES) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Texts gathered into groups of about ``size`` bytes: their positions and their (pieces of) texts."""
+    """Texts gathered into groups of about ``GROUP_BYTES``, cut where they are longer than ``size``: their positions and their (pieces of) texts."""
     at, part, total = [], [], 0
+    together = min(size, GROUP_BYTES)
     for i, text in enumerate(texts):
         for piece in pieces(text, size) if len(text) > size else (text,):
-            if part and total + len(piece) > size:
+            if part and total + len(piece) > together:
                 yield at, part
                 at, part, total = [], [], 0
             at.append(i)
@@ -99,6 +103,20 @@ def stretch_hashes(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray, fol
     return mix(np.add.reduceat(values, before) ^ (lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """All rows of the batches in slices with about ``size`` bytes in the column at ``text``, or one longer text; nothing is copied.
+
+    A worker then holds the objects, and hands on the results, of one slice and not of thousands of texts.
+    """
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def bytes_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes empty."""
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]

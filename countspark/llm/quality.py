@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from countspark.llm.common import bytes_of, groups, id_column, mix, runs
+from countspark.llm.common import bytes_of, groups, id_column, mix, runs, slices
 
 BITS = 18
 #: Documents that a model is fitted on at most; those with the smallest hash of their key are taken.
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
              .join(F.broadcast(chosen), F.col("_id") == F.col("_key")).select("_h", "_y", "_text"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             found = sparse_rows(bytes_of(batch.column(2)), bits)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())),
                                               pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))], ["h", "y", "at", "x"])
@@ -160,7 +160,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], *, key: str = "doc_i
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             dots = dot_products(bytes_of(batch.column(1)), shared.value, bits) + bias
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(dots, -35, 35))))], ["id", "score"])
 
@@ -186,7 +186,7 @@ def good_rows(docs: DataFrame, labels: DataFrame, *, text: str = "text") -> Data
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, place):
             dots = dot_products(bytes_of(batch.column(place)), shared.value) + bias
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(dots, -35, 35))) >= 0.5))
 

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from countspark.llm.common import id_column
+from countspark.llm.common import id_column, slices
 from countspark.session import keep
 
 #: Kinds in the order of output, patterns and least lengths.
@@ -162,7 +162,7 @@ def learn_formats(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE)
     smallest hashes. Only such samples, and the counts of the token characters, reach the driver.
     """
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             found, letters = set(), Counter()
             for value in batch.column(0).to_pylist():
                 if not value:
@@ -254,7 +254,7 @@ def scan_secrets(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(formats)
-        for batch in batches:
+        for batch in slices(batches, 1):
             out = []
             for value in batch.column(1).to_pylist():
                 base = base_spans(value or "")
@@ -288,7 +288,7 @@ def redacted_rows(docs: DataFrame, *, text: str = "text", length: str = "n_chars
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(formats)
-        for batch in batches:
+        for batch in slices(batches, 0):
             old = batch.column(0).to_pylist()
             new = [None if v is None else redact(v, scorer) for v in old]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), pa.array([a != b for a, b in zip(old, new)], pa.bool_()), batch.column(1)], ["new", "changed", "row"])

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from countspark.llm.common import bytes_of, id_column, pieces
+from countspark.llm.common import bytes_of, id_column, pieces, slices
 from countspark.llm.components import components
 from countspark.session import keep, keep_measured
 
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
     fewer words is one shingle, a text without words (or null) has fingerprint zero. Other columns are not read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             fps = np.array([fingerprint_of(t, width) for t in bytes_of(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from countspark.llm.common import WORD_BYTES, bytes_of, groups, id_column, mix, runs, stretch_hashes
+from countspark.llm.common import WORD_BYTES, bytes_of, groups, id_column, mix, runs, slices, stretch_hashes
 from countspark.session import keep, small
 
 WIDTH = 5
@@ -234,7 +234,7 @@ def _window_rows(docs: DataFrame, keys: list[str], sieve: bytes | None, widths:
             yield np.full(len(h), i), h, place, np.full(len(h), width), np.zeros((len(h), WIDTH), np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, len(keys)):
             parts = [f for f in all_forms(bytes_of(batch.column(len(keys)))) if len(f[0])]
             if not parts:
                 continue
